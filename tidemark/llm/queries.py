@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("exact_dedup", "quality_cnn")
+_MODULES = ("token_counts", "exact_dedup", "byte_bpe", "quality_cnn")
 
 
 def _modules():
