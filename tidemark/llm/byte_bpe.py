@@ -32,7 +32,7 @@ from tidemark.llm._runtime import ready, table
 NAME = "op6_byte_bpe"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: White space as the pattern's library has it; Python's own classes also hold 0x1C-0x1F.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LONG_GAP = regex.compile(rf"[{_SPACE}]{{3}}|[{_SPACE}]{{2}}\Z")
 
 
