@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("token_counts", "pii", "exact_dedup", "byte_bpe", "decontaminate", "line_dedup", "token_file", "quality_cnn")
+_MODULES = ("token_counts", "substring_dedup", "pii", "exact_dedup", "byte_bpe", "decontaminate", "line_dedup", "token_file", "quality_cnn")
 
 
 def _modules():
