@@ -8,13 +8,13 @@ import numpy as np
 import pyarrow as pa
 
 #: Distinct pieces kept in a worker; beyond that the table starts anew, which costs time, not results.
-MOST_PIECES = 400_000
+MOST_PIECES = 600_000
 
 
 class PieceTable:
-    """encode: list of pieces -> list of id lists."""
+    """encode: list of pieces -> (ids of all of them in a row, number of ids of each)."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = MOST_PIECES) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = MOST_PIECES) -> None:
         self.encode, self.most = encode, most
         self._clear()
 
@@ -30,10 +30,7 @@ class PieceTable:
             self._clear()
             new = list(set(pieces))
         if new:
-            new.sort()
-            lists = self.encode(new)
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
+            flat, sizes = self.encode(new)
             used = int(self.starts[-1])
             if used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids[:used], np.zeros(max(len(flat), used) + (1 << 16), np.int32)])
@@ -44,9 +41,19 @@ class PieceTable:
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         lo = self.starts[at]
         sizes = self.starts[at + 1] - lo
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(lo - ends + sizes, sizes) + np.arange(total)], sizes
+        return picked(self.ids, lo, sizes), sizes
+
+
+def picked(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ids from starts on, in a row."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
+
+
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum())), sizes
 
 
 def row_slices(texts: list[str], size: int = 1 << 21) -> Iterator[tuple[int, int]]:

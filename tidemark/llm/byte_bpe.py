@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,14 +27,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._pieces import PieceTable, id_lists, list_array
+from tidemark.llm._pieces import PieceTable, flattened, id_lists, list_array
 from tidemark.llm._runtime import ready, table
 
 NAME = "op6_byte_bpe"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: White space as the pattern's library has it; Python's own classes also hold 0x1C-0x1F.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_LONG_GAP = regex.compile(rf"[{_SPACE}]{{3}}|[{_SPACE}]{{2}}\Z")
+_LONG_GAP = re.compile(rf"[{_SPACE}]{{3}}|[{_SPACE}]{{2}}\Z")
 
 
 def spelled_out(pattern: str) -> regex.Pattern:
@@ -54,44 +55,55 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.spelling = {r: t for t, r in ranks.items()}
-        self.of_byte = [ranks.get(bytes([i]), -1) for i in range(256)]
+        self.of_byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int64)
+        #: Rank of the joined token by both parts, for every way to cut a token in two tokens.
         self.pairs: dict[int, int] = {}
-
-    def _rank(self, a: int, b: int) -> int:
-        """Of the token that a and b join to, or -1."""
-        k = (a << 32) | b
-        r = self.pairs.get(k)
-        if r is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            r = self.pairs[k] = self.ranks.get(self.spelling[a] + self.spelling[b], -1)
-        return r
+        for t, r in ranks.items():
+            for k in range(1, len(t)):
+                if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None:
+                    self.pairs[x << 32 | y] = r
+        self.byte_pairs = np.array([[ranks.get(bytes([x, y]), -1) for y in range(256)] for x in range(256)], dtype=np.int64)
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(words)
-        token: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        first: list[tuple[int, int]] = []
-        index: dict[int, list[int]] = {}
-        rank, of_byte = self._rank, self.of_byte
+        rest = []
         for i, w in enumerate(words):
             if (whole := self.ranks.get(w)) is not None:
                 out[i] = [whole]
-                continue
-            if not w:
-                continue
-            at, n = len(token), len(w)
-            first.append((i, at))
-            ids = [of_byte[b] for b in w]
-            token += ids
-            after += range(at + 1, at + n)
-            after.append(-1)
-            before.append(-1)
-            before += range(at, at + n - 1)
-            for k in range(n - 1):
-                if (r := rank(ids[k], ids[k + 1])) >= 0:
-                    index.setdefault(r, []).append(at + k)
+            elif w:
+                rest.append(i)
+        if not rest:
+            return out
+        data = np.frombuffer(b"".join([words[i] for i in rest]), dtype=np.uint8)
+        ends = np.cumsum([len(words[i]) for i in rest])
+        starts = np.concatenate([[0], ends[:-1]])
+        after = np.arange(1, len(data) + 1)
+        after[ends - 1] = -1
+        before = np.arange(-1, len(data) - 1)
+        before[starts] = -1
+        found = np.full(len(data), -1, dtype=np.int64)
+        found[:-1] = self.byte_pairs[data[:-1], data[1:]]
+        found[ends - 1] = -1
+        token = self.of_byte[data].tolist()
+        self._merge(token, before.tolist(), after := after.tolist(), self._index(found))
+        for i, a in zip(rest, starts.tolist(), strict=True):
+            ids = []
+            while a >= 0:
+                ids.append(token[a])
+                a = after[a]
+            out[i] = ids
+        return out
+
+    @staticmethod
+    def _index(found: np.ndarray) -> dict[int, list[int]]:
+        """Positions by the rank of the pair that starts there."""
+        at = np.flatnonzero(found >= 0)
+        at = at[np.argsort(found[at], kind="stable")]
+        ranks, first = np.unique(found[at], return_index=True)
+        return {r: x.tolist() for r, x in zip(ranks.tolist(), np.split(at, first[1:]), strict=True)} if len(at) else {}
+
+    def _merge(self, token: list[int], before: list[int], after: list[int], index: dict[int, list[int]]) -> None:
+        pair = self.pairs.get
         heap = list(index)
         heapq.heapify(heap)
         while heap:
@@ -102,37 +114,34 @@ class MergeReplay:
             places.sort()
             for k, a in enumerate(places):
                 x, b = token[a], after[a]
-                if x < 0 or b < 0 or rank(x, token[b]) != r:
+                if x < 0 or b < 0 or pair(x << 32 | token[b]) != r:
                     continue
-                c = after[b]
+                c, p = after[b], before[a]
                 token[a], token[b], after[a] = r, -1, c
                 lower = False
                 if c >= 0:
                     before[c] = a
-                    if (s := rank(r, token[c])) >= 0:
-                        if s not in index:
-                            index[s] = []
+                    s = pair(r << 32 | token[c])
+                    if s is not None:
+                        if s in index:
+                            index[s].append(a)
+                        else:
+                            index[s] = [a]
                             heapq.heappush(heap, s)
-                        index[s].append(a)
                         lower = s < r
-                p = before[a]
-                if p >= 0 and (s := rank(token[p], r)) >= 0:
-                    if s not in index:
-                        index[s] = []
-                        heapq.heappush(heap, s)
-                    index[s].append(p)
-                    lower |= s < r
+                if p >= 0:
+                    s = pair(token[p] << 32 | r)
+                    if s is not None:
+                        if s in index:
+                            index[s].append(p)
+                        else:
+                            index[s] = [p]
+                            heapq.heappush(heap, s)
+                        lower |= s < r
                 if lower:  # the new pair comes first; the rest of this one waits
                     index.setdefault(r, []).extend(places[k + 1 :])
                     heapq.heappush(heap, r)
                     break
-        for i, a in first:
-            ids = []
-            while a >= 0:
-                ids.append(token[a])
-                a = after[a]
-            out[i] = ids
-        return out
 
 
 class Codec:
@@ -145,11 +154,11 @@ class Codec:
         spelling = self.replay.spelling
         self.tokens = [spelling.get(i, b"") for i in range(max(spelling, default=-1) + 1)]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cuts = [self.pattern.findall(p) for p in pieces]
         words = sorted({w for c in cuts for w in c})
         ids = dict(zip(words, self.replay.encode([w.encode() for w in words]), strict=True))
-        return [[i for w in c for i in ids[w]] for c in cuts]
+        return flattened([[i for w in c for i in ids[w]] for c in cuts])
 
     @staticmethod
     def cut(text: str) -> list[str]:

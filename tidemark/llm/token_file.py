@@ -6,7 +6,7 @@ every RANK_BITS-th bit. The place of an id in the next level is the rank of its
 read without decoding the ones before it, and a run of ids is a run in every level.
 
 A file is a table of segments, each with whole documents in ascending id order: its partition and
-number, the documents' ids and lengths, and the coded ids. Segments hold about SEGMENT_IDS ids,
+number, the ids of the partition before it, the documents' ids and lengths, and the coded ids. Segments hold about SEGMENT_IDS ids,
 or one longer document. Null and empty texts are documents of the end id alone. Rows that repeat
 an id stay next to each other, ordered by text, each a document; null ids come first. Other
 columns are left alone; an empty table gives a file without segments.
@@ -15,6 +15,7 @@ columns are left alone; an empty table gives a file without segments.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._pieces import PieceTable, id_lists
+from tidemark.llm._pieces import MOST_PIECES, PieceTable, flattened, id_lists, picked
 from tidemark.llm._runtime import partitions, ready, shared_dir, table
 
 NAME = "op9_token_file"
@@ -113,19 +114,56 @@ class TokenReader:
         return out
 
 
+#: A piece of Latin letters and marks behind them: two words of their own for the tokenizer, whatever stands around.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?%$#&*|]*)")
+
+
+class Encoder:
+    """The tokenizer over distinct words, many at a call; the mark of a word's last id tells them apart again."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words = PieceTable(self._encode_words)
+        self.pieces = PieceTable(self._encode_pieces, MOST_PIECES // 2)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lines = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], dtype=np.int32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):  # a vocabulary without such marks
+            return flattened([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        return ids, np.diff(ends, prepend=0)
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cuts = list(map(_SIMPLE.fullmatch, pieces))
+        odd = np.array([m is None for m in cuts], dtype=bool)
+        both = [("", "") if m is None else m.groups() for m in cuts]
+        parts = [x.lower() for pair in both for x in pair]
+        known, each = self.words.gather([x for x in parts if x])
+        size = np.zeros(len(parts), dtype=np.int64)
+        size[np.fromiter(map(bool, parts), bool, len(parts))] = each
+        sizes = size.reshape(-1, 2).sum(axis=1)
+        starts = np.cumsum(sizes) - sizes
+        rest, more = flattened([e.ids for e in self.tokenizer.encode_batch_fast([p for p, m in zip(pieces, cuts, strict=True) if m is None], add_special_tokens=False)])
+        starts[odd], sizes[odd] = len(known) + np.cumsum(more) - more, more
+        return picked(np.concatenate([known, rest]), starts, sizes), sizes
+
+
 @cache
 def piece_table(path: str) -> PieceTable:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return PieceTable(lambda pieces: [e.ids for e in t.encode_batch(pieces, add_special_tokens=False)])
+    return Encoder(path).pieces
 
 
 def _cut(text: str) -> list[str]:
     """The tokenizer drops white space and matches nothing across it."""
-    return text.split(" ") if text else []
+    return text.replace("\n", " ").split(" ") if text else []
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -135,16 +173,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, number = piece_table(tokenizer), TaskContext.get().partitionId(), 0
-        schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(ids_type)), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(ids_type)), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
         held: list[np.ndarray] = []
         names: list = []
         lengths: list[int] = []
-        total = 0
+        before = total = 0
 
         def segment() -> pa.RecordBatch:
-            nonlocal held, names, lengths, total, number
-            out = pa.RecordBatch.from_pylist([{"part": part, "number": number, "n_ids": total, "doc_ids": names, "lengths": lengths, "payload": encode_ids(np.concatenate(held))}], schema=schema)
-            held, names, lengths, total, number = [], [], [], 0, number + 1
+            nonlocal held, names, lengths, before, total, number
+            out = pa.RecordBatch.from_pylist([{"part": part, "number": number, "before": before, "n_ids": total, "doc_ids": names, "lengths": lengths, "payload": encode_ids(np.concatenate(held))}], schema=schema)
+            held, names, lengths, before, total, number = [], [], [], before + total, 0, number + 1
             return out
 
         for b in batches:
@@ -168,19 +206,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     ids_type = to_arrow_type(docs.schema[id_col].dataType)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(run, f"part int, number int, n_ids long, doc_ids array<{kind}>, lengths array<long>, payload binary").write.parquet(path)
+    dealt.mapInArrow(run, f"part int, number int, before long, n_ids long, doc_ids array<{kind}>, lengths array<long>, payload binary").write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a token file: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and token_ids."""
     ready(spark)
     segments = spark.read.parquet(path)
-    # one row per partition of the file, and one per segment: neither has ids or payloads
+    # one row per partition of the file, a number that the writer fixed
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("number")) - F.col("n_ids")
-    starts = segments.select("part", "number", "n_ids", inside.alias("inside")).join(before, "part").select("part", "number", (F.col("base") + F.col("inside")).alias("start"))
-    rows = segments.join(starts, ["part", "number"]).select("start", "doc_ids", "lengths", "payload")
+    bases = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    rows = segments.join(F.broadcast(bases), "part").select((F.col("base") + F.col("before")).alias("start"), "doc_ids", "lengths", "payload")
     kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
