@@ -2,7 +2,7 @@
 
 Nulls count as empty texts, so all of them form one group with the empty texts. Ties on the
 id cannot occur between different rows of one id; repeated rows of one id count as members of
-their group each. An empty table gives an empty result. Other columns are left alone.
+their group each. A null id is never the one that stays if its group has another. An empty table gives an empty result. Other columns are left alone.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("doc_id") == F.coalesce("keep_id", "doc_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.coalesce("keep_id", "doc_id")).alias("kept"),
         "text_sha256",
     )
 
@@ -96,10 +96,15 @@ def _regrouped(docs: DataFrame, rows: DataFrame, clash: DataFrame, text_col: str
     return texts.join(sizes, ["content_hash", "norm"]).select("content_hash", "doc_id", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
 
 
+def without_dropped(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id has a kept row in decided (doc_id, kept), or none at all; rows without an id stay. All columns stay."""
+    gone = decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["__gone"], "left_anti")
+
+
 def drop_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "min") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    stay = exact_duplicates(docs, text_col, id_col, keep).where("kept").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, docs[id_col] == stay["__stay"], "left_semi")
+    return without_dropped(docs, exact_duplicates(docs, text_col, id_col, keep), id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
