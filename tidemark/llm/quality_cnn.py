@@ -114,12 +114,13 @@ class Model:
         return {"x": x, "real": real, "n": n, "start": start, "rows": rows, "c": c, "h": h, "pooled": pooled, "score": score}
 
     def gradients(self, s: dict, y: np.ndarray, weight: np.ndarray) -> dict:
-        """Of the weighted log loss; only the chunk that won a hidden unit gets its share."""
+        """Of the weighted log loss; only the chunks that won a hidden unit share its part."""
         d = ((s["score"] - y) * weight / weight.sum()).astype(np.float32)
         out = {"v": s["pooled"].T @ d, "vb": d.sum(keepdims=True)}
         dp = d[:, None] * self.w["v"][None, :] * (s["pooled"] > 0)
         doc = np.repeat(np.arange(len(y)), np.diff(s["start"]))
-        dh = np.where(s["h"] == s["pooled"][doc], dp[doc], 0)
+        won = s["h"] == s["pooled"][doc]
+        dh = np.where(won, (dp / np.add.reduceat(won, s["start"][:-1], axis=0, dtype=np.float32))[doc], 0)
         hit = np.flatnonzero(np.abs(dh).max(axis=1) > 1e-7)
         dh, c, rows = dh[hit], s["c"][hit], s["rows"][hit]
         out["h"], out["hb"] = c.T @ dh, dh.sum(axis=0)
@@ -204,5 +205,21 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLAS
     return scores(docs, model, id_col, text_col).select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that the model accepts, with all their columns."""
+    ready(docs.sparkSession)
+    model = fit(*training_rows(docs, labels, per_class, id_col, text_col))
+    where = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if model is not None:
+                good = [model.forward(data, offsets)["score"] >= threshold for _, _, data, offsets in chunks(b.column(where), 1 << 19)]
+                b = b.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool), pa.bool_()))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
