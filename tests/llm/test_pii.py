@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -49,3 +50,14 @@ def test_nulls_and_columns(spark):
     assert [len(r.spans) for r in rows] == [0, 0, 1, 1]
     assert rows[2].spans[0][:3] == ("email", 2, 9)
     assert pii.find_pii(d.limit(0)).count() == 0
+
+
+def test_query_digests_the_base_spans(spark, tmp_path):
+    texts = [None, "call +1 (988) 555-2485 or x.1@mail8.example.com", "IBAN GB82 WEST 1234 5698 7654 32 at 10.0.0.1", "4041894974608795"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = pii.query(spark, str(tmp_path)).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        want = slow(t or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want) for k in pii.BASE]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+    assert got[2].spans == "iban:5:32,ip:36:44"

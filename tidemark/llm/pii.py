@@ -154,5 +154,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     joined = lambda c: F.array_join(F.transform(c, line), ",")
     rows = find_pii(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    of = lambda kind: F.filter("spans", lambda x: x["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
     return rows.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda x: x["base"])), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
