@@ -33,14 +33,13 @@ BLOCK, LAGS, FILTERS, HIDDEN = 64, 32, 8, 16
 EPOCHS, BATCH, RATE = 24, 32, 0.01
 #: Shares within a chunk are of so many bytes at least: a text of a few words is no strong evidence.
 LEAST = 48.0
-_GAP = LAGS + 2
 _SLICE = 1 << 18
 
 
 def _laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The documents in blocks, each after a gap of zero bytes: (bytes, first block of each document, with one more at the end)."""
+    """The documents in blocks, an empty block behind each: (bytes, first block of each document, with one more at the end)."""
     sizes = np.diff(offsets)
-    blocks = (sizes + _GAP + BLOCK - 1) // BLOCK
+    blocks = np.maximum(1, (sizes + BLOCK - 1) // BLOCK) + 1
     first = np.concatenate([[1], 1 + np.cumsum(blocks)])
     x = np.zeros(int(first[-1]) * BLOCK, dtype=np.uint8)
     at = np.repeat(first[:-1] * BLOCK - offsets[:-1], sizes) + np.arange(len(data))
@@ -98,7 +97,7 @@ class Model:
         real = x != 0
         sums = np.concatenate([self._conv(x, real), _repeats(x, real)], axis=1)
         bytes_in = np.bitwise_count(np.packbits(real).view(np.uint64)).astype(np.float32)
-        # chunk k of a document: its blocks k and k + 1; the last ones reach into the gap, which adds nothing
+        # chunk k of a document: its blocks k and k + 1; the last one reaches into the empty block
         pair = np.zeros_like(sums)
         pair[:-1] = sums[:-1] + sums[1:]
         n = np.zeros_like(bytes_in)
