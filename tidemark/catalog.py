@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import change_queries, registry, symbol_queries  # noqa: F401
+from tidemark.plans import change_queries, flow_queries, registry, symbol_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def sql(name: str) -> str:
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = [t for t in TABLES if re.search(rf"\bFROM {t}\b", RELATIONS[name])]
-    text = RELATIONS[name]
+    text = RELATIONS[name].replace("{", "{{").replace("}", "}}")
     for t in used:
         text = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", text)
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
