@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import call_queries, change_queries, flow_queries, registry, review_queries, symbol_queries  # noqa: F401
+from tidemark.plans import call_queries, change_queries, flow_queries, registry, review_queries, source_queries, symbol_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.QUERIES["minimum_slice"](spark, sf_dir)
+    return registry.QUERIES["j09_tracked_flows"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
