@@ -25,7 +25,7 @@ class PieceTable:
 
     def gather(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in a row, number of ids of each piece)."""
-        new = [p for p in set(pieces) if p not in self.index]
+        new = list(set(pieces).difference(self.index))
         if len(self.index) + len(new) > self.most and self.index:
             self._clear()
             new = list(set(pieces))
