@@ -111,7 +111,11 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
-    """classes: node, sketches. Ties of each bucket's members to its least one: u, v."""
+    """classes: node, sketches. Ties that connect each bucket's members over its least one, the hub: u, v.
+
+    A class has as many hubs as it has tables at most. It is tied to the least of them, and the
+    others are too, which connects the same classes and leaves one tie for each class and pair of hubs.
+    """
     single = stored(classes.select("node", F.explode("sketches").alias("sketch")), "sketches")
     shared = stored(single.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sketch"), "shared")
     left = single.join(shared, "sketch").groupBy("node").agg(F.collect_list("sketch").alias("s"))
@@ -119,7 +123,10 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     tensor = F.flatten(F.transform(side(F.col("s"), 0), lambda x: F.transform(side(F.col("s"), 1), lambda y: F.xxhash64(x, y))))
     keys = stored(left.select("node", F.explode(tensor).alias("key")), "keys")
     hubs = stored(keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"), "hubs")
-    return keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    own = keys.join(hubs, "key").where("node <> hub").groupBy("node").agg(F.collect_set("hub").alias("hubs"))
+    least = F.array_min("hubs")
+    ties = F.transform(F.concat(F.array("node"), "hubs"), lambda x: F.struct(x.alias("u"), least.alias("v")))
+    return own.select(F.explode(ties).alias("t")).select("t.*").where("u <> v").distinct()
 
 
 def _blocks(n: Column, shingles: Column) -> Column:
