@@ -70,7 +70,7 @@ def sanitized(c: Column) -> Column:
 
 def capitalised(c: Column) -> Column:
     """The first character only."""
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.expr("''") if c is None else c.substr(F.lit(2), F.length(c)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), c.substr(F.lit(2), F.length(c)))
 
 
 def first_filled(*cs: Column) -> Column:

@@ -136,4 +136,4 @@ def category_of(tool: Column, code: Column, kind: Column) -> Column:
 
 def first_line(c: Column) -> Column:
     """The first number of a range a-b, 0 if there is none."""
-    return F.coalesce(F.expr("int(null)") if c is None else F.trim(F.substring_index(c, "-", 1)).try_cast("int"), F.lit(0))
+    return F.coalesce(F.trim(F.substring_index(c, "-", 1)).try_cast("int"), F.lit(0))

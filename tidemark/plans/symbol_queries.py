@@ -23,7 +23,7 @@ def _(b, a):
     return sy.diff(b, a, ["file", "name"], _COLS).select("file", "name", "change_type", F.array_join("changed", ",").alias("changed"))
 
 
-@query("j02_type_diff", f"SELECT name, change_type, bsig AS old, asig AS new FROM ({_DIFF.replace('b.body IS DISTINCT FROM a.body', 'false').replace('file, name', 'file, name')}) WHERE change_type IS NOT NULL", "before_symbols", "after_symbols")
+@query("j02_type_diff", f"SELECT name, change_type, bsig AS old, asig AS new FROM ({_DIFF.replace('b.body IS DISTINCT FROM a.body', 'false')}) WHERE change_type IS NOT NULL", "before_symbols", "after_symbols")
 def _(b, a):
     return sy.diff(b, a, ["file", "name"], ["kind", "sig"]).select("name", "change_type", F.col("before.sig").alias("old"), F.col("after.sig").alias("new"))
 
@@ -39,7 +39,7 @@ def _(b, a):
     return sy.diff(hashed(b), hashed(a), ["file", "name"], ["kind", "value"]).select("file", "name", "change_type", F.col("before.value").alias("old_hash"), F.col("after.value").alias("new_hash"))
 
 
-@query("j05_alias_diff", "SELECT b.path AS b, coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'modified' END AS change_type FROM (SELECT name AS path, sig FROM {before_symbols}) b FULL JOIN (SELECT name AS path, sig FROM {after_symbols}) a ON a.path = b.path WHERE a.sig IS DISTINCT FROM b.sig".replace("b.path AS b, ", ""), "before_symbols", "after_symbols")
+@query("j05_alias_diff", "SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'modified' END AS change_type FROM (SELECT name AS path, sig FROM {before_symbols}) b FULL JOIN (SELECT name AS path, sig FROM {after_symbols}) a ON a.path = b.path WHERE a.sig IS DISTINCT FROM b.sig", "before_symbols", "after_symbols")
 def _(b, a):
     imports = lambda d: d.select(F.col("name").alias("path"), F.col("sig").alias("alias"))
     return sy.diff(imports(b), imports(a), ["path"], ["alias"]).select("path", "change_type")
