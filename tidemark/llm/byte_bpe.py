@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._pieces import PieceTable, flattened, id_lists, list_array
+from tidemark.llm._pieces import MOST_PIECES, PieceTable, flattened, id_lists, list_array
 from tidemark.llm._runtime import ready, table
 
 NAME = "op6_byte_bpe"
@@ -150,15 +150,19 @@ class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         self.replay = MergeReplay(load_ranks(path))
         self.pattern = spelled_out(pattern)
-        self.known = PieceTable(self._encode_pieces)
+        self.known = PieceTable(self._encode_pieces, MOST_PIECES * 2 // 3)
+        self.words = PieceTable(self._encode_words, MOST_PIECES * 5 // 6)
         spelling = self.replay.spelling
         self.tokens = [spelling.get(i, b"") for i in range(max(spelling, default=-1) + 1)]
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened(self.replay.encode([w.encode() for w in words]))
+
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cuts = [self.pattern.findall(p) for p in pieces]
-        words = sorted({w for c in cuts for w in c})
-        ids = dict(zip(words, self.replay.encode([w.encode() for w in words]), strict=True))
-        return flattened([[i for w in c for i in ids[w]] for c in cuts])
+        ids, sizes = self.words.gather([w for c in cuts for w in c])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum([len(c) for c in cuts])]).astype(np.int64)])
 
     @staticmethod
     def cut(text: str) -> list[str]:
