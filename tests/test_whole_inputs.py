@@ -47,3 +47,23 @@ def test_call_graph_has_the_calls_of_every_line(spark, tables):
     assert any(n for n, _ in counts.values())
     assert counts == {m: (len(callers[m]), sum(":Test" in c for c in callers[m])) for m in counts}
     assert {r.node for r in run(spark, "f18_orphans", path)} == {m for m in counts if not callers[m]}
+
+
+def sites(lines):
+    target = lambda p: (f"fn{p % 500}", f"K{p % 3}.fn{p % 500}", f"x.y.fn{p % 500}")[p % 3]
+    return {(f"C{s % 7}.run{s}", f"s{s % 40}.py", target(p), n) for _, n, p, s in lines}
+
+
+def test_call_sites_of_every_line_are_resolved_and_attached_in_order(spark, tables):
+    path, lines, parts = tables
+    first = {}
+    for k, _ in parts:
+        first.setdefault(f"fn{k % 400}", (f"K{k % 3}.fn{k % 400}" if k % 4 == 0 else f"fn{k % 400}", f"d{k % 30}.py"))
+    expected = {(*s, *first[base]) for s in sites(lines) if (base := s[2].split(".")[-1]) in first}
+    assert {tuple(r) for r in run(spark, "j13_resolve_calls", path)} == expected
+    own = defaultdict(list)
+    for caller, file, target, line in sites(lines):
+        own[caller, file].append((line, target))
+    assert min(min(v)[0] for v in own.values()) == 1 < max(min(v)[0] for v in own.values())
+    got = {(r.name, r.file): (r.n, r.first) for r in run(spark, "j14_attach_sites", path)}
+    assert got == {k: (len(v), min(v)[1]) for k, v in own.items()} | {("none", "none.py"): (0, None)}

@@ -51,7 +51,7 @@ FROM lineitem""",
     "call_sites": """
 SELECT DISTINCT concat('C', l_suppkey % 7, '.run', l_suppkey) AS caller, concat('s', l_suppkey % 40, '.py') AS file,
   CASE l_partkey % 3 WHEN 0 THEN concat('fn', l_partkey % 500) WHEN 1 THEN concat('K', l_partkey % 3, '.fn', l_partkey % 500) ELSE concat('x.y.fn', l_partkey % 500) END AS target, l_linenumber AS line
-FROM lineitem WHERE l_linenumber = 1""",
+FROM lineitem""",
     "functions": """
 SELECT p_partkey AS ord, CASE WHEN p_partkey % 4 = 0 THEN concat('K', p_partkey % 3, '.fn', p_partkey % 400) ELSE concat('fn', p_partkey % 400) END AS name, concat('d', p_partkey % 30, '.py') AS file
 FROM part""",
