@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 
 from tidemark import catalog
+from tidemark.operators import calls
 
 LINEITEM = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"
 PART = "p_partkey long, p_size int"
@@ -67,3 +68,19 @@ def test_call_sites_of_every_line_are_resolved_and_attached_in_order(spark, tabl
     assert min(min(v)[0] for v in own.values()) == 1 < max(min(v)[0] for v in own.values())
     got = {(r.name, r.file): (r.n, r.first) for r in run(spark, "j14_attach_sites", path)}
     assert got == {k: (len(v), min(v)[1]) for k, v in own.items()} | {("none", "none.py"): (0, None)}
+
+
+def test_reachability_has_no_cap_on_nodes(spark, tmp_path):
+    lines = [(i, 1, 7, s) for i, s in enumerate([8, *range(301, 10400)])] + [(20000, 1, 8, 20000), (20001, 2, 8, 9), (20002, 1, 9, 20001)]
+    written(spark, str(tmp_path), lines, LINEITEM, "lineitem")
+    got = {r.node: r.depth for r in run(spark, "g01_reachable", str(tmp_path))}
+    assert got == {str(s): 1 for s in [8, *range(301, 10400)]} | {"20000": 2, "9": 2, "20001": 3}
+
+
+def test_a_cap_that_stops_the_search_is_told(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c")], "caller string, callee string")
+    start = spark.createDataFrame([("a",)], "node string")
+    found = lambda **k: {(r.node, r.depth, r.partial) for r in calls.reachable(edges, start, **k).collect()}
+    assert found(most=2) == {("b", 1, True), ("c", 2, True)}
+    assert found() == found(most=None) == {("b", 1, False), ("c", 2, False), ("d", 3, False)}
+    assert found(depth=2, most=2) == {("b", 1, False), ("c", 2, False)}

@@ -138,18 +138,19 @@ def index(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(keys).alias("key"), "file", "qualified").distinct()
 
 
-def reachable(edges: DataFrame, start: DataFrame, depth: int = MAX_DEPTH, most: int = MAX_REACHED) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, depth: int = MAX_DEPTH, most: int | None = MAX_REACHED) -> DataFrame:
     """Nodes that reach a start node over calls, with their least distance; start nodes excluded.
 
     Breadth-first over incoming edges. A round joins the frontier and drops what was visited; its
-    result is written to the shared folder, so lineage stays short. The cap is tested between
-    rounds, which is coarser than between nodes.
+    result is written to the shared folder, so lineage stays short. The search stops after a round
+    that has brought the nodes to most; every row's partial tells whether rounds were left out for
+    that. With None for most it goes on to the depth.
     """
     from tidemark.sources.store import stored
 
     links = stored(edges.select("caller", "callee").distinct(), "links")
     frontier = stored(start.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
-    visited, n = frontier, 0
+    visited, n, partial = frontier, 0, False
     for d in range(1, depth + 1):
         step = links.join(frontier.select(F.col("node").alias("callee")), "callee").select(F.col("caller").alias("node")).distinct()
         frontier = stored(step.join(visited, "node", "left_anti").withColumn("depth", F.lit(d)), "frontier")
@@ -157,9 +158,10 @@ def reachable(edges: DataFrame, start: DataFrame, depth: int = MAX_DEPTH, most:
         if not new:
             break
         visited, n = visited.unionByName(frontier), n + new
-        if n >= most:
+        if most is not None and n >= most:
+            partial = d < depth
             break
-    return visited.where("depth > 0")
+    return visited.where("depth > 0").withColumn("partial", F.lit(partial))
 
 
 def interface_edges(sites: DataFrame, implements: DataFrame, methods: DataFrame) -> DataFrame:
