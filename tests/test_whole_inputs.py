@@ -84,3 +84,9 @@ def test_a_cap_that_stops_the_search_is_told(spark):
     assert found(most=2) == {("b", 1, True), ("c", 2, True)}
     assert found() == found(most=None) == {("b", 1, False), ("c", 2, False), ("d", 3, False)}
     assert found(depth=2, most=2) == {("b", 1, False), ("c", 2, False)}
+
+
+def test_functions_of_every_part_are_taken_as_modified(spark, tables):
+    path, _, parts = tables
+    expected = {f"m{k % 40}.go:fn{k % 700}" for k, _ in parts}
+    assert {r.node for r in run(spark, "a05_direct_callers", path)} == expected

@@ -47,7 +47,7 @@ FROM (
 SELECT DISTINCT concat('m', l_suppkey % 40, '.go:', CASE l_suppkey % 10 WHEN 0 THEN 'Test' WHEN 1 THEN 'helper' ELSE 'Run' END, l_suppkey) AS caller,
   concat('m', l_partkey % 40, '.go:', 'fn', l_partkey % 600) AS callee, l_linenumber AS site_line, l_partkey % 5 = 0 AS is_virtual
 FROM lineitem""",
-    "modified": "SELECT DISTINCT concat('fn', p_partkey % 700) AS name, concat('m', p_partkey % 40, '.go') AS file FROM part WHERE p_size % 3 = 0",
+    "modified": "SELECT DISTINCT concat('fn', p_partkey % 700) AS name, concat('m', p_partkey % 40, '.go') AS file FROM part",
     "call_sites": """
 SELECT DISTINCT concat('C', l_suppkey % 7, '.run', l_suppkey) AS caller, concat('s', l_suppkey % 40, '.py') AS file,
   CASE l_partkey % 3 WHEN 0 THEN concat('fn', l_partkey % 500) WHEN 1 THEN concat('K', l_partkey % 3, '.fn', l_partkey % 500) ELSE concat('x.y.fn', l_partkey % 500) END AS target, l_linenumber AS line
