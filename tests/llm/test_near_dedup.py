@@ -63,3 +63,18 @@ def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100), (200, 201), (201, 202), (202, 200)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 200: 200, 201: 200, 202: 200}
+
+
+def test_rows_without_an_id_link_like_others(spark):
+    w = [f"w{i}" for i in range(60)]
+    t, near = " ".join(w), " ".join([*w[:-1], "x"])
+    docs = spark.createDataFrame([(None, t), (5, t), (6, t), (7, near)], "doc_id long, text string")
+    got = sorted((x.doc_id or 0, x.component_id, x.kept) for x in nd.near_duplicates(docs).collect())
+    assert got == [(0, 5, False), (5, 5, True), (6, 5, False), (7, 5, False)]
+    v = [f"v{i}" for i in range(116)]
+    one, middle, two = (" ".join(v[i : i + 100]) for i in (0, 8, 16))
+    sets = brute([one, middle, two], 5)
+    bridge = [(8, one), (None, middle), (None, middle), (9, two), (None, " ".join(v[::-1])), (None, "")]
+    got = sorted((x.doc_id or 0, x.component_id or 0) for x in nd.near_duplicates(spark.createDataFrame(bridge, "doc_id long, text string")).collect())
+    assert {c for _, c in sets} == {0} and brute([one, two], 5)[1][1] == 1
+    assert got == [(0, 0), (0, 0), (0, 8), (0, 8), (8, 8), (9, 8)]

@@ -14,7 +14,8 @@
 5. Components of the confirmed links give every document the smallest id that it reaches.
 
 Null, empty and blank texts have no shingles and are linked with nothing, each its own component.
-A text of fewer words than a shingle is one shingle. Rows that repeat an id with one text fall in
+A text of fewer words than a shingle is one shingle. Rows without an id link like others and get
+the least id of their component; where none has one, component_id is null and all are kept. Rows that repeat an id with one text fall in
 one class. Shingles are compared by 64-bit hashes, sets by 128 bits. Extra columns are left
 alone; an empty table gives an empty result.
 """
@@ -86,12 +87,17 @@ def _names(g: np.ndarray, starts: np.ndarray) -> list[bytes]:
     return [raw[i : i + 16] for i in range(0, len(raw), 16)]
 
 
+def _nameless(id_col: str, text_col: str) -> Column:
+    """Finds the text of a row without an id; null for the others."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("nameless")
+
+
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: doc_id, node (the set's 16 bytes, null for an empty set), n_shingles, sketches."""
+    """Per row: doc_id, nameless (see _nameless), node (the set's 16 bytes, null for an empty set), n_shingles, sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, offsets in chunks(b.column(1)):
+            for lo, hi, data, offsets in chunks(b.column(2)):
                 g, first = shingle_sets(data, offsets, k)
                 n = np.diff(first)
                 full = np.flatnonzero(n)
@@ -104,10 +110,10 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
                     flat = sketches(minhashes(g, starts)).ravel()
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, 2 * SKETCHES, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(names, pa.binary()), pa.array(n.astype(np.int64)), lists], names=["doc_id", "node", "n_shingles", "sketches"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(names, pa.binary()), pa.array(n.astype(np.int64)), lists], names=["doc_id", "nameless", "node", "n_shingles", "sketches"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, node binary, n_shingles long, sketches array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), _nameless(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, nameless long, node binary, n_shingles long, sketches array<long>")
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -178,10 +184,11 @@ def link_group(sets: list[np.ndarray], mins: np.ndarray, percent: int, cross: np
 def confirmed_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Links that connect every component: u, v (nodes). clusters: node, label."""
     spark = docs.sparkSession
-    member = stored(clusters.join(classes.select("node", "doc_id", "n_shingles"), "node"), "members")
+    member = stored(clusters.join(classes.select("node", "doc_id", "nameless", "n_shingles"), "node"), "members")
     sizes = stored(member.groupBy("label").agg(_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks")), "sizes")
-    placed = member.join(sizes, "label").select("doc_id", "node", "label", "blocks")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(placed.hint("shuffle_hash"), "doc_id")
+    placed = member.join(sizes, "label").select("doc_id", "nameless", "node", "label", "blocks")
+    named = docs.select(F.col(id_col).alias("id"), _nameless(id_col, text_col).alias("no_id"), F.col(text_col).alias("text"))
+    texts = named.join(placed.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id")) & F.col("no_id").eqNullSafe(F.col("nameless")))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,8 +251,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     ready(docs.sparkSession)
     signed = stored(signatures(docs, shingle_words, id_col, text_col), "signatures")
     some = signed.where("node is not null")
-    best = F.min(F.struct("doc_id", "n_shingles", "sketches"))
-    classes = stored(some.groupBy("node").agg(best.alias("m"), F.count(F.lit(1)).alias("n")).select("node", "n", "m.*"), "classes")
+    # nulls sort first, so a row with an id stands for a class if there is one
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "nameless", "n_shingles", "sketches"))
+    classes = stored(some.groupBy("node").agg(best.alias("m"), F.count(F.lit(1)).alias("n")).select("node", "n", "m.doc_id", "m.nameless", "m.n_shingles", "m.sketches"), "classes")
     clusters = components(candidate_edges(classes.select("node", "sketches")))
     links = stored(confirmed_links(docs, classes, clusters, shingle_words, percent, id_col, text_col), "links")
     joined = components(links)
@@ -253,7 +261,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     ids = named.where("label is not null or n > 1").join(stored(least, "least"), "label", "left")
     ids = stored(ids.select("node", F.coalesce("least", "doc_id").alias("component_id")), "ids")
-    out = signed.drop("sketches").join(ids, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = signed.drop("sketches", "nameless").join(ids, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
