@@ -8,7 +8,8 @@ length.
 An occurrence with at most e edits keeps at least (m - Q + 1) - Q * e of the m - Q + 1 q-grams of
 its window, on diagonals at most e apart. Shared q-grams are counted by document, window and
 band of 2 * (e + 1) diagonals, bands overlapping by half, so one band holds them all. Bands that
-meet the bound are verified by banded alignment. Nothing that meets the budget is lost.
+meet the bound are verified by banded alignment. No window that meets the
+budget is lost; a passage that holds no whole window is.
 
 The benchmark is held in blocks of BLOCK_BYTES of text at most; a larger one is more passes over
 the documents, each with one block. Items of fewer than LEAST_BYTES bytes, empty or null items
