@@ -35,6 +35,26 @@ def test_bpe_equals_tiktoken_and_decodes(spark):
         assert bytes(got[i].decoded) == (t or "").encode()
 
 
+def test_bpe_round_trip_and_small_tables(spark, monkeypatch):
+    rows = texts() * 2  # repeated rows
+    a = byte_bpe.round_trip(docs(spark, rows)).orderBy("doc_id").collect()
+    b = byte_bpe.decode(byte_bpe.encode(docs(spark, rows))).orderBy("doc_id").collect()
+    assert a == b
+    c = byte_bpe.Codec(byte_bpe.VOCABULARY, public_tokenizers.PATTERN)
+    c.known.most = c.words.most = 10  # cleared at every call
+    for r in b:
+        assert [x for ids, _ in c.encode([rows[r.doc_id] or ""]) for x in ids.tolist()] == r.token_ids
+    assert c.known.index and c.known.used > 10
+
+
+def test_bpe_cut_keeps_gaps_whole():
+    cut = byte_bpe.Codec.cut
+    for t in texts():
+        assert "".join(cut(t or "")) == (t or "")
+    assert cut("a  b   c\n d ") == ["a", "  b", "   c\n d", " "]
+    assert len(cut("word " * 1000 + "   " + "word " * 1000)) > 1900
+
+
 def test_bpe_lower_rank_after_merge():
     # joining b and c makes a pair of a lower rank than their own
     ranks = {b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"bc": 4}

@@ -7,37 +7,47 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Distinct pieces kept in a worker; beyond that the table starts anew, which costs time, not results.
-MOST_PIECES = 600_000
+#: Bytes of distinct pieces and their ids kept in a worker; beyond that the table starts anew, which costs time, not results.
+TABLE_BYTES = 80 << 20
+#: What an entry takes beside its text and ids: the string's head, its place, a slot of the index.
+_ENTRY = 190
+#: Pieces given to encode at once.
+_AT_ONCE = 1 << 15
 
 
 class PieceTable:
-    """encode: list of pieces -> (ids of all of them in a row, number of ids of each)."""
+    """encode: list of pieces -> (ids of all of them in a row, number of ids of each). most: bytes of the table between two calls."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = MOST_PIECES) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = TABLE_BYTES) -> None:
         self.encode, self.most = encode, most
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.int32)
-        self.starts = np.zeros(1, dtype=np.int64)
+        self.starts = np.zeros(1 << 14, dtype=np.int64)
+        self.used = 0
+
+    def _add(self, new: list[str]) -> None:
+        flat, sizes = self.encode(new)
+        n = len(self.index)
+        at = int(self.starts[n])
+        if at + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:at], np.zeros(max(len(flat), at) + (1 << 16), np.int32)])
+        if n + len(new) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(new) + 1, len(self.starts)), np.int64)])
+        self.ids[at : at + len(flat)] = flat
+        self.starts[n + 1 : n + 1 + len(new)] = at + np.cumsum(sizes)
+        self.index.update(zip(new, range(n, n + len(new)), strict=True))
+        self.used += sum(map(len, new)) + _ENTRY * len(new) + 4 * len(flat)
 
     def gather(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in a row, number of ids of each piece)."""
-        new = list(set(pieces).difference(self.index))
-        if len(self.index) + len(new) > self.most and self.index:
+        if self.used > self.most:
             self._clear()
-            new = list(set(pieces))
-        if new:
-            flat, sizes = self.encode(new)
-            used = int(self.starts[-1])
-            if used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids[:used], np.zeros(max(len(flat), used) + (1 << 16), np.int32)])
-            self.ids[used : used + len(flat)] = flat
-            self.starts = np.concatenate([self.starts, used + np.cumsum(sizes)])
-            n = len(self.index)
-            self.index.update(zip(new, range(n, n + len(new)), strict=True))
+        new = list(set(pieces).difference(self.index))
+        for k in range(0, len(new), _AT_ONCE):
+            self._add(new[k : k + _AT_ONCE])
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         lo = self.starts[at]
         sizes = self.starts[at + 1] - lo
@@ -56,7 +66,7 @@ def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum())), sizes
 
 
-def row_slices(texts: list[str], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def row_slices(texts: list[str], size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of rows with about size characters."""
     lo = used = 0
     for i, t in enumerate(texts):

@@ -11,24 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bounds of an Arrow batch, by rows and, for long texts, by bytes; set where the session has Spark's own defaults.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(4 << 20))}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package and keeps Arrow batches small enough for long texts."""
+    """Lets Python workers import this package and keeps Arrow batches small enough for long texts.
+
+    A plan is run after the call that makes it returns, so the bounds stay with the session; a
+    bound that its user has chosen is left alone.
+    """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for key, (usual, wanted) in _BATCH.items():
+        now = spark.conf.get(key, usual)
+        if now.rstrip("b") == usual:
+            spark.conf.set(key, wanted)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir where the cluster names one."""
+    """The folder for intermediate tables: spark.checkpoint.dir where the cluster names one.
+
+    A session on one machine that names none, as in tests, gets a folder of its own.
+    """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))  # only where no folder is named, as in tests
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir().rstrip("/")
 
 

@@ -7,17 +7,18 @@ touch each other, so each ends as if it were encoded alone. A word that is a tok
 taken whole.
 
 Null texts count as empty and give no ids. Repeated rows are encoded each. Texts of any length
-are cut at spaces into pieces first; other columns are left alone; an empty table gives an
-empty result. The bytes a document's ids decode to are those of its text.
+are first cut before spaces that follow other characters than white space, where no match of the
+pattern goes across; what a worker keeps of pieces and words is bounded in bytes (TABLE_BYTES
+each). Other columns are left alone; an empty table gives an empty result. The bytes a document's ids decode to are those of its text.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, MutableSequence
 from functools import cache
 
 import numpy as np
@@ -27,14 +28,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._pieces import MOST_PIECES, PieceTable, flattened, id_lists, list_array
+from tidemark.llm._pieces import PieceTable, flattened, id_lists, list_array
 from tidemark.llm._runtime import ready, table
 
 NAME = "op6_byte_bpe"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: White space as the pattern's library has it; Python's own classes also hold 0x1C-0x1F.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_LONG_GAP = re.compile(rf"[{_SPACE}]{{3}}|[{_SPACE}]{{2}}\Z")
+_GAP = re.compile(rf"[{_SPACE}]{{2}}")
+_AFTER_SPACE = re.compile(rf"[{_SPACE}]\Z")
 
 
 def spelled_out(pattern: str) -> regex.Pattern:
@@ -49,12 +51,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _array(x: np.ndarray) -> array:
+    """Four bytes a number instead of an object each."""
+    return array("i", x.astype(np.int32).tobytes())
+
+
 class MergeReplay:
     """Encodes lists of distinct byte words."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.spelling = {r: t for t, r in ranks.items()}
         self.of_byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int64)
         #: Rank of the joined token by both parts, for every way to cut a token in two tokens.
         self.pairs: dict[int, int] = {}
@@ -84,8 +90,8 @@ class MergeReplay:
         found = np.full(len(data), -1, dtype=np.int64)
         found[:-1] = self.byte_pairs[data[:-1], data[1:]]
         found[ends - 1] = -1
-        token = self.of_byte[data].tolist()
-        self._merge(token, before.tolist(), after := after.tolist(), self._index(found))
+        token, before, after = _array(self.of_byte[data]), _array(before), _array(after)
+        self._merge(token, before, after, self._index(found))
         for i, a in zip(rest, starts.tolist(), strict=True):
             ids = []
             while a >= 0:
@@ -95,14 +101,14 @@ class MergeReplay:
         return out
 
     @staticmethod
-    def _index(found: np.ndarray) -> dict[int, list[int]]:
+    def _index(found: np.ndarray) -> dict[int, array]:
         """Positions by the rank of the pair that starts there."""
         at = np.flatnonzero(found >= 0)
         at = at[np.argsort(found[at], kind="stable")]
         ranks, first = np.unique(found[at], return_index=True)
-        return {r: x.tolist() for r, x in zip(ranks.tolist(), np.split(at, first[1:]), strict=True)} if len(at) else {}
+        return {r: _array(x) for r, x in zip(ranks.tolist(), np.split(at, first[1:]), strict=True)} if len(at) else {}
 
-    def _merge(self, token: list[int], before: list[int], after: list[int], index: dict[int, list[int]]) -> None:
+    def _merge(self, token: MutableSequence[int], before: MutableSequence[int], after: MutableSequence[int], index: dict[int, array]) -> None:
         pair = self.pairs.get
         heap = list(index)
         heapq.heapify(heap)
@@ -111,7 +117,7 @@ class MergeReplay:
             places = index.pop(r, None)
             if not places:
                 continue
-            places.sort()
+            places = sorted(places)
             for k, a in enumerate(places):
                 x, b = token[a], after[a]
                 if x < 0 or b < 0 or pair(x << 32 | token[b]) != r:
@@ -126,7 +132,7 @@ class MergeReplay:
                         if s in index:
                             index[s].append(a)
                         else:
-                            index[s] = [a]
+                            index[s] = array("i", (a,))
                             heapq.heappush(heap, s)
                         lower = s < r
                 if p >= 0:
@@ -135,25 +141,37 @@ class MergeReplay:
                         if s in index:
                             index[s].append(p)
                         else:
-                            index[s] = [p]
+                            index[s] = array("i", (p,))
                             heapq.heappush(heap, s)
                         lower |= s < r
                 if lower:  # the new pair comes first; the rest of this one waits
-                    index.setdefault(r, []).extend(places[k + 1 :])
+                    index.setdefault(r, array("i")).extend(places[k + 1 :])
                     heapq.heappush(heap, r)
                     break
 
 
+@cache
+def spelling(path: str) -> list[bytes]:
+    """Bytes of each id."""
+    ranks = load_ranks(path)
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for t, r in ranks.items():
+        out[r] = t
+    return out
+
+
+def decoded(ids: np.ndarray, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
+
+
 class Codec:
-    """Texts to ids and back for a rank file and a splitting pattern."""
+    """Texts to ids for a rank file and a splitting pattern."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.replay = MergeReplay(load_ranks(path))
         self.pattern = spelled_out(pattern)
-        self.known = PieceTable(self._encode_pieces, MOST_PIECES * 2 // 3)
-        self.words = PieceTable(self._encode_words, MOST_PIECES * 5 // 6)
-        spelling = self.replay.spelling
-        self.tokens = [spelling.get(i, b"") for i in range(max(spelling, default=-1) + 1)]
+        self.known = PieceTable(self._encode_pieces)
+        self.words = PieceTable(self._encode_words)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return flattened(self.replay.encode([w.encode() for w in words]))
@@ -166,54 +184,69 @@ class Codec:
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """Pieces that the pattern never matches across: before each space, unless a longer gap asks for the whole text."""
+        """Pieces that the pattern never matches across: before each space that follows something else than white space."""
         if not text:
             return []
-        if _LONG_GAP.search(text):
-            return [text]
         head, *rest = text.split(" ")
-        return ([head] if head else []) + [" " + p for p in rest]
+        if not _GAP.search(text):
+            return ([head] if head else []) + [" " + p for p in rest]
+        out = [head]
+        for p in rest:
+            if out[-1] and out[-1][-1] != " " and not _AFTER_SPACE.search(out[-1]):
+                out.append(" " + p)
+            else:
+                out[-1] += " " + p
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         return id_lists(texts, self.cut, self.known)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
-
 
 @cache
 def codec(path: str, pattern: str) -> Codec:
-    os.stat(path)
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, token_ids array<int>."""
+def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, decode_too: bool) -> DataFrame:
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c, tokens = codec(path, pattern), spelling(path)
         for b in batches:
             at = 0
             for ids, sizes in c.encode([x or "" for x in b.column(1).to_pylist()]):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sizes)), list_array([ids], [sizes])], names=["doc_id", "token_ids"])
+                columns = {"doc_id": b.column(0).slice(at, len(sizes)), "token_ids": list_array([ids], [sizes])}
+                if decode_too:
+                    ends = np.cumsum(sizes)
+                    columns["decoded"] = pa.array([decoded(ids[hi - n : hi], tokens) for hi, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
                 at += len(sizes)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, token_ids array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, token_ids array<int>" + ", decoded binary" * decode_too)
+
+
+def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, token_ids array<int>."""
+    return _encoded(docs, path, pattern, id_col, text_col, False)
+
+
+def round_trip(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, token_ids, decoded (the bytes of token_ids), as decode(encode(docs)) gives them, in one worker a task instead of two."""
+    return _encoded(docs, path, pattern, id_col, text_col, True)
 
 
-def decode(encoded: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """Adds decoded, the bytes of token_ids, to rows of encode()."""
     ready(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        tokens = spelling(path)
         for b in batches:
             lists = b.column(1)
             flat = lists.values.to_numpy(zero_copy_only=False)
             ends = lists.offsets.to_numpy()
-            out = pa.array([c.decode(flat[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            out = pa.array([decoded(flat[lo:hi], tokens) for lo, hi in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), lists, out], names=["doc_id", "token_ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
@@ -221,6 +254,6 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, pattern: str = public_tok
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decode(encode(table(spark, sf_dir, "documents")))
+    rows = round_trip(table(spark, sf_dir, "documents"))
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._pieces import MOST_PIECES, PieceTable, flattened, id_lists, picked
+from tidemark.llm._pieces import PieceTable, flattened, id_lists, picked
 from tidemark.llm._runtime import partitions, ready, shared_dir, table
 
 NAME = "op9_token_file"
@@ -130,8 +130,8 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words = PieceTable(self._encode_words, 2 * MOST_PIECES)
-        self.pieces = PieceTable(self._encode_pieces, MOST_PIECES)
+        self.words = PieceTable(self._encode_words)
+        self.pieces = PieceTable(self._encode_pieces)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lines = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
