@@ -42,7 +42,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: its token ids, their number, and the digest of the bytes that they decode to."""
-    rows = byte_bpe.decode(byte_bpe.encode(docs))
+    rows = byte_bpe.round_trip(docs)
     return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
