@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+from re import _parser, match
+
 # Untrusted sources in Go, in order.
 GO_SOURCES = (
     ("http_body", r"(?:r|req|request)\.Body", "HTTP request body"),
@@ -351,3 +354,13 @@ GO_SANITIZERS = (
     r"govalidator\.(?:Is[A-Z]\w*|ValidateStruct|ValidateMap|Trim|Escape|SafeFileName|WhiteList|BlackList|StripLow)\s*\(",
 )
 GO_SANITIZER = "(?i)(?:" + "|".join(GO_SANITIZERS) + ")"
+
+
+@cache
+def required_literal(pattern: str) -> str:
+    """The longest run of characters that every match of a case-sensitive expression holds, "" if none is plain."""
+    best = run = ""
+    for what, value in _parser.parse(pattern):
+        run = run + chr(value) if what is _parser.LITERAL else ""
+        best = max(best, run, key=len)
+    return "" if match(r"\(\?[a-zA-Z]", pattern) or len(best) < 2 else best

@@ -1,15 +1,23 @@
-"""Data flow from untrusted sources to sensitive sinks, and nil risks, over source lines (file, line, text)."""
+"""Data flow from untrusted sources to sensitive sinks, and nil risks, over source lines (file, line, text).
+
+Go lines are judged without their comments (code_only), by the first match of a pattern in a line,
+and flows follow the names that carry a value. Python and TypeScript lines are taken as they are,
+every match counts, and flows are all pairs of a source and a later sink of the file.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tidemark.functions import dims
-from tidemark.functions.patterns import GO_NIL, GO_SANITIZER
+from tidemark.functions.patterns import GO_NIL, GO_SANITIZER, LIBRARY, TYPESCRIPT_NULL, required_literal
 from tidemark.operators.grouping import fold_groups
 
 _VARIABLE = (r"(\w+)\s*(?:,\s*(?:err|ok|_))?\s*:?=", r"^\s*(\w+)\s*=")
@@ -17,14 +25,78 @@ _CALLED = r"(\w+(?:\.\w+)*)\s*\("
 _NOT_NAMES = ("if", "for", "switch", "_")
 
 
+def _holds(text: Column, pattern: str) -> Column:
+    """Whether the text matches; a literal that every match holds is looked for first."""
+    literal = required_literal(pattern)
+    return text.contains(literal) & text.rlike(pattern) if literal else text.rlike(pattern)
+
+
+def hit_list(text: Column, patterns: Sequence[tuple[str, str, str]]) -> Column:
+    """The patterns that a text matches, as structs of ord, type, pattern (its description) and column.
+
+    The library is unrolled into literal expressions, compiled once per task; a text is read once.
+    """
+    each = [F.when(_holds(text, p), F.struct(F.lit(i).alias("ord"), F.lit(t).alias("type"), F.lit(d).alias("pattern"), match_column(text, p).alias("column"))) for i, (t, p, d) in enumerate(patterns)]
+    return F.array_compact(F.array(*each))
+
+
+def match_column(text: Column, pattern: str) -> Column:
+    """The 1-based byte where the first match begins, 0 if there is none."""
+    before = F.regexp_instr(text, F.lit(pattern))
+    return F.when(before == 0, 0).otherwise(F.octet_length(F.substring(text, F.lit(1), before - 1)) + 1)
+
+
 def hits(lines: DataFrame, patterns: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """One row for each pattern that a line matches: the line with ord, type, pattern and description.
+    """J08, Go: one row for each pattern that a line matches: the line with ord, type, pattern and column."""
+    return lines.select("*", F.explode(hit_list(F.col("text"), patterns)).alias("__hit")).select(*lines.columns, "__hit.*")
 
-    The library is unrolled into literal expressions, compiled once per task; a line is read once,
-    and lines without any hit go before rows are made.
+
+def named_in(text: str, at: int) -> str:
+    """The name that a match at a place goes by: what it is assigned to, else its property, else its first word."""
+    before = text[:at].rstrip()
+    for p in _ASSIGNED_TO:
+        if m := p.search(before):
+            return m[1]
+    m = _PROPERTY.match(text, at) or _WORD.match(text, at)
+    return m[1] if m else "<unknown>"
+
+
+_ASSIGNED_TO = tuple(map(re.compile, (r"(\w+)\s*=\s*$", r"(?:const|let|var)\s+(\w+)\s*=\s*$", r"(\w+)\s*:=\s*$", r"(\w+)\s*:\s*\w+\s*=\s*$")))
+_PROPERTY, _WORD = re.compile(r"\w+\.(\w+)"), re.compile(r"(\w+)")
+
+
+def every_hit(lines: DataFrame, patterns: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """J08, Python and TypeScript: one row for each match: the line with ord, nth (match of the pattern in the line), type, pattern, column, variable.
+
+    The engine has no function for the places of all matches, so lines that hold one of the
+    patterns' literals go through Python, in Arrow batches, without a shuffle.
     """
-    each = [F.when(F.col("text").rlike(p), F.struct(F.lit(i).alias("ord"), F.lit(t).alias("type"), F.lit(p).alias("pattern"), F.lit(d).alias("description"))) for i, (t, p, d) in enumerate(patterns)]
-    return lines.select("*", F.explode(F.array_compact(F.array(*each))).alias("__hit")).select(*lines.columns, "__hit.*")
+    literals = [required_literal(p) for _, p, _ in patterns]
+    likely = F.lit(True)
+    if all(literals):
+        likely = F.lit(False)
+        for x in dict.fromkeys(literals):
+            likely = likely | F.col("text").contains(x)
+    added = [StructField(n, StringType() if n in ("type", "pattern", "variable") else IntegerType()) for n in ("ord", "nth", "type", "pattern", "column", "variable")]
+    kind = StructType([*lines.schema.fields, *added])
+    where, sources = lines.columns.index("text"), [p for _, p, _ in patterns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled, target = [re.compile(p) for p in sources], to_arrow_schema(kind)
+        for b in batches:
+            rows, found = [], []
+            for i, text in enumerate(b.column(where).to_pylist()):
+                for k, p in enumerate(compiled):
+                    if text and (not literals[k] or literals[k] in text):
+                        for n, m in enumerate(p.finditer(text)):
+                            rows.append(i)
+                            found.append((k, n, patterns[k][0], patterns[k][2], m.start() + 1, named_in(text, m.start())))
+            if rows:
+                kept = b.take(pa.array(rows, pa.int64()))
+                new = [pa.array(c, target.field(j + b.num_columns).type) for j, c in enumerate(zip(*found, strict=True))]
+                yield pa.RecordBatch.from_arrays([*(c.cast(target.field(j).type) for j, c in enumerate(kept.columns)), *new], schema=target)
+
+    return lines.where(likely).mapInArrow(run, kind)
 
 
 def assigned_variable(text: Column) -> Column:
@@ -51,7 +123,7 @@ def identifier_in(text: Column, name: str) -> Column:
 
 
 def flow_id(kind: str = "tracked") -> Column:
-    """Tracked flows by places, types and patterns; positional ones by places and types."""
+    """Tracked flows by places, types and the patterns' descriptions; positional ones by places and types."""
     place = lambda s: F.concat_ws(":", f"{s}_file", F.col(f"{s}_line").cast("string"), f"{s}_type")
     if kind == "tracked":
         return F.concat(F.lit("flow_"), F.substring(F.sha2(F.concat_ws("|", place("source"), place("sink"), "source_pattern", "sink_pattern"), 256), 1, 16))
@@ -74,44 +146,69 @@ def recommendation(sink: Column) -> Column:
     return dims.mapped(sink, dims.RECOMMENDATIONS, dims.OTHER_RECOMMENDATION)
 
 
+_PAIRED = ("line", "ord", "nth", "type", "pattern", "seen")
+
+
+def _paired(sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    side = lambda d, r: d.select(F.col("file").alias(f"{r}_file"), *(F.col(c).alias(f"{r}_{c}") for c in _PAIRED if c in d.columns))
+    return side(sources, "source").join(side(sinks, "sink"), (F.col("source_file") == F.col("sink_file")) & (F.col("source_line") <= F.col("sink_line")))
+
+
 def positional_flows(sources: DataFrame, sinks: DataFrame) -> DataFrame:
     """Every source with every sink of its file on the same or a later line. An equi-join on the file with the lines as a residual condition."""
-    side = lambda d, r: d.select(F.col("file").alias(f"{r}_file"), *(F.col(c).alias(f"{r}_{c}") for c in ("line", "ord", "type", "pattern")))
-    return side(sources, "source").join(side(sinks, "sink"), (F.col("source_file") == F.col("sink_file")) & (F.col("source_line") <= F.col("sink_line")))
+    return _paired(sources, sinks)
+
+
+def first_of_line(found: DataFrame) -> DataFrame:
+    """The first match of a type in a line, by pattern, then place: all that flows are told apart by."""
+    rest = [c for c in found.columns if c not in ("file", "line", "type", "ord", "nth")]
+    best = found.groupBy("file", "line", "type").agg(F.min_by(F.struct("ord", "nth", *rest), F.struct("ord", "nth")).alias("b"))
+    return best.select("file", "line", "type", "b.*")
+
+
+def first_flows(sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    """The first flow of each id, with the id. An id is made of places and types, so the first matches are picked before they are paired."""
+    return _paired(first_of_line(sources), first_of_line(sinks)).withColumn("id", flow_id("positional"))
 
 
-def first_flows(flows: DataFrame) -> DataFrame:
-    """The first flow of an id, by the order in which sources, then sinks were found."""
-    order = Window.partitionBy("source_file", "id").orderBy("source_ord", "sink_ord")
-    return flows.withColumn("__rn", F.row_number().over(order)).where("__rn = 1").drop("__rn")
+def sanitizing_counts(lines: DataFrame, sanitizers: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The lines with seen: by sink type of sanitizers, how many lines of the file up to this one sanitize for it, and whether it does itself."""
+    upto = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    flags = [F.col("text").rlike("(?i)(?:" + "|".join(ps) + ")").cast("int") for ps in sanitizers.values()]
+    marked = lines.withColumns({f"__f{i}": f for i, f in enumerate(flags)})
+    seen = F.array(*(F.struct(F.sum(f"__f{i}").over(upto).alias("upto"), F.col(f"__f{i}").alias("here")) for i in range(len(flags))))
+    return marked.withColumn("seen", seen).select(*lines.columns, "seen")
 
 
-def window_sanitized(flows: DataFrame, lines: DataFrame, sanitizers: Mapping[str, Sequence[str]]) -> DataFrame:
+def window_sanitized(flows: DataFrame, sanitizers: Mapping[str, Sequence[str]]) -> DataFrame:
     """J11, positional: whether any line from source to sink sanitizes for the sink's type.
 
-    Instead of a range join, running counts of sanitizing lines per file: the flow is sanitized if
-    the count at the sink exceeds the count before the source.
+    Neither a range join nor a join back to the lines: both ends carry the running counts of
+    sanitizing_counts, and the window has such a line if the count at the sink exceeds the count
+    before the source.
     """
-    upto = Window.partitionBy("file").orderBy("line")
-    types = list(sanitizers)
-    flag = lambda t: F.col("text").rlike("(?i)(?:" + "|".join(sanitizers[t]) + ")").cast("int")
-    counted = lines.select("file", "line", *(flag(t).alias(f"f{i}") for i, t in enumerate(types)))
-    counted = counted.select("file", "line", *(F.sum(f"f{i}").over(upto).alias(f"c{i}") for i in range(len(types))), *(f"f{i}" for i in range(len(types))))
-    at = lambda p: counted.select(F.col("file").alias("__f"), F.col("line").alias("__l"), F.struct(*(F.col(c) for c in counted.columns[2:])).alias(p))
-    out = flows.join(at("__s"), (F.col("source_file") == F.col("__f")) & (F.col("source_line") == F.col("__l"))).drop("__f", "__l")
-    out = out.join(at("__k"), (F.col("sink_file") == F.col("__f")) & (F.col("sink_line") == F.col("__l"))).drop("__f", "__l")
     hit = F.lit(False)
-    for i, t in enumerate(types):
-        hit = F.when(F.col("sink_type") == t, F.col(f"__k.c{i}") - F.col(f"__s.c{i}") + F.col(f"__s.f{i}") > 0).otherwise(hit)
-    return out.withColumn("sanitized", hit).drop("__s", "__k")
+    for i, t in enumerate(sanitizers):
+        hit = F.when(F.col("sink_type") == t, F.col("sink_seen")[i]["upto"] - F.col("source_seen")[i]["upto"] + F.col("source_seen")[i]["here"] > 0).otherwise(hit)
+    return flows.withColumn("sanitized", hit).drop("source_seen", "sink_seen")
 
 
-def statistics(flows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Counts of flows by what matters about them."""
-    return flows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total_flows"), F.count_if(~F.col("sanitized")).alias("unsanitized_flows"),
-        F.count_if(F.col("risk") == "critical").alias("critical_flows"), F.count_if(F.col("risk") == "high").alias("high_risk_flows"),
-    )
+#: What is counted.
+COUNTERS = ("total_sources", "total_sinks", "total_flows", "unsanitized_flows", "critical_flows", "high_risk_flows", "nil_risks", "unchecked_nil_risks")
+
+
+def statistics(sources: DataFrame, sinks: DataFrame, flows: DataFrame, nils: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Eight counters, by the given columns. Each input is counted where it is; only counts are shuffled. nils: with is_checked."""
+    when = {
+        "total_sources": (sources, F.lit(True)), "total_sinks": (sinks, F.lit(True)),
+        "total_flows": (flows, F.lit(True)), "unsanitized_flows": (flows, ~F.col("sanitized")), "critical_flows": (flows, F.col("risk") == "critical"), "high_risk_flows": (flows, F.col("risk") == "high"),
+        "nil_risks": (nils, F.lit(True)), "unchecked_nil_risks": (nils, ~F.col("is_checked")),
+    }
+    parts = None
+    for rows in (sources, sinks, flows, nils):
+        counts = rows.groupBy(*by).agg(*((F.count_if(when[c][1]) if when[c][0] is rows else F.lit(0).cast("long")).alias(c) for c in COUNTERS))
+        parts = counts if parts is None else parts.unionByName(counts)
+    return parts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in COUNTERS))
 
 
 def by_risk(flows: DataFrame) -> DataFrame:
@@ -119,164 +216,254 @@ def by_risk(flows: DataFrame) -> DataFrame:
     return flows.orderBy(dims.mapped(F.col("risk"), dims.RISK_ORDER, 9), "source_file", "source_line", "sink_line", "id")
 
 
-def code_only(lines: DataFrame) -> DataFrame:
-    """Each line's text outside comments; a block comment may go on over lines. Lines of a file meet in one group, files are bounded at the source."""
-
-    def strip(file: str, group: list[tuple]):
-        inside = False
-        for _, line, t in group:
-            kept = ""
-            while t:
-                if inside:
-                    end = t.find("*/")
-                    inside = end < 0
-                    t = "" if inside else t[end + 2 :]
-                    continue
-                cuts = sorted((p, c) for c in ("//", "/*") if (p := t.find(c)) >= 0)
-                if not cuts:
-                    kept, t = kept + t, ""
-                elif cuts[0][1] == "//":
-                    kept, t = kept + t[: cuts[0][0]], ""
-                else:
-                    kept, t, inside = kept + t[: cuts[0][0]], t[cuts[0][0] + 2 :], True
-            yield file, line, kept
+_CUT, _WHOLE = r"//.*|/\*.*?\*/|/\*.*", r"//.*|/\*.*?\*/"
 
-    return fold_groups(lines.select("file", "line", "text"), "file", ["line"], strip, "file string, line int, text string")
 
+def code_only(lines: DataFrame) -> DataFrame:
+    """Each line's text outside comments; a block comment may go on over lines. Rows of a file lie together, by line.
 
-_ASSIGN = re.compile(r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*:?=\s*(.+)$")
+    Whether a line begins inside a block comment follows from the lines before: most leave that as
+    it is, some decide it, and a few turn it round. So it is what the last deciding line says,
+    turned round as often as such lines came since: two running values over one sort.
+    """
+    opens = lambda t: F.contains(F.regexp_replace(t, _WHOLE, " "), F.lit("/*"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    closes = F.instr(text, "*/")
+    tail = F.substring(text, closes + 2, F.length(text))
+    after = lines.select(*(F.col(c) for c in lines.columns if c != "text"), text.alias("text"), opens(text).alias("__out"), ((closes == 0) | opens(tail)).alias("__in"))
+    w = Window.partitionBy("file").orderBy("line")
+    turns = F.sum((F.col("__out") & ~F.col("__in")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    counted = after.withColumn("__turns", turns).withColumn("__says", F.when(F.col("__out") == F.col("__in"), F.struct(F.col("__out").alias("inside"), F.col("__turns").alias("turns"))))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last, so_far = F.last("__says", ignorenulls=True).over(before), F.coalesce(F.last("__turns").over(before), F.lit(0))
+    started = counted.withColumns({"__last": last, "__so_far": so_far})
+    odd = (F.col("__so_far") - F.coalesce(F.col("__last.turns"), F.lit(0))) % 2 == 1
+    inside = F.coalesce(F.col("__last.inside"), F.lit(False)) != odd
+    rest = F.when(inside, F.when(closes == 0, "").otherwise(tail)).otherwise(F.col("text"))
+    return started.withColumn("text", F.regexp_replace(rest, _CUT, "")).select(*lines.columns)
+
+
+_ASSIGN = re.compile(r"\s*([A-Za-z_][A-Za-z0-9_]*)\s*:?=\s*(.+)$")
 _CALL = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\s*\(([^)]*)\)")
-_FUNC = re.compile(r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)\s*\(([^)]*)\)")
+_FUNC = re.compile(r"\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)\s*\(([^)]*)\)")
+_TOKEN = re.compile(r"[A-Za-z0-9_]+")
 
 
-class Mentions:
-    """Whether a text mentions a name, itself or as a derivative; expressions are kept by name."""
+class Names:
+    """The names of a file by number, and which of them a text mentions, itself or as a derivative, as bits of one integer.
 
-    def __init__(self) -> None:
-        self.known: dict[str, re.Pattern] = {}
+    A name is mentioned as a whole identifier, before "." or "[", after "*" or "&", or before Str or
+    Bytes. So only the ends of a text's identifiers are looked up, in lengths that names have: the
+    work follows the text, not the number of names.
+    """
 
-    def __call__(self, text: str, names) -> bool:
-        for n in names:
-            if n not in self.known:
-                e = re.escape(n)
-                self.known[n] = re.compile(rf"(?<![A-Za-z0-9_]){e}(?![A-Za-z0-9_])|{e}[.\[]|[*&]{e}|{e}(?:Str|String|Bytes)")
-            if self.known[n].search(text):
-                return True
-        return False
+    def __init__(self, names: set[str]) -> None:
+        self.bit = {n: 1 << i for i, n in enumerate(sorted(names))}
+        self.lengths = sorted({len(n) for n in names})
+
+    def __call__(self, text: str) -> int:
+        out, bit = 0, self.bit.get
+        for m in _TOKEN.finditer(text):
+            token, lo, hi = m[0], m.start(), m.end()
+            out |= bit(token, 0)
+            if hi < len(text) and text[hi] in ".[":
+                out |= self._ending(token, len(token))
+            if lo and text[lo - 1] in "*&":
+                for n in self.lengths:
+                    if n >= len(token):
+                        break
+                    out |= bit(token[:n], 0)
+            for tail in ("Str", "Bytes"):
+                at = token.find(tail)
+                while at >= 0:
+                    out |= self._ending(token, at)
+                    at = token.find(tail, at + 1)
+        return out
+
+    def _ending(self, token: str, end: int) -> int:
+        out = 0
+        for n in self.lengths:
+            if n > end:
+                break
+            out |= self.bit.get(token[end - n : end], 0)
+        return out
+
+    def of(self, bits: int) -> list[str]:
+        return [n for n, b in self.bit.items() if bits & b]
 
 
 def split_arguments(text: str) -> list[str]:
-    """At commas outside brackets and quotes."""
-    out, depth, quote, part = [], 0, "", ""
-    for c in text:
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'`":
-            quote = c
-        elif c in "([{":
+    """At commas outside brackets; a closing bracket without an opening one counts for nothing."""
+    if not text.strip():
+        return []
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(text):
+        if c in "([{":
             depth += 1
         elif c in ")]}":
-            depth -= 1
+            depth = max(0, depth - 1)
         elif c == "," and depth == 0:
-            out.append(part.strip())
-            part = ""
-            continue
-        part += c
-    return [*out, part.strip()] if part.strip() else out
+            out.append(text[start:i].strip())
+            start = i + 1
+    return [*out, text[start:].strip()]
 
 
 def parameter_names(text: str) -> list[str]:
-    """The first word of each parameter."""
-    return [p.split()[0] for p in text.split(",") if p.split()]
-
-
-def tainted_names(lines: Sequence[str], first: int, name: str, mentions: Mentions):
-    """The tracked names after each line from first on (an index), as a generator of sets."""
-    params = {m[1]: parameter_names(m[2]) for t in lines if (m := _FUNC.match(t))}
-    tracked = {name}
-    for t in lines[first:]:
-        if t.lstrip().startswith(("//", "/*")):
-            pass
-        elif m := _ASSIGN.match(t):
-            if m[1] == "_":
-                pass
-            elif mentions(m[2], tracked):
-                tracked.add(m[1])
-            elif m[1] != name:
-                tracked.discard(m[1])
-        else:
-            for c in _CALL.finditer(t):
-                for p, a in zip(params.get(c[1], ()), split_arguments(c[2]), strict=False):
-                    if mentions(a, tracked):
-                        tracked.add(p)
-        yield tracked
-
-
-def tracked_flows(lines: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    """The first word of each parameter that has a type beside it."""
+    return [p.split()[0] for p in text.split(",") if len(p.split()) > 1]
+
+
+class Steps:
+    """What each line does to the set of tracked names."""
+
+    def __init__(self, texts: Sequence[str], born: set[str]) -> None:
+        lines = [t.strip() for t in texts]
+        params = {m[1]: parameter_names(m[2]) for t in lines if (m := _FUNC.match(t))}
+        assigned = [_ASSIGN.match(t) for t in lines]
+        self.names = names = Names(born | {m[1] for m in assigned if m} | {p for ps in params.values() for p in ps})
+        self.steps: list[tuple[int, int] | list[tuple[int, int]] | None] = []
+        for t, m in zip(lines, assigned, strict=True):
+            if m:
+                self.steps.append(None if m[1] == "_" else (names.bit[m[1]], names(m[2])))
+                continue
+            given = [(names.bit[p], names(a)) for c in _CALL.finditer(t) if c[1] in params for p, a in zip(params[c[1]], split_arguments(c[2]), strict=False)]
+            self.steps.append(given or None)
+
+    def after(self, i: int, own: int, tracked: int) -> int:
+        """The tracked names after line i; own, the name of the source, stays."""
+        step = self.steps[i]
+        if step is None:
+            return tracked
+        if isinstance(step, tuple):
+            name, read = step
+            return tracked | name if read & tracked else tracked if name == own else tracked & ~name
+        for name, read in step:
+            if read & tracked:
+                tracked |= name
+        return tracked
+
+
+_NAME_OF = [re.compile(p, re.A) for p in _VARIABLE]
+
+
+def variable_of(text: str) -> str:
+    for p in _NAME_OF:
+        if (m := p.search(text)) and m[1] not in _NOT_NAMES:
+            return m[1]
+    return ""
+
+
+def file_flows(texts: Sequence[str], sources: Mapping[int, list], sinks: Mapping[int, list], clean: re.Pattern, called: re.Pattern) -> Iterator[tuple]:
+    """(source line, source, name, sink line, sink, sanitized) of one file, lines from 0, in one pass over its lines.
+
+    Sources that track equal names under an equal name go on as one from there, so a line is
+    weighed once for each set of names alive, not once for each source. Which sanitizing lines
+    count depends on the names tracked at the sink; for each name the last sanitizing line that
+    mentions it is kept, in all, with a variable, and by variable.
+    """
+    last = max(sinks, default=-1)
+    born = {i: variable_of(texts[i]) for i in sources if i < last}
+    if not any(born.values()):
+        return
+    steps = Steps(texts, {n for n in born.values() if n} | {v for t in texts[: last + 1] if clean.search(t) and (v := variable_of(t))})
+    names = steps.names
+    alive: dict[tuple[int, int], list[tuple[int, str, list]]] = {}
+    cleaned: dict[int, tuple[int, int, dict[int, int]]] = {}  # by name: last line, last one with a variable, last one by variable
+    for i in range(last + 1):
+        if i in sinks and alive:
+            text = texts[i]
+            read, itself = names(text), bool(clean.search(text))
+            decoder = (m := called.search(text)) and m[1] in ("json.Unmarshal", "json.NewDecoder")
+            for (_, tracked), members in alive.items():
+                if not read & tracked:
+                    continue
+                any_line = named = given = -1
+                for b, (x, y, by) in cleaned.items():
+                    if b & tracked:
+                        any_line, named = max(any_line, x), max(named, y)
+                        given = max(given, max((at for v, at in by.items() if v & read), default=-1))
+                for at, name, found in members:
+                    safe = any_line >= at and (itself or named < at or given >= at)
+                    for s in found:
+                        if not (decoder and s[1] == "json_decode"):
+                            for k in sinks[i]:
+                                yield at, s, name, i, k, safe
+        if i in sources and born.get(i):
+            own = names.bit[born[i]]
+            alive.setdefault((own, own), []).append((i, born[i], sources[i]))
+        if clean.search(texts[i]):
+            v = names.bit.get(variable_of(texts[i]), 0)
+            for n in names.of(names(texts[i])):
+                b = names.bit[n]
+                _, y, by = cleaned.get(b, (-1, -1, {}))
+                if v:
+                    by[v] = i
+                cleaned[b] = i, i if v else y, by
+        if steps.steps[i] is not None and alive:
+            moved: dict[tuple[int, int], list] = {}
+            for (own, tracked), members in alive.items():
+                key = own, steps.after(i, own, tracked)
+                other = moved.get(key)
+                if other is None:
+                    moved[key] = members
+                else:
+                    if len(other) < len(members):
+                        other, members = members, other
+                    other.extend(members)
+                    moved[key] = other
+            alive = moved
+
+
+def tracked_flows(lines: DataFrame, sources: Sequence[tuple[str, str, str]], sinks: Sequence[tuple[str, str, str]]) -> DataFrame:
     """J09 with J11 and W06: flows whose sink line mentions a name that carries the source's value.
 
-    Order-dependent state makes this a fold over a file's lines: files are folded one at a time, each
-    bounded at the source. The names of a source are folded once, up to the file's last sink.
+    Order-dependent state makes this a fold over a file's lines, without comments: files are folded
+    one at a time, each bounded at the source. Matches are found before that, in the engine, and the
+    lines are shuffled once, by file.
     """
-    marks = lines.select("file", "line", "text", F.lit(None).cast("int").alias("ord"), F.lit("").alias("type"), F.lit("").alias("pattern"), F.lit("line").alias("role"))
-    for rows, role in ((sources, "source"), (sinks, "sink")):
-        marks = marks.unionByName(rows.select("file", "line", "text", "ord", "type", "pattern", F.lit(role).alias("role")))
-    clean, called = re.compile(GO_SANITIZER), re.compile(_CALLED)
-    name_of = [re.compile(p) for p in _VARIABLE]
-
-    def variable(t: str) -> str:
-        for p in name_of:
-            if (m := p.search(t)) and m[1] not in _NOT_NAMES:
-                return m[1]
-        return ""
+    text = F.col("text")
+    marked = code_only(lines.select("file", "line", "text")).select("file", "line", "text", hit_list(text, sources).alias("sources"), hit_list(text, sinks).alias("sinks"))
+    clean, called = re.compile(GO_SANITIZER), re.compile(_CALLED, re.A)
+    pick = lambda x: (x["ord"], x["type"], x["pattern"])
 
     def fold(file: str, group: list[tuple]):
-        texts = [r[2] for r in group if r[6] == "line"]
-        at = {n: i for i, n in enumerate(r[1] for r in group if r[6] == "line")}
-        ends: dict[int, list] = {}
-        for k in group:
-            if k[6] == "sink":
-                ends.setdefault(at[k[1]], []).append(k)
-        last, mentions = max(ends, default=-1), Mentions()
-        for _, line, text, order, kind, pattern, role in group:
-            if role != "source" or not (name := variable(text)) or last <= at[line]:
-                continue
-            for i, tracked in enumerate(tainted_names(texts[: last + 1], at[line], name, mentions), at[line]):
-                j = i + 1
-                if j not in ends or not mentions(texts[j], tracked):
-                    continue
-                window = [t for t in texts[at[line] : j] if not t.strip().startswith(("//", "/*")) and mentions(t, tracked)]
-                cleaned = [t for t in window if clean.search(t)]
-                given = {v for t in cleaned if (v := variable(t))}
-                safe = bool(cleaned) and (bool(clean.search(texts[j])) or not given or mentions(texts[j], given))
-                itself = kind == "json_decode" and (m := called.search(texts[j])) and m[1] in ("json.Unmarshal", "json.NewDecoder")
-                if not itself:
-                    for k in ends[j]:
-                        yield file, file, line, order, kind, pattern, name, k[1], k[3], k[4], k[5], safe
+        at = [r[1] for r in group]
+        starts = {i: list(map(pick, r[3])) for i, r in enumerate(group) if r[3]}
+        ends = {i: list(map(pick, r[4])) for i, r in enumerate(group) if r[4]}
+        for i, s, name, j, k, safe in file_flows([r[2] for r in group], starts, ends, clean, called):
+            yield file, file, at[i], *s, name, at[j], *k, safe
 
     schema = "source_file string, sink_file string, source_line int, source_ord int, source_type string, source_pattern string, variable string, sink_line int, sink_ord int, sink_type string, sink_pattern string, sanitized boolean"
-    return fold_groups(marks, "file", ["line", "role", "ord"], fold, schema)
+    return fold_groups(marked, "file", ["line"], fold, schema, dealt=True)
 
 
-def taint_sets(lines: DataFrame, sources: DataFrame) -> DataFrame:
-    """W06 alone: by source the names that carry its value after the last line of the file."""
-    name = assigned_variable(F.col("text"))
-    marks = lines.select("file", "line", "text", F.lit("").alias("name")).unionByName(sources.select("file", "line", "text", name.alias("name")).where("name <> ''"))
+def taint_sets(lines: DataFrame, sources: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """W06 alone: by source line and name the names that carry its value after the last line of the file."""
+    marked = code_only(lines.select("file", "line", "text"))
+    marked = marked.withColumn("name", F.when(F.size(hit_list(F.col("text"), sources)) > 0, assigned_variable(F.col("text"))).otherwise(""))
 
     def fold(file: str, group: list[tuple]):
-        texts = [r[2] for r in group if r[3] == ""]
-        at, mentions = {n: i for i, n in enumerate(r[1] for r in group if r[3] == "")}, Mentions()
-        for line, name in sorted({(r[1], r[3]) for r in group if r[3]}):
-            names = {name}
-            for names in tainted_names(texts, at[line], name, mentions):  # noqa: B007
-                pass
-            yield file, line, name, ",".join(sorted(names))
-
-    return fold_groups(marks, "file", ["line"], fold, "file string, line int, name string, names string")
+        steps = Steps([r[2] for r in group], {r[3] for r in group if r[3]})
+        alive: dict[tuple[int, int], list[tuple]] = {}
+        for i, (_, line, _, name) in enumerate(group):
+            if name:
+                own = steps.names.bit[name]
+                alive.setdefault((own, own), []).append((line, name))
+            if steps.steps[i] is not None:
+                moved: dict[tuple[int, int], list[tuple]] = {}
+                for (own, tracked), members in alive.items():
+                    moved.setdefault((own, steps.after(i, own, tracked)), []).extend(members)
+                alive = moved
+        for (_, tracked), members in alive.items():
+            text = ",".join(sorted(steps.names.of(tracked)))
+            for line, name in members:
+                yield file, line, name, text
+
+    return fold_groups(marked, "file", ["line"], fold, "file string, line int, name string, names string", dealt=True)
 
 
 def nil_sources(lines: DataFrame) -> DataFrame:
-    """Nil candidates by file and variable; of several the last line, there the last pattern."""
+    """Nil candidates by file and variable; of several the last line, there the last pattern (D5). lines: without comments."""
     found = [F.when(F.regexp_extract("text", p, 1) != "", F.struct(F.lit(i).alias("ord"), F.regexp_extract("text", p, 1).alias("variable"))) for i, p in enumerate(GO_NIL)]
     rows = lines.select("file", "line", "text", F.explode(F.array_compact(F.array(*found))).alias("n")).select("file", "line", "text", "n.*").where("variable <> '_'")
     last = Window.partitionBy("file", "variable").orderBy(F.col("line").desc(), F.col("ord").desc())
@@ -292,17 +479,129 @@ def nil_origin(text: Column) -> Column:
     )
 
 
+_NIL_EXPRESSIONS = [re.compile(p, re.A) for p in GO_NIL]
+
+
+def file_nils(texts: Sequence[str]) -> Iterator[tuple[str, int, str, int | None, int | None]]:
+    """(variable, line from 0, text, checking line, last line of use before it) of one file's nil candidates, in one pass."""
+    born: dict[str, int] = {}
+    for i, t in enumerate(texts):
+        for p in _NIL_EXPRESSIONS:
+            if (m := p.search(t)) and m[1] not in ("", "_"):
+                born[m[1]] = i
+    names = Names(set(born))
+    check: dict[str, int] = {}
+    use: dict[str, int] = {}
+    for i, t in enumerate(texts):
+        c = t.replace(" ", "").replace("\t", "")
+        tested = {n for n in _tested(c, names) if born[n] < i}
+        for n in tested:
+            check.setdefault(n, i)
+        for n in _used(c, names):
+            if born[n] < i and n not in check:
+                use[n] = i
+    for n, i in born.items():
+        yield n, i, texts[i], check.get(n), use.get(n)
+
+
+def _tested(c: str, names: Names) -> Iterator[str]:
+    """Names that a line without blanks compares with nil: "if" and the comparison, or the comparison and a brace."""
+    at = c.find("nil")
+    while at >= 0:
+        if c[at - 2 : at] in ("!=", "==") and at >= 2:
+            end = at - 2
+            for n in names.lengths:
+                if n > end:
+                    break
+                if (name := c[end - n : end]) in names.bit and (c[max(0, end - n - 2) : end - n] == "if" or c.startswith("{", at + 3)):
+                    yield name
+        if c[at - 2 : at] == "if" and at >= 2 and c[at + 3 : at + 5] in ("!=", "=="):
+            for n in names.lengths:
+                if (name := c[at + 5 : at + 5 + n]) in names.bit and len(name) == n:
+                    yield name
+        at = c.find("nil", at + 1)
+
+
+def _used(c: str, names: Names) -> Iterator[str]:
+    for m in re.finditer(r"[A-Za-z0-9_](?=[.\[])", c):
+        for n in names.lengths:
+            if n > m.end():
+                break
+            if (name := c[m.end() - n : m.end()]) in names.bit:
+                yield name
+    at = c.find("*")
+    while at >= 0:
+        for n in names.lengths:
+            if (name := c[at + 1 : at + 1 + n]) in names.bit and len(name) == n:
+                yield name
+        at = c.find("*", at + 1)
+
+
 def nil_risks(lines: DataFrame) -> DataFrame:
-    """Nil candidates that no later line checks; the last later use makes the risk high, none medium."""
-    born = nil_sources(lines).where(~(F.col("text").contains(", ok") | F.col("text").contains(", _")))
-    later = lines.select(F.col("file").alias("__f"), F.col("line").alias("__l"), compact(F.col("text")).alias("__t"))
-    v, t = F.col("variable"), F.col("__t")
-    tokens = lambda *parts: F.exists(F.array(*(F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in p)) for p in parts)), lambda x: F.contains(t, x))
-    check = tokens(("if", v, "!=nil"), ("if", v, "==nil"), ("ifnil!=", v), ("ifnil==", v), (v, "!=nil{"), (v, "==nil{"))
-    use = tokens((v, "."), ("*", v), (v, "["))
-    joined = born.join(later, (F.col("file") == F.col("__f")) & (F.col("__l") > F.col("line")), "left")
-    seen = joined.groupBy("file", "variable", "line", "text").agg(F.max(F.when(check, F.col("__l"))).alias("check_line"), F.max(F.when(use, F.col("__l"))).alias("usage_line"))
-    return seen.where("check_line is null").select("file", "variable", "line", nil_origin(F.col("text")).alias("origin"), "usage_line", F.when(F.col("usage_line").isNull(), "medium").otherwise("high").alias("risk"))
+    """J12/W04, Go: nil candidates that no later line checks; the last later use makes the risk high, none medium. One shuffle, one pass over each file."""
+
+    def fold(file: str, group: list[tuple]):
+        for name, i, text, check, use in file_nils([r[2] for r in group]):
+            if check is None and ", ok" not in text and ", _" not in text:
+                yield file, name, group[i][1], text, None if use is None else group[use][1]
+
+    found = fold_groups(code_only(lines.select("file", "line", "text")), "file", ["line"], fold, "file string, variable string, line int, text string, usage_line int", dealt=True)
+    return found.select("file", "variable", "line", nil_origin(F.col("text")).alias("origin"), "usage_line", F.when(F.col("usage_line").isNull(), "medium").otherwise("high").alias("risk"), F.lit(False).alias("is_checked"))
+
+
+_VALUE = r"\s*(?:!==?|===?)\s*(?:null|undefined)"
+_EVENTS = {"check": (rf"\b(\w+)\b(?={_VALUE})", r"(?:null|undefined)\s*(?:!==?|===?)\s*\b(\w+)\b"), "use": (r"\b(\w+)\b(?=\s*[.\[])",)}
+
+
+def null_risks(lines: DataFrame) -> DataFrame:
+    """J12/W04, TypeScript: every match of an expression that may be null, with the first later line that checks its name or uses it.
+
+    What lines check and use are rows by file and name; the first one after a match is a running
+    minimum from the end, so no pair of lines is formed.
+    """
+    found = every_hit(lines, [(origin, p, d) for p, d, origin in TYPESCRIPT_NULL]).select("file", "line", "variable", "ord", "nth", F.col("type").alias("origin"), "pattern", "column")
+    all_of = lambda kind: F.array_distinct(F.concat(*(F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in _EVENTS[kind])))
+    labelled = lambda kind: F.transform(all_of(kind), lambda x: F.struct(x.alias("variable"), F.lit(kind).alias("kind")))
+    both = F.flatten(F.array(*map(labelled, _EVENTS)))
+    events = lines.select("file", "line", F.explode(both).alias("e")).select("file", "line", "e.*")
+    rows = found.withColumn("kind", F.lit("hit")).unionByName(events, allowMissingColumns=True)
+    later = Window.partitionBy("file", "variable").orderBy(F.col("line").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("line"))).over(later)
+    met = rows.withColumns({"check": first("check"), "use": first("use")}).where("kind = 'hit'")
+    named = F.col("variable") != "<unknown>"
+    checked = named & F.col("check").isNotNull() & (F.col("use").isNull() | (F.col("check") <= F.col("use")))
+    used = named & F.col("use").isNotNull() & ~checked
+    return met.select(
+        "file", "line", "variable", "ord", "nth", "origin", "pattern", "column", checked.alias("is_checked"), F.when(checked, F.col("check")).otherwise(0).alias("check_line"), F.when(used, F.col("use")).otherwise(0).alias("usage_line"),
+        F.when(checked, "low").when(used, "high").otherwise("medium").alias("risk"),
+    )
+
+
+def analysis(lines: DataFrame, language: str, sanitizers: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
+    """Sources, sinks, flows (with risk), nil_sources and statistics of one language's files."""
+    sources, sinks = LIBRARY[language]
+    if language == "go":
+        files = lines.where(F.col("file").endswith(".go") & ~F.col("file").endswith("_test.go"))
+        code = code_only(files)
+        found = {"sources": hits(code, sources), "sinks": hits(code, sinks)}
+        flows = tracked_flows(files, sources, sinks)
+        flows = flows.withColumns({"id": flow_id(), "risk": risk(F.col("source_type"), F.col("sink_type"), F.col("sanitized"))})
+        nils = nil_risks(files)
+    else:
+        counted = sanitizing_counts(lines, sanitizers)
+        found = {"sources": every_hit(counted, sources), "sinks": every_hit(counted, sinks)}
+        flows = window_sanitized(first_flows(found["sources"], found["sinks"]), sanitizers)
+        flows = flows.withColumn("risk", risk(F.col("source_type"), F.col("sink_type"), F.col("sanitized"), True))
+        nils = null_risks(lines) if language == "typescript" else null_risks(lines.limit(0))
+    return found | {"flows": flows, "nil_sources": nils, "statistics": statistics(found["sources"], found["sinks"], flows, nils)}
+
+
+def described() -> Column:
+    """A tracked flow in words, by its patterns' descriptions."""
+    return F.concat(
+        F.lit("Data from "), "source_type", F.lit(" ("), "source_pattern", F.lit(") in variable '"), "variable", F.lit("' flows to "), "sink_type", F.lit(" ("), "sink_pattern", F.lit(")"),
+        F.when(F.col("sanitized"), " [sanitized]").otherwise(" [unsanitized - potential vulnerability]"),
+    )
 
 
 def flow_path(source_file: Column, source_line: Column, source_pattern: Column, sink_line: Column, sink_pattern: Column) -> Column:

@@ -11,11 +11,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def fold_groups(rows: DataFrame, key: str, order: list[str], fold: Callable[[str, list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+def fold_groups(rows: DataFrame, key: str, order: list[str], fold: Callable[[str, list[tuple]], Iterator[tuple]], schema: str, dealt: bool = False) -> DataFrame:
     """fold(key, rows of the group in order) -> result rows. rows: key first.
 
     One shuffle by key and a sort within partitions; a task then streams its groups and holds one
     at a time. Fits many small groups; a group must fit in memory, as files do by the source's cap.
+    dealt: the rows lie by key and order already, as a window over both leaves them, and are not
+    shuffled again; a key that comes back later in a task is an error.
     """
     columns = [key, *(c for c in rows.columns if c != key)]
     kind = _parse_datatype_string(schema)
@@ -29,7 +31,11 @@ def fold_groups(rows: DataFrame, key: str, order: list[str], fold: Callable[[str
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), target, strict=True)], schema=target)
 
+        seen = set()
         for k, group in groupby(stream, key=lambda r: r[0]):
+            if k in seen:
+                raise ValueError(f"rows of {k!r} do not lie together")
+            seen.add(k)
             held += fold(k, list(group))
             if len(held) > 5000:
                 yield batch()
@@ -37,4 +43,7 @@ def fold_groups(rows: DataFrame, key: str, order: list[str], fold: Callable[[str
         if held:
             yield batch()
 
-    return rows.select(*columns).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, kind)
+    rows = rows.select(*columns)
+    if not dealt:
+        rows = rows.repartition(key).sortWithinPartitions(key, *order)
+    return rows.mapInArrow(run, kind)

@@ -36,12 +36,35 @@ SELECT file, line, CASE kind
     WHEN 4 THEN concat('  ', v, ' := os.Getenv("HOME")') WHEN 5 THEN concat('  fmt.Fprintf(w, ', v, 'Str)')
     WHEN 6 THEN concat('  if ', v, ' != nil {') WHEN 7 THEN concat('  ', v, ', ok := cache[key]')
     WHEN 8 THEN concat('  ', w, ' := ', v) WHEN 9 THEN concat('  ', v, ' := store.Find(key)')
-    WHEN 10 THEN concat('  ', v, '.Close()') WHEN 11 THEN '  // plain text' WHEN 12 THEN concat('  log.Printf("x", ', w, ')')
-    WHEN 13 THEN concat('  ', v, ' = "safe"') ELSE concat('  os.WriteFile(name, ', w, '[0])') END AS text
+    WHEN 10 THEN concat('  ', v, '.Close()') WHEN 11 THEN concat('  // db.Exec(', v, ')') WHEN 12 THEN concat('  log.Printf("x", ', w, ')')
+    WHEN 13 THEN concat('  ', v, ' = "safe"') WHEN 14 THEN concat('  os.WriteFile(name, ', w, '[0])')
+    WHEN 15 THEN concat('  ', v, ' := 1 // db.Exec(', v, ')') WHEN 16 THEN concat('  done() /* db.Exec(', v, ')') WHEN 17 THEN concat('  note */ ', w, ' := ', v, ' /* aside */')
+    WHEN 18 THEN concat('  send(', v, ', g(', w, ')') ELSE 'func send(a string, bee []byte) {' END AS text
 FROM (
-  SELECT concat('pkg/f', l_orderkey % 4000, '.go') AS file, l_partkey % 15 AS kind,
+  SELECT concat('pkg/f', l_orderkey - l_orderkey % 16, '.go') AS file, CASE WHEN l_partkey % 20 = 16 AND l_suppkey % 5 > 0 THEN 17 ELSE l_partkey % 20 END AS kind,
     CASE l_suppkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'bee' WHEN 2 THEN 'cx' ELSE 'data' END AS v, CASE l_suppkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'bee' ELSE 'cx' END AS w,
-    CAST(row_number() OVER (PARTITION BY l_orderkey % 4000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS INT) AS line
+    CAST(row_number() OVER (PARTITION BY l_orderkey - l_orderkey % 16 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS INT) AS line
+  FROM lineitem) AS t""",
+    "python_lines": """
+SELECT file, line, CASE kind
+    WHEN 0 THEN concat('    ', v, ' = request.args.get("q")') WHEN 1 THEN concat('    cursor.execute(f"select {', v, '}")') WHEN 2 THEN concat('    ', v, ' = html.escape(', v, ')')
+    WHEN 3 THEN concat('    subprocess.run(["x", ', v, '], shell=False)') WHEN 4 THEN concat('    ', v, ' := os.getenv("A") or os.getenv("B")') WHEN 5 THEN concat('    return make_response(', v, ')')
+    WHEN 6 THEN concat('    ', v, ': str = open(p).read()') WHEN 7 THEN concat('    logger.info(', v, ')  # print(', v, ')') WHEN 8 THEN concat('    requests.get(', v, ')')
+    WHEN 9 THEN concat('    os.system(', v, ')') WHEN 10 THEN concat('    cursor.execute("select ?", (', v, ',))') WHEN 11 THEN concat('    return redirect(', v, ')') WHEN 12 THEN concat('    for ', v, ' in db:')
+    ELSE concat('    ', v, ' += 1') END AS text
+FROM (
+  SELECT concat('app/m', l_orderkey - l_orderkey % 16, '.py') AS file, l_partkey % 29 AS kind, CASE l_suppkey % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'value' ELSE 'row' END AS v,
+    CAST(row_number() OVER (PARTITION BY l_orderkey - l_orderkey % 16 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS INT) AS line
+  FROM lineitem) AS t""",
+    "typescript_lines": """
+SELECT file, line, CASE kind
+    WHEN 0 THEN concat('  const ', v, ' = await repo.findOne(id);') WHEN 1 THEN concat('  if (', v, ' === null) return;') WHEN 2 THEN concat('  const ', v, ': string = req.query.name;')
+    WHEN 3 THEN concat('  res.send(', v, '.name);') WHEN 4 THEN concat('  const ', v, ' = cache.get(key);') WHEN 5 THEN concat('  if (undefined !== ', v, ') { go(', v, ') }') WHEN 6 THEN concat('  ', v, '[0] = 1;')
+    WHEN 7 THEN concat('  let ', v, ' = JSON.parse(body) as Row | null;') WHEN 8 THEN concat('  exec(', v, ');') WHEN 9 THEN concat('  el.innerHTML = DOMPurify.sanitize(', v, ');') WHEN 10 THEN concat('  use(', v, '?.id ?? 0);')
+    ELSE concat('  ', v, '++;') END AS text
+FROM (
+  SELECT concat('web/c', l_orderkey - l_orderkey % 16, '.ts') AS file, l_partkey % 19 AS kind, CASE l_suppkey % 3 WHEN 0 THEN 'u' WHEN 1 THEN 'item' ELSE 'row' END AS v,
+    CAST(row_number() OVER (PARTITION BY l_orderkey - l_orderkey % 16 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS INT) AS line
   FROM lineitem) AS t""",
     "edges": """
 SELECT DISTINCT concat('m', l_suppkey % 40, '.go:', CASE l_suppkey % 10 WHEN 0 THEN 'Test' WHEN 1 THEN 'helper' ELSE 'Run' END, l_suppkey) AS caller,

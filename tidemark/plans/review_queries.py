@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dims
 from tidemark.functions import text as tx
-from tidemark.functions.patterns import GO_SINKS, GO_SOURCES
 from tidemark.operators import calls as ca
 from tidemark.operators import flows as fl
 from tidemark.operators import review as rv
@@ -107,7 +106,7 @@ _AREAS = {
     "c04_security_focus": ("security-reviewer", fq._TRACKED, ((1, "Unsanitized high-risk flows", f"SELECT count(*) FROM {_RANKED} WHERE risk IN ('critical', 'high') AND NOT sanitized"), (2, "Security scanner findings", f"SELECT count(*) FROM {{findings}} WHERE lower(trim(category)) = 'security' AND {_HIGH}"))),
     "c06_business_focus": ("business-logic-reviewer", fq._TRACKED, ((1, "High-impact functions", f"SELECT count(*) FROM {_IMPACT} WHERE callers >= 3"), (2, "New functions", f"SELECT count(*) FROM {_CHANGED} WHERE change_type = 'added'"), (3, "High-risk data flows", f"SELECT count(*) FROM {_RANKED} WHERE risk IN ('critical', 'high')"))),
     "c08_test_focus": ("test-reviewer", "", ((1, "Uncovered code", f"SELECT count(*) FROM {_IMPACT} WHERE tests = 0"),)),
-    "c10_nil_focus": ("nil-safety-reviewer", "", ((1, "Unchecked nil sources", f"SELECT count(*) FROM {_NIL}"), (2, "High-risk nil sources", f"SELECT count(*) FROM {_NIL} WHERE usage_line IS NOT NULL"))),
+    "c10_nil_focus": ("nil-safety-reviewer", fq._CLEAN, ((1, "Unchecked nil sources", f"SELECT count(*) FROM {_NIL}"), (2, "High-risk nil sources", f"SELECT count(*) FROM {_NIL} WHERE usage_line IS NOT NULL"))),
     "c12_consequences_focus": ("consequences-reviewer", "", ((1, "Signature changes", _SIGS), (2, "Removed symbols", f"SELECT count(*) FROM {_CHANGED} WHERE change_type = 'removed'"), (3, "Caller reach", f"SELECT count(*) FROM {_IMPACT} WHERE callers > 0"))),
     "c14_dead_code_focus": ("dead-code-reviewer", "", ((1, "Deleted symbols", f"SELECT count(*) FROM {_CHANGED} WHERE change_type = 'removed'"), (2, "Orphan functions", f"SELECT count(*) FROM {_IMPACT} WHERE callers = 0"), (3, "Tested orphans", f"SELECT count(*) FROM {_IMPACT} WHERE callers = 0 AND tests > 0"))),
 }
@@ -136,7 +135,7 @@ def _(f, b, a):
 def _(f, c):
     from tidemark.operators.findings import for_security
 
-    t = fl.tracked_flows(c, fl.hits(c, GO_SOURCES), fl.hits(c, GO_SINKS)).withColumn("risk", fl.risk(F.col("source_type"), F.col("sink_type"), F.col("sanitized")))
+    t = fq.tracked(c).withColumn("risk", fl.risk(F.col("source_type"), F.col("sink_type"), F.col("sanitized")))
     flow = t.where(F.col("risk").isin("critical", "high", "medium")).select(F.when(F.col("risk") == "medium", "medium flow").otherwise("high flow").alias("section"), F.concat("source_file", F.lit(":"), "source_line", F.lit("-"), "sink_line").alias("item"))
     return for_security(f).select(F.lit("finding").alias("section"), F.col("ord").cast("string").alias("item")).unionByName(flow)
 
@@ -151,7 +150,7 @@ def _(m, e):
     return ca.caller_counts(m, e).select("node", "tests", (F.col("tests") == 0).alias("uncovered"))
 
 
-@query("c09_nil_review", "SELECT file, variable, line, usage_line IS NOT NULL AS high FROM " + _NIL, "code_lines")
+@query("c09_nil_review", fq._CLEAN + "SELECT file, variable, line, usage_line IS NOT NULL AS high FROM " + _NIL, "code_lines")
 def _(c):
     return fl.nil_risks(c).select("file", "variable", "line", (F.col("risk") == "high").alias("high"))
 
