@@ -15,12 +15,12 @@ SEVERITIES = ("critical", "high", "warning", "info")
 SCOPE_EXTENSIONS = {".go": "go", ".ts": "typescript", ".tsx": "typescript", ".py": "python"}
 LINT_EXTENSIONS = SCOPE_EXTENSIONS | {".pyi": "python", ".js": "typescript", ".jsx": "typescript", ".mjs": "typescript", ".cjs": "typescript"}
 FLOW_EXTENSIONS = SCOPE_EXTENSIONS | {".js": "typescript", ".jsx": "typescript"}
-LANGUAGE_ALIASES = {"golang": "go", "ts": "typescript", "py": "python"}
+LANGUAGE_ALIASES = {"go": "go", "golang": "go", "typescript": "typescript", "ts": "typescript", "javascript": "typescript", "js": "typescript", "python": "python", "py": "python"}
 LANGUAGE_PRIORITY = {"go": 0, "typescript": 1, "python": 2}
 # Linters by language and what they take.
 LINTERS = (
     ("golangci-lint", "go", "packages"), ("staticcheck", "go", "packages"), ("gosec", "go", "packages"),
-    ("tsc", "typescript", "project"), ("eslint", "typescript", "files"),
+    ("tsc", "typescript", "files"), ("eslint", "typescript", "files"),
     ("ruff", "python", "files"), ("mypy", "python", "files"), ("pylint", "python", "files"), ("bandit", "python", "files"),
 )
 # Flow types.
@@ -48,6 +48,11 @@ REVIEWERS = (
 )
 
 
+def language_of(word: Column) -> Column:
+    """the language that a word stands for, "" if none."""
+    return mapped(F.lower(word), LANGUAGE_ALIASES, "")
+
+
 def mapped(key: Column, values: Mapping, default=None) -> Column:
     """Lookup in a fixed dimension as one CASE."""
     out = None

@@ -16,14 +16,19 @@ def base_symbol(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
+# Names of TypeScript test functions, in lower case.
+TYPESCRIPT_TESTS = ("it", "test", "describe", "beforeeach", "aftereach", "beforeall", "afterall")
+
+
 def is_test_function(name: Column, language: str) -> Column:
     """F27."""
     last = base_symbol(name)
     if language == "go":
         return name.rlike(r"(^|\.)(Test|Benchmark|Example|Fuzz)([^\p{Ll}.][^.]*)?$")
     if language == "python":
-        return last.startswith("test_") | name.rlike(r"(^|\.)Test[^.]*\.")
-    return last.isin("describe", "it", "test") | last.rlike(r"^(test|it)[A-Z_]") | last.endswith("Test") | last.endswith("Spec")
+        return last.startswith("test_") | last.startswith("Test") | last.endswith("_test")
+    lower = F.lower(name)
+    return lower.isin(*TYPESCRIPT_TESTS) | lower.startswith("test_") | lower.startswith("spec_")
 
 
 def is_test_file(path: Column, language: str) -> Column:
@@ -32,8 +37,9 @@ def is_test_file(path: Column, language: str) -> Column:
     if language == "go":
         return name.endswith("_test.go")
     if language == "python":
-        return name.startswith("test_") | name.endswith("_test.py") | (name == "conftest.py") | path.rlike(r"(^|/)tests?/")
-    return name.rlike(r"\.(test|spec)\.[jt]sx?$") | path.rlike(r"(^|/)__tests__/")
+        return name.startswith("test_") | name.endswith("_test.py") | path.contains("tests/") | path.contains("test/")
+    marked = name.contains(".test.") | name.contains(".spec.") | name.contains("_test.") | name.contains("_spec.")
+    return marked | path.contains("__tests__") | path.contains("/test/") | path.contains("/tests/")
 
 
 def impact_level(callers: Column) -> Column:
@@ -57,19 +63,24 @@ def resolve(sites: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def attach(modified: DataFrame, sites: DataFrame) -> DataFrame:
-    """Call sites of each modified function, in order; none is an empty list."""
-    own = sites.groupBy("file", F.col("caller").alias("name")).agg(F.array_sort(F.collect_list(F.struct("line", "target"))).alias("sites"))
-    return modified.join(own, ["file", "name"], "left").withColumn("sites", F.coalesce("sites", F.expr("cast(array() as array<struct<line:int,target:string>>)")))
+    """Each modified function beside its call sites, one row a site, numbered in the order of line and target; a function without any has one row with nulls."""
+    own = sites.select("file", F.col("caller").alias("name"), "line", "target")
+    nth = F.row_number().over(Window.partitionBy("file", "name").orderBy("line", "target"))
+    return modified.join(own.withColumn("nth", nth), ["file", "name"], "left")
 
 
 def resolve_nodes(modified: DataFrame, nodes: DataFrame) -> DataFrame:
-    """By file and qualified name, else file and bare name, else a node whose path ends in the file; the least of several."""
-    m = modified.withColumn("__base", F.substring_index("file", "/", -1))
-    n = nodes.withColumn("__base", F.substring_index("file", "/", -1)).withColumnsRenamed({"file": "node_file"})
+    """By file and qualified name, else file and bare name, else a node whose path ends in the file; the least of several.
+
+    A node is found by the base name of its file together with either of its names, so files that
+    share a base name meet only where they share a function's name too.
+    """
+    m = modified.withColumns({"__base": F.substring_index("file", "/", -1), "__name": F.col("name")})
+    names = F.array_distinct(F.array("qualified", "bare"))
+    n = nodes.select(F.col("file").alias("node_file"), "qualified", F.substring_index("file", "/", -1).alias("__base"), F.explode(names).alias("__name"))
     tail = F.col("node_file").endswith(F.concat(F.lit("/"), F.col("file"))) | (F.col("node_file") == F.col("file"))
-    named = (F.col("qualified") == F.col("name")) | (F.col("bare") == F.col("name"))
     rank = F.when((F.col("node_file") == F.col("file")) & (F.col("qualified") == F.col("name")), 1).when(F.col("node_file") == F.col("file"), 2).otherwise(3)
-    found = m.join(n, "__base").where(tail & named).select("name", "file", rank.alias("rank"), "node_file", "qualified")
+    found = m.join(n, ["__base", "__name"]).where(tail).select("name", "file", rank.alias("rank"), "node_file", "qualified")
     best = found.groupBy("name", "file").agg(F.min(F.struct("rank", "node_file", "qualified")).alias("b"))
     return modified.join(best, ["name", "file"], "left").select("name", "file", "b.rank", "b.node_file", "b.qualified")
 
@@ -142,9 +153,9 @@ def reachable(edges: DataFrame, start: DataFrame, depth: int = MAX_DEPTH, most:
     """Nodes that reach a start node over calls, with their least distance; start nodes excluded.
 
     Breadth-first over incoming edges. A round joins the frontier and drops what was visited; its
-    result is written to the shared folder, so lineage stays short. The search stops after a round
-    that has brought the nodes to most; every row's partial tells whether rounds were left out for
-    that. With None for most it goes on to the depth.
+    result is written to the shared folder, so lineage stays short. The search stops at most nodes:
+    of the level that would go beyond, the first ones by name are taken, and every row's partial
+    says so. With None for most it goes on to the depth.
     """
     from tidemark.sources.store import stored
 
@@ -157,10 +168,10 @@ def reachable(edges: DataFrame, start: DataFrame, depth: int = MAX_DEPTH, most:
         new = frontier.count()
         if not new:
             break
-        visited, n = visited.unionByName(frontier), n + new
-        if most is not None and n >= most:
-            partial = d < depth
+        if most is not None and n + new > most:
+            visited, partial = visited.unionByName(frontier.orderBy("node").limit(most - n)), True
             break
+        visited, n = visited.unionByName(frontier), n + new
     return visited.where("depth > 0").withColumn("partial", F.lit(partial))
 
 
@@ -169,9 +180,11 @@ def interface_edges(sites: DataFrame, implements: DataFrame, methods: DataFrame)
     return sites.join(implements, "interface").join(methods, ["type", "method"]).select("caller", node(F.col("file"), F.concat("type", F.lit("."), "method")).alias("callee"), F.lit(True).alias("is_virtual"))
 
 
-def closure_owner(name: Column) -> Column:
-    """A closure (empty, func1, f$1) under the function that holds it."""
-    return F.when(name == "", "<anonymous>").when(name.rlike(r"\$[0-9]+$"), F.regexp_replace(name, r"\$[0-9]+$", "")).when(name.rlike(r"(^|\.)func[0-9]+$"), F.regexp_replace(name, r"(^|\.)func[0-9]+$", "")).otherwise(name)
+def shown_name(name: Column, parent: Column, receiver: Column) -> Column:
+    """Receiver and name; a closure (no name, func and digits, or $ and digits at the end) is shown under the function that holds it."""
+    plain = F.when(F.coalesce(receiver, F.lit("")) == "", name).otherwise(F.concat(receiver, F.lit("."), name))
+    closure = (name == "") | name.rlike(r"^func[0-9]+$") | name.rlike(r"\$[0-9]+$")
+    return F.when(parent.isNotNull() & closure, F.concat(parent, F.lit(".<closure:"), name, F.lit(">"))).otherwise(plain)
 
 
 def requested(functions: DataFrame, names: list[str]) -> DataFrame:
@@ -180,8 +193,64 @@ def requested(functions: DataFrame, names: list[str]) -> DataFrame:
 
 
 def importers(modules: DataFrame, files: DataFrame) -> DataFrame:
-    """Who imports a file, by path suffix: an equi-join on the base name, then the suffix test."""
-    m = modules.withColumn("__base", F.substring_index("resolved", "/", -1))
-    f = files.withColumn("__base", F.substring_index("file", "/", -1))
-    hit = (F.col("resolved") == F.col("file")) | F.col("resolved").endswith(F.concat(F.lit("/"), F.col("file")))
-    return m.join(f, "__base").where(hit).select("file", "source").distinct()
+    """Who imports a file, by path suffix. A resolved path is listed under each of its suffixes, as many as it has segments, which makes it an equi-join on whole paths."""
+    parts = F.split("resolved", "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    listed = modules.select("source", "resolved").distinct().select("source", F.explode(F.array_distinct(F.concat(F.array("resolved"), tails))).alias("file"))
+    return files.select("file").distinct().join(listed, "file").select("file", "source").distinct()
+
+
+def zip_arguments(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """Caller, callee, position, parameter and argument of each call to a known function, as far as both lists go. calls: caller, callee, arguments; functions: callee, parameters."""
+    both = calls.join(functions, "callee")
+    n = F.least(F.size("parameters"), F.size("arguments"))
+    pairs = F.arrays_zip(F.slice("parameters", 1, n).alias("parameter"), F.slice("arguments", 1, n).alias("argument"))
+    return both.select("caller", "callee", F.posexplode(pairs).alias("position", "z")).select("caller", "callee", "position", F.col("z.parameter"), F.col("z.argument"))
+
+
+def virtual_summary(edges: DataFrame) -> DataFrame:
+    """How many edges are virtual, and the one warning about them, null if there are none."""
+    n = F.count_if("is_virtual")
+    text = F.concat(n.cast("string"), F.lit(" call edge(s) resolved through interfaces; targets are possible, not certain"))
+    return edges.agg(n.alias("n_virtual"), F.count(F.lit(1)).alias("n"), F.when(n > 0, text).alias("warning"))
+
+
+def top_callees(edges: DataFrame, shown: int = SHOWN_CALLEES) -> DataFrame:
+    """The first callees of each function and how many more there are."""
+    turned = edges.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"))
+    return top_callers(turned, shown).select(F.col("callee").alias("caller"), F.col("callers").alias("callees"), "more")
+
+
+def affected_packages(nodes: DataFrame, order: str = "ord", path: str = "file") -> DataFrame:
+    """Distinct directories with the place where each came first."""
+    from tidemark.operators.paths import dir_name, first_seen
+
+    return first_seen(nodes.withColumn("package", dir_name(F.col(path))), "package", order)
+
+
+def test_coverage(modified: DataFrame, edges: DataFrame, language: str = "go") -> DataFrame:
+    """Tests that call each modified function directly, one row each."""
+    callers = neighbours(modified, edges).where("direction = 'caller'")
+    return callers.where(is_test_function(F.substring_index("other", ":", -1), language)).select("node", F.col("other").alias("test")).distinct()
+
+
+def call_graph(modified: DataFrame, edges: DataFrame, language: str = "go", most: int = 500) -> dict[str, DataFrame]:
+    """Functions (direct callers, callees, tests, impact), neighbours, coverage, packages and totals of the first modified functions. No modified function gives empty tables and zero totals."""
+    m = first_modified(modified, most)
+    near = neighbours(m, edges)
+    counts = caller_counts(m, edges).withColumn("impact", impact_level(F.col("callers")))
+    callees = near.where("direction = 'callee'").groupBy("node").agg(F.count_distinct("other").alias("callees"))
+    functions = counts.join(callees, "node", "left").fillna(0, ["callees"])
+    packages = affected_packages(near.where("direction = 'caller'").select(F.substring_index("other", ":", 1).alias("file"), F.xxhash64("other").alias("ord")))
+    totals = functions.agg(F.count(F.lit(1)).alias("n_functions"), F.coalesce(F.sum("callers"), F.lit(0)).alias("direct_callers"), F.coalesce(F.sum("tests"), F.lit(0)).alias("affected_tests"))
+    return {"functions": functions, "neighbours": near, "coverage": test_coverage(m, edges, language), "packages": packages, "totals": totals}
+
+
+def script_call_graph(sites: DataFrame, functions: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """A Python or TypeScript call graph: call sites with the functions that they resolve to, and the callers of each, for the requested names or all."""
+    wanted = functions if not names else requested(functions, names)
+    found = resolve(sites, functions)
+    own = wanted.select(F.col("name").alias("callee"), F.col("file").alias("callee_file")).distinct()
+    called = found.join(own, ["callee", "callee_file"], "left_semi")
+    n = called.groupBy("callee", "callee_file").agg(F.count(F.lit(1)).alias("n_sites"), F.count_distinct("file", "caller").alias("n_callers"))
+    return own.join(n, ["callee", "callee_file"], "left").fillna(0, ["n_sites", "n_callers"])

@@ -42,6 +42,12 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.agg(*counts, F.count_if(~F.col("severity").isin(*dims.SEVERITIES)).alias("unknown"))
 
 
+def unknown_severities(findings: DataFrame) -> DataFrame:
+    """An error row for each finding of a severity that is not known."""
+    odd = findings.where(~F.col("severity").isin(*dims.SEVERITIES))
+    return odd.select("ord", F.format_string('unknown severity "%s" for finding %s:%d (%s)', "severity", "file", "line", "message").alias("error"))
+
+
 def merge(results: Iterable[DataFrame]) -> DataFrame:
     """Outputs of several tools, appended."""
     first, *rest = results
@@ -50,6 +56,12 @@ def merge(results: Iterable[DataFrame]) -> DataFrame:
     return first
 
 
+def merge_versions(results: Iterable[DataFrame]) -> DataFrame:
+    """Tool and version, the last result that names a tool wins. results: tool, version."""
+    placed = [r.select("tool", "version", F.lit(i).alias("place")) for i, r in enumerate(results)]
+    return merge(placed).groupBy("tool").agg(F.max_by("version", "place").alias("version"))
+
+
 def by_category(findings: DataFrame, category: str) -> DataFrame:
     """F09."""
     return findings.where(normal_category() == category.strip().lower())
@@ -77,7 +89,7 @@ def for_quality(findings: DataFrame) -> DataFrame:
 def lint_targets(files: DataFrame, path: str = "path") -> DataFrame:
     """what each linter of a file's language is given: files, packages (the directory) or the project."""
     linters = files.sparkSession.createDataFrame(list(dims.LINTERS), "linter string, language string, target_kind string")
-    typed = files.withColumn("language", dims.mapped(extension(F.col(path)), dims.LINT_EXTENSIONS))
+    typed = files.withColumn("language", dims.mapped(F.lower(extension(F.col(path))), dims.LINT_EXTENSIONS))
     target = F.when(F.col("target_kind") == "files", F.col(path)).when(F.col("target_kind") == "packages", F.concat(F.lit("./"), F.regexp_replace(path, r"/?[^/]*$", ""))).otherwise(".")
     return typed.join(F.broadcast(linters), "language").select("linter", "target_kind", target.alias("target")).distinct()
 
@@ -118,7 +130,11 @@ def category_of(tool: Column, code: Column, kind: Column) -> Column:
         F.when(code == "gosec", "security").when(code.isin("staticcheck", "typecheck"), "bug").when(code.isin("gofmt", "goimports", "govet", "gocritic"), "style")
         .when(code.isin("ineffassign", "deadcode", "unused", "varcheck"), "unused").when(code.isin("gocyclo", "gocognit"), "complexity").when(code == "depguard", "deprecation").otherwise("other")
     )
-    static = starts(code, *((f"SA{n}", c) for n, c in zip("123456789", ("bug", "bug", "bug", "bug", "bug", "performance", "bug", "style", "security"), strict=True)), ("S1", "style"), ("ST1", "style"), ("QF", "style"), default="other")
+    # Prefixes of staticcheck's rules.
+    static = starts(
+        code, ("SA1", "bug"), ("SA2", "bug"), ("SA3", "bug"), ("SA4", "bug"), ("SA5", "bug"), ("SA6", "performance"), ("SA7", "bug"), ("SA8", "style"), ("SA9", "security"),
+        ("S1", "style"), ("ST1", "style"), ("QF", "style"), default="other",
+    )
     eslint = (
         F.when(code.startswith("@typescript-eslint/"), "type").when(code.contains("security"), "security").when(code.contains("no-unused"), "unused")
         .when(code == "parse-error", "bug").otherwise("style")

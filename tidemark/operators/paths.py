@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,29 +79,85 @@ def with_counts(files: DataFrame, counts: DataFrame) -> DataFrame:
     return files.withColumn("__clean", clean(F.col("path"))).join(c, "__clean", "left").drop("__clean").fillna(0, ["additions", "deletions"])
 
 
-def glob_regex(pattern: str) -> str:
-    """An anchored expression for a glob; ** spans segments, * and ? stay within one."""
-    out, i = "", 0
-    while i < len(pattern):
-        c = pattern[i]
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:[^/]*/)*", i + 3
-        elif pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif c == "*":
+def _segment_regex(segment: str) -> str:
+    """One segment of a glob: *, ?, [...] classes with ranges and ^, and backslash escapes; none of them goes across a slash."""
+    out, i, n = "", 0, len(segment)
+
+    def char(at: int) -> tuple[str, int]:
+        if at < n and segment[at] == "\\":
+            at += 1
+        if at >= n:
+            raise ValueError(f"bad glob segment {segment!r}")
+        return segment[at], at + 1
+
+    while i < n:
+        c = segment[i]
+        if c == "*":
             out, i = out + "[^/]*", i + 1
         elif c == "?":
             out, i = out + "[^/]", i + 1
+        elif c == "[":
+            i += 1
+            negated = segment[i : i + 1] == "^"
+            i += negated
+            ranges = ""
+            while True:
+                if i < n and segment[i] == "]" and ranges:
+                    i += 1
+                    break
+                if i >= n or segment[i] in "-]":
+                    raise ValueError(f"bad glob segment {segment!r}")
+                lo, i = char(i)
+                hi = lo
+                if segment[i : i + 1] == "-":
+                    if segment[i + 1 : i + 2] in ("]", "-", ""):
+                        raise ValueError(f"bad glob segment {segment!r}")
+                    hi, i = char(i + 1)
+                if lo <= hi:
+                    ranges += f"\\x{{{ord(lo):x}}}-\\x{{{ord(hi):x}}}"
+                else:
+                    ranges += "&&[^\\x{0}-\\x{10ffff}]"  # an empty range
+            out += f"(?:(?!/)[{'^' * negated}{ranges}])"
         else:
-            out, i = out + re.escape(c), i + 1
+            c, i = char(i)
+            out += re.escape(c)
+    return out
+
+
+def glob_regex(pattern: str) -> str:
+    """An anchored expression for a glob: a segment ** stands for any number of segments; within another segment ** is as *."""
+    segments = posixpath.normpath(pattern).split("/")
+    out = ""
+    for i, s in enumerate(segments):
+        end = i == len(segments) - 1
+        if s == "**":
+            out += ".*" if end and i == 0 else "(?:/.*)?" if end else "(?:[^/]*/)*"
+            continue
+        more = not end and not (segments[i + 1] == "**" and i + 1 == len(segments) - 1)
+        out += _segment_regex(s) + "/" * more
     return f"^{out}$"
 
 
+def checked_pattern(pattern: str) -> str:
+    """a glob that is relative, not empty and without steps upwards; else an error."""
+    if not pattern:
+        raise ValueError("pattern cannot be empty")
+    if "\0" in pattern:
+        raise ValueError("pattern contains null byte")
+    if pattern.startswith("/"):
+        raise ValueError(f"pattern must be relative: {pattern}")
+    if posixpath.normpath(pattern) == ".":
+        raise ValueError("pattern must not be current directory")
+    if ".." in posixpath.normpath(pattern).replace("\\", "/").split("/"):
+        raise ValueError(f"pattern contains path traversal: {pattern}")
+    return pattern
+
+
 def expand(files: DataFrame, patterns: list[str], path: str = "path") -> DataFrame:
-    """Files that match any glob, outside .git, node_modules and vendor."""
+    """Files that match any glob, outside .git, node_modules and vendor. A pattern that is no valid glob is an error."""
     hit = F.lit(False)
     for p in patterns:
-        hit = hit | F.col(path).rlike(glob_regex(p))
+        hit = hit | F.col(path).rlike(glob_regex(checked_pattern(p)))
     return files.where(hit & ~F.col(path).rlike(r"(^|/)(\.git|node_modules|vendor)/"))
 
 
@@ -115,9 +173,94 @@ def first_seen(rows: DataFrame, value: str, order: str) -> DataFrame:
     return rows.groupBy(value).agg(F.min(order).alias("first_ord"))
 
 
-def common_ancestor(files: DataFrame, path: str = "path") -> DataFrame:
-    """The longest run of leading segments of all paths. Only two paths meet: the least and the greatest."""
-    ends = files.agg(F.min(path).alias("a"), F.max(path).alias("z"))
+def common_ancestor(files: DataFrame, path: str = "path", by: Sequence[str] = ()) -> DataFrame:
+    """The deepest directory that holds all files, "." where they share none. Only two paths meet, the least and the greatest; with a slash behind, what these two share all share."""
+    folder = F.concat(dir_name(F.col(path)), F.lit("/"))
+    ends = files.groupBy(*by).agg(F.min(folder).alias("a"), F.max(folder).alias("z"))
     a, z = F.split("a", "/"), F.split("z", "/")
-    same = F.transform(F.sequence(F.lit(1), F.least(F.size(a), F.size(z))), lambda i: F.slice(a, 1, i) == F.slice(z, 1, i))
-    return ends.select(F.array_join(F.slice(a, 1, F.size(F.filter(same, lambda x: x))), "/").alias("ancestor"))
+    same = F.transform(F.sequence(F.lit(1), F.least(F.size(a), F.size(z)) - 1), lambda i: F.slice(a, 1, i) == F.slice(z, 1, i))
+    shared = F.array_join(F.slice(a, 1, F.size(F.filter(same, lambda x: x))), "/")
+    return ends.select(*by, F.when(shared == "", F.when(F.col("a").startswith("/"), "/").otherwise(".")).otherwise(shared).alias("ancestor"))
+
+
+def checked_count(files: DataFrame, most: int = 10_000) -> DataFrame:
+    """The files, or an error where there are more than most; no more than most + 1 rows are looked at."""
+    if files.limit(most + 1).count() > most:
+        raise ValueError(f"too many files: more than {most}")
+    return files
+
+
+def path_error(path: Column) -> Column:
+    """why a path is not taken, null if it is: empty, a null byte, absolute, steps upwards."""
+    return (
+        F.when(F.coalesce(path, F.lit("")) == "", "path cannot be empty").when(F.contains(path, F.lit("\0")), "path contains null byte").when(path.startswith("/"), "path must be relative")
+        .when(F.array_contains(F.split(F.replace(clean(path), F.lit("\\"), F.lit("/")), "/"), ".."), "path contains path traversal")
+    )
+
+
+def ref_error(ref: Column) -> Column:
+    """why a revision's name is not taken, null if it is."""
+    return F.when(F.coalesce(ref, F.lit("")) == "", "ref cannot be empty").when(ref.startswith("-"), "ref must not start with '-'").when(ref.rlike(r"[\x00-\x20\x7f~^:?*\[\\]"), "ref contains invalid characters").when(F.contains(ref, F.lit("..")), "ref contains two dots")
+
+
+def identifier_error(name: Column) -> Column:
+    """why a function's name is not taken, null if it is."""
+    return F.when(F.coalesce(name, F.lit("")) == "", "name cannot be empty").when(~name.rlike(r"^[A-Za-z_$][A-Za-z0-9_$.]*$"), "name contains invalid characters")
+
+
+def diffs_of(diffs: DataFrame, language: str) -> DataFrame:
+    """the diffs of one language, by any of its names."""
+    wanted = dims.LANGUAGE_ALIASES.get(language.lower(), "")
+    return diffs.where((dims.language_of(F.col("language")) == wanted) & F.lit(wanted != ""))
+
+
+def diff_languages(diffs: DataFrame) -> DataFrame:
+    """How many diffs each language has, known languages in their fixed order, others behind them by name."""
+    n = diffs.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    return n.orderBy(dims.mapped(F.col("language"), dims.LANGUAGE_PRIORITY, 99), "language")
+
+
+def phase_skipped(files: DataFrame, phase: str) -> str | None:
+    """F32: why a phase is left out for a scope, None if it runs. files: path, status, language. One bounded look at the files."""
+    known = {"static-analysis": dims.LINT_EXTENSIONS, "ast": dims.SCOPE_EXTENSIONS, "call-graph": dims.SCOPE_EXTENSIONS, "data-flow": dims.FLOW_EXTENSIONS}[phase]
+    if files.isEmpty():
+        return "no files in scope"
+    typed = files.where(dims.mapped(F.lower(extension(F.col("path"))), known).isNotNull())
+    if typed.isEmpty():
+        return "no files of a supported language"
+    if phase != "static-analysis" and typed.where(bucket(F.col("status")) != "deleted").isEmpty():
+        return "only deleted files"
+    return None
+
+
+def scope(changed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Files by bucket, languages and the one of them, packages and totals, by the given columns. changed: path, status, additions, deletions."""
+    b = bucket(F.col("status"))
+    known = F.sort_array(F.collect_set(language(F.col("path"))))
+    out = changed.groupBy(*by).agg(
+        *(F.count_if(b == x).alias(x) for x in ("modified", "added", "deleted")), F.count_if(F.substring("status", 1, 1) == "R").alias("renamed"),
+        F.coalesce(F.sum("additions"), F.lit(0)).alias("total_additions"), F.coalesce(F.sum("deletions"), F.lit(0)).alias("total_deletions"),
+        F.count_distinct(dir_name(F.col("path"))).alias("packages"), known.alias("__known"),
+    )
+    one = F.when(F.size("__known") == 0, "unknown").when(F.size("__known") == 1, F.get("__known", 0)).otherwise("mixed")
+    return out.select("*", F.array_join("__known", ",").alias("languages"), one.alias("language")).drop("__known")
+
+
+def scope_files(files: DataFrame, base: DataFrame, work: DataFrame, counts: DataFrame) -> DataFrame:
+    """C17: the files of a list as changes: cleaned, distinct, status from presence, line counts; a file that is nowhere is left out. All: path."""
+    wanted = files.select(clean(F.col("path")).alias("path")).distinct()
+    status = presence(base.join(wanted, "path", "left_semi"), work.join(wanted, "path", "left_semi"))
+    return with_counts(status, counts)
+
+
+def scope_mode(mode: str, committed: DataFrame, staged: DataFrame, unstaged: DataFrame, untracked: DataFrame) -> DataFrame:
+    """The changes of a scope: refs, staged, unstaged (with untracked files as added) or all; of a path that occurs in several parts the latest stands."""
+    parts = {"refs": [committed], "staged": [staged], "unstaged": [unstaged, untracked], "all": [committed, staged, unstaged, untracked]}.get(mode)
+    if parts is None:
+        raise ValueError(f"unknown scope mode: {mode}")
+    out = None
+    for i, p in enumerate(parts):
+        rows = p.select("path", "status", "additions", "deletions", F.lit(i).alias("__part"))
+        out = rows if out is None else out.unionByName(rows)
+    best = out.groupBy("path").agg(F.max_by(F.struct("status", "additions", "deletions"), "__part").alias("b"))
+    return best.select("path", "b.*")

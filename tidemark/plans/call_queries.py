@@ -16,10 +16,10 @@ def _(s, f):
     return ca.resolve(s, f)
 
 
-@query("j14_attach_sites", "SELECT m.name, m.file, coalesce(n, 0)::INT AS n, first FROM (SELECT DISTINCT caller AS name, file FROM {call_sites} UNION SELECT 'none', 'none.py') m LEFT JOIN (SELECT caller, file, count(*) AS n, min(target) FILTER (line = 1) AS first FROM {call_sites} GROUP BY ALL) c ON c.caller = m.name AND c.file = m.file", "call_sites")
+@query("j14_attach_sites", "SELECT m.name, m.file, c.nth, c.line, c.target FROM (SELECT DISTINCT caller AS name, file FROM {call_sites} UNION SELECT 'none', 'none.py') m LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY file, caller ORDER BY line, target)::INT AS nth FROM {call_sites}) c ON c.caller = m.name AND c.file = m.file", "call_sites")
 def _(s):
     m = s.select(F.col("caller").alias("name"), "file").distinct().union(s.sparkSession.createDataFrame([("none", "none.py")], "name string, file string"))
-    return ca.attach(m, s).select("name", "file", F.size("sites").alias("n"), F.get("sites", 0)["target"].alias("first"))
+    return ca.attach(m, s).select("name", "file", "nth", "line", "target")
 
 
 @query(
@@ -73,14 +73,14 @@ def _(m, e):
     return ca.impacted(m, e)
 
 
-@query("a06_affected_packages", "SELECT split_part(file, '.', 1) AS package, min(name) AS first_name FROM {modified} GROUP BY ALL", "modified")
-def _(m):
-    return m.groupBy(F.substring_index("file", ".", 1).alias("package")).agg(F.min("name").alias("first_name"))
+@query("a06_affected_packages", "SELECT regexp_replace(path, '/[^/]*$', '') AS package, min(ord) AS first_ord FROM {changed} GROUP BY ALL", "changed")
+def _(c):
+    return ca.affected_packages(c, path="path")
 
 
-@query("a14_virtual_edges", "SELECT callee, count(*) FILTER (is_virtual) AS n_virtual, count(*) AS n FROM {edges} GROUP BY callee", "edges")
+@query("a14_virtual_edges", "SELECT count(*) FILTER (is_virtual) AS n_virtual, count(*) AS n, CASE WHEN bool_or(is_virtual) THEN concat(count(*) FILTER (is_virtual), ' call edge(s) resolved through interfaces; targets are possible, not certain') END AS warning FROM {edges}", "edges")
 def _(e):
-    return e.groupBy("callee").agg(F.count_if("is_virtual").alias("n_virtual"), F.count(F.lit(1)).alias("n"))
+    return ca.virtual_summary(e)
 
 
 @query("a16_collect_edges", "SELECT caller, array_to_string(list_sort(list(DISTINCT callee)), ',') AS callees FROM {edges} GROUP BY caller", "edges")
@@ -103,6 +103,11 @@ def _(e):
     return ca.top_callers(e)
 
 
+@query("t04_top_callees", "SELECT caller, array_to_string(list_sort(list(callee) FILTER (rn <= 5)), ',') AS callees, greatest(count(*) - 5, 0)::BIGINT AS more FROM (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY callee) AS rn FROM (SELECT DISTINCT callee, caller FROM {edges})) GROUP BY caller", "edges")
+def _(e):
+    return ca.top_callees(e)
+
+
 @query("t05_first_500", "SELECT name, file FROM {modified} ORDER BY file, name LIMIT 500", "modified")
 def _(m):
     return ca.first_modified(m)
@@ -125,10 +130,32 @@ def _(e):
     return e.select("caller", ca.is_test_function(F.substring_index("caller", ":", -1), "go").alias("is_test")).distinct()
 
 
-@query("f28_test_files", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE false END AS is_test FROM part", "t:part")
+# names and paths of all shapes, put together from parts of the tables
+_NAMES = "concat(CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Cls.' WHEN 2 THEN 'TestCls.' ELSE 'a.b.' END, CASE p_partkey % 11 WHEN 0 THEN 'test_x' WHEN 1 THEN 'TestX' WHEN 2 THEN 'x_test' WHEN 3 THEN 'testing' WHEN 4 THEN 'contest' WHEN 5 THEN 'describe' WHEN 6 THEN 'BeforeEach' WHEN 7 THEN 'spec_y' WHEN 8 THEN 'IT' WHEN 9 THEN 'xTest' ELSE 'run' END)"
+_PATHS = "concat(CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'tests/' WHEN 2 THEN 'contest/' WHEN 3 THEN 'a/test/' WHEN 4 THEN '__tests__/' WHEN 5 THEN 'b/latests/c/' ELSE 'src/' END, CASE p_partkey % 9 WHEN 0 THEN 'test_x.py' WHEN 1 THEN 'x_test.py' WHEN 2 THEN 'conftest.py' WHEN 3 THEN 'x.test.ts' WHEN 4 THEN 'y.spec.tsx' WHEN 5 THEN 'z_spec.js' WHEN 6 THEN 'z_test.go' WHEN 7 THEN 'latest.ts' ELSE 'plain.py' END)"
+
+
+@query(
+    "f27_script_tests",
+    f"""SELECT p_partkey, name, starts_with(last, 'test_') OR starts_with(last, 'Test') OR ends_with(last, '_test') AS python, lower(name) IN ('it', 'test', 'describe', 'beforeeach', 'aftereach', 'beforeall', 'afterall') OR starts_with(lower(name), 'test_') OR starts_with(lower(name), 'spec_') AS typescript
+FROM (SELECT *, regexp_replace(name, '^.*\\.', '') AS last FROM (SELECT p_partkey, {_NAMES} AS name FROM part))""",
+    "t:part",
+)
 def _(p):
-    path = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'a/test_x.py' WHEN 1 THEN 'tests/y.py' WHEN 2 THEN 'a/latest.py' WHEN 3 THEN 'b/z_test.py' ELSE 'contests/q.py' END")
-    return p.select("p_partkey", ca.is_test_file(path, "python").alias("is_test"))
+    n = p.select("p_partkey", F.expr(_NAMES).alias("name"))
+    return n.select("p_partkey", "name", ca.is_test_function(F.col("name"), "python").alias("python"), ca.is_test_function(F.col("name"), "typescript").alias("typescript"))
+
+
+@query(
+    "f28_test_files",
+    f"""SELECT p_partkey, path, ends_with(base, '_test.go') AS go, starts_with(base, 'test_') OR ends_with(base, '_test.py') OR strpos(path, 'tests/') > 0 OR strpos(path, 'test/') > 0 AS python,
+  regexp_matches(base, '\\.test\\.|\\.spec\\.|_test\\.|_spec\\.') OR strpos(path, '__tests__') > 0 OR strpos(path, '/test/') > 0 OR strpos(path, '/tests/') > 0 AS typescript
+FROM (SELECT *, regexp_extract(path, '[^/]*$') AS base FROM (SELECT p_partkey, {_PATHS} AS path FROM part))""",
+    "t:part",
+)
+def _(p):
+    f = p.select("p_partkey", F.expr(_PATHS).alias("path"))
+    return f.select("p_partkey", "path", *(ca.is_test_file(F.col("path"), x).alias(x) for x in ("go", "python", "typescript")))
 
 
 @query("j17_module_imports", "SELECT DISTINCT f.file, m.source FROM (SELECT concat('src/m', l_suppkey % 30, '.ts') AS source, concat('/w/lib/m', l_partkey % 50, '.ts') AS resolved FROM lineitem) m JOIN (SELECT DISTINCT concat('lib/m', p_partkey % 20, '.ts') AS file FROM part) f ON ends_with(m.resolved, '/' || f.file)", "t:lineitem", "t:part")
@@ -142,10 +169,16 @@ def _(f):
     return ca.requested(f, ["fn7", "fn8", "K0.fn12"]).select("ord", "name")
 
 
-@query("j20_zip_arguments", "SELECT p_partkey, unnest(['a', 'b']) AS parameter, unnest([p_brand, p_type]) AS argument FROM part", "t:part")
+@query(
+    "j20_zip_arguments",
+    """SELECT concat('c', p_partkey) AS caller, concat('fn', p_size % 4) AS callee, i::INT AS position, list_extract(['a', 'bee', 'cx'], i + 1) AS parameter, list_extract(string_split(p_type, ' '), i + 1) AS argument
+FROM part, range(3) AS r(i) WHERE i < p_size % 4 AND i < len(string_split(p_type, ' '))""",
+    "t:part",
+)
 def _(p):
-    pairs = F.arrays_zip(F.array(F.lit("a"), F.lit("b")).alias("parameter"), F.array("p_brand", "p_type").alias("argument"))
-    return p.select("p_partkey", F.explode(pairs).alias("z")).select("p_partkey", F.col("z.parameter"), F.col("z.argument"))
+    calls = p.select(F.concat(F.lit("c"), "p_partkey").alias("caller"), F.concat(F.lit("fn"), F.col("p_size") % 4).alias("callee"), F.split("p_type", " ").alias("arguments"))
+    functions = p.sparkSession.createDataFrame([(f"fn{n}", ["a", "bee", "cx"][:n]) for n in range(4)], "callee string, parameters array<string>")
+    return ca.zip_arguments(calls, functions)
 
 
 @query(
@@ -161,12 +194,46 @@ def _(p):
     return ca.interface_edges(sites, impl, methods)
 
 
-@query("m30_closures", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '<anonymous>' WHEN 1 THEN concat('pkg.f', p_partkey) WHEN 2 THEN concat('g', p_partkey) ELSE 'plain' END AS owner FROM part", "t:part")
+_SSA = "CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN concat('func', p_size) WHEN 2 THEN concat('run$', p_size) WHEN 3 THEN 'function' WHEN 4 THEN 'func1x' ELSE concat('f', p_size) END"
+_PARENT, _RECEIVER = "CASE WHEN p_partkey % 5 > 0 THEN concat('T.m', p_partkey % 5) END", "CASE WHEN p_partkey % 4 = 0 THEN '*T' ELSE '' END"
+
+
+@query(
+    "m30_closures",
+    f"""SELECT p_partkey, CASE WHEN p IS NOT NULL AND (n = '' OR regexp_full_match(n, 'func[0-9]+') OR regexp_matches(n, '\\$[0-9]+$')) THEN p || '.<closure:' || n || '>' WHEN r <> '' THEN r || '.' || n ELSE n END AS shown
+FROM (SELECT p_partkey, {_SSA} AS n, {_PARENT} AS p, {_RECEIVER} AS r FROM part)""",
+    "t:part",
+)
 def _(p):
-    name = F.expr("CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat('pkg.f', p_partkey, '$2') WHEN 2 THEN concat('g', p_partkey, '.func1') ELSE 'plain' END")
-    return p.select("p_partkey", ca.closure_owner(name).alias("owner"))
+    return p.select("p_partkey", ca.shown_name(F.expr(_SSA), F.expr(_PARENT), F.expr(_RECEIVER)).alias("shown"))
 
 
 @query("m31_base_name", "SELECT ord, split_part(name, '.', -1) AS base FROM {functions}", "functions")
 def _(f):
     return f.select("ord", ca.base_symbol(F.col("name")).alias("base"))
+
+
+@query(
+    "c22_call_graph",
+    f"""WITH m AS (SELECT file || ':' || name AS node FROM (SELECT * FROM {{modified}} ORDER BY file, name LIMIT 500)), c AS (
+  SELECT m.node, count(DISTINCT e.caller) AS callers, count(DISTINCT CASE WHEN {_TEST.format("split_part(e.caller, ':', -1)")} THEN e.caller END) AS tests FROM m LEFT JOIN {{edges}} e ON e.callee = m.node GROUP BY m.node
+), d AS (SELECT m.node, count(DISTINCT e.callee) AS callees FROM m LEFT JOIN {{edges}} e ON e.caller = m.node GROUP BY m.node)
+SELECT node, callers, tests, callees, CASE WHEN callers >= 3 THEN 'HIGH' WHEN callers >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS impact FROM c JOIN d USING (node)""",
+    "modified",
+    "edges",
+)
+def _(m, e):
+    return ca.call_graph(m, e)["functions"].select("node", "callers", "tests", "callees", "impact")
+
+
+@query(
+    "c23_script_call_graph",
+    """WITH f AS (SELECT *, split_part(name, '.', -1) AS base FROM {functions}), first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY ord) AS rn FROM f) WHERE rn = 1),
+r AS (SELECT s.file, s.caller, first.name, first.file AS callee_file FROM {call_sites} s JOIN first ON split_part(s.target, '.', -1) = first.base),
+w AS (SELECT DISTINCT name, file FROM f WHERE base IN ('fn7', 'fn8', 'fn9') OR name = 'K0.fn12')
+SELECT w.name AS callee, w.file AS callee_file, count(r.caller) AS n_sites, count(DISTINCT r.file || ':' || r.caller) AS n_callers FROM w LEFT JOIN r ON r.name = w.name AND r.callee_file = w.file GROUP BY w.name, w.file""",
+    "call_sites",
+    "functions",
+)
+def _(s, f):
+    return ca.script_call_graph(s, f, ["fn7", "fn8", "fn9", "K0.fn12"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dims
@@ -25,6 +26,17 @@ def _(f):
     return fi.summary(f)
 
 
+@query("a01_severity_errors", "SELECT ord, concat('unknown severity \"', severity, '\" for finding ', file, ':', line, ' (', message, ')') AS error FROM {findings} WHERE severity NOT IN ('critical', 'high', 'warning', 'info')", "findings")
+def _(f):
+    return fi.unknown_severities(f)
+
+
+@query("a02_merge_versions", "SELECT tool, max_by(v, k) AS version FROM (SELECT tool, concat('1.', max(ord)) AS v, ord % 3 AS k FROM {findings} GROUP BY tool, k) GROUP BY tool", "findings")
+def _(f):
+    part = lambda k: f.where(F.col("ord") % 3 == k).groupBy("tool").agg(F.concat(F.lit("1."), F.max("ord")).alias("version"))
+    return fi.merge_versions([part(k) for k in range(3)])
+
+
 @query("j18_changed_only", "SELECT * FROM {findings} WHERE file IN (SELECT path FROM {changed})", "findings", "changed")
 def _(f, c):
     return fi.keep_changed(f, c)
@@ -72,11 +84,11 @@ _LINTERS = "(VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in dims.L
 @query(
     "f05_linter_targets",
     f"""SELECT DISTINCT linter, target_kind, CASE target_kind WHEN 'files' THEN path WHEN 'packages' THEN './' || regexp_replace(path, '/?[^/]*$', '') ELSE '.' END AS target
-FROM (SELECT path, {dims.mapped_sql(_EXT.format('path'), dims.LINT_EXTENSIONS)} AS language FROM {{changed}}) JOIN {_LINTERS} USING (language)""",
+FROM (SELECT path, {dims.mapped_sql(f"lower({_EXT.format('path')})", dims.LINT_EXTENSIONS)} AS language FROM (SELECT CASE WHEN ord % 11 = 0 THEN upper(path) ELSE path END AS path FROM {{changed}})) JOIN {_LINTERS} USING (language)""",
     "changed",
 )
 def _(c):
-    return fi.lint_targets(c)
+    return fi.lint_targets(c.select(F.when(F.col("ord") % 11 == 0, F.upper("path")).otherwise(F.col("path")).alias("path")))
 
 
 @query("f06_linter_eligibility", f"SELECT linter, language FROM {_LINTERS} WHERE language IN (SELECT {dims.mapped_sql(_EXT.format('path'), dims.SCOPE_EXTENSIONS)} FROM {{changed}})", "changed")
@@ -162,33 +174,54 @@ def _(c):
     return f.where(F.col("f").endswith(".go") & ~F.col("f").endswith("_test.go")).distinct()
 
 
-@query("f31_language_alias", f"SELECT event_id, {dims.mapped_sql('l', dims.LANGUAGE_ALIASES, 'l')} AS language FROM (SELECT event_id, lower(trim(CASE event_id % 5 WHEN 0 THEN 'Golang' WHEN 1 THEN ' ts' WHEN 2 THEN 'PY' WHEN 3 THEN 'go' ELSE 'rust' END)) AS l FROM events)", "t:events")
+_WORDS = "CASE event_id % 9 WHEN 0 THEN 'Golang' WHEN 1 THEN 'ts' WHEN 2 THEN 'PY' WHEN 3 THEN 'go' WHEN 4 THEN 'JavaScript' WHEN 5 THEN 'js' WHEN 6 THEN 'typescript' WHEN 7 THEN 'python' ELSE 'rust' END"
+
+
+@query("f31_language_alias", f"SELECT event_id, CASE WHEN l IN ('go', 'golang') THEN 'go' WHEN l IN ('typescript', 'ts', 'javascript', 'js') THEN 'typescript' WHEN l IN ('python', 'py') THEN 'python' ELSE '' END AS language FROM (SELECT event_id, lower({_WORDS}) AS l FROM events)", "t:events")
+def _(e):
+    return e.select("event_id", dims.language_of(F.expr(_WORDS)).alias("language"))
+
+
+@query("f21_diffs_of_language", f"SELECT event_id FROM events WHERE {_WORDS} IN ('ts', 'JavaScript', 'js', 'typescript')", "t:events")
 def _(e):
-    word = F.lower(F.trim(F.expr("CASE event_id % 5 WHEN 0 THEN 'Golang' WHEN 1 THEN ' ts' WHEN 2 THEN 'PY' WHEN 3 THEN 'go' ELSE 'rust' END")))
-    return e.select("event_id", dims.mapped(word, dims.LANGUAGE_ALIASES, word).alias("language"))
+    return pa.diffs_of(e.select("event_id", F.expr(_WORDS).alias("language")), "TS").select("event_id")
+
+
+@query("a09_diff_languages", f"SELECT language, count(*) AS n FROM (SELECT {_WORDS} AS language FROM events) GROUP BY language", "t:events")
+def _(e):
+    return pa.diff_languages(e.select(F.expr(_WORDS).alias("language")))
+
+
+@query("t03_language_order", "SELECT language, row_number() OVER (ORDER BY CASE language WHEN 'go' THEN 0 WHEN 'typescript' THEN 1 WHEN 'python' THEN 2 ELSE 9 END, language)::INT AS place FROM (SELECT DISTINCT " + _WORDS + " AS language FROM events)", "t:events")
+def _(e):
+    ordered = pa.diff_languages(e.select(F.expr(_WORDS).alias("language")))
+    # one row a language
+    rank = Window.orderBy(dims.mapped(F.col("language"), dims.LANGUAGE_PRIORITY, 99), "language")
+    return ordered.select("language", F.row_number().over(rank).alias("place"))
 
 
 @query(
     "j06_line_counts",
     """SELECT c.path, c.status, coalesce(n.additions, 0)::BIGINT AS additions, coalesce(n.deletions, 0)::BIGINT AS deletions
-FROM (SELECT DISTINCT path, status FROM {changed}) c LEFT JOIN (SELECT path, sum(additions) AS additions, sum(deletions) AS deletions FROM {changed} WHERE ord % 3 = 0 GROUP BY path) n USING (path)""",
+FROM (SELECT DISTINCT path, status FROM {changed}) c LEFT JOIN (SELECT path, sum(additions) AS additions, sum(deletions) AS deletions FROM {changed} WHERE status <> 'X' GROUP BY path) n USING (path)""",
     "changed",
 )
 def _(c):
-    counts = c.where("ord % 3 = 0").groupBy(F.concat(F.lit("./"), "path").alias("path")).agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
+    counts = c.where("status <> 'X'").groupBy(F.concat(F.lit("./"), "path").alias("path")).agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
     return pa.with_counts(c.select("path", "status").distinct(), counts)
 
 
-_TWO = "SELECT DISTINCT path FROM {{changed}} WHERE ord % {} < {}"
+_TWO = "SELECT DISTINCT concat(path, ord) AS path FROM {{changed}} WHERE left(status, 1) <> '{}'"
 
 
 @query(
     "j07_presence_status",
-    f"SELECT path, CASE WHEN b.path IS NOT NULL AND w.path IS NOT NULL THEN 'M' WHEN w.path IS NOT NULL THEN 'A' ELSE 'D' END AS status FROM ({_TWO.format(5, 1)}) b FULL JOIN ({_TWO.format(7, 1)}) w USING (path)".replace("{{", "{").replace("}}", "}"),
+    f"SELECT path, CASE WHEN b.path IS NOT NULL AND w.path IS NOT NULL THEN 'M' WHEN w.path IS NOT NULL THEN 'A' ELSE 'D' END AS status FROM ({_TWO.format('A')}) b FULL JOIN ({_TWO.format('D')}) w USING (path)".replace("{{", "{").replace("}}", "}"),
     "changed",
 )
 def _(c):
-    return pa.presence(c.where("ord % 5 < 1"), c.where("ord % 7 < 1"))
+    named = c.withColumn("path", F.concat("path", "ord"))
+    return pa.presence(named.where("left(status, 1) <> 'A'"), named.where("left(status, 1) <> 'D'"))
 
 
 @query("a07_packages", f"SELECT DISTINCT {_DIR.format('path')} AS package FROM {{changed}}", "changed")
@@ -266,20 +299,81 @@ def _(e):
     return e.select("event_id", pa.clean(raw).alias("path"))
 
 
-@query("m15_common_ancestor", "SELECT 'src' AS ancestor", "changed")
+_GROUPED = "SELECT ord % 977 AS g, CASE WHEN ord % 977 % 3 = 0 THEN path WHEN ord % 977 % 3 = 1 THEN concat('lib/', CASE WHEN ord % 2 = 0 THEN 'a' ELSE 'a-b' END, '/', path) ELSE concat('top', ord % 2, '/x.go') END AS path FROM {changed}"
+
+
+@query(
+    "m15_common_ancestor",
+    f"""WITH f AS (SELECT g, string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS s FROM ({_GROUPED})), p AS (
+  SELECT g, i, array_to_string(any_value(s[1:i]), '/') AS prefix FROM f, range(1, 9) AS r(i) GROUP BY g, i HAVING count(DISTINCT array_to_string(s[1:i], '/')) = 1 AND min(len(s)) >= i
+)
+SELECT f.g, coalesce(max_by(p.prefix, p.i), '.') AS ancestor FROM (SELECT DISTINCT g FROM f) f LEFT JOIN p USING (g) GROUP BY f.g""",
+    "changed",
+)
 def _(c):
-    return pa.common_ancestor(c)
+    third = F.col("ord") % 977 % 3
+    path = F.when(third == 0, F.col("path")).when(third == 1, F.concat(F.lit("lib/"), F.when(F.col("ord") % 2 == 0, "a").otherwise("a-b"), F.lit("/"), "path")).otherwise(F.concat(F.lit("top"), F.col("ord") % 2, F.lit("/x.go")))
+    return pa.common_ancestor(c.select((F.col("ord") % 977).alias("g"), path.alias("path")), by=["g"])
 
 
 @query(
-    "c16_scope",
-    f"""SELECT count(*) FILTER (left(status, 1) NOT IN ('A', 'D')) AS modified, count(*) FILTER (status = 'A') AS added, count(*) FILTER (status = 'D') AS deleted,
-  sum(additions)::BIGINT AS total_additions, sum(deletions)::BIGINT AS total_deletions, count(DISTINCT {_DIR.format('path')}) AS packages FROM {{changed}}""",
+    "m11_glob_classes",
+    """SELECT DISTINCT path FROM {changed} WHERE regexp_matches(path, '^src/p[1-3][^0-4/]/m[^/]*\\.(py|go)$') OR regexp_matches(path, '^src/([^/]*/)*m4\\.go$')""",
     "changed",
 )
 def _(c):
-    b = pa.bucket(F.col("status"))
-    return c.agg(
-        *(F.count_if(b == x).alias(x) for x in ("modified", "added", "deleted")),
-        F.sum("additions").alias("total_additions"), F.sum("deletions").alias("total_deletions"), F.count_distinct(pa.dir_name(F.col("path"))).alias("packages"),
-    )
+    return pa.expand(c.select("path").distinct(), ["src/p[1-3][^0-4]/m**.py", "src/p[1-3][^0-4]/m*.g[o]", "./src/**/m\\4.go"])
+
+
+@query(
+    "f33_path_errors",
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'path cannot be empty' WHEN 1 THEN 'path must be relative' WHEN 2 THEN 'path contains path traversal' WHEN 3 THEN NULL WHEN 4 THEN 'path contains path traversal' ELSE NULL END AS error,
+  CASE event_id % 6 WHEN 0 THEN 'ref cannot be empty' WHEN 1 THEN NULL WHEN 2 THEN 'ref contains two dots' WHEN 3 THEN 'ref contains two dots' WHEN 4 THEN 'ref contains invalid characters' ELSE NULL END AS ref_error FROM events""",
+    "t:events",
+)
+def _(e):
+    path = F.expr("CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN concat('/etc/', event_id) WHEN 2 THEN concat('a/../../', event_id) WHEN 3 THEN concat('a/../b', event_id) WHEN 4 THEN concat('..\\\\x', event_id) ELSE concat('d/', event_id) END")
+    return e.select("event_id", pa.path_error(path).alias("error"), pa.ref_error(path).alias("ref_error"))
+
+
+_SCOPE = f"""count(*) FILTER (left(status, 1) NOT IN ('A', 'D')) AS modified, count(*) FILTER (status = 'A') AS added, count(*) FILTER (status = 'D') AS deleted, count(*) FILTER (left(status, 1) = 'R') AS renamed,
+  sum(additions)::BIGINT AS total_additions, sum(deletions)::BIGINT AS total_deletions, count(DISTINCT {_DIR.format('path')}) AS packages,
+  coalesce(array_to_string(list_sort(list(DISTINCT l) FILTER (l IS NOT NULL)), ','), '') AS languages, CASE count(DISTINCT l) WHEN 0 THEN 'unknown' WHEN 1 THEN min(l) ELSE 'mixed' END AS language"""
+_TYPED = f"(SELECT *, {dims.mapped_sql(_EXT.format('path'), dims.SCOPE_EXTENSIONS)} AS l FROM {{rows}})"
+
+
+@query("c16_scope", f"SELECT {_SCOPE} FROM {_TYPED.replace('{rows}', '{changed}')}", "changed")
+def _(c):
+    return pa.scope(c)
+
+
+@query("c16_scope_by_package", f"SELECT package, {_SCOPE} FROM (SELECT *, {_DIR.format('path')} AS package FROM {_TYPED.replace('{rows}', '{changed}')}) GROUP BY package", "changed")
+def _(c):
+    return pa.scope(c.withColumn("package", pa.dir_name(F.col("path"))), ["package"])
+
+
+@query(
+    "c17_scope_files",
+    """WITH f AS (SELECT DISTINCT concat(path, ord % 40) AS path FROM {changed} WHERE ord % 6 < 5), b AS (SELECT DISTINCT concat(path, ord % 40) AS path FROM {changed} WHERE left(status, 1) <> 'A'), w AS (SELECT DISTINCT concat(path, ord % 40) AS path FROM {changed} WHERE left(status, 1) <> 'D'),
+n AS (SELECT concat(path, ord % 40) AS path, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions FROM {changed} WHERE status <> 'X' GROUP BY ALL)
+SELECT f.path, CASE WHEN b.path IS NOT NULL AND w.path IS NOT NULL THEN 'M' WHEN w.path IS NOT NULL THEN 'A' ELSE 'D' END AS status, coalesce(additions, 0) AS additions, coalesce(deletions, 0) AS deletions
+FROM f LEFT JOIN b USING (path) LEFT JOIN w USING (path) LEFT JOIN n USING (path)""",
+    "changed",
+)
+def _(c):
+    named = c.withColumn("path", F.concat("path", F.col("ord") % 40))
+    counts = named.where("status <> 'X'").groupBy(F.concat(F.lit("./"), "path").alias("path")).agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
+    listed = named.where("ord % 6 < 5").select(F.concat(F.lit("./"), "path").alias("path")).union(c.sparkSession.createDataFrame([("nowhere.go",)], "path string"))
+    return pa.scope_files(listed, named.where("left(status, 1) <> 'A'"), named.where("left(status, 1) <> 'D'"), counts)
+
+
+@query(
+    "c18_scope_all",
+    """SELECT path, max_by(status, k) AS status, max_by(additions, k) AS additions, max_by(deletions, k) AS deletions
+FROM (SELECT concat(path, ord % 9) AS path, status, additions, deletions, CASE WHEN ord % 4 = 3 THEN ord * 0 + 3 ELSE ord % 4 END AS k, row_number() OVER (PARTITION BY concat(path, ord % 9), ord % 4 ORDER BY ord) AS rn FROM {changed}) WHERE rn = 1 GROUP BY path""",
+    "changed",
+)
+def _(c):
+    part = c.withColumn("k", F.col("ord") % 4).withColumn("path", F.concat("path", F.col("ord") % 9))
+    first = part.groupBy("path", "k").agg(F.min_by(F.struct("status", "additions", "deletions"), "ord").alias("f")).select("path", "k", "f.*")
+    return pa.scope_mode("all", *(first.where(F.col("k") == i).drop("k") for i in range(4)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dims
@@ -67,8 +68,7 @@ def _(p):
 
 @query("w08_list_index", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS idx FROM orders", "t:orders")
 def _(o):
-    keys = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
-    return keys.select("o_custkey", F.posexplode("k").alias("p", "o_orderkey")).select("o_custkey", "o_orderkey", (F.col("p") + 1).alias("idx"))
+    return o.select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("idx"))
 
 
 @query("t07_reviewers", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {len(s)})" for i, (n, s) in enumerate(dims.REVIEWERS)) + ") AS t(ord, reviewer, n_sources)", "t:region")
@@ -87,91 +87,83 @@ def _(p):
 
 
 _INPUTS = ("findings", "before_symbols", "after_symbols", "modified", "edges", "code_lines")
+_KIND = "CASE WHEN pos % 23 = 0 THEN 'error_return' WHEN pos % 23 = 1 THEN 'error_check' WHEN pos % 4 = 1 THEN 'type' WHEN pos % 4 = 2 THEN 'import' ELSE 'function' END"
 
 
 def _tables(f, b, a, m, e, c):
-    changes = sy.diff(b, a, ["file", "name"], ["kind", "sig", "body"]).select("file", "name", "change_type", F.col("before.sig").alias("old_sig"), F.col("after.sig").alias("new_sig"))
+    changes = sy.diff(b, a, ["file", "name"], ["kind", "sig", "body", "pos"]).select("file", "name", "change_type", F.col("before.sig").alias("old_sig"), F.col("after.sig").alias("new_sig"), F.coalesce("before.pos", "after.pos").alias("pos"))
     flows = fq.tracked(c).withColumn("risk", fl.risk(F.col("source_type"), F.col("sink_type"), F.col("sanitized")))
-    return {"findings": f, "changes": changes, "impact": ca.caller_counts(m, e), "flows": flows, "nil_sources": fl.nil_risks(c)}
+    return {"findings": f, "changes": changes.withColumn("symbol_kind", F.expr(_KIND)), "impact": ca.caller_counts(m, e), "flows": flows, "nil_sources": fl.nil_risks(c)}
 
 
 _RANKED = f"(SELECT *, {fq._risk_sql('stype', 'ktype', 'sanitized')} AS risk FROM g)"
-_CHANGED = f"({sq._DIFF})"
+_CHANGED = f"(SELECT *, {_KIND} AS symbol_kind FROM ({sq._DIFF}))"
 _IMPACT = f"({cq._COUNTS})"
 _NIL = f"({fq._NIL_RISK})"
 _HIGH = f"coalesce({dims.mapped_sql('lower(trim(severity))', dims.REVIEW_RANK)} >= 3, true)"
-_SIGS = f"SELECT count(*) FROM {_CHANGED} WHERE change_type = 'modified' AND bsig <> asig"
+_of = lambda kind, change: f"SELECT name AS item FROM {_CHANGED} WHERE symbol_kind = '{kind}' AND change_type = '{change}'"
+_SIGS = _of("function", "modified") + " AND bsig <> asig"
+_QUALITY, _SECURITY = ("SELECT ord::VARCHAR AS item FROM {findings} WHERE lower(trim(category)) " + x + " 'security'" for x in ("<>", "="))
+_FLOW = "SELECT concat(file, ':', sline, '-', kline) AS item FROM " + _RANKED
+_HIGH_FLOW, _MEDIUM_FLOW = _FLOW + " WHERE risk IN ('critical', 'high')", _FLOW + " WHERE risk = 'medium'"
+_NODE = f"SELECT node AS item FROM {_IMPACT}"
+_NILS = f"SELECT concat(file, ':', line, ' ', variable) AS item FROM {_NIL}"
+#: query -> reviewer, CTEs, (ord, title, rows counted, description)
 _AREAS = {
-    "c02_code_focus": ("code-reviewer", "", ((1, "Deprecated API usage", "SELECT count(*) FROM {findings} WHERE lower(trim(category)) = 'deprecation'"), (2, "Signature changes", _SIGS))),
-    "c04_security_focus": ("security-reviewer", fq._TRACKED, ((1, "Unsanitized high-risk flows", f"SELECT count(*) FROM {_RANKED} WHERE risk IN ('critical', 'high') AND NOT sanitized"), (2, "Security scanner findings", f"SELECT count(*) FROM {{findings}} WHERE lower(trim(category)) = 'security' AND {_HIGH}"))),
-    "c06_business_focus": ("business-logic-reviewer", fq._TRACKED, ((1, "High-impact functions", f"SELECT count(*) FROM {_IMPACT} WHERE callers >= 3"), (2, "New functions", f"SELECT count(*) FROM {_CHANGED} WHERE change_type = 'added'"), (3, "High-risk data flows", f"SELECT count(*) FROM {_RANKED} WHERE risk IN ('critical', 'high')"))),
-    "c08_test_focus": ("test-reviewer", "", ((1, "Uncovered code", f"SELECT count(*) FROM {_IMPACT} WHERE tests = 0"),)),
-    "c10_nil_focus": ("nil-safety-reviewer", fq._CLEAN, ((1, "Unchecked nil sources", f"SELECT count(*) FROM {_NIL}"), (2, "High-risk nil sources", f"SELECT count(*) FROM {_NIL} WHERE usage_line IS NOT NULL"))),
-    "c12_consequences_focus": ("consequences-reviewer", "", ((1, "Signature changes", _SIGS), (2, "Removed symbols", f"SELECT count(*) FROM {_CHANGED} WHERE change_type = 'removed'"), (3, "Caller reach", f"SELECT count(*) FROM {_IMPACT} WHERE callers > 0"))),
-    "c14_dead_code_focus": ("dead-code-reviewer", "", ((1, "Deleted symbols", f"SELECT count(*) FROM {_CHANGED} WHERE change_type = 'removed'"), (2, "Orphan functions", f"SELECT count(*) FROM {_IMPACT} WHERE callers = 0"), (3, "Tested orphans", f"SELECT count(*) FROM {_IMPACT} WHERE callers = 0 AND tests > 0"))),
+    "c02_code_focus": ("code-reviewer", "", ((1, "Deprecated API Usage", "SELECT 1 FROM {findings} WHERE lower(trim(category)) = 'deprecation'", "deprecated API calls need updating"),)),
+    "c04_security_focus": ("security-reviewer", fq._TRACKED, ((1, "Unsanitized High-Risk Flows", _HIGH_FLOW + " AND NOT sanitized", "data flows without sanitization"), (2, "Critical Security Findings", _SECURITY + f" AND {_HIGH}", "high/critical security issues detected"))),
+    "c06_business_focus": ("business-logic-reviewer", fq._TRACKED, ((1, "High-Impact Functions", _NODE + " WHERE callers >= 3", "functions with 3+ callers modified"), (2, "New Functions", _of("function", "added"), "new functions added - verify business requirements"), (3, "Data Flow Correctness", _HIGH_FLOW, "high-risk data flow(s) — verify input validation and query shape"))),
+    "c08_test_focus": ("test-reviewer", "", ((1, "Uncovered Code", _NODE + " WHERE tests = 0", "modified functions without test coverage"), (2, "New Error Paths", _of("error_return", "added"), "new error return paths need negative tests"))),
+    "c10_nil_focus": ("nil-safety-reviewer", fq._CLEAN, ((1, "Unchecked Nil Sources", _NILS, "potential nil values without checks"), (2, "High-Risk Nil Sources", _NILS + " WHERE usage_line IS NOT NULL", "high-risk nil sources require immediate attention"))),
+    "c12_consequences_focus": ("consequences-reviewer", "", ((1, "Signature Changes", _SIGS, "function signature(s) changed - all direct callers must be verified"), (2, "Type Shape Changes", _of("type", "modified"), "type(s) modified - downstream serialization and field access may break"), (3, "Broad Caller Reach", _NODE + " WHERE callers >= 3", "modified function(s) have 3+ callers"), (4, "New Error Paths", _of("error_return", "added"), "new error return(s) widen the failure surface for callers"))),
+    "c14_dead_code_focus": ("dead-code-reviewer", "", ((1, "Deleted Functions", _of("function", "removed"), "function(s) removed - confirm no external consumers remain"), (2, "Orphan Functions", _NODE + " WHERE callers = 0", "modified function(s) have zero callers in the call graph"), (3, "Zombie Tests", _NODE + " WHERE callers = 0 AND tests > 0", "orphan function(s) are still covered by tests - candidates for joint removal"), (4, "Removed Imports", _of("import", "removed"), "import(s) removed - verify downstream packages still resolve"))),
 }
+
+
+def _areas_sql(name, counts):
+    rows = [f"SELECT '{name}' AS reviewer, {o} AS ord, '{t}' AS title, concat(n, ' {d}') AS description FROM (SELECT count(*) AS n FROM ({q})) WHERE n > 0" for o, t, q, d in counts]
+    if name == "code-reviewer":
+        rows.append(f"SELECT '{name}', 2, concat('Signature change in ', item), 'Function signature modified - verify caller compatibility' FROM ({_SIGS})")
+    return " UNION ALL ".join(rows)
+
+
 for _key, (_name, _with, _counts) in _AREAS.items():
-    _sql = _with + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{_name}' AS reviewer, {o} AS ord, '{t}' AS title, ({s}) AS n" for o, t, s in _counts) + ") WHERE n > 0"
 
-    @query(_key, _sql, *_INPUTS)
+    @query(_key, _with + _areas_sql(_name, _counts), *_INPUTS)
     def _(*frames, name=_name):
         return rv.focus_areas(name, _tables(*frames))
 
 
-@query("c15_unknown_reviewer", "SELECT 'nobody' AS reviewer, 1 AS ord, 'No focus areas are known for nobody' AS title, 0::BIGINT AS n", "findings")
+@query("c15_unknown_reviewer", "SELECT 'nobody' AS reviewer, 1 AS ord, 'Unknown Reviewer' AS title, 'No focus areas are known for nobody' AS description", "findings")
 def _(f):
     return rv.focus_areas("nobody", {"findings": f})
 
 
-@query("c01_code_review", "SELECT 'finding' AS section, ord::VARCHAR AS item FROM {findings} WHERE lower(trim(category)) <> 'security' UNION ALL SELECT change_type, name FROM " + _CHANGED + " WHERE change_type IN ('added', 'modified')", "findings", "before_symbols", "after_symbols")
-def _(f, b, a):
-    from tidemark.operators.findings import for_quality
-
-    d = sy.diff(b, a, ["file", "name"], ["kind", "sig", "body"]).where("change_type <> 'removed'")
-    return for_quality(f).select(F.lit("finding").alias("section"), F.col("ord").cast("string").alias("item")).unionByName(d.select(F.col("change_type").alias("section"), F.col("name").alias("item")))
-
-
-@query("c03_security_review", fq._TRACKED + "SELECT 'finding' AS section, ord::VARCHAR AS item FROM {findings} WHERE lower(trim(category)) = 'security' UNION ALL SELECT CASE WHEN risk = 'medium' THEN 'medium flow' ELSE 'high flow' END, concat(file, ':', sline, '-', kline) FROM " + _RANKED + " WHERE risk IN ('critical', 'high', 'medium')", "findings", "code_lines")
-def _(f, c):
-    from tidemark.operators.findings import for_security
-
-    t = fq.tracked(c).withColumn("risk", fl.risk(F.col("source_type"), F.col("sink_type"), F.col("sanitized")))
-    flow = t.where(F.col("risk").isin("critical", "high", "medium")).select(F.when(F.col("risk") == "medium", "medium flow").otherwise("high flow").alias("section"), F.concat("source_file", F.lit(":"), "source_line", F.lit("-"), "sink_line").alias("item"))
-    return for_security(f).select(F.lit("finding").alias("section"), F.col("ord").cast("string").alias("item")).unionByName(flow)
-
-
-@query("c05_business_review", "SELECT node, callers FROM " + _IMPACT + " WHERE callers >= 3", "modified", "edges")
-def _(m, e):
-    return ca.high_impact(ca.caller_counts(m, e)).select("node", "callers")
-
-
-@query("c07_test_review", "SELECT node, tests, tests = 0 AS uncovered FROM " + _IMPACT, "modified", "edges")
-def _(m, e):
-    return ca.caller_counts(m, e).select("node", "tests", (F.col("tests") == 0).alias("uncovered"))
-
+#: query -> reviewer, CTEs, (section, rows)
+_SECTIONS = {
+    "c01_code_review": ("code-reviewer", "", (("finding", _QUALITY), ("modified function", _of("function", "modified")), ("added function", _of("function", "added")), ("modified type", _of("type", "modified")))),
+    "c03_security_review": ("security-reviewer", fq._TRACKED, (("finding", _SECURITY), ("high flow", _HIGH_FLOW), ("medium flow", _MEDIUM_FLOW))),
+    "c05_business_review": ("business-logic-reviewer", fq._TRACKED, (("high-impact function", _NODE + " WHERE callers >= 3"), ("modified function", _of("function", "modified")), ("high flow", _HIGH_FLOW), ("medium flow", _MEDIUM_FLOW))),
+    "c07_test_review": ("test-reviewer", "", (("function", f"SELECT concat(node, ' ', tests) AS item FROM {_IMPACT}"), ("uncovered", _NODE + " WHERE tests = 0"))),
+    "c09_nil_review": ("nil-safety-reviewer", fq._CLEAN, (("nil source", _NILS), ("high-risk nil source", _NILS + " WHERE usage_line IS NOT NULL"))),
+    "c11_consequences_review": ("consequences-reviewer", "", (("signature", _SIGS), ("type", _of("type", "modified")), ("import added", _of("import", "added")), ("import removed", _of("import", "removed")), ("error return added", _of("error_return", "added")), ("error check removed", _of("error_check", "removed")), ("callers", _NODE + " WHERE callers > 0"))),
+    "c13_dead_code_review": ("dead-code-reviewer", "", (("deleted function", _of("function", "removed")), ("deleted type", _of("type", "removed")), ("removed import", _of("import", "removed")), ("orphan", _NODE + " WHERE callers = 0"), ("tested orphan", _NODE + " WHERE callers = 0 AND tests > 0"))),
+}
+for _key, (_name, _with, _parts) in _SECTIONS.items():
 
-@query("c09_nil_review", fq._CLEAN + "SELECT file, variable, line, usage_line IS NOT NULL AS high FROM " + _NIL, "code_lines")
-def _(c):
-    return fl.nil_risks(c).select("file", "variable", "line", (F.col("risk") == "high").alias("high"))
+    @query(_key, _with + " UNION ALL ".join(f"SELECT '{s}' AS section, item FROM ({q})" for s, q in _parts), *_INPUTS)
+    def _(*frames, name=_name):
+        return rv.sections(name, _tables(*frames))
 
 
-@query("c11_consequences_review", "SELECT 'signature' AS section, name AS item FROM " + _CHANGED + " WHERE change_type = 'modified' AND bsig <> asig UNION ALL SELECT 'callers', node FROM " + _IMPACT + " WHERE callers > 0", "before_symbols", "after_symbols", "modified", "edges")
-def _(b, a, m, e):
-    d = sy.diff(b, a, ["file", "name"], ["kind", "sig", "body"]).where("change_type = 'modified' and before.sig <> after.sig").select(F.lit("signature").alias("section"), F.col("name").alias("item"))
-    return d.unionByName(ca.impacted(m, e).select(F.lit("callers").alias("section"), F.col("node").alias("item")))
+_ALL_AREAS = fq._TRACKED + ", areas AS (" + " UNION ALL ".join(f"SELECT * FROM ({_areas_sql(n, cs)})" for n, _, cs in _AREAS.values()) + ") "
 
 
-@query("c13_dead_code_review", "SELECT 'deleted' AS section, name AS item FROM " + _CHANGED + " WHERE change_type = 'removed' UNION ALL SELECT 'orphan', node FROM " + _IMPACT + " WHERE callers = 0", "before_symbols", "after_symbols", "modified", "edges")
-def _(b, a, m, e):
-    d = sy.diff(b, a, ["file", "name"], ["kind", "sig", "body"]).where("change_type = 'removed'").select(F.lit("deleted").alias("section"), F.col("name").alias("item"))
-    return d.unionByName(ca.orphans(m, e).select(F.lit("orphan").alias("section"), F.col("node").alias("item")))
+@query("t07_all_focus_areas", _ALL_AREAS + "SELECT * FROM areas", *_INPUTS)
+def _(*frames):
+    return rv.all_focus_areas(_tables(*frames))
 
 
-@query("k07_reviewer_context", "SELECT reviewer, concat('# ', reviewer, chr(10), chr(10), string_agg(concat('- **', " + _escape("title") + ", '**: ', n), chr(10) ORDER BY ord)) AS document FROM (SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS reviewer, {o} AS ord, '{t}' AS title, ({s}) AS n" for n, w, cs in _AREAS.values() if not w for o, t, s in cs) + ") WHERE n > 0) GROUP BY reviewer", *_INPUTS)
+@query("k07_reviewer_context", _ALL_AREAS + f"SELECT reviewer, concat('# ', reviewer, chr(10), chr(10), string_agg(concat('- **', {_escape('title')}, '**: ', {_escape('description')}), chr(10) ORDER BY ord, title)) AS document FROM areas GROUP BY reviewer", *_INPUTS)
 def _(*frames):
-    tables = _tables(*frames)
-    rows = None
-    for name in ("code-reviewer", "test-reviewer", "nil-safety-reviewer", "consequences-reviewer", "dead-code-reviewer"):
-        part = rv.focus_areas(name, tables)
-        rows = part if rows is None else rows.unionByName(part)
-    return rv.markdown(rows)
+    return rv.markdown(rv.all_focus_areas(_tables(*frames)))

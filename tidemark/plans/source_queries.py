@@ -90,9 +90,17 @@ def _(p):
     return parsers.symbols(files).select("p_partkey", "symbol_kind", "name", "sig", "start_line")
 
 
-@query("s31_python_calls", "SELECT p_partkey, unnest([concat('f', p_partkey), concat('f', p_partkey), 'C.m']) AS caller, unnest([concat('g', p_size), 'os.path.join', concat('self.f', p_partkey)]) AS target, unnest([4, 5, 10]) AS line FROM part", "t:part")
+_CALLS = "concat('class C(B):\\n  def m(self):\\n    self.open()\\n    x = sum(a)\\n    def inner():\\n      deep', p_size, '()\\n    return obj[0]() or f', p_partkey, '()()\\n\\ndef g():\\n  print(1)\\n  class D:\\n    def n(self):\\n      a.b[0].c.go()\\n  top(len(x))\\n')"
+
+
+@query(
+    "s31_python_calls",
+    """SELECT p_partkey, unnest(['C.m', 'C.m', 'C.m', 'C.m', 'C.inner', 'g', 'D.n']) AS caller, unnest(['sum', '<subscript>', '<chained>', concat('f', p_partkey), concat('deep', p_size), 'top', 'c.go']) AS target,
+  unnest([4, 7, 7, 7, 6, 14, 13]) AS line, unnest([9, 12, 24, 24, 7, 3, 7])::INT AS column, unnest([false, false, false, false, false, false, true]) AS is_method FROM part""",
+    "t:part",
+)
 def _(p):
-    return parsers.calls(p.select("p_partkey", F.expr(_PY).alias("content"))).select("p_partkey", "caller", "target", "line")
+    return parsers.calls(p.select("p_partkey", F.expr(_CALLS).alias("content"))).select("p_partkey", "caller", "target", "line", "column", "is_method")
 
 
 _GO = "concat('package p\\n\\nfunc (t *T) M', p_partkey, '(a int) error {\\n\\treturn nil\\n}\\n\\nfunc F() {}\\n')"

@@ -9,7 +9,7 @@ from tidemark.plans.registry import query
 
 _J = "{before_symbols} b FULL JOIN {after_symbols} a USING (file, name)"
 _KIND = "CASE WHEN b.pos IS NULL THEN 'added' WHEN a.pos IS NULL THEN 'removed' WHEN b.kind IS DISTINCT FROM a.kind OR b.sig IS DISTINCT FROM a.sig OR b.body IS DISTINCT FROM a.body THEN 'modified' END"
-_DIFF = f"SELECT file, name, {_KIND} AS change_type, b.sig AS bsig, a.sig AS asig, b.body AS bbody, a.body AS abody, b.pos % 4 AS bk, a.pos % 4 AS ak FROM {_J} WHERE {_KIND} IS NOT NULL"
+_DIFF = f"SELECT file, name, {_KIND} AS change_type, b.sig AS bsig, a.sig AS asig, b.body AS bbody, a.body AS abody, b.pos % 4 AS bk, a.pos % 4 AS ak, coalesce(b.pos, a.pos) AS pos FROM {_J} WHERE {_KIND} IS NOT NULL"
 _COLS = ["kind", "sig", "body"]
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -18,11 +19,11 @@ from pyspark.sql.functions import udtf
 
 MAX_BYTES = 10 << 20
 SYMBOL = "symbol_kind string, name string, kind string, sig string, body_hash string, start_line int, end_line int"
-# Built-in calls that are no call sites.
-IGNORED = frozenset(
-    "print len range str int float bool list dict set tuple type isinstance issubclass hasattr getattr setattr delattr super property staticmethod classmethod "
-    "enumerate zip map filter sorted reversed min max sum abs round any all open repr id hash iter next input format vars dir callable".split()
-)
+# Built-in functions whose calls are no call sites.
+IGNORED = (
+    "print", "len", "str", "int", "float", "list", "dict", "set", "tuple", "range", "enumerate", "zip", "map", "filter", "sorted", "reversed",
+    "isinstance", "issubclass", "hasattr", "getattr", "setattr", "delattr", "type", "super", "open", "input",
+)
 
 
 def _hash(text: str) -> str:
@@ -64,36 +65,52 @@ def python_symbols(content: str) -> Iterator[tuple]:
                 yield "import", f"{'.' * n.level}{n.module or ''}.{a.name}", "from", a.asname or "", "", n.lineno, n.end_lineno
 
 
+def _dotted(n: ast.expr) -> str:
+    """Names and attributes joined by dots, as far as they go; "" for anything else."""
+    parts = []
+    while isinstance(n, ast.Attribute):
+        parts.append(n.attr)
+        n = n.value
+    if isinstance(n, ast.Name):
+        parts.append(n.id)
+    return ".".join(parts[::-1])
+
+
+def call_target(f: ast.expr) -> str:
+    """What a call calls: a dotted name, <subscript>, <chained>, or "" for other expressions."""
+    if isinstance(f, ast.Subscript):
+        return "<subscript>"
+    return "<chained>" if isinstance(f, ast.Call) else _dotted(f)
+
+
 def python_calls(content: str) -> Iterator[tuple]:
-    """Caller, target, line, column, is_method of each call outside nested functions; built-ins are skipped."""
+    """Caller, target, line, column from 1, is_method of each call.
+
+    Every function has its calls, nested ones too, without those of functions inside it; one in a
+    class is named by the innermost class. Calls whose last name is a built-in are skipped.
+    """
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
-
-    def own(body):
-        stack = list(body)[::-1]
-        while stack:
-            n = stack.pop()
-            if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef | ast.Lambda):
+    functions = ast.FunctionDef | ast.AsyncFunctionDef
+    found: list[tuple[str, functions]] = []
+    stack: list[tuple[ast.AST, str]] = [(tree, "")]
+    while stack:
+        n, owner = stack.pop()
+        if isinstance(n, functions):
+            found.append((f"{owner}.{n.name}" if owner else n.name, n))
+        inside = n.name if isinstance(n, ast.ClassDef) else owner
+        stack += [(x, inside) for x in reversed(list(ast.iter_child_nodes(n)))]
+    for name, function in found:
+        todo = deque(ast.iter_child_nodes(function))
+        while todo:
+            n = todo.popleft()
+            if isinstance(n, functions):
                 continue
-            yield n
-            stack += list(ast.iter_child_nodes(n))[::-1]
-
-    def calls(name, body):
-        for n in own(body):
-            if isinstance(n, ast.Call) and isinstance(n.func, ast.Name | ast.Attribute):
-                target = ast.unparse(n.func)
-                if target not in IGNORED:
-                    yield name, target, n.lineno, n.col_offset, isinstance(n.func, ast.Attribute)
-
-    for n in tree.body:
-        if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
-            yield from calls(n.name, n.body)
-        elif isinstance(n, ast.ClassDef):
-            for m in n.body:
-                if isinstance(m, ast.FunctionDef | ast.AsyncFunctionDef):
-                    yield from calls(f"{n.name}.{m.name}", m.body)
+            todo.extend(ast.iter_child_nodes(n))
+            if isinstance(n, ast.Call) and (target := call_target(n.func)) and target.rsplit(".", 1)[-1] not in IGNORED:
+                yield name, target, n.lineno, n.col_offset + 1, isinstance(n.func, ast.Attribute)
 
 
 def _masked(text: str, quotes: str) -> str:
