@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tidemark.llm import pii
 
@@ -61,3 +62,18 @@ def test_query_digests_the_base_spans(spark, tmp_path):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want) for k in pii.BASE]
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
     assert got[2].spans == "iban:5:32,ip:36:44"
+
+
+def test_many_spans_of_both_kinds_take_linear_time():
+    """An added span goes where a base span overlaps it, however many there are."""
+    t = "call 555-123-4567 or a@b.com now; " * 40_000
+    began = time.perf_counter()
+    got = pii.spans(t)
+    assert len(got) == 80_000 and time.perf_counter() - began < 60
+    r = random.Random(2)
+    for _ in range(200):
+        x = [(lo, lo + r.randrange(1, 9)) for lo in (r.randrange(60) for _ in range(r.randrange(8)))]
+        m = pii._merged(sorted(x))
+        assert {i for lo, hi in m for i in range(lo, hi)} == {i for lo, hi in x for i in range(lo, hi)}
+        assert all(a[1] <= b[0] for a, b in zip(m, m[1:]))  # noqa: B905
+    assert [s[0] for s in pii.spans("tel +1 555-123-4567 and call 555-123-4567")] == ["phone", "local_phone"]

@@ -5,7 +5,8 @@ its score. The method adds bank accounts (iban, confirmed by mod 97), national i
 phone numbers without a country code (local_phone), which need a score of ACCEPT or more.
 
 Each pattern is run so that its time is in proportion to the text: e-mail addresses are found
-from their "@" outwards, dotted and spaced digit chains are taken whole. Null texts count as
+from their "@" outwards, dotted and spaced digit chains are taken whole, and an added span is held
+against the base spans in one sweep. So very long texts are searched whole. Null texts count as
 empty and have no spans. Repeated rows are searched each; other columns are left alone; an empty
 table gives an empty result. Positions are code points, ends exclusive.
 """
@@ -13,6 +14,7 @@ table gives an empty result. Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -118,6 +120,17 @@ def proposals(text: str) -> Iterator[tuple[Span, bool]]:
         yield ("local_phone", m.start(), m.end()), False
 
 
+def _merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in stretches:
+        if out and lo < out[-1][1]:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def spans(text: str) -> list[tuple[str, int, int, float, bool]]:
     """(kind, start, end, score, base) in the order of start, then kind as listed."""
     found = []
@@ -126,8 +139,14 @@ def spans(text: str) -> list[tuple[str, int, int, float, bool]]:
         score = min(1.0, WEIGHT[kind] + CONFIRMED * confirmed + NEARBY * bool(near))
         if kind in BASE or score >= ACCEPT - 1e-9:
             found.append((kind, lo, hi, score, kind in BASE))
-    base = [(lo, hi) for _, lo, hi, _, b in found if b]
-    found = [x for x in found if x[4] or not any(lo < x[2] and x[1] < hi for lo, hi in base)]
+    taken = _merged(sorted((lo, hi) for _, lo, hi, _, b in found if b))
+    ends = [hi for _, hi in taken]
+
+    def free(lo: int, hi: int) -> bool:
+        k = bisect_right(ends, lo)  # the first stretch that ends behind lo
+        return k == len(taken) or taken[k][0] >= hi
+
+    found = [x for x in found if x[4] or free(x[1], x[2])]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
