@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import test_decontaminate, test_near_dedup
@@ -81,13 +82,14 @@ def test_stages_on_empty_tables(spark, tmp_path):
 
 
 def test_exact_duplicates_and_collisions(spark):
-    rows = [(1, None), (2, ""), (3, "É a"), (4, "É A"), (5, "é a"), (6, "x"), (6, "x"), (None, "X")]
+    long = "lOng text " * 200_000
+    rows = [(1, None), (2, ""), (3, "É a"), (4, "É A"), (5, "é a"), (6, "x"), (6, "x"), (None, "X"), (7, long), (8, long.upper()), (9, long + "x")]
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, kept string")
-    for weak in (exact_dedup.md5_128, lambda x: bytes([len(x) % 2]) * 16):
+    for weak in (exact_dedup.md5_128, lambda x: F.unhex(F.lpad((F.octet_length(x) % 2).cast("string"), 32, "0"))):
         got = sorted((x.doc_id or 0, x.keep_id, x.group_size, x.kept) for x in exact_dedup.exact_duplicates(docs, keep="max", content_hash=weak).collect())
-        assert got == [(0, 6, 3, False), (1, 2, 2, False), (2, 2, 2, True), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 3, True), (6, 6, 3, True)]
+        assert got == [(0, 6, 3, False), (1, 2, 2, False), (2, 2, 2, True), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 3, True), (6, 6, 3, True), (7, 8, 2, False), (8, 8, 2, True), (9, 9, 1, True)]
     assert exact_dedup.drop_duplicates(docs).columns == docs.columns
-    assert sorted(x.doc_id or 0 for x in exact_dedup.drop_duplicates(docs).collect()) == [0, 1, 3, 5, 6, 6]
+    assert sorted(x.doc_id or 0 for x in exact_dedup.drop_duplicates(docs).collect()) == [0, 1, 3, 5, 6, 6, 7, 9]
     assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
 
 

@@ -1,17 +1,17 @@
 """Exact duplicates: 128-bit content hash groups, confirmed byte by byte.
 
-Nulls count as empty texts, so all of them form one group with the empty texts. Ties on the
-id cannot occur between different rows of one id; repeated rows of one id count as members of
-their group each. A null id is never the one that stays if its group has another. An empty table gives an empty result. Other columns are left alone.
+Native DataFrame operations throughout. Nulls count as empty texts, so all of them form one group
+with the empty texts. Texts of any length are hashed and compared whole. Ties on the id cannot
+occur between different rows of one id; repeated rows of one id count as members of their group
+each. A null id is never the one that stays if its group has another. An empty table gives an
+empty result. Other columns are left alone.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+import string
+from collections.abc import Callable
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,40 +20,25 @@ from tidemark.llm._runtime import ready, stored, table
 NAME = "op4_exact_dedup"
 
 
-def md5_128(text: bytes) -> bytes:
-    return hashlib.md5(text, usedforsecurity=False).digest()
+def md5_128(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
-def normalised(texts: pa.Array) -> pa.Array:
+def normalised(text: Column) -> Column:
     """A-Z lower-cased, null as empty."""
-    return pc.ascii_lower(texts.fill_null(""))
+    return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def fingerprints(docs: DataFrame, text_col: str, id_col: str, content_hash: Callable[[bytes], bytes] = md5_128) -> DataFrame:
+def fingerprints(docs: DataFrame, text_col: str, id_col: str, content_hash: Callable[[Column], Column] = md5_128) -> DataFrame:
     """Per row: doc_id, content_hash (16 bytes), text_sha256."""
+    norm = normalised(F.col(text_col))
+    return docs.select(F.col(id_col).alias("doc_id"), content_hash(norm).alias("content_hash"), F.sha2(norm, 256).alias("text_sha256"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [x.encode() for x in normalised(b.column(1)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(content_hash, texts), pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())],
-                names=["doc_id", "content_hash", "text_sha256"],
-            )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, content_hash binary, text_sha256 string")
-
-
-def _texts(docs: DataFrame, text_col: str, id_col: str, content_hash: Callable[[bytes], bytes]) -> DataFrame:
+def _texts(docs: DataFrame, text_col: str, id_col: str, content_hash: Callable[[Column], Column]) -> DataFrame:
     """Per row: doc_id, content_hash, the normalised text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = normalised(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([content_hash(x.encode()) for x in texts.to_pylist()], pa.binary()), texts], names=["doc_id", "content_hash", "norm"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, content_hash binary, norm string")
+    norm = normalised(F.col(text_col))
+    return docs.select(F.col(id_col).alias("doc_id"), content_hash(norm).alias("content_hash"), norm.alias("norm"))
 
 
 def _rekeyed(c: str) -> Column:
@@ -61,7 +46,7 @@ def _rekeyed(c: str) -> Column:
     return F.unhex(F.hex(c))
 
 
-def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "min", content_hash: Callable[[bytes], bytes] = md5_128) -> DataFrame:
+def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "min", content_hash: Callable[[Column], Column] = md5_128) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. keep: which id of a group stays, "min" or "max".
 
     Counts per hash are combined before the shuffle, so a group of any size is one row per task.
@@ -89,7 +74,7 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     )
 
 
-def _regrouped(docs: DataFrame, rows: DataFrame, clash: DataFrame, text_col: str, id_col: str, pick: Callable, content_hash: Callable[[bytes], bytes]) -> DataFrame:
+def _regrouped(docs: DataFrame, rows: DataFrame, clash: DataFrame, text_col: str, id_col: str, pick: Callable, content_hash: Callable[[Column], Column]) -> DataFrame:
     """Rows of hashes that different texts share, grouped by hash and text."""
     texts = _texts(docs, text_col, id_col, content_hash).join(clash, "content_hash", "left_semi")
     sizes = texts.groupBy("content_hash", "norm").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
