@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -25,7 +26,9 @@ def brute(items, text):
     x = flat(text)
     for item, t in items:
         y = flat(t)
-        if len(y) < dc.LEAST_BYTES:
+        if len(y) < dc.Q:
+            if y and re.search(rb"(?<![a-z0-9\x80-\xff])" + re.escape(y) + rb"(?![a-z0-9\x80-\xff])", x) is not None:
+                out[item] = 0
             continue
         last = max(0, len(y) - dc.WINDOW)
         for lo in sorted({*range(0, last, dc.WINDOW // 2), last}):
@@ -47,8 +50,9 @@ def edited(r, t, n):
 def test_equals_brute_force(spark):
     r = random.Random(4)
     prose = lambda n: " ".join("".join(r.choice("aeiotnsr") for _ in range(r.randrange(1, 8))) for _ in range(n))
-    items = [(i, prose(r.randrange(6, 60)).capitalize()) for i in range(12)] + [(90, "short one"), (91, ""), (92, None)]
+    items = [(i, prose(r.randrange(6, 60)).capitalize()) for i in range(12)] + [(90, "short one"), (91, ""), (92, None), (93, "ox"), (94, "Éa, 7"), (95, "twelve bytes"), (96, "a little more than that"), (None, "no id")]
     rows = [None, "", " \n ", prose(3000), items[0][1], items[1][1].upper().replace(" ", "\n\t ")]
+    rows += ["a SHORT\n one.", "shorts one", "oxen foxes", "an ox", "ox", "vÉa, 7", "x Éa,  7", "some twelve bytes here", "a litle more than that", "a little morex than that, ox"]
     for k in range(90):
         base = items[k % 12][1]
         rows.append(prose(r.randrange(0, 40)) + " " + edited(r, base, r.randrange(0, 1 + len(base) // 9)) + " " + prose(r.randrange(0, 40)))
@@ -75,5 +79,12 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     docs = spark.createDataFrame([(1, " ".join(t for _, t in items)), (2, "clean")], "doc_id long, text string")
     got = {g.doc_id: [m.item_id for m in g.matches] for g in dc.contamination(docs, bench).collect()}
     assert got[1] == [0, 1, 2, 3, 4] and got[2] == []
-    assert [g.matches for g in dc.contamination(docs, bench.limit(0)).collect()] == [[], []]
+    # an item over a block's size is cut; what stands across a cut is found
+    long = "".join(chr(97 + (i * i + i // 7) % 26) + " " * (i % 6 == 0) for i in range(1200))
+    bench = spark.createDataFrame([(7, long)], "item_id long, text string")
+    assert len(list(dc.blocks(bench))) > 3
+    docs = spark.createDataFrame([(i, f"pre {long[i * 90 : i * 90 + 260]} post") for i in range(12)], "doc_id long, text string")
+    assert [[m.item_id for m in g.matches] for g in dc.contamination(docs, bench).collect()] == [[7]] * 12
+    assert dc.drop_contaminated(docs, bench).count() == 0
+    assert [g.matches for g in dc.contamination(docs.limit(2), bench.limit(0)).collect()] == [[], []]
     assert dc.contamination(docs.limit(0), bench).count() == 0

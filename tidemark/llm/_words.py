@@ -108,8 +108,8 @@ def words(data: np.ndarray, offsets: np.ndarray, hashed: bool = True, folded: bo
     return out
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole documents of about size bytes: (first row, end row, bytes, offsets from 0). Null counts as empty."""
+def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES, most: int = 1 << 13) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole documents of about size bytes, most documents at most: (first row, end row, bytes, offsets from 0). Null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -122,6 +122,6 @@ def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterat
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + most)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi

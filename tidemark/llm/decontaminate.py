@@ -11,26 +11,32 @@ band of 2 * (e + 1) diagonals, bands overlapping by half, so one band holds them
 meet the bound are verified by banded alignment. No window that meets the
 budget is lost; a passage that holds no whole window is.
 
+An item shorter than a q-gram has no budget for edits and is looked for verbatim, between
+characters that are neither letters nor digits; its place is found by a hash of its whole length.
+
 The benchmark is held in blocks of BLOCK_BYTES of text at most; a larger one is more passes over
-the documents, each with one block. Items of fewer than LEAST_BYTES bytes, empty or null items
-are no evidence and are skipped. Null and empty documents match nothing, repeated rows are
-judged each, extra columns are left alone, empty tables give empty or clean results.
+the documents, each with one block, written in between, and a longer item is cut into blocks that
+overlap by a window. Workers build the index of a block, so tasks carry its text alone. Empty or
+null items, and items without an id, are no evidence and are skipped. Null and empty documents
+match nothing, very long ones are searched whole, repeated rows are judged each, extra columns are
+left alone, empty tables give empty or clean results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._runtime import ready, table
+from tidemark.llm._runtime import ready, stored, table
 from tidemark.llm._words import chunks, mixed
 
 NAME = "op7_decontaminate"
-Q, WINDOW, EDIT_PERCENT, LEAST_BYTES, BLOCK_BYTES = 12, 120, 6, 40, 1 << 21
+Q, WINDOW, EDIT_PERCENT, BLOCK_BYTES = 12, 120, 6, 1 << 21
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
@@ -58,16 +64,35 @@ def grams(x: np.ndarray) -> np.ndarray:
     return mixed(eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ eight[Q - 8 : Q - 8 + n])
 
 
+_PART = np.ones(256, dtype=bool)
+_PART[:128] = [chr(i).isalnum() for i in range(128)]
+
+
+def pieces(x: np.ndarray, n: int) -> np.ndarray:
+    """A number for the n bytes (fewer than Q) from each position on; up to 8 bytes it is their own."""
+    count = len(x) - n + 1
+    if count <= 0:
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([x, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(x) + 8,), dtype="<u8", buffer=padded.data, strides=(1,)).copy()
+    if n <= 8:
+        return eight[:count] & np.uint64((1 << 8 * n) - 1)
+    return mixed(eight[:count] * np.uint64(0x9E3779B97F4A7C15) ^ eight[n - 8 : n - 8 + count])
+
+
 class Index:
-    """Windows of some benchmark items and their q-grams."""
+    """Windows of some benchmark items and their q-grams; items shorter than a q-gram by length."""
 
     def __init__(self, items: Iterable[tuple[int, str]], edit_percent: int = EDIT_PERCENT) -> None:
         self.windows: list[bytes] = []
+        self.short: dict[int, dict[bytes, list[int]]] = {}
         of: list[int] = []
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             x = folded(raw, np.array([0, len(raw)]))[0].tobytes().strip()
-            if len(x) < LEAST_BYTES:
+            if len(x) < Q:
+                if x:
+                    self.short.setdefault(len(x), {}).setdefault(x, []).append(item)
                 continue
             last = max(0, len(x) - WINDOW)
             for lo in sorted({*range(0, last, WINDOW // 2), last}):
@@ -85,12 +110,36 @@ class Index:
         order = np.argsort(keys, kind="stable")
         self.keys, self.first = np.unique(keys[order], return_index=True)
         self.first = np.append(self.first, len(keys))
-        self.window, self.place = window[order], place[order]
+        self.window, self.place = window[order].astype(np.int32), place[order].astype(np.int32)
+        self.short_keys = {n: np.unique([int(pieces(np.frombuffer(t, np.uint8), n)[0]) for t in ts]).astype(np.uint64) for n, ts in self.short.items()}
         self.filter = np.zeros(1 << _BITS, dtype=bool)
         self.filter[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
     def matches(self, x: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, edits, end in the compared text) of each confirmed band, the best by document and item."""
+        return sorted([*self._short(x, offsets), *self._banded(x, offsets)])
+
+    def _short(self, x: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Items shorter than a q-gram, at their first place in a document."""
+        edge = np.ones(len(x) + 1, dtype=bool)  # a word may end before this byte
+        if self.short and len(x):
+            part = _PART[x]
+            edge[1:-1] = ~(part[1:] & part[:-1])
+            edge[offsets] = True
+        for n, keys in self.short_keys.items():
+            at = np.flatnonzero(np.isin(pieces(x, n), keys))
+            at = at[edge[at] & edge[at + n]]
+            doc = np.searchsorted(offsets, at, "right") - 1
+            seen = set()
+            for i, d in zip(at.tolist(), doc.tolist(), strict=True):
+                if i + n > offsets[d + 1]:
+                    continue
+                for item in self.short[n].get(x[i : i + n].tobytes(), ()):
+                    if (d, item) not in seen:
+                        seen.add((d, item))
+                        yield d, item, 0, int(i + n - offsets[d])
+
+    def _banded(self, x: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         g = grams(x)
         if not len(self.keys) or not len(g):
             return []
@@ -103,7 +152,7 @@ class Index:
         at, k, doc = at[inside], k[inside], doc[inside]
         n = self.first[k + 1] - self.first[k]
         entry = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        at, doc, window = np.repeat(at, n), np.repeat(doc, n), self.window[entry]
+        at, doc, window = np.repeat(at, n), np.repeat(doc, n), self.window[entry].astype(np.int64)
         diagonal = at - self.place[entry] + WINDOW  # from 0 on
         step = self.budget[window] + 1
         band = diagonal // step
@@ -166,16 +215,19 @@ def banded(x: np.ndarray, pattern: np.ndarray, low: np.ndarray, start: np.ndarra
 
 
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items in blocks of bounded size; one block is on the driver at a time."""
+    """The benchmark's items in blocks of bounded size; one block is on the driver at a time. A longer item is cut, its parts overlap by a window of characters."""
     held: list[tuple[int, str]] = []
     used = 0
-    for r in benchmark.select(item_col, text_col).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).toLocalIterator():
-        n = len(r[1].encode())
-        if held and used + n > size:
-            yield held
-            held, used = [], 0
-        held.append((r[0], r[1]))
-        used += n
+    step = max(1, size // 4)  # characters of a part, four bytes each at most
+    for item, text in benchmark.select(item_col, text_col).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).toLocalIterator():
+        for lo in range(0, max(1, len(text)), step) if len(text.encode()) > size else (0,):
+            part = text[lo : lo + step + 2 * WINDOW] if len(text.encode()) > size else text
+            n = len(part.encode())
+            if held and used + n > size:
+                yield held
+                held, used = [], 0
+            held.append((item, part))
+            used += n
     yield held
 
 
@@ -183,6 +235,12 @@ _MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("e
 _MATCH_SQL = "array<struct<item_id:bigint,edits:int,end:bigint>>"
 
 
+@lru_cache(maxsize=1)
+def index_of(block: tuple[tuple[int, str], ...], edit_percent: int) -> Index:
+    """A worker's index of the block at hand."""
+    return Index(block, edit_percent)
+
+
 def _found(index: Index, texts: pa.Array) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(len(texts))]
     for lo, _, data, offsets in chunks(texts, 1 << 19):
@@ -191,23 +249,36 @@ def _found(index: Index, texts: pa.Array) -> list[list[dict]]:
     return out
 
 
+def _best(old: list[dict], new: list[dict]) -> list[dict]:
+    """Of matches with one item, as parts of it give them, the one with the fewest edits."""
+    out = {m["item_id"]: m for m in old}
+    for m in new:
+        before = out.get(m["item_id"])
+        if before is None or (m["edits"], m["end"]) < (before["edits"], before["end"]):
+            out[m["item_id"]] = m
+    return list(out.values())
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, edit_percent: int = EDIT_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, matches array<struct<item_id, edits, end>> in the order of items; no match, clean."""
     ready(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.expr(f"cast(array() as {_MATCH_SQL})").alias("matches"))
-    for block in blocks(benchmark):
-        rows = rows.mapInArrow(_search(Index(block, edit_percent)), f"doc_id {kind}, text string, matches {_MATCH_SQL}")
+    for i, block in enumerate(blocks(benchmark)):
+        if i:
+            rows = stored(rows, "matches")
+        rows = rows.mapInArrow(_search(tuple(block), edit_percent), f"doc_id {kind}, text string, matches {_MATCH_SQL}")
     return rows.select("doc_id", F.array_sort("matches").alias("matches"))
 
 
-def _search(index: Index):
+def _search(block: tuple[tuple[int, str], ...], edit_percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_of(block, edit_percent)
         for b in batches:
             found = _found(index, b.column(1))
             if any(found):
                 old = b.column(2).to_pylist()
-                matches = pa.array([o + f for o, f in zip(old, found, strict=True)], _MATCH)
+                matches = pa.array([_best(o, f) for o, f in zip(old, found, strict=True)], _MATCH)
             else:
                 matches = b.column(2).cast(_MATCH)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), matches], names=["doc_id", "text", "matches"])
@@ -220,15 +291,18 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edit_percent: int =
     ready(docs.sparkSession)
     where = docs.columns.index(text_col)
 
-    def keep(index: Index):
+    def keep(block: tuple[tuple[int, str], ...]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = index_of(block, edit_percent)
             for b in batches:
                 yield b.filter(pa.array([not f for f in _found(index, b.column(where))], pa.bool_()))
 
         return run
 
-    for block in blocks(benchmark):
-        docs = docs.mapInArrow(keep(Index(block, edit_percent)), docs.schema)
+    for i, block in enumerate(blocks(benchmark)):
+        if i:
+            docs = stored(docs, "clean")
+        docs = docs.mapInArrow(keep(tuple(block)), docs.schema)
     return docs
 
 
