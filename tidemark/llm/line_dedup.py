@@ -2,13 +2,16 @@
 
 The visible lines of a page are its text between block-level tags, without scripts, styles and
 comments, white space collapsed. By host, the pages that hold a line are divided by all pages of
-the host; a line above the ratio, on MIN_PAGES pages at least, is dropped wherever it stands on
-that host.
+the host; a line above the ratio is dropped wherever it stands on that host. So all lines of a
+host's only page go, as each is on all of its pages; min_pages asks for more pages with a line.
 
 Native DataFrame operations throughout. A page counts a line once, counts are combined before
 the shuffle, and a host's dropped lines are few by construction: each stands on more than ratio
 of its pages, so they number at most the mean of lines per page divided by the ratio.
 
+The join of pages with their host's lines is by host; adaptive execution splits a host that holds
+a large share of all pages. A tag, script or comment that is never closed hides the rest of the
+page or, without ">", stands as text, so very long pages take time in proportion to their length.
 Null html has no lines, null or odd URLs belong to the host "". Rows that repeat a page count as
 pages of their own. Extra columns stay; an empty table gives an empty result.
 """
@@ -21,11 +24,11 @@ from pyspark.sql import functions as F
 from tidemark.llm._runtime import ready, stored, table
 
 NAME = "op8_line_dedup"
-RATIO_PERCENT, MIN_PAGES = 30, 3
+RATIO_PERCENT = 30
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
-HIDDEN = r"(?is)<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<!--.*?-->"
-BLOCKS = r"(?i)</?(p|div|li|ul|ol|nav|h[1-6]|br|tr|td|th|table|title|article|section|header|footer|head|body|html|blockquote|pre|main|aside)([ \t\r\n/][^>]*)?>"
-TAGS = r"<[^>]*>"
+HIDDEN = r"(?is)<script[^<>]*>.*?(?:</script[^<>]*>|\z)|<style[^<>]*>.*?(?:</style[^<>]*>|\z)|<!--.*?(?:-->|\z)"
+BLOCKS = r"(?i)</?(p|div|li|ul|ol|nav|h[1-6]|br|tr|td|th|table|title|article|section|header|footer|head|body|html|blockquote|pre|main|aside)([ \t\r\n/][^<>]*)?>"
+TAGS = r"<[^<>]*>"
 SPACES = r"[ \t\r\f]+"
 
 
@@ -40,7 +43,7 @@ def visible_lines(html: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def boilerplate(pages: DataFrame, host_col: str, lines_col: str, ratio_percent: int = RATIO_PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host_col: str, lines_col: str, ratio_percent: int = RATIO_PERCENT, min_pages: int = 1) -> DataFrame:
     """Per host with any: __host, __drop, the 128-bit hashes of its boilerplate lines."""
     per_page = pages.select(F.col(host_col).alias("__host"), F.array_distinct(F.transform(lines_col, lambda x: F.unhex(F.md5(x)))).alias("__keys"))
     held = per_page.select("__host", F.explode("__keys").alias("__key")).groupBy("__host", "__key").agg(F.count(F.lit(1)).alias("__with")).where(F.col("__with") >= min_pages)
@@ -49,7 +52,7 @@ def boilerplate(pages: DataFrame, host_col: str, lines_col: str, ratio_percent:
     return common.groupBy("__host").agg(F.collect_set("__key").alias("__drop"))
 
 
-def line_dedup(pages: DataFrame, ratio_percent: int = RATIO_PERCENT, min_pages: int = MIN_PAGES, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def line_dedup(pages: DataFrame, ratio_percent: int = RATIO_PERCENT, min_pages: int = 1, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The pages with __host, __lines (array of visible lines) and __kept (those that stay)."""
     ready(pages.sparkSession)
     cut = pages.withColumn("__host", host(F.col(url_col))).withColumn("__lines", visible_lines(F.col(html_col)))
@@ -80,7 +83,7 @@ WITH t AS (
 ), h AS (
   SELECT host, count(*) AS pages FROM t GROUP BY host
 ), b AS (
-  SELECT l.host, list(line) AS gone FROM l JOIN h USING (host) WHERE n >= {MIN_PAGES} AND n * 100 > pages * {RATIO_PERCENT} GROUP BY l.host
+  SELECT l.host, list(line) AS gone FROM l JOIN h USING (host) WHERE n * 100 > pages * {RATIO_PERCENT} GROUP BY l.host
 ), k AS (
   SELECT t.*, list_filter(lines, lambda x: NOT coalesce(list_contains(gone, x), false)) AS kept FROM t LEFT JOIN b USING (host)
 )
