@@ -51,3 +51,19 @@ def test_small_segments_and_empty(spark, tmp_path, monkeypatch):
     assert [v.start for v in got] == [5 * i for i in range(40)]
     tf.write_tokens(spark.createDataFrame([], "doc_id long, text string"), f"{tmp_path}/e")
     assert tf.read_documents(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_other_tokenizers_and_null_ids(spark, tmp_path):
+    """A tokenizer that keeps case and white space gets whole texts; rows without an id come first."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tf.cuts_words(tf.TOKENIZER) and not tf.cuts_words(path)
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    rows = [(None, "No  Id"), (2, "Upper CASE\n\nhere  it's"), (1, "x " * 5000), (None, None)]
+    tf.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/h", tokenizer=path, end_id=9)
+    got = sorted(tf.read_documents(spark, f"{tmp_path}/h").collect(), key=lambda v: v.start)
+    assert [v.doc_id for v in got] == [None, None, 1, 2]
+    assert [list(v.token_ids) for v in got] == [t.encode(x, add_special_tokens=False).ids + [9] for x in ("", "No  Id", "x " * 5000, "Upper CASE\n\nhere  it's")]

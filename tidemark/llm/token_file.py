@@ -7,13 +7,14 @@ read without decoding the ones before it, and a run of ids is a run in every lev
 
 A file is a table of segments, each with whole documents in ascending id order: its partition and
 number, the ids of the partition before it, the documents' ids and lengths, and the coded ids. Segments hold about SEGMENT_IDS ids,
-or one longer document. Null and empty texts are documents of the end id alone. Rows that repeat
+or one longer document, whatever its length. Null and empty texts are documents of the end id alone. Rows that repeat
 an id stay next to each other, ordered by text, each a document; null ids come first. Other
 columns are left alone; an empty table gives a file without segments.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._pieces import PieceTable, flattened, id_lists, picked
+from tidemark.llm._pieces import TABLE_BYTES, PieceTable, flattened, id_lists, picked
 from tidemark.llm._runtime import partitions, ready, shared_dir, table
 
 NAME = "op9_token_file"
@@ -118,8 +119,23 @@ class TokenReader:
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?%$#&*|]*)")
 
 
+#: How a tokenizer must treat a text for its words to be encoded one by one, as this module cuts them.
+_PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PLAIN_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def cuts_words(path: str) -> bool:
+    """Whether the tokenizer lower-cases, drops white space, splits words as _SIMPLE expects and marks their ends."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    splits = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+    model = told.get("model") or {}
+    plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+    return plain and told.get("normalizer") == _PLAIN_NORMALIZER and splits[0] == _PLAIN_SPLIT
+
+
 class Encoder:
-    """The tokenizer over distinct words, many at a call; the mark of a word's last id tells them apart again."""
+    """The tokenizer over distinct words, many at a call; the mark of a word's last id tells them apart again. Tokenizers of other kinds get whole texts."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -130,8 +146,18 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.by_word = cuts_words(path)
         self.words = PieceTable(self._encode_words)
-        self.pieces = PieceTable(self._encode_pieces)
+        self.pieces = PieceTable(self._encode_pieces if self.by_word else self._encode_texts, TABLE_BYTES if self.by_word else 0)
+
+    def cut(self, text: str) -> list[str]:
+        """Pieces that nothing is matched across."""
+        if not text:
+            return []
+        return text.replace("\n", " ").split(" ") if self.by_word else [text]
+
+    def _encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lines = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
@@ -157,13 +183,8 @@ class Encoder:
 
 
 @cache
-def piece_table(path: str) -> PieceTable:
-    return Encoder(path).pieces
-
-
-def _cut(text: str) -> list[str]:
-    """The tokenizer drops white space and matches nothing across it."""
-    return text.replace("\n", " ").split(" ") if text else []
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -172,7 +193,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, number = piece_table(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
         schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(ids_type)), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
         held: list[np.ndarray] = []
         names: list = []
@@ -187,7 +208,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 
         for b in batches:
             doc_ids, at = b.column(0).to_pylist(), 0
-            for ids, sizes in id_lists([x or "" for x in b.column(1).to_pylist()], _cut, known):
+            for ids, sizes in id_lists([x or "" for x in b.column(1).to_pylist()], coder.cut, coder.pieces):
                 ends = np.cumsum(sizes)
                 ids = np.insert(ids, ends, end_id)
                 lo = 0
