@@ -93,6 +93,42 @@ def test_exact_duplicates_and_collisions(spark):
     assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
 
 
+def plain_score(m, text):
+    """The network byte by byte, chunk by chunk."""
+    w, block, half = m.w, quality_cnn.BLOCK, quality_cnn.WIDTH // 2
+    at = lambda i: text[i] if 0 <= i < len(text) else 0
+    pooled = np.full(quality_cnn.HIDDEN, -np.inf)
+    for lo in range(0, max(1, len(text)), block):
+        total, n = np.zeros(quality_cnn.FILTERS), 0
+        for i in range(lo, min(len(text), lo + 2 * block)):
+            if text[i]:
+                total += np.maximum(0, w["tb"] + sum(w["t"][k][at(i - half + k)].astype(np.float64) for k in range(quality_cnn.WIDTH)))
+                n += 1
+        pooled = np.maximum(pooled, np.maximum(0, total / max(n, quality_cnn.LEAST) @ w["h"] + w["hb"]))
+    return 1 / (1 + np.exp(-np.clip(pooled @ w["v"] + w["vb"], -30, 30)))[0]
+
+
+def test_forward_pass_equals_a_plain_one(spark):
+    r = np.random.default_rng(5)
+    m = quality_cnn.Model(3)
+    texts = ["", "a", "nul\0s in\0", "é漢 🙂" * 40, "x" * 64, "y" * 65, "long " * 4000, "repeated", "repeated", *("".join(map(chr, r.integers(32, 400, r.integers(1, 700)))) for _ in range(30))]
+    want = [plain_score(m, t.encode()) for t in texts]
+    docs = spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(texts)] + [(len(texts), None, 0.0)], "doc_id long, text string, score double")
+    got = {x.doc_id: x.score for x in quality_cnn.scores(docs, m).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want, atol=1e-5)
+    assert got[len(texts)] == got[0] and got[7] == got[8]
+    assert quality_cnn.scores(docs.limit(0), m).count() == 0
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    big = "w" * (quality_cnn.SAMPLE_TEXT_BYTES + 1)
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, big if i == ids[0] else f"text {i}") for i in ids] + [(ids[1], f"again {k}") for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in ids], "doc_id long, quality int, toxic int")
+    texts, _ = quality_cnn.training_rows(docs, labels, 10, "doc_id", "text")
+    assert len(texts) <= 20 and max(map(len, texts)) <= quality_cnn.SAMPLE_TEXT_BYTES
+
+
 def test_network_gradients_and_batches():
     r = np.random.default_rng(0)
     m = quality_cnn.Model()

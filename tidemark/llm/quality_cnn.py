@@ -1,17 +1,17 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Every document is cut into blocks of 64 bytes; two neighbouring blocks are a chunk, so chunks
-overlap by half and cover the whole text. Learned filters three bytes wide run over all bytes;
-their rectified outputs and the shares of bytes in runs that repeat what stands a few places
-earlier (one channel per lag) are averaged within a chunk. A second learned layer turns each chunk into
+overlap by half and cover the whole text. Learned filters WIDTH bytes wide run over all bytes, and
+their rectified outputs are averaged within a chunk. A second learned layer turns each chunk into
 hidden units, which are max-pooled over all chunks of the document and combined into one
-probability. A unit is evidence against a text (its weight is held at 0 or below), so a text
-without evidence, however short, passes. Only the bytes of the text enter.
-
-Null and empty texts are one empty chunk and get a score like any other. Repeated rows get equal
-scores each, rows without a label are scored too, several labels for one id all count in
-training. Without any usable label every score is 0.5. Zero bytes inside a text are skipped.
-Other columns are left alone; an empty table gives an empty result.
+probability. Only the bytes of the text enter, and every weight is learned; those of the last step
+stay at 0 or below, so a hidden unit is evidence against a text, and one without evidence passes.
+
+Null and empty texts are one empty chunk and get a score like any other. Very long texts are read
+whole, in slices of bounded size. Repeated rows get equal scores each, rows without a label are
+scored too, several labels for one id all count in training. Without any usable label every score
+is 0.5. Zero bytes inside a text are skipped. Other columns are left alone; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from tidemark.llm._words import chunks
 NAME = "op10_quality_cnn"
 #: The model is fitted on so many labelled rows of each class at most, those with the smallest hash of the id.
 SAMPLE_PER_CLASS = 1000
-BLOCK, LAGS, FILTERS, HIDDEN = 64, 32, 8, 16
+#: Texts of more bytes are scored like any other, but not learned from; so the sample is bounded in bytes too.
+SAMPLE_TEXT_BYTES = 1 << 16
+BLOCK, WIDTH, FILTERS, HIDDEN = 64, 5, 24, 16
 EPOCHS, BATCH, RATE = 24, 32, 0.01
 #: Shares within a chunk are of so many bytes at least: a text of a few words is no strong evidence.
 LEAST = 48.0
@@ -47,24 +49,6 @@ def _laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return x, first
 
 
-def _repeats(x: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """By block and lag, how many bytes end a run of four that equals the four bytes so many places before; last, how many do at any lag."""
-    count = lambda bits: np.bitwise_count(np.packbits(bits).view(np.uint64))
-    out = np.empty((len(x) // BLOCK, LAGS + 1), dtype=np.float32)
-    any_lag = np.zeros(len(x), dtype=bool)
-    for lag in range(1, LAGS + 1):
-        same = np.zeros(len(x), dtype=bool)
-        np.equal(x[lag:], x[:-lag], out=same[lag:])
-        same &= real
-        two = same[1:] & same[:-1]
-        same[:3] = False
-        np.logical_and(two[2:], two[:-2], out=same[3:])
-        any_lag |= same
-        out[:, lag - 1] = count(same)
-    out[:, LAGS] = count(any_lag)
-    return out
-
-
 class Model:
     """Weights and the forward and backward passes."""
 
@@ -72,20 +56,20 @@ class Model:
         r = np.random.default_rng(seed)
         g = lambda *s, scale: (r.standard_normal(s) * scale).astype(np.float32)
         self.w = {
-            "t": g(3, 256, FILTERS, scale=0.3), "tb": np.zeros(FILTERS, np.float32),
-            "h": g(FILTERS + LAGS + 1, HIDDEN, scale=0.3), "hb": np.zeros(HIDDEN, np.float32),
+            "t": g(WIDTH, 256, FILTERS, scale=0.3), "tb": np.zeros(FILTERS, np.float32),
+            "h": g(FILTERS, HIDDEN, scale=0.3), "hb": np.zeros(HIDDEN, np.float32),
             "v": -np.abs(g(HIDDEN, scale=0.3)) - 0.1, "vb": np.full(1, 2, np.float32),
         }
 
     def _conv(self, x: np.ndarray, real: np.ndarray) -> np.ndarray:
-        """Sums of the rectified filters by block. x begins and ends with a zero."""
-        t, n = self.w["t"], len(x)
-        out = np.empty((n // BLOCK, FILTERS), dtype=np.float32)
-        for lo in range(0, n, _SLICE):
-            hi = min(n, lo + _SLICE)
-            z = t[1].take(x[lo:hi], axis=0)
-            z[(lo == 0) :] += t[0].take(x[max(lo - 1, 0) : hi - 1], axis=0)
-            z[: n - 1 - lo] += t[2].take(x[lo + 1 : hi + 1], axis=0)
+        """Sums of the rectified filters by block, in slices. x begins and ends with a block of zeros, which stand around every text."""
+        t, n, half = self.w["t"], len(x), WIDTH // 2
+        out = np.zeros((n // BLOCK, FILTERS), dtype=np.float32)
+        for lo in range(BLOCK, n - BLOCK, _SLICE):
+            hi = min(n - BLOCK, lo + _SLICE)
+            z = t[0].take(x[lo - half : hi - half], axis=0)
+            for k in range(1, WIDTH):
+                z += t[k].take(x[lo - half + k : hi - half + k], axis=0)
             z += self.w["tb"]
             np.maximum(z, 0, out=z)
             z *= real[lo:hi, None]
@@ -95,7 +79,7 @@ class Model:
     def forward(self, data: np.ndarray, offsets: np.ndarray) -> dict:
         x, first = _laid_out(data, offsets)
         real = x != 0
-        sums = np.concatenate([self._conv(x, real), _repeats(x, real)], axis=1)
+        sums = self._conv(x, real)
         bytes_in = np.bitwise_count(np.packbits(real).view(np.uint64)).astype(np.float32)
         # chunk k of a document: its blocks k and k + 1; the last one reaches into the empty block
         pair = np.zeros_like(sums)
@@ -123,18 +107,19 @@ class Model:
         hit = np.flatnonzero(np.abs(dh).max(axis=1) > 1e-7)
         dh, c, rows = dh[hit], s["c"][hit], s["rows"][hit]
         out["h"], out["hb"] = c.T @ dh, dh.sum(axis=0)
-        df = (dh @ self.w["h"].T)[:, :FILTERS] / np.maximum(s["n"][rows], LEAST)[:, None]
+        df = (dh @ self.w["h"].T) / np.maximum(s["n"][rows], LEAST)[:, None]
         at = (rows[:, None] * BLOCK + np.arange(2 * BLOCK)).ravel()
         by = np.repeat(df, 2 * BLOCK, axis=0)
-        ok = (at < len(s["x"]) - 1) & s["real"][np.minimum(at, len(s["x"]) - 1)]
+        ok = (at < len(s["x"]) - BLOCK) & s["real"][np.minimum(at, len(s["x"]) - 1)]
         at, by = at[ok], by[ok]
-        x, t = s["x"], self.w["t"]
-        z = t[0][x[at - 1]] + t[1][x[at]] + t[2][x[at + 1]] + self.w["tb"]
-        by = by * (z > 0)
-        out["t"], out["tb"] = np.zeros_like(t), by.sum(axis=0)
-        for k in range(3):
-            for f in range(FILTERS):
-                out["t"][k, :, f] = np.bincount(x[at + k - 1], weights=by[:, f], minlength=256)
+        x, t, half = s["x"], self.w["t"], WIDTH // 2
+        z = self.w["tb"] + sum(t[k][x[at + k - half]] for k in range(WIDTH))
+        by = (by * (z > 0)).astype(np.float64)
+        out["t"], out["tb"] = np.zeros_like(t), by.sum(axis=0).astype(np.float32)
+        place = np.arange(FILTERS)
+        for k in range(WIDTH):
+            cell = x[at + k - half].astype(np.int64)[:, None] * FILTERS + place
+            out["t"][k] = np.bincount(cell.ravel(), weights=by.ravel(), minlength=256 * FILTERS).reshape(256, FILTERS)
         return out
 
 
@@ -169,13 +154,14 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str) -> tuple[list[bytes], list[int]]:
-    """Up to per_class labelled texts of each class, outside the held-out fold."""
+    """Up to per_class labelled texts of each class, outside the held-out fold, of SAMPLE_TEXT_BYTES at most. An id that repeats gives no more rows in all."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "quality")
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("__id"), "quality")
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(ids), F.col("__doc") == F.col("__id")).select("__doc", "__text", "quality").collect()
-    rows.sort(key=lambda x: (x[0], x[2], x[1] or ""))
-    return [(x[1] or "").encode() for x in rows], [int(x[2]) for x in rows]
+    texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).where(F.octet_length("__text") <= SAMPLE_TEXT_BYTES)
+    rows = texts.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).select("__doc", "__text", "quality").orderBy("__doc", "quality", "__text").limit(2 * per_class).collect()
+    rows.sort(key=lambda x: (x[0], x[2], x[1]))
+    return [x[1].encode() for x in rows], [int(x[2]) for x in rows]
 
 
 def held_out(id_col: str):
