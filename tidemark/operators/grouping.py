@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 from itertools import chain, groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -47,3 +48,20 @@ def fold_groups(rows: DataFrame, key: str, order: list[str], fold: Callable[[str
     if not dealt:
         rows = rows.repartition(key).sortWithinPartitions(key, *order)
     return rows.mapInArrow(run, kind)
+
+
+def numbered_rows(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with nth, 1..n in the given order, without bringing them to one task.
+
+    They are sorted by ranges and written; each partition's number of rows, one small row each,
+    gives the places of its first one.
+    """
+    from tidemark.sources.store import stored
+
+    low = (1 << 33) - 1
+    place = F.monotonically_increasing_id()
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = stored(dealt.withColumns({"__part": F.shiftright(place, 33), "__at": place.bitwiseAND(F.lit(low))}), "numbered")
+    sizes = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return kept.join(F.broadcast(before), "__part").withColumn("nth", F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")

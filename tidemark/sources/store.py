@@ -14,6 +14,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if sc.getCheckpointDir() is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))  # only where no folder is named, as in tests
         folder = sc.getCheckpointDir()
