@@ -199,8 +199,8 @@ def path_error(path: Column) -> Column:
 
 
 def ref_error(ref: Column) -> Column:
-    """why a revision's name is not taken, null if it is."""
-    return F.when(F.coalesce(ref, F.lit("")) == "", "ref cannot be empty").when(ref.startswith("-"), "ref must not start with '-'").when(ref.rlike(r"[\x00-\x20\x7f~^:?*\[\\]"), "ref contains invalid characters").when(F.contains(ref, F.lit("..")), "ref contains two dots")
+    """why a revision's name is not taken, null if it is; an empty one stands for the usual revision."""
+    return F.when(ref.startswith("-"), "ref cannot start with -").when(~ref.rlike(r"^[A-Za-z0-9._/\-:@~^]*$"), "ref contains unsupported character")
 
 
 def identifier_error(name: Column) -> Column:

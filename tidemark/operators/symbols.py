@@ -68,3 +68,33 @@ def batch(pairs: DataFrame, results: DataFrame) -> DataFrame:
     """C20: one row for each pair; a pair without a result is an error row."""
     joined = pairs.join(results, "file", "left")
     return joined.withColumn("error", F.when(F.col("n_changes").isNull(), F.concat(F.lit("no result for "), F.col("file"))))
+
+
+def semantic_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """File, symbol_kind, name, change_type, changed of each symbol that differs between two sets of files (file, language, content); a file that one side lacks has no symbols there."""
+    from tidemark.sources import parsers
+
+    def parsed(files: DataFrame) -> DataFrame:
+        found = parsers.symbols(files.select("file", "language", "content")).drop("language")
+        return last_by_key(found, ["file", "symbol_kind", "name"], "start_line")
+
+    return diff(parsed(before), parsed(after), ["file", "symbol_kind", "name"], ["kind", "sig", "body_hash"])
+
+
+def fields_of(types: DataFrame) -> DataFrame:
+    """File, type, field and its declared type of each type's list of fields (fields: array of "name: type")."""
+    each = types.select("file", F.col("name").alias("type"), F.explode("fields").alias("f"))
+    return each.select("file", "type", F.trim(F.substring_index("f", ":", 1)).alias("field"), F.trim(F.expr("substring(f, instr(f, ':') + 1)")).alias("declared"))
+
+
+def type_fields_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """File, type and its changed fields as an array of (name, change, old, new), by name. A type's fields are few."""
+    rows = field_table(fields_of(before), fields_of(after), ["file", "type", "field"], "declared").where("state <> 'unchanged'")
+    item = F.struct(F.col("field").alias("name"), F.col("state").alias("change"), "old", "new")
+    return rows.groupBy("file", "type").agg(F.array_sort(F.collect_list(item)).alias("fields"))
+
+
+def what_changed(c: Column) -> Column:
+    """The differing columns of a function in words."""
+    words = {"sig": "signature", "kind": "kind", "body": "implementation", "body_hash": "implementation"}
+    return F.array_join(F.array_distinct(F.transform(c, lambda x: F.coalesce(F.create_map(*(F.lit(w) for pair in words.items() for w in pair))[x], x))), ", ")

@@ -328,12 +328,13 @@ def _(c):
 @query(
     "f33_path_errors",
     """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'path cannot be empty' WHEN 1 THEN 'path must be relative' WHEN 2 THEN 'path contains path traversal' WHEN 3 THEN NULL WHEN 4 THEN 'path contains path traversal' ELSE NULL END AS error,
-  CASE event_id % 6 WHEN 0 THEN 'ref cannot be empty' WHEN 1 THEN NULL WHEN 2 THEN 'ref contains two dots' WHEN 3 THEN 'ref contains two dots' WHEN 4 THEN 'ref contains invalid characters' ELSE NULL END AS ref_error FROM events""",
+  CASE event_id % 4 WHEN 0 THEN 'ref cannot start with -' WHEN 1 THEN 'ref contains unsupported character' END AS ref_error FROM events""",
     "t:events",
 )
 def _(e):
     path = F.expr("CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN concat('/etc/', event_id) WHEN 2 THEN concat('a/../../', event_id) WHEN 3 THEN concat('a/../b', event_id) WHEN 4 THEN concat('..\\\\x', event_id) ELSE concat('d/', event_id) END")
-    return e.select("event_id", pa.path_error(path).alias("error"), pa.ref_error(path).alias("ref_error"))
+    ref = F.expr("CASE event_id % 4 WHEN 0 THEN concat('-x', event_id) WHEN 1 THEN concat('a b', event_id) WHEN 2 THEN '' ELSE concat('origin/f-', event_id, '~2^') END")
+    return e.select("event_id", pa.path_error(path).alias("error"), pa.ref_error(ref).alias("ref_error"))
 
 
 _SCOPE = f"""count(*) FILTER (left(status, 1) NOT IN ('A', 'D')) AS modified, count(*) FILTER (status = 'A') AS added, count(*) FILTER (status = 'D') AS deleted, count(*) FILTER (left(status, 1) = 'R') AS renamed,

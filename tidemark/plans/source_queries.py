@@ -117,6 +117,82 @@ def _(p):
     return parsers.symbols(p.select("p_partkey", F.lit("typescript").alias("language"), text.alias("content"))).select("p_partkey", "name", "sig")
 
 
+_TS = "concat('export const f', p_partkey, ' = async (a: string) => {\\n  await repo.find', p_size, '(a, make(a))\\n  if (a) { return new Row(a) }\\n}\\nclass K {\\n  run(): void { this.go(); // skipped()\\n  }\\n}\\n')"
+
+
+@query(
+    "s32_typescript_calls",
+    """SELECT p_partkey, unnest([concat('f', p_partkey), concat('f', p_partkey), concat('f', p_partkey), 'K.run']) AS caller, unnest([concat('repo.find', p_size), 'make', 'Row', 'this.go']) AS target,
+  unnest([2, 2, 3, 6]) AS line, unnest([1, 1, 1, 1])::INT AS column, unnest([true, false, false, true]) AS is_method FROM part""",
+    "t:part",
+)
+def _(p):
+    return parsers.calls(p.select("p_partkey", F.expr(_TS).alias("content")), language="typescript").select("p_partkey", "caller", "target", "line", "column", "is_method")
+
+
+_VERSION = "concat('import os', CASE WHEN {1} % 3 = 0 THEN ' as o' ELSE '' END, '\\n\\ndef f', p_partkey % 50, '(a', CASE WHEN {1} % 2 = 0 THEN ', b' ELSE '' END, '):\\n  return a + ', {1} % 5, '\\n\\nclass C:\\n  x: int\\n', CASE WHEN {1} % 7 = 0 THEN '  y: str\\n' ELSE '' END, CASE WHEN {1} % 4 = 0 THEN 'V = 1\\n' ELSE '' END)"
+
+
+@query(
+    "c19_semantic_diff",
+    """WITH v AS (SELECT concat('m', p_partkey, '.py') AS file, concat('f', p_partkey % 50) AS f, p_partkey AS b, p_partkey + p_size AS a FROM part)
+SELECT file, 'import' AS symbol_kind, 'os' AS name, 'modified' AS change_type, 'sig' AS changed FROM v WHERE (a % 3 = 0) <> (b % 3 = 0)
+UNION ALL SELECT file, 'function', f, 'modified', concat_ws(',', CASE WHEN a % 2 <> b % 2 THEN 'sig' END, CASE WHEN a % 5 <> b % 5 THEN 'body_hash' END) FROM v WHERE a % 2 <> b % 2 OR a % 5 <> b % 5
+UNION ALL SELECT file, 'type', 'C', 'modified', 'sig' FROM v WHERE (a % 7 = 0) <> (b % 7 = 0)
+UNION ALL SELECT file, 'variable', 'V', CASE WHEN a % 4 = 0 THEN 'added' ELSE 'removed' END, '' FROM v WHERE (a % 4 = 0) <> (b % 4 = 0)""",
+    "t:part",
+)
+def _(p):
+    from tidemark.operators.symbols import semantic_diff
+
+    side = lambda n: p.select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("file"), F.lit("python").alias("language"), F.expr(_VERSION.replace("{1}", n)).alias("content"))
+    d = semantic_diff(side("p_partkey"), side("(p_partkey + p_size)"))
+    return d.select("file", "symbol_kind", "name", "change_type", F.array_join("changed", ",").alias("changed"))
+
+
+@query(
+    "j02_type_fields",
+    """WITH b AS (SELECT concat('T', p_partkey) AS type, unnest(['size', 'brand']) AS field, unnest([p_size::VARCHAR, p_brand]) AS declared FROM part WHERE p_partkey % 5 <> 0), a AS (
+  SELECT concat('T', p_partkey) AS type, unnest(['size', CASE WHEN p_partkey % 3 = 0 THEN 'label' ELSE 'brand' END]) AS field, unnest([CASE WHEN p_partkey % 4 = 0 THEN 'long' ELSE p_size::VARCHAR END, p_brand]) AS declared FROM part WHERE p_partkey % 7 <> 0)
+SELECT type, string_agg(concat(field, ':', CASE WHEN b.declared IS NULL THEN 'added' WHEN a.declared IS NULL THEN 'removed' ELSE 'modified' END, ':', coalesce(b.declared, '-'), ':', coalesce(a.declared, '-')), '|' ORDER BY field) AS fields FROM b FULL JOIN a USING (type, field) WHERE a.declared IS DISTINCT FROM b.declared GROUP BY type""",
+    "t:part",
+)
+def _(p):
+    from tidemark.operators.symbols import type_fields_diff
+
+    name = F.concat(F.lit("T"), "p_partkey").alias("name")
+    before = p.where("p_partkey % 5 <> 0").select(F.lit("x.go").alias("file"), name, F.array(F.concat(F.lit("size: "), "p_size"), F.concat(F.lit("brand: "), "p_brand")).alias("fields"))
+    size, label = F.when(F.col("p_partkey") % 4 == 0, "long").otherwise(F.col("p_size").cast("string")), F.when(F.col("p_partkey") % 3 == 0, "label").otherwise("brand")
+    after = p.where("p_partkey % 7 <> 0").select(F.lit("x.go").alias("file"), name, F.array(F.concat(F.lit("size: "), size), F.concat(label, F.lit(": "), "p_brand")).alias("fields"))
+    d = type_fields_diff(before, after)
+    return d.select("type", F.array_join(F.transform("fields", lambda x: F.concat_ws(":", x["name"], x["change"], x["old"], x["new"])), "|").alias("fields"))
+
+
+_PHASE_TEXT = "CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '{\"flows\": [], \"nil_sources\": []}' WHEN 2 THEN '{broken' WHEN 3 THEN '{\"flows\": [{\"id\": 1}]}' ELSE '[]' END"
+
+
+@query(
+    "s24_phase_status",
+    "WITH f AS (SELECT p_partkey % 3 AS g, p_partkey % 5 AS k FROM part WHERE p_partkey <= 12) SELECT CASE WHEN bool_or(k = 3) THEN 'completed' WHEN bool_or(k IN (1, 4)) THEN 'empty' ELSE 'failed' END AS status, string_agg(e, ', ' ORDER BY e) AS errors FROM (SELECT k, CASE WHEN k = 0 THEN 'l' || g || ' read error' WHEN k = 2 THEN 'l' || g || ' parse error' END AS e FROM f WHERE g < 2)",
+    "t:part",
+)
+def _(p):
+    from tidemark.sources.phases import PHASES, phase_status
+
+    files = p.where("p_partkey <= 12").select(F.concat(F.lit("l"), F.col("p_partkey") % 3).alias("language"), F.expr(_PHASE_TEXT).alias("content"))
+    return phase_status(files, ("l0", "l1"), PHASES["dataflow"][1])
+
+
+_TOKENS = "CASE event_id % 7 WHEN 0 THEN ' Golang' WHEN 1 THEN 'mixed' WHEN 2 THEN NULL WHEN 3 THEN 'Rust' WHEN 4 THEN 'c++' WHEN 5 THEN 'JS' ELSE 'python' END"
+
+
+@query("m29_language_token", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'go' WHEN 3 THEN 'rust' WHEN 5 THEN 'typescript' WHEN 6 THEN 'python' ELSE CASE WHEN event_id % 2 = 0 THEN 'typescript' ELSE 'unknown' END END AS token FROM events", "t:events")
+def _(e):
+    from tidemark.sources.phases import language_token
+
+    return e.select("event_id", language_token(F.expr(_TOKENS), F.when(F.col("event_id") % 2 == 0, "ts").otherwise("unknown")).alias("token"))
+
+
 @query("k02_scope_document", "SELECT concat('{\"files\":', count(*), ',\"regions\":[', (SELECT string_agg(concat('{\"r_name\":\"', r_name, '\"}'), ',' ORDER BY r_name) FROM region), ']}') AS document FROM nation", "t:nation", "t:region")
 def _(n, r):
     return sinks.document(n.agg(F.count(F.lit(1)).alias("files")), regions=r.select("r_name"))

@@ -11,7 +11,7 @@ import ast
 import hashlib
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,7 +133,7 @@ def go_symbols(content: str) -> Iterator[tuple]:
     """S27, best effort: functions and methods (Receiver.Name, without the asterisk), types, top-level vars and consts, imports."""
     masked = _masked(content, "\"'`")
     line = lambda i: content.count("\n", 0, i) + 1
-    for m in re.finditer(r"^func\s+(?:\(\s*(?:\w+\s+)?(\*?)(\w+)[^)]*\)\s*)?(\w+)\s*(\([^{]*?)\{", masked, re.M):
+    for m in re.finditer(r"^func\s+(?:\(\s*(?:\w+\s+)?(\*?)(\w+)[^)]*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\s*(\([^{]*?)\{", masked, re.M):
         end = _block_end(masked, m.end() - 1)
         body = re.sub(r"\s+", " ", content[m.end() : end - 1]).strip()
         yield "function", f"{m[2]}.{m[3]}" if m[2] else m[3], "method" if m[2] else "func", re.sub(r"\s+", " ", content[m.start(4) : m.end(4)]).strip(), _hash(body), line(m.start()), line(end - 1)
@@ -143,6 +143,11 @@ def go_symbols(content: str) -> Iterator[tuple]:
         yield "type", m[1], m[2] if m[2] in ("struct", "interface") else "alias", "; ".join(" ".join(x.split()) for x in inside.strip("{} \n").split("\n") if x.split()), "", line(m.start()), line(end - 1)
     for m in re.finditer(r"^(var|const)\s+(\w+)([^\n=]*)(?:=\s*([^\n]*))?", masked, re.M):
         yield "variable", m[2], m[1], m[3].strip(), _hash(content[m.start(4) : m.end(4)].strip())[:16] if m[4] else "", line(m.start()), line(m.end())
+    for m in re.finditer(r"^(var|const)\s*\(", masked, re.M):
+        end = _paren_end(masked, m.end() - 1)
+        for x in re.finditer(r"^[ \t]+(\w+)([^\n=]*)(?:=\s*([^\n]*))?$", masked[m.end() : end - 1], re.M):
+            lo = m.end() + x.start()
+            yield "variable", x[1], m[1], " ".join(x[2].split()), _hash(content[m.end() + x.start(3) : m.end() + x.end(3)].strip())[:16] if x[3] else "", line(lo), line(lo)
     for m in re.finditer(r'^import\s+(?:\(([^)]*)\)|((?:\w+\s+)?"[^"\n]+"))', content, re.M):
         for x in re.finditer(r'(?:([\w.]+)\s+)?"([^"\n]+)"', m[1] or m[2]):
             yield "import", x[2], "import", x[1] or "", "", line(m.start()), line(m.start())
@@ -160,12 +165,95 @@ def typescript_symbols(content: str) -> Iterator[tuple]:
     for m in re.finditer(r"^(?:export\s+)?(?:abstract\s+)?(class|interface)\s+(\w+)[^{]*\{", masked, re.M):
         end = _block_end(masked, m.end() - 1)
         yield "type", m[2], m[1], " ".join(content[m.end() : end - 1].split()), "", line(m.start()), line(end - 1)
+    for name, lo, hi in typescript_functions(masked):
+        if "." in name:
+            at = masked.rfind("(", 0, lo)
+            head = masked.rfind(name.split(".", 1)[1], 0, lo)
+            yield "function", name, "method", " ".join(content[masked.find("(", head) if head >= 0 else at : lo].split()), _hash(" ".join(content[lo + 1 : hi - 1].split())), line(head if head >= 0 else lo), line(hi - 1)
+    for m in re.finditer(r"^(?:export\s+)?(?:const\s+)?enum\s+(\w+)\s*\{", masked, re.M):
+        end = _block_end(masked, m.end() - 1)
+        yield "type", m[1], "enum", " ".join(content[m.end() : end - 1].split()), "", line(m.start()), line(end - 1)
     for m in re.finditer(r"^(?:export\s+)?type\s+(\w+)[^=]*=\s*([^;\n]*)", masked, re.M):
         yield "type", m[1], "alias", content[m.start(2) : m.end(2)].strip(), "", line(m.start()), line(m.end())
     for m in re.finditer(r"""^import\s+(?:([^'"\n]*?)\s+from\s+)?['"]([^'"\n]+)['"]""", content, re.M):
         yield "import", m[2], "import", m[1] or "", "", line(m.start()), line(m.end())
 
 
+_TS_WORDS = frozenset(("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "super", "import", "constructor", "void", "delete", "in", "of", "do", "else", "yield", "throw", "case"))
+_TS_FUNCTION = re.compile(r"(?:\b(?:async\s+)?function\s*\*?\s*(\w+)\s*(?:<[^>()]*>)?\s*\(|\b(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:function\b[^(]*\(|(?:<[^>()]*>\s*)?\(|(?=\w+\s*=>)))")
+_TS_CLASS = re.compile(r"\bclass\s+(\w+)[^{]*\{")
+_TS_METHOD = re.compile(r"(?:^|[;{}\n])\s*(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*\*?\s*([#\w]+)\s*(?:<[^>()]*>)?\s*\(")
+_TS_CALL = re.compile(r"(\bnew\s+)?((?:\bthis\b|\bsuper\b|[A-Za-z_$][\w$]*)(?:\s*(?:\?\.|\.)\s*[A-Za-z_$#][\w$]*|\[[^\[\]\n]*\])*)\s*(?:<[\w\s,\[\]|.]*>)?\s*(?:\?\.)?\(")
+
+
+def _paren_end(masked: str, at: int) -> int:
+    """After the bracket that closes the one at a place."""
+    depth = 0
+    for m in re.compile(r"[()]").finditer(masked, at):
+        depth += 1 if m[0] == "(" else -1
+        if depth == 0:
+            return m.end()
+    return len(masked)
+
+
+def _body(masked: str, after: int, arrow: bool) -> tuple[int, int] | None:
+    """Where the body behind a parameter list begins and ends; None for a declaration without one."""
+    m = re.compile(r"\s*(?::[^={};]*)?=>\s*" if arrow else r"\s*(?::[^{;=]*)?(?=\{)").match(masked, after)
+    if not m:
+        return None
+    if masked.startswith("{", m.end()):
+        return m.end(), _block_end(masked, m.end())
+    if not arrow:
+        return None
+    depth = 0
+    for x in re.compile(r"[()\[\]{}]|[;\n,]").finditer(masked, m.end()):
+        if x[0] in "([{":
+            depth += 1
+        elif x[0] in ")]}":
+            depth -= 1
+            if depth < 0:
+                return m.end(), x.start()
+        elif depth == 0 and x[0] != ",":
+            return m.end(), x.start()
+    return m.end(), len(masked)
+
+
+def typescript_functions(masked: str) -> Iterator[tuple[str, int, int]]:
+    """Name, body's begin and end of functions, of names that hold a function, and of methods (Class.method)."""
+    for m in _TS_FUNCTION.finditer(masked):
+        if m[0].endswith("("):
+            after = _paren_end(masked, m.end() - 1)
+            arrow = bool(m[2]) and "function" not in m[0]
+        else:  # one parameter without brackets
+            after, arrow = m.end() + len(re.compile(r"\w+").match(masked, m.end())[0]), True
+        if (body := _body(masked, after, arrow)) is not None:
+            yield m[1] or m[2], *body
+    for c in _TS_CLASS.finditer(masked):
+        end, at = _block_end(masked, c.end() - 1) - 1, c.end()
+        while m := _TS_METHOD.search(masked, max(at - 1, c.end() - 1), end):
+            at = _paren_end(masked, m.end() - 1)
+            if m[1] in _TS_WORDS:
+                continue
+            if (body := _body(masked, at, False)) is not None:
+                yield f"{c[1]}.{m[1]}", *body
+                at = body[1]
+
+
+def typescript_calls(content: str) -> Iterator[tuple]:
+    """S32, light mode: caller, target, line, column (1), is_method of the calls and constructions in each function's body, nested ones included. A scanner, not a compiler: generics and odd layouts are best effort."""
+    masked = _masked(content, "\"'`")
+    line = lambda i: content.count("\n", 0, i) + 1
+    for name, lo, hi in typescript_functions(masked):
+        for m in _TS_CALL.finditer(masked, lo, hi):
+            target = re.sub(r"\s+", "", m[2])
+            first = target.split(".")[0].split("[")[0].rstrip("?")
+            if first in _TS_WORDS and target == first:
+                continue
+            if re.search(r"\bfunction\s*\*?\s*$", masked[max(lo, m.start() - 12) : m.start()]):
+                continue
+            yield name, target, line(m.start()), 1, not m[1] and ("." in target or "[" in target)
+
+
 _PARSERS = {"python": python_symbols, "go": go_symbols, "typescript": typescript_symbols}
 
 
@@ -178,11 +266,16 @@ class Symbols:
             yield from sorted(_PARSERS[language](content), key=lambda s: (s[5], s[0], s[1]))
 
 
+_CALLS = {"python": python_calls, "typescript": typescript_calls}
+
+
 @udtf(returnType="caller string, target string, line int, column int, is_method boolean")
-class PythonCalls:
-    def eval(self, content: str):
-        if content and len(content.encode()) <= MAX_BYTES:
-            yield from python_calls(content)
+class CallSites:
+    """(language, content) -> call sites. Go has none here: its edges are an input table."""
+
+    def eval(self, language: str, content: str):
+        if content and language in _CALLS and len(content.encode()) <= MAX_BYTES:
+            yield from _CALLS[language](content)
 
 
 def symbols(files: DataFrame, language: Column | str = "language", content: str = "content") -> DataFrame:
@@ -191,8 +284,18 @@ def symbols(files: DataFrame, language: Column | str = "language", content: str
     return files.lateralJoin(Symbols(lang.outer(), F.col(content).outer())).drop(content)
 
 
-def calls(files: DataFrame, content: str = "content") -> DataFrame:
-    return files.lateralJoin(PythonCalls(F.col(content).outer())).drop(content)
+def calls(files: DataFrame, content: str = "content", language: Column | str = "python") -> DataFrame:
+    """Files: content and any others -> a row for each call site. language: one for all files, or a column."""
+    lang = F.lit(language) if isinstance(language, str) else language.outer()
+    return files.lateralJoin(CallSites(lang, F.col(content).outer())).drop(content)
+
+
+def register(language: str, symbols_of: Callable[[str], Iterator[tuple]] | None = None, calls_of: Callable[[str], Iterator[tuple]] | None = None) -> None:
+    """Another language's parsers, on the driver and in the workers that import them from here."""
+    if symbols_of:
+        _PARSERS[language] = symbols_of
+    if calls_of:
+        _CALLS[language] = calls_of
 
 
 def code_lines(files: DataFrame, content: str = "content") -> DataFrame:
