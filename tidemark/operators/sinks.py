@@ -55,8 +55,9 @@ def write_flows(analysis: dict[str, DataFrame], report: DataFrame, path: str, la
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
-    """A report as text files that follow each other by name; blocks: part, ord, text."""
-    blocks.repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select("text").write.mode("errorifexists").option("lineSep", "").text(path)
+    """A report as text files that follow each other by name; blocks: part, ord, text, each of which ends a line."""
+    lines = F.regexp_replace("text", r"\n\z", "").alias("value")  # the writer ends each row's last line itself
+    blocks.repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select(lines).write.mode("errorifexists").text(path)
 
 
 def document(df: DataFrame, **lists: DataFrame) -> DataFrame:
