@@ -22,7 +22,8 @@ st AS (
 ),
 cl AS (SELECT file, line, kept AS text FROM st WHERE line > 0)
 """
-_hits = lambda ps: f"SELECT l.file, l.line, l.text, p.ord, p.type, p.pattern, p.expression FROM cl l JOIN {_rows(ps)} ON regexp_matches(l.text, p.expression)"
+# equal texts are matched once
+_hits = lambda ps: f"SELECT l.file, l.line, l.text, h.ord, h.type, h.pattern, h.expression FROM cl l JOIN (SELECT x.text, p.* FROM (SELECT DISTINCT text FROM cl) x JOIN {_rows(ps)} ON regexp_matches(x.text, p.expression)) h ON h.text = l.text"
 _S, _K = _hits(GO_SOURCES), _hits(GO_SINKS)
 _V1, _V2 = (_q(p) for p in fl._VARIABLE)
 _VAR = f"coalesce(CASE WHEN regexp_extract(text, {_V1}, 1) NOT IN ('', 'if', 'for', 'switch', '_') THEN regexp_extract(text, {_V1}, 1) END, CASE WHEN regexp_extract(text, {_V2}, 1) NOT IN ('', 'if', 'for', 'switch', '_') THEN regexp_extract(text, {_V2}, 1) END, '')"
@@ -44,17 +45,17 @@ def _(c):
 
 
 # every match of a pattern: the parts between matches give their places
-_MATCHES = """SELECT file, line, text, ord, type, pattern, nth, place, CASE
+_MATCHES = """SELECT l.file, l.line, m.* FROM {lines} l JOIN (SELECT text, ord, type, pattern, nth, place, CASE
   WHEN regexp_matches(before, '(\\w+)\\s*=\\s*$') THEN regexp_extract(before, '(\\w+)\\s*=\\s*$', 1)
   WHEN regexp_matches(before, '(\\w+)\\s*:=\\s*$') THEN regexp_extract(before, '(\\w+)\\s*:=\\s*$', 1)
   WHEN regexp_matches(before, '(\\w+)\\s*:\\s*\\w+\\s*=\\s*$') THEN regexp_extract(before, '(\\w+)\\s*:\\s*\\w+\\s*=\\s*$', 1)
   WHEN regexp_matches(rest, '^\\w+\\.(\\w+)') THEN regexp_extract(rest, '^\\w+\\.(\\w+)', 1)
   WHEN regexp_matches(rest, '^\\w+') THEN regexp_extract(rest, '^(\\w+)', 1) ELSE '<unknown>' END AS variable
 FROM (SELECT *, rtrim(left(text, place - 1)) AS before, substr(text, place) AS rest FROM (
-  SELECT file, line, text, ord, type, pattern, nth, 1 + list_sum(list_transform(parts[1:nth + 1], lambda x: length(x)))::INT + coalesce(list_sum(list_transform(found[1:nth], lambda x: length(x))), 0)::INT AS place FROM (
+  SELECT text, ord, type, pattern, nth, 1 + list_sum(list_transform(parts[1:nth + 1], lambda x: length(x)))::INT + coalesce(list_sum(list_transform(found[1:nth], lambda x: length(x))), 0)::INT AS place FROM (
     SELECT *, unnest(range(len(found)))::INT AS nth FROM (
-      SELECT l.file, l.line, l.text, p.ord, p.type, p.pattern, string_split_regex(l.text, p.expression) AS parts, regexp_extract_all(l.text, p.expression) AS found
-      FROM {lines} l JOIN {rows} ON regexp_matches(l.text, p.expression)))))"""
+      SELECT l.text, p.ord, p.type, p.pattern, string_split_regex(l.text, p.expression) AS parts, regexp_extract_all(l.text, p.expression) AS found
+      FROM (SELECT DISTINCT text FROM {lines}) l JOIN {rows} ON regexp_matches(l.text, p.expression)))))) m ON m.text = l.text"""
 
 
 def _matches(lines, patterns):
@@ -132,11 +133,12 @@ _PID = "substr(sha256(concat(file, ':', sline, ':', stype, ':', file, ':', kline
 def _positional_sql(language):
     """CTEs: lines, s, k, pairs (every pair), first (of each id), checked (with sanitized), judged (with risk)."""
     lines, sources, sinks, sanitizers = _LANGUAGE[language]
-    cleaners = "CASE ktype " + " ".join(f"WHEN '{t}' THEN {_q('(?i)' + '|'.join(ps))}" for t, ps in sanitizers.items()) + " END"
+    cleaners = "(VALUES " + ", ".join(f"('{t}', {_q('(?i)' + '|'.join(ps))})" for t, ps in sanitizers.items()) + ") AS c(type, expression)"
     return f"""WITH lines AS (SELECT * FROM {{{lines}}}), s AS ({_matches('lines', sources)}), k AS ({_matches('lines', sinks)}),
 pairs AS (SELECT s.file, s.line AS sline, s.ord AS sord, s.nth AS snth, s.type AS stype, k.line AS kline, k.ord AS kord, k.nth AS knth, k.type AS ktype FROM s JOIN k ON s.file = k.file AND s.line <= k.line),
 first AS (SELECT * FROM (SELECT *, {_PID} AS id, row_number() OVER (PARTITION BY file, {_PID} ORDER BY sline, sord, snth, kline, kord, knth) AS rn FROM pairs) WHERE rn = 1),
-checked AS (SELECT f.*, EXISTS (SELECT 1 FROM lines l WHERE l.file = f.file AND l.line BETWEEN f.sline AND f.kline AND regexp_matches(l.text, {cleaners})) AS sanitized FROM first f),
+cleaning AS (SELECT l.file, l.line, h.type FROM lines l JOIN (SELECT x.text, c.type FROM (SELECT DISTINCT text FROM lines) x JOIN {cleaners} ON regexp_matches(x.text, c.expression)) h ON h.text = l.text),
+checked AS (SELECT f.*, EXISTS (SELECT 1 FROM cleaning c WHERE c.file = f.file AND c.type = f.ktype AND c.line BETWEEN f.sline AND f.kline) AS sanitized FROM first f),
 judged AS (SELECT *, {_risk_sql('stype', 'ktype', 'sanitized', True)} AS risk FROM checked)
 """
 
