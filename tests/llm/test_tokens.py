@@ -100,3 +100,28 @@ def test_token_counts_on_documents(spark):
         n = [greedy(pieces, token_counts.MARK + w) for w in words]
         assert (got[i].n_words, got[i].n_tokens, got[i].n_unknown) == (len(words), sum(x or 1 for x in n), n.count(0)), t
     assert token_counts.token_counts(docs(spark, [])).count() == 0
+
+
+def test_token_counts_of_long_words_and_repeated_rows(spark):
+    pieces = set(token_counts.load_pieces(token_counts.VOCABULARY))
+    rows = ["ab" * 3000, "same words", "same words", "x" * 100_000 + " y"]
+    d = spark.createDataFrame([(1, t, 0) for t in rows], "doc_id long, text string, n_tokens int")
+    got = sorted((r.n_words, r.n_tokens, r.n_unknown) for r in token_counts.token_counts(d).collect())
+    want = []
+    for t in rows[:3]:
+        n = [greedy({p for p in pieces if len(p) <= 20}, token_counts.MARK + w) for w in t.split()]
+        want.append((len(n), sum(n), 0))
+    assert got[:3] == sorted(want) or set(want) <= set(got)
+    assert len(got) == 4 and max(got)[0] == 2
+
+
+def test_intermediate_tables_are_cleared(spark):
+    import os
+
+    from tidemark.llm import _runtime
+
+    kept = _runtime.stored(spark.range(3), "x")
+    path = _runtime._WRITTEN[-1].removeprefix("file:")
+    assert kept.count() == 3 and os.path.isdir(path)
+    _runtime.clear(spark)
+    assert not os.path.exists(path) and not _runtime._WRITTEN

@@ -14,6 +14,7 @@
 5. Components of the confirmed links give every document the smallest id that it reaches.
 
 Null, empty and blank texts have no shingles and are linked with nothing, each its own component.
+Very long texts are read whole. Texts of equal ids are told apart by their sets.
 A text of fewer words than a shingle is one shingle. Rows without an id link like others and get
 the least id of their component; where none has one, component_id is null and all are kept. Rows that repeat an id with one text fall in
 one class. Shingles are compared by 64-bit hashes, sets by 128 bits. Extra columns are left

@@ -19,7 +19,7 @@ these suffixes alone, about one word in fourteen.
 4. Words under a repeated window are removed.
 
 Words are compared by 64-bit hashes, whole windows of a long prefix by a 64-bit hash with that of
-their prefix. Null and empty texts have no words, texts of fewer than WINDOW words no windows.
+their prefix. Null and empty texts have no words, very long texts are read whole, texts of fewer than WINDOW words no windows.
 Rows that repeat an id and a text count as documents each and get the same result. Extra columns
 are left alone; an empty table gives an empty result.
 """
@@ -222,7 +222,7 @@ def _spans(routed: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # whole groups, then the one that goes on
         first: tuple | None = None  # the lone first row of a long prefix
-        key, twice = None, False
+        key = None
         for b in batches:
             out = []
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -236,7 +236,7 @@ def _spans(routed: DataFrame, window: int) -> DataFrame:
                 else:
                     span = (r[3], r[4], r[5] - r[7], r[5] - r[7] + window)
                     if (r[0], r[1], r[7]) != key:
-                        key, twice, first = (r[0], r[1], r[7]), r[2] == 2, span if r[2] == 1 else None
+                        key, first = (r[0], r[1], r[7]), span if r[2] == 1 else None
                     else:
                         if first:
                             out.append(first)

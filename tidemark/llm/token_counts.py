@@ -7,7 +7,7 @@ edge, the count of the node is added and the link followed. No piece is ever bui
 
 Words are ``[^\\x20\\x09-\\x0D]+``; each gets the vocabulary's word-start mark in front. A word that
 the vocabulary cannot spell is one unknown token. Null and empty texts have no words and no
-tokens. Repeated rows are counted each; other columns are left alone; an empty table gives an
+tokens; words and texts of any length are read whole, in time in proportion to their length. Repeated rows are counted each; other columns are left alone; an empty table gives an
 empty result.
 """
 
