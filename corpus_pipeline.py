@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, the next one's docs; all but the
 last return the columns of docs. Null and empty texts pass the filters unless they are copies of
 one another, empty tables stay empty, extra columns go through, rows that repeat an id and a text
-are kept or dropped together.
+are kept or dropped together. Rows without an id cannot be named by a decision of the two
+deduplications and stay. Very long texts are read whole by every stage.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, decontaminate, exact_dedup, near_dedup, quality_cnn
-from tidemark.llm._runtime import ready, shared_dir, table
+from tidemark.llm._runtime import clear, ready, shared_dir, table
 
 #: Scores and near-duplicate components are not for SQL; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -50,11 +51,12 @@ STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminat
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder and read again."""
+    """The stages over documents, each written to the shared folder and read again; what a stage stored on its way is deleted behind it."""
     ready(spark)
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        clear(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
