@@ -32,12 +32,8 @@ def _holds(text: Column, pattern: str) -> Column:
 
 
 def hit_list(text: Column, patterns: Sequence[tuple[str, str, str]]) -> Column:
-    """The patterns that a text matches, as structs of ord, type, pattern (its description) and column.
-
-    The library is unrolled into literal expressions, compiled once per task; a text is read once.
-    """
-    each = [F.when(_holds(text, p), F.struct(F.lit(i).alias("ord"), F.lit(t).alias("type"), F.lit(d).alias("pattern"), match_column(text, p).alias("column"))) for i, (t, p, d) in enumerate(patterns)]
-    return F.array_compact(F.array(*each))
+    """The numbers of the patterns that a text matches. The library is unrolled into literal expressions, compiled once per task; a text is read once."""
+    return F.array_compact(F.array(*(F.when(_holds(text, p), F.lit(i)) for i, (_, p, _) in enumerate(patterns))))
 
 
 def match_column(text: Column, pattern: str) -> Column:
@@ -47,8 +43,13 @@ def match_column(text: Column, pattern: str) -> Column:
 
 
 def hits(lines: DataFrame, patterns: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """J08, Go: one row for each pattern that a line matches: the line with ord, type, pattern and column."""
-    return lines.select("*", F.explode(hit_list(F.col("text"), patterns)).alias("__hit")).select(*lines.columns, "__hit.*")
+    """J08, Go: one row for each pattern that a line matches: the line with ord, type, pattern (its description) and column."""
+    told = lambda k: F.element_at(F.array(*(F.lit(p[k]) for p in patterns)), F.col("ord") + 1)
+    column = F
+    for i, (_, p, _) in enumerate(patterns):
+        column = column.when(F.col("ord") == i, match_column(F.col("text"), p))
+    found = lines.select("*", F.explode(hit_list(F.col("text"), patterns)).alias("ord"))
+    return found.select(*lines.columns, "ord", told(0).alias("type"), told(2).alias("pattern"), column.alias("column"))
 
 
 def named_in(text: str, at: int) -> str:
@@ -424,12 +425,12 @@ def tracked_flows(lines: DataFrame, sources: Sequence[tuple[str, str, str]], sin
     text = F.col("text")
     marked = code_only(lines.select("file", "line", "text")).select("file", "line", "text", hit_list(text, sources).alias("sources"), hit_list(text, sinks).alias("sinks"))
     clean, called = re.compile(GO_SANITIZER), re.compile(_CALLED, re.A)
-    pick = lambda x: (x["ord"], x["type"], x["pattern"])
+    told = lambda library, found: [(i, library[i][0], library[i][2]) for i in found]
 
     def fold(file: str, group: list[tuple]):
         at = [r[1] for r in group]
-        starts = {i: list(map(pick, r[3])) for i, r in enumerate(group) if r[3]}
-        ends = {i: list(map(pick, r[4])) for i, r in enumerate(group) if r[4]}
+        starts = {i: told(sources, r[3]) for i, r in enumerate(group) if r[3]}
+        ends = {i: told(sinks, r[4]) for i, r in enumerate(group) if r[4]}
         for i, s, name, j, k, safe in file_flows([r[2] for r in group], starts, ends, clean, called):
             yield file, file, at[i], *s, name, at[j], *k, safe
 
