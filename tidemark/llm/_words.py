@@ -125,3 +125,12 @@ def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES, most: int
         hi = min(hi, n, lo + most)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each stretch of bytes, equal for equal ones wherever they stand."""
+    n = len(data)
+    up, down = _BYTES.need(n + 1)
+    sums = np.zeros(n + 1, dtype=_U)
+    np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
+    return mixed(_ranges(sums, starts, ends, down) + (ends - starts).astype(_U))

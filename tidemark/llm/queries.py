@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("token_counts", "substring_dedup", "pii", "exact_dedup", "near_dedup", "byte_bpe", "decontaminate", "line_dedup", "token_file", "quality_cnn", "fill_in_middle", "centroid_clustering")
+_MODULES = ("token_counts", "substring_dedup", "pii", "exact_dedup", "near_dedup", "byte_bpe", "decontaminate", "line_dedup", "token_file", "quality_cnn", "fill_in_middle", "centroid_clustering", "suffix_array_dedup")
 
 
 def _modules():
