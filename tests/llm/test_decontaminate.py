@@ -88,3 +88,51 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert dc.drop_contaminated(docs, bench).count() == 0
     assert [g.matches for g in dc.contamination(docs.limit(2), bench.limit(0)).collect()] == [[], []]
     assert dc.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_repetitive_texts_within_bounded_memory():
+    import tracemalloc
+
+    index = dc.Index([(1, "a" * 400), (2, "ab" * 90), (3, "a" * 400)])
+    raw = np.frombuffer(b"a" * 500_000 + b" " + b"abcab" * 100_000, np.uint8)
+    tracemalloc.start()
+    got = index.matches(*dc.folded(raw, np.array([0, len(raw)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 1, 0, 120), (0, 3, 0, 120)]
+    assert peak < 500 << 20
+
+
+def test_repetitive_texts_as_brute_force(monkeypatch):
+    monkeypatch.setattr(dc, "PAIRS", 500)
+    r = random.Random(9)
+    items = [(0, "a" * 300), (1, "ab" * 130), (2, "abc" * 50 + "d" * 60), (3, "a" * 119), (4, "xy" * 8)]
+    index = dc.Index(items)
+    texts = ["".join(r.choice(("a" * 40, "ab" * 25, "abc" * 20, "d" * 30, "b", "xy" * 5, " ")) for _ in range(r.randrange(1, 12))) for _ in range(40)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    got: dict[int, dict] = {i: {} for i in range(len(texts))}
+    for d, item, edits, _ in index.matches(*dc.folded(data, offsets)):
+        got[d][item] = edits
+    assert [got[i] for i in range(len(texts))] == [brute(items, t) for t in texts]
+
+
+def test_segments_of_long_texts(monkeypatch):
+    r = random.Random(3)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    items = [(i, prose(200)) for i in range(5)] + [(9, "b cd a")]
+    text = "".join(prose(r.randrange(300, 900)) + edited(r, items[k % 5][1], r.randrange(8)) for k in range(30)) + " b cd a"
+    index, raw = dc.Index(items), np.frombuffer(text.encode(), np.uint8)
+    whole = index.matches(*dc.folded(raw, np.array([0, len(raw)])))
+    for size in (130, 1000, 1777):
+        monkeypatch.setattr(dc, "SEGMENT", size)
+        assert [m[:3] for m in index.matches(*dc.folded(raw, np.array([0, len(raw)])))] == [m[:3] for m in whole]
+    assert {i: e for _, i, e, _ in whole} == brute(items, text)
+
+
+def test_repeated_rows(spark):
+    text = "some words before it " + "the passage of a benchmark that is quoted here in full, and more " * 2
+    docs = spark.createDataFrame([(1, text), (1, text), (1, "clean"), (None, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, text[21:]), (5, text[21:]), (6, text[21:])], "item_id long, text string")
+    got = sorted([str(g.doc_id), [m.item_id for m in g.matches]] for g in dc.contamination(docs, bench).collect())
+    assert got == [["1", []], ["1", [5, 6]], ["1", [5, 6]], ["None", [5, 6]]]

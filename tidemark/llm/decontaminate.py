@@ -14,6 +14,11 @@ budget is lost; a passage that holds no whole window is.
 An item shorter than a q-gram has no budget for edits and is looked for verbatim, between
 characters that are neither letters nor digits; its place is found by a hash of its whole length.
 
+Equal windows are one, with the items that hold them. Shared q-grams are counted for a slice of
+positions at a time, and bands that no later position can add to are settled behind it; equal
+stretches are aligned once. So repetitive texts take time, not memory. Texts of more than SEGMENT
+bytes are searched in segments that overlap by more than a window with its edits.
+
 The benchmark is held in blocks of BLOCK_BYTES of text at most; a larger one is more passes over
 the documents, each with one block, written in between, and a longer item is cut into blocks that
 overlap by a window. Workers build the index of a block, so tasks carry its text alone. Empty or
@@ -37,6 +42,7 @@ from tidemark.llm._words import chunks, mixed
 
 NAME = "op7_decontaminate"
 Q, WINDOW, EDIT_PERCENT, BLOCK_BYTES = 12, 120, 6, 1 << 21
+SEGMENT, PAIRS = 1 << 22, 1 << 21
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
@@ -84,9 +90,8 @@ class Index:
     """Windows of some benchmark items and their q-grams; items shorter than a q-gram by length."""
 
     def __init__(self, items: Iterable[tuple[int, str]], edit_percent: int = EDIT_PERCENT) -> None:
-        self.windows: list[bytes] = []
         self.short: dict[int, dict[bytes, list[int]]] = {}
-        of: list[int] = []
+        of: dict[bytes, list[int]] = {}
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             x = folded(raw, np.array([0, len(raw)]))[0].tobytes().strip()
@@ -96,9 +101,10 @@ class Index:
                 continue
             last = max(0, len(x) - WINDOW)
             for lo in sorted({*range(0, last, WINDOW // 2), last}):
-                self.windows.append(x[lo : lo + WINDOW])
-                of.append(item)
-        self.item = np.array(of, dtype=np.int64)
+                have = of.setdefault(x[lo : lo + WINDOW], [])
+                if not have or have[-1] != item:
+                    have.append(item)
+        self.windows, self.items = list(of), list(of.values())
         self.size = np.array([len(w) for w in self.windows], dtype=np.int64)
         # a budget that leaves the bound at one shared q-gram at least
         self.budget = np.minimum(self.size * edit_percent // 100, (self.size - Q) // Q)
@@ -117,7 +123,18 @@ class Index:
 
     def matches(self, x: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, edits, end in the compared text) of each confirmed band, the best by document and item."""
-        return sorted([*self._short(x, offsets), *self._banded(x, offsets)])
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for doc, item, edits, end in self._short(x, offsets):
+            best[doc, item] = min(best.get((doc, item), (edits, end)), (edits, end))
+        if len(x) <= SEGMENT:
+            self._banded(x, offsets, np.arange(len(offsets) - 1), offsets[:-1], best)
+        else:
+            for d in range(len(offsets) - 1):
+                lo, hi = int(offsets[d]), int(offsets[d + 1])
+                for at in range(lo, max(lo + 1, hi), SEGMENT):
+                    part = x[at : min(hi, at + SEGMENT + 2 * WINDOW)]
+                    self._banded(part, np.array([0, len(part)]), np.array([d]), np.array([lo - at]), best)
+        return sorted((d, item, edits, end) for (d, item), (edits, end) in best.items())
 
     def _short(self, x: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """Items shorter than a q-gram, at their first place in a document."""
@@ -127,22 +144,24 @@ class Index:
             edge[1:-1] = ~(part[1:] & part[:-1])
             edge[offsets] = True
         for n, keys in self.short_keys.items():
-            at = np.flatnonzero(np.isin(pieces(x, n), keys))
-            at = at[edge[at] & edge[at + n]]
-            doc = np.searchsorted(offsets, at, "right") - 1
             seen = set()
-            for i, d in zip(at.tolist(), doc.tolist(), strict=True):
-                if i + n > offsets[d + 1]:
-                    continue
-                for item in self.short[n].get(x[i : i + n].tobytes(), ()):
-                    if (d, item) not in seen:
-                        seen.add((d, item))
-                        yield d, item, 0, int(i + n - offsets[d])
-
-    def _banded(self, x: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+            for lo in range(0, len(x), SEGMENT):
+                at = lo + np.flatnonzero(np.isin(pieces(x[lo : lo + SEGMENT + n - 1], n), keys))
+                at = at[edge[at] & edge[at + n]]
+                doc = np.searchsorted(offsets, at, "right") - 1
+                for i, d in zip(at.tolist(), doc.tolist(), strict=True):
+                    if i + n > offsets[d + 1]:
+                        continue
+                    for item in self.short[n].get(x[i : i + n].tobytes(), ()):
+                        if (d, item) not in seen:
+                            seen.add((d, item))
+                            yield d, item, 0, int(i + n - offsets[d])
+
+    def _banded(self, x: np.ndarray, offsets: np.ndarray, docs: np.ndarray, origin: np.ndarray, best: dict[tuple[int, int], tuple[int, int]]) -> None:
+        """Adds to best what the documents of x hold; docs: their numbers, origin: where in x they begin."""
         g = grams(x)
         if not len(self.keys) or not len(g):
-            return []
+            return
         at = np.flatnonzero(self.filter[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
         ok = self.keys[k] == g[at]
@@ -151,47 +170,71 @@ class Index:
         inside = at + Q <= offsets[doc + 1]
         at, k, doc = at[inside], k[inside], doc[inside]
         n = self.first[k + 1] - self.first[k]
+        before = np.concatenate([[0], np.cumsum(n)])
+        open_keys, open_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(before, before[lo] + PAIRS, "right")) - 1)
+            keys, counts = self._counted(at[lo:hi], k[lo:hi], doc[lo:hi])
+            keys, which = np.unique(np.concatenate([open_keys, keys]), return_inverse=True)
+            counts = np.bincount(which, weights=np.concatenate([open_counts, counts])).astype(np.int64)
+            window, band = keys >> 44, keys & ((1 << 30) - 1)
+            # diagonals from the next position on: at - place + WINDOW, place below WINDOW
+            still = (band + 1) * (self.budget[window] + 1) > (at[hi] if hi < len(at) else 1 << 40)
+            open_keys, open_counts = keys[still], counts[still]
+            self._settled(x, offsets, keys[~still & (counts >= self.bound[window])], docs, origin, best)
+            lo = hi
+
+    def _counted(self, at: np.ndarray, k: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shared q-grams of some positions by window, document and band."""
+        n = self.first[k + 1] - self.first[k]
         entry = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
         at, doc, window = np.repeat(at, n), np.repeat(doc, n), self.window[entry].astype(np.int64)
         diagonal = at - self.place[entry] + WINDOW  # from 0 on
-        step = self.budget[window] + 1
-        band = diagonal // step
+        band = diagonal // (self.budget[window] + 1)
         key = (window << 44) | (doc << 30) | band  # below 2**19, 2**14 and 2**30
         # bands b and b - 1 both hold the diagonals of step b; one may be at the edge
-        keys, counts = np.unique(np.concatenate([key + 1, key]), return_counts=True)
-        keys = keys[counts >= self.bound[keys >> 44]]
+        return np.unique(np.concatenate([key + 1, key]), return_counts=True)
+
+    def _settled(self, x: np.ndarray, offsets: np.ndarray, keys: np.ndarray, docs: np.ndarray, origin: np.ndarray, best: dict[tuple[int, int], tuple[int, int]]) -> None:
         if not len(keys):
-            return []
+            return
         window, doc, band = keys >> 44, (keys >> 30) & ((1 << 14) - 1), (keys & ((1 << 30) - 1)) - 1
         low = band * (self.budget[window] + 1) - WINDOW
-        return self._verified(x, offsets, window, doc, low)
-
-    def _verified(self, x: np.ndarray, offsets: np.ndarray, window: np.ndarray, doc: np.ndarray, low: np.ndarray) -> list[tuple[int, int, int, int]]:
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        left: list[int] = []
+        self._verified(x, offsets, window, doc, low, docs, origin, best)
 
+    def _verified(self, x: np.ndarray, offsets: np.ndarray, window: np.ndarray, doc: np.ndarray, low: np.ndarray, docs: np.ndarray, origin: np.ndarray, best: dict[tuple[int, int], tuple[int, int]]) -> None:
         def take(i: int, edits: int, end: int) -> None:
-            k = (int(doc[i]), int(self.item[window[i]]))
-            best[k] = min(best.get(k, (edits, end)), (edits, end))
-
-        for i in range(len(window)):
-            lo, hi = offsets[doc[i]], offsets[doc[i] + 1]
-            reach = 2 * (self.budget[window[i]] + 1) + self.budget[window[i]]
-            region = x[max(lo, low[i]) : min(hi, low[i] + self.size[window[i]] + reach)].tobytes()
-            if (p := region.find(self.windows[window[i]])) >= 0:
-                take(i, 0, int(max(lo, low[i]) + p + self.size[window[i]] - lo))
+            for item in self.items[window[i]]:
+                k = (int(docs[doc[i]]), item)
+                best[k] = min(best.get(k, (edits, end)), (edits, end))
+
+        left: dict[tuple, list[int]] = {}  # equal stretches of text against a window
+        for i in np.lexsort((low, doc)).tolist():
+            w, d, at = int(window[i]), int(doc[i]), int(low[i])
+            lo, hi, size, budget = int(offsets[d]), int(offsets[d + 1]), int(self.size[w]), int(self.budget[w])
+            first = max(lo, at)
+            known = [best.get((int(docs[d]), item)) for item in self.items[w]]
+            if all(b is not None and b[0] == 0 and b[1] <= first + size - origin[d] for b in known):
+                continue  # nothing better ends so early
+            region = x[first : min(hi, at + size + 3 * budget + 2)].tobytes()
+            if (p := region.find(self.windows[w])) >= 0:
+                take(i, 0, int(first + p + size - origin[d]))
             else:
-                left.append(i)
-        for m, e in {(int(self.size[window[i]]), int(self.budget[window[i]])) for i in left}:
-            some = [i for i in left if (self.size[window[i]], self.budget[window[i]]) == (m, e)]
+                around = x[max(lo, at - budget) : min(hi, at + size + 4 * budget + 2)].tobytes()
+                left.setdefault((w, around, at - max(lo, at - budget), at + size + 4 * budget + 2 > hi), []).append(i)
+        heads = [rows[0] for rows in left.values()]
+        groups = list(left.values())
+        for m, e in {(int(self.size[window[i]]), int(self.budget[window[i]])) for i in heads}:
+            some = [g for g, i in enumerate(heads) if (self.size[window[i]], self.budget[window[i]]) == (m, e)]
             for s in range(0, len(some), 2000):
-                part = np.array(some[s : s + 2000])
+                part = np.array([heads[g] for g in some[s : s + 2000]])
                 pattern = np.frombuffer(b"".join(self.windows[w] for w in window[part]), np.uint8).reshape(-1, m)
                 edits, end = banded(x, pattern, low[part] - e, offsets[doc[part]], offsets[doc[part] + 1], 2 * (e + 1) + 2 * e, e)
-                for i, d, z in zip(part, edits.tolist(), end.tolist(), strict=True):
+                for g, head, d, z in zip(some[s : s + 2000], part.tolist(), edits.tolist(), end.tolist(), strict=True):
                     if d <= e:
-                        take(i, d, int(z - offsets[doc[i]]))
-        return [(d, item, edits, end) for (d, item), (edits, end) in sorted(best.items())]
+                        for i in groups[g]:
+                            take(i, d, int(z + low[i] - low[head] - origin[doc[i]]))
 
 
 def banded(x: np.ndarray, pattern: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
