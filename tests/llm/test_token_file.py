@@ -24,10 +24,11 @@ def test_file_equals_library(spark, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tf.TOKENIZER)
-    t.encode_special_tokens = True
     r = random.Random(2)
     texts = [None, "", " ", "A  b\n\nc ", "it's I'LL 12 x²", "<|endoftext|> q", "Σίσυφος ΣΑΣ", "é e ́ Å", "漢字かな 🙂", "\x85a　b\x1cc", "w" * 3000]
+    texts += ["a <|endoftext|> b", "x<|startoftext|>y", "<|endoftext|>", " <|endoftext|>\n<|startoftext|> ", "q<|endoftext|><|endoftext|>Q", "<|EndOfText|>", "<|endoftext", "é<|endoftext|>\u0301 x", "<<|endoftext|>>"]
     texts += ["".join(r.choice("abcé \ń'1İΣ") for _ in range(r.randrange(80))) for _ in range(200)]
+    texts += [" ".join(r.choice(("a", "<|endoftext|>", "<|", "|>", "B<|startoftext|>c")) for _ in range(r.randrange(9))) for _ in range(100)]
     rows = [(i * 3 % 1000, x, 5) for i, x in enumerate(texts)] + [(7, "same", 5), (7, "same", 5)]
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     tf.write_tokens(spark.createDataFrame(rows, "doc_id long, text string, start int"), f"{tmp_path}/f")
@@ -61,9 +62,8 @@ def test_other_tokenizers_and_null_ids(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert tf.cuts_words(tf.TOKENIZER) and not tf.cuts_words(path)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    rows = [(None, "No  Id"), (2, "Upper CASE\n\nhere  it's"), (1, "x " * 5000), (None, None)]
+    rows = [(None, "No  Id"), (2, "Upper CASE\n\nhere  it's"), (1, "x <|endoftext|> " * 500), (None, None)]
     tf.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/h", tokenizer=path, end_id=9)
     got = sorted(tf.read_documents(spark, f"{tmp_path}/h").collect(), key=lambda v: v.start)
     assert [v.doc_id for v in got] == [None, None, 1, 2]
-    assert [list(v.token_ids) for v in got] == [t.encode(x, add_special_tokens=False).ids + [9] for x in ("", "No  Id", "x " * 5000, "Upper CASE\n\nhere  it's")]
+    assert [list(v.token_ids) for v in got] == [t.encode(x, add_special_tokens=False).ids + [9] for x in ("", "No  Id", "x <|endoftext|> " * 500, "Upper CASE\n\nhere  it's")]

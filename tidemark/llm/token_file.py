@@ -1,5 +1,8 @@
 """Token ids on disk as directly addressable codes.
 
+Ids are those of the tokenizers library without special tokens around a text; the content of an
+added token within a text becomes that token, as the library has it.
+
 An id is split into 8-bit chunks, low ones first. Level k holds the k-th chunk of every id that
 has one, a bitmap that says which ids go on, and a rank directory, the number of set bits before
 every RANK_BITS-th bit. The place of an id in the next level is the rank of its bit, so any id is
@@ -124,13 +127,18 @@ _PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type
 _PLAIN_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
+#: Added tokens are found in a text as it is, whatever stands around them.
+_PLAIN_ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
 def cuts_words(path: str) -> bool:
-    """Whether the tokenizer lower-cases, drops white space, splits words as _SIMPLE expects and marks their ends."""
+    """Whether the tokenizer lower-cases, drops white space, splits words as _SIMPLE expects and marks their ends; its added tokens are no words."""
     with open(path, encoding="utf-8") as f:
         told = json.load(f)
     splits = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
     model = told.get("model") or {}
     plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+    plain = plain and all(a["content"].startswith("<") and _PLAIN_ADDED.items() <= a.items() for a in told.get("added_tokens") or [])
     return plain and told.get("normalizer") == _PLAIN_NORMALIZER and splits[0] == _PLAIN_SPLIT
 
 
@@ -142,19 +150,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.by_word = cuts_words(path)
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.words = PieceTable(self._encode_words)
         self.pieces = PieceTable(self._encode_pieces if self.by_word else self._encode_texts, TABLE_BYTES if self.by_word else 0)
 
     def cut(self, text: str) -> list[str]:
-        """Pieces that nothing is matched across."""
+        """Pieces that nothing is matched across; an added token is one of its own."""
         if not text:
             return []
-        return text.replace("\n", " ").split(" ") if self.by_word else [text]
+        if not self.by_word:
+            return [text]
+        if "<" in text and self.added and self.added.search(text):
+            parts = self.added.split(text)
+            return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else part.replace("\n", " ").split(" "))]
+        return text.replace("\n", " ").split(" ")
 
     def _encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return flattened([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
