@@ -9,7 +9,7 @@ import pytest
 
 from tidemark.__main__ import main
 from tidemark.operators import paths, reports, sinks
-from tidemark.sources import phases
+from tidemark.sources import parsers, phases
 from tidemark.sources.repository import GitError, Repository, batches, checked_ref
 
 
@@ -102,25 +102,73 @@ def test_refs():
 
 
 def test_scope_of_modes(spark):
-    part = lambda *r: spark.createDataFrame([*r], "path string, status string, additions long, deletions long")
-    parts = [part(("a", "M", 1, 0), ("b", "M", 1, 0)), part(("a", "M", 2, 0)), part(("a", "D", 0, 3)), part(("n", "A", 0, 0))]
-    got = lambda m: {r.path: r.status for r in paths.scope_mode(m, *parts).collect()}
-    assert got("refs") == {"a": "M", "b": "M"} and got("unstaged") == {"a": "D", "n": "A"} and got("all") == {"a": "D", "b": "M", "n": "A"}
+    part = lambda *r: spark.createDataFrame([*r], "path string, status string, old_path string, additions long, deletions long")
+    names = lambda *r: spark.createDataFrame([(x,) for x in r], "path string")
+    committed, staged = part(("a", "M", None, 1, 0), ("b", "R100", "c", 1, 0)), part(("a", "M", None, 10, 0))
+    head = part(("a", "M", None, 15, 0), ("gone", "D", None, 0, 3))  # 10 lines staged and 5 more not
+    state = (committed, staged, head, names("./a", "new", "gone", "raced", "a"), names("a", "gone"), names("a", "new"))
+    got = lambda m: {r.path: (r.status, r.additions, r.deletions) for r in paths.scope_mode(m, *state).collect()}
+    assert got("refs") == {"a": ("M", 1, 0), "b": ("R100", 1, 0)} and got("staged") == {"a": ("M", 10, 0)}
+    assert got("all") == {"a": ("M", 15, 0), "gone": ("D", 0, 3)}  # no commits, no untracked files, one count
+    assert got("unstaged") == {"a": ("M", 15, 0), "new": ("A", 0, 0), "gone": ("D", 0, 3)}  # a file that is nowhere is left out
     with pytest.raises(ValueError):
-        paths.scope_mode("odd", *parts)
+        paths.scope_mode("odd", *state)
     empty = paths.scope(part().limit(0)).collect()[0]
-    assert (empty.modified, empty.total_additions, empty.language) == (0, 0, "unknown")
+    assert (empty.modified, empty.total_files, empty.total_additions, empty.language, empty.packages) == (0, 0, 0, "unknown", 0)
+
+
+def test_packages_of_the_one_language(spark):
+    changed = lambda *r: spark.createDataFrame([(i, p, s, o, 1, 0) for i, (p, s, o) in enumerate(r)], "ord long, path string, status string, old_path string, additions long, deletions long")
+    one = paths.scope(changed(("a/x.GO", "M", ""), ("docs/y.md", "A", None))).first()
+    assert (one.packages, one.language, one.total_files) == (1, "go", 2)
+    assert paths.scope(changed(("a/x.go", "M", ""), ("docs/y.md", "A", None), ("b/z.py", "A", None))).first().packages == 3
+    assert paths.scope(changed(("a/x.txt", "M", ""), ("docs/y.md", "A", None))).first().packages == 2
+    renamed = paths.scope(changed(("n.go", "R100", "o.go"), ("c.go", "C075", "o.go"), ("same.go", "R100", "same.go"), ("e.go", "R100", ""))).first()
+    assert (renamed.renamed, renamed.modified) == (2, 4)
+
+
+def test_scope_documents(spark):
+    rows = [(3, "b/z.go", "M", None, 4, 1), (1, 'a/"q<.go', "A", None, 2, 0), (2, "n.go", "R090", "o.go", 0, 0), (4, "docs/x.md", "D", None, 0, 9)]
+    df = spark.createDataFrame(rows, "ord long, path string, status string, old_path string, additions long, deletions long")
+    text = lambda d: "".join(r.text for r in d.orderBy("part", "ord").collect())
+    want = {
+        "base_ref": "main", "head_ref": "HEAD", "language": "go", "languages": ["go"],
+        "files": {"modified": ["n.go", "b/z.go"], "added": ['a/"q<.go'], "deleted": ["docs/x.md"], "renamed": [{"old_path": "o.go", "new_path": "n.go"}]},
+        "stats": {"total_files": 4, "total_additions": 6, "total_deletions": 10}, "packages_affected": [".", "a", "b"],
+    }
+    got = text(paths.scope_document(df, "main", "HEAD"))
+    assert got == json.dumps(want, indent=2).replace("<", "\\u003c") + "\n"
+    empty = {"base_ref": "", "head_ref": "", "language": "unknown", "languages": [], "files": {"modified": [], "added": [], "deleted": [], "renamed": []}, "stats": {"total_files": 0, "total_additions": 0, "total_deletions": 0}, "packages_affected": []}
+    assert text(paths.scope_document(df.limit(0))) == json.dumps(empty, indent=2) + "\n"
+
+
+def test_lines_of_files(spark):
+    big = "x" * ((1 << 20) - 1)
+    files = spark.createDataFrame([("a", "x\n\n"), ("b", ""), ("c", None), ("d", "\n"), ("e", "p\r\nq\r"), ("f", f"ok\n{big}"), ("g", f"ok\n{big}x\n"), ("h", f"{big}\r\n")], "file string, content string")
+    got = {}
+    for r in parsers.code_lines(files).collect():
+        got.setdefault(r.file, {})[r.line] = r.text
+    assert got == {"a": {1: "x", 2: ""}, "d": {1: ""}, "e": {1: "p", 2: "q"}, "f": {1: "ok", 2: big}}
+    assert {r.file for r in parsers.code_lines(files, longest=None).collect()} == {"a", "d", "e", "f", "g", "h"}
 
 
 def test_phase_files(spark, tmp_path):
     d = str(tmp_path)
-    put(d, "scope.json", json.dumps({"files": {"modified": [], "added": [], "deleted": []}, "language": "unknown"}))
+    put(d, "scope.json", json.dumps({"files": {"modified": [], "added": [], "deleted": []}, "language": "unknown", "languages": ["go", "python"]}))
     put(d, "go-ast.json", "{broken")
     put(d, "python-ast.json", json.dumps({"functions": {"modified": [{"name": "f"}]}}))
     put(d, "ruby-calls.json", "{}")
     put(d, "go-flow.json", json.dumps({"flows": [], "nil_sources": []}))
+    put(d, "python-flow.json", json.dumps({"flows": [{}], "nil_sources": []}))
+    got = {r.phase: (r.status, r.errors) for r in phases.all_phases(spark, d).collect()}
+    assert got == {"scope": ("completed", ""), "static-analysis": ("not_run", ""), "ast": ("completed", "go-ast.json parse error"), "callgraph": ("not_run", ""), "dataflow": ("empty", "")}
+    put(d, "scope.json", json.dumps({"language": "python", "languages": []}))
+    put(d, "static-analysis.json", "[1]")
     got = {r.phase: (r.status, r.errors) for r in phases.all_phases(spark, d).collect()}
-    assert got == {"scope": ("completed", ""), "static-analysis": ("not_run", ""), "ast": ("completed", "go parse error"), "callgraph": ("not_run", ""), "dataflow": ("empty", "")}
+    assert got["ast"] == ("completed", "") and got["dataflow"] == ("completed", "") and got["static-analysis"] == ("failed", "static-analysis.json parse error")
+    put(d, "scope.json", "{")
+    assert {r.phase: (r.status, r.errors) for r in phases.all_phases(spark, d).collect()}["scope"] == ("failed", "scope.json read error")
+    put(d, "scope.json", json.dumps({"files": {"modified": [], "added": [], "deleted": []}, "language": "unknown"}))
     assert phases.skip_reason(d) == "No changed files detected" and "missing" in phases.skip_reason(f"{d}/none")
     put(d, "scope.json", json.dumps({"files": {"added": ["a"]}, "language": " Unknown"}))
     assert phases.skip_reason(d) is None and phases.skip_reason(d, needs_language=True) == "Unknown language detected"
@@ -131,6 +179,11 @@ def test_phase_files(spark, tmp_path):
     assert [r.pattern for r in phases.read_patterns(spark, f"{d}/patterns.txt").collect()] == ["*.go", "src/**/*.py"]
 
 
+def test_languages_of_a_scope():
+    assert phases.scope_languages(None) == phases.scope_languages({}) == ("go", "typescript", "python")
+    assert phases.scope_languages({"language": " go ", "languages": ["python"]}) == ("python", "go") and phases.scope_languages({"language": "go", "languages": ["go"]}) == ("go",)
+
+
 def test_documents(spark, tmp_path):
     p = f"{tmp_path}/deep/x.json"
     sinks.write_document(p, {"a": [], "é": 1})
@@ -171,6 +224,8 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert main(["--out", f"{tmp_path}/s", "scope", "--repo", folder, "--base", "first", "--head", "HEAD"], spark) == 0
     assert spark.read.json(f"{tmp_path}/s").count() == 3
     assert main(["scope", "--repo", folder, "--mode", "all", "--files", "**/*.py"], spark) == 0
+    assert "fresh.py" not in capsys.readouterr().out  # untracked files differ from nothing
+    assert main(["scope", "--repo", folder, "--mode", "unstaged", "--files", "**/*.py"], spark) == 0
     out = capsys.readouterr().out
     assert "sub/fresh.py" in out and "new.go" not in out
     assert main(["--out", f"{tmp_path}/d", "diff", "--repo", folder, "--base", "first", "--head", "HEAD"], spark) == 0

@@ -82,10 +82,7 @@ def test_symbol_diff_of_sources(spark):
 
 def test_lines_and_documents(spark, tmp_path):
     files = spark.createDataFrame([("a", "x\r\ny\n"), ("b", "")], "file string, content string")
-    assert [tuple(r) for r in parsers.code_lines(files).orderBy("file", "line").collect()] == [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "")]
-    head = spark.createDataFrame([("main",)], "base_ref string")
-    doc = sinks.document(head, files=spark.createDataFrame([("b",), ("a",)], "path string")).collect()[0].document
-    assert doc == '{"base_ref":"main","files":[{"path":"a"},{"path":"b"}]}'
+    assert [tuple(r) for r in parsers.code_lines(files).orderBy("file", "line").collect()] == [("a", 1, "x"), ("a", 2, "y")]
     sinks.write_json(spark.createDataFrame([("go", 1), ("py", 2)], "language string, n int"), f"{tmp_path}/j", by_language=True)
     assert spark.read.json(f"{tmp_path}/j").count() == 2
 

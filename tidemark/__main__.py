@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,10 +50,14 @@ def sources(spark: SparkSession, path: str, language: str) -> DataFrame:
 
 def scope(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     r = Repository(spark, a.repo)
-    changed = {"refs": lambda: r.diff(a.base, a.head), "staged": r.staged, "unstaged": r.unstaged, "all": r.all_changes}[a.mode]()
-    if a.mode in ("unstaged", "all"):
-        new = r.untracked().select("path", F.lit("A").alias("status"), F.lit(None).cast("string").alias("old_path"), F.lit(0).cast("long").alias("additions"), F.lit(0).cast("long").alias("deletions"))
-        changed = changed.unionByName(new)
+    if a.mode == "unstaged":
+        names = r.unstaged_files()
+        listed = [x.path for x in names.collect()]
+        there = [(n,) for n in listed if os.path.lexists(os.path.join(a.repo, n))]
+        before = [(n,) for n in listed if r.exists("HEAD", n)]
+        changed = paths.scope_files(names, *(spark.createDataFrame(x, "path string") for x in (before, there)), r.line_counts("HEAD", listed))
+    else:
+        changed = {"refs": lambda: r.diff(a.base, a.head), "staged": r.staged, "all": r.all_changes}[a.mode]()
     return paths.checked_count(paths.expand(changed, a.files.split(",")) if a.files else changed)
 
 
@@ -88,7 +93,7 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     files = sources(spark, a.files, a.language)
     if a.command == "calls":
         return parsers.calls(files.select("file", "content"), language=a.language)
-    found = flows.analysis(parsers.code_lines(files.select("file", "content")), a.language, SANITIZERS.get(a.language))
+    found = flows.analysis(parsers.code_lines(files.select("file", "content"), longest=parsers.MAX_LINE_BYTES if a.language == "go" else None), a.language, SANITIZERS.get(a.language))
     if a.command == "flows":
         return found["flows"]
     shown = found["flows"].withColumns({"description": flows.described() if a.language == "go" else F.concat(F.lit("Data from "), "source_type", F.lit(" flows to "), "sink_type"), "function": F.col("sink_pattern"), "sanitizers": F.lit(""), "source_context": F.lit(""), "sink_context": F.lit("")})

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dims
+from tidemark.operators.grouping import numbered_rows
 
 
 def extension(path: Column) -> Column:
@@ -46,7 +47,8 @@ def bucket(status: Column) -> Column:
 
 
 def language(path: Column, extensions: dict[str, str] = dims.SCOPE_EXTENSIONS) -> Column:
-    return dims.mapped(extension(path), extensions)
+    """By the extension, whatever its case."""
+    return dims.mapped(F.lower(extension(path)), extensions)
 
 
 def of_language(files: DataFrame, wanted: str, path: str = "path") -> DataFrame:
@@ -64,7 +66,7 @@ def packages(files: DataFrame, path: str = "path") -> DataFrame:
 def languages(files: DataFrame, path: str = "path") -> DataFrame:
     """The languages, and the one of them, mixed or unknown."""
     known = F.sort_array(F.collect_set(language(F.col(path))))
-    return files.agg(known.alias("languages")).select("languages", F.when(F.size("languages") == 0, "unknown").when(F.size("languages") == 1, F.get("languages", 0)).otherwise("mixed").alias("language"))
+    return files.agg(known.alias("languages")).select("languages", one_language(F.col("languages")).alias("language"))
 
 
 def presence(base: DataFrame, work: DataFrame) -> DataFrame:
@@ -220,30 +222,99 @@ def diff_languages(diffs: DataFrame) -> DataFrame:
     return n.orderBy(dims.mapped(F.col("language"), dims.LANGUAGE_PRIORITY, 99), "language")
 
 
-def phase_skipped(files: DataFrame, phase: str) -> str | None:
-    """F32: why a phase is left out for a scope, None if it runs. files: path, status, language. One bounded look at the files."""
-    known = {"static-analysis": dims.LINT_EXTENSIONS, "ast": dims.SCOPE_EXTENSIONS, "call-graph": dims.SCOPE_EXTENSIONS, "data-flow": dims.FLOW_EXTENSIONS}[phase]
-    if files.isEmpty():
-        return "no files in scope"
-    typed = files.where(dims.mapped(F.lower(extension(F.col("path"))), known).isNotNull())
-    if typed.isEmpty():
-        return "no files of a supported language"
-    if phase != "static-analysis" and typed.where(bucket(F.col("status")) != "deleted").isEmpty():
-        return "only deleted files"
-    return None
+def one_language(known: Column) -> Column:
+    """Of a set of languages the only one, mixed or unknown."""
+    return F.when(F.size(known) == 0, "unknown").when(F.size(known) == 1, F.get(known, F.lit(0))).otherwise("mixed")
 
 
 def scope(changed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Files by bucket, languages and the one of them, packages and totals, by the given columns. changed: path, status, additions, deletions."""
+    """Files by bucket, languages and the one of them, packages and totals, by the given columns. changed: path, status, old_path, additions, deletions.
+
+    Packages are those of the files of the one language, or of all files where there is no such
+    one. Renamed are renames and copies that name another old path; they are among the modified.
+    """
     b = bucket(F.col("status"))
     known = F.sort_array(F.collect_set(language(F.col("path"))))
+    folder = dir_name(F.col("path"))
     out = changed.groupBy(*by).agg(
-        *(F.count_if(b == x).alias(x) for x in ("modified", "added", "deleted")), F.count_if(F.substring("status", 1, 1) == "R").alias("renamed"),
+        F.count(F.lit(1)).alias("total_files"), *(F.count_if(b == x).alias(x) for x in ("modified", "added", "deleted")), F.count_if(is_rename()).alias("renamed"),
         F.coalesce(F.sum("additions"), F.lit(0)).alias("total_additions"), F.coalesce(F.sum("deletions"), F.lit(0)).alias("total_deletions"),
-        F.count_distinct(dir_name(F.col("path"))).alias("packages"), known.alias("__known"),
+        F.count_distinct(folder).alias("__all"), F.count_distinct(F.when(language(F.col("path")).isNotNull(), folder)).alias("__typed"), known.alias("__known"),
     )
-    one = F.when(F.size("__known") == 0, "unknown").when(F.size("__known") == 1, F.get("__known", 0)).otherwise("mixed")
-    return out.select("*", F.array_join("__known", ",").alias("languages"), one.alias("language")).drop("__known")
+    packages = F.when(F.size("__known") == 1, F.col("__typed")).otherwise(F.col("__all")).alias("packages")
+    return out.select("*", packages, F.array_join("__known", ",").alias("languages"), one_language(F.col("__known")).alias("language")).drop("__known", "__all", "__typed")
+
+
+def is_rename() -> Column:
+    """a rename or copy with another old path."""
+    return F.substring("status", 1, 1).isin("R", "C") & (F.coalesce(F.col("old_path"), F.lit("")) != "") & (F.col("old_path") != F.col("path"))
+
+
+#: Lists of a scope by their place in its document.
+SCOPE_LISTS = ("languages", "modified", "added", "deleted", "renamed", "packages")
+
+
+def scope_entries(changed: DataFrame) -> DataFrame:
+    """What the lists of a scope hold: section, ord (its place, or 0 where values are sorted), value, old_path. changed: ord, path, status, old_path."""
+    typed = language(F.col("path"))
+    files = changed.select(bucket(F.col("status")).alias("section"), "ord", F.col("path").alias("value"), F.lit(None).cast("string").alias("old_path"))
+    renamed = changed.where(is_rename()).select(F.lit("renamed").alias("section"), "ord", F.col("path").alias("value"), "old_path")
+    known = changed.select(typed.alias("value")).where("value is not null").distinct()
+    many = known.agg((F.count(F.lit(1)) == 1).alias("__one"))  # one row
+    folders = changed.select(dir_name(F.col("path")).alias("value"), typed.isNotNull().alias("__typed")).groupBy("value").agg(F.bool_or("__typed").alias("__typed"))
+    packages = folders.crossJoin(F.broadcast(many)).where("__typed or not __one")
+
+    def named(rows: DataFrame, section: str) -> DataFrame:
+        return rows.select(F.lit(section).alias("section"), F.lit(0).cast("long").alias("ord"), "value", F.lit(None).cast("string").alias("old_path"))
+
+    return files.unionByName(renamed).unionByName(named(known, "languages")).unionByName(named(packages, "packages"))
+
+
+def json_text(c: Column) -> Column:
+    """A JSON string; what could end a script or a line in it is written as an escape."""
+    out = F.to_json(F.array(F.coalesce(c, F.lit(""))))
+    out = F.substring(out, F.lit(2), F.length(out) - 2)
+    for plain, escape in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+        out = F.replace(out, F.lit(plain), F.lit(escape))
+    return out
+
+
+def scope_document(changed: DataFrame, base: str = "", head: str = "") -> DataFrame:
+    """The scope as a JSON document, in blocks of whole lines: part, ord, text. changed: ord, path, status, old_path, additions, deletions.
+
+    A file is a row, wherever it lies; only counts are looked at as a whole. Written block by block
+    (sinks.write_blocks), a scope of any size is one document.
+    """
+    entries = numbered_rows(scope_entries(changed).withColumn("__section", dims.mapped(F.col("section"), {s: i for i, s in enumerate(SCOPE_LISTS)}, 9)), ["__section", "ord", "value"])
+    ends = entries.groupBy("section").agg(F.min("nth").alias("first"), F.max("nth").alias("last"))
+    found = scope(changed).crossJoin(ends.agg(*(F.coalesce(F.max(F.when(F.col("section") == s, F.col("last"))), F.lit(0)).alias(f"n_{s}") for s in SCOPE_LISTS)))
+    out = None
+
+    def put(part: int, *texts) -> None:
+        nonlocal out
+        row = found.select(F.lit(part).alias("part"), F.lit(0).cast("long").alias("ord"), F.concat(*(F.lit(t) if isinstance(t, str) else t for t in texts)).alias("text"))
+        out = row if out is None else out.unionByName(row)
+
+    def opened(name: str, section: str, pad: str, after: str) -> tuple:
+        return (f'{pad}"{name}": [', F.when(F.col(f"n_{section}") > 0, "\n").otherwise("]" + after))
+
+    def closed(section: str, pad: str, after: str) -> Column:
+        return F.when(F.col(f"n_{section}") > 0, f"{pad}]{after}").otherwise("")
+
+    two, four = "  ", "    "
+    put(0, '{\n  "base_ref": ', json_text(F.lit(base)), ',\n  "head_ref": ', json_text(F.lit(head)), ',\n  "language": ', json_text(F.col("language")), ",\n", *opened("languages", "languages", two, ",\n"))
+    put(2, closed("languages", two, ",\n"), '  "files": {\n', *opened("modified", "modified", four, ",\n"))
+    for k, (s, after) in enumerate((("modified", "added"), ("added", "deleted"), ("deleted", "renamed"))):
+        put(4 + 2 * k, closed(s, four, ",\n"), *opened(after, after, four, "\n" if after == "renamed" else ",\n"))
+    numbers = [x for c in ("total_files", "total_additions", "total_deletions") for x in (f'    "{c}": ', F.col(c).cast("string"), ",\n" if c != "total_deletions" else "\n")]
+    put(10, closed("renamed", four, "\n"), '  },\n  "stats": {\n', *numbers, "  },\n", *opened("packages_affected", "packages", two, "\n"))
+    put(12, closed("packages", two, "\n"), "}\n")
+    pad = F.when(F.col("section").isin("languages", "packages"), four).otherwise("      ")
+    pair = F.concat(F.lit('{\n        "old_path": '), json_text(F.col("old_path")), F.lit(',\n        "new_path": '), json_text(F.col("value")), F.lit("\n      }"))
+    shown = F.when(F.col("section") == "renamed", pair).otherwise(json_text(F.col("value")))
+    last = entries.join(F.broadcast(ends), "section")  # one row for each list
+    rows = last.select((2 * F.col("__section") + 1).cast("int").alias("part"), F.col("nth").cast("long").alias("ord"), F.concat(pad, shown, F.when(F.col("nth") == F.col("last"), "\n").otherwise(",\n")).alias("text"))
+    return out.unionByName(rows)
 
 
 def scope_files(files: DataFrame, base: DataFrame, work: DataFrame, counts: DataFrame) -> DataFrame:
@@ -253,14 +324,17 @@ def scope_files(files: DataFrame, base: DataFrame, work: DataFrame, counts: Data
     return with_counts(status, counts)
 
 
-def scope_mode(mode: str, committed: DataFrame, staged: DataFrame, unstaged: DataFrame, untracked: DataFrame) -> DataFrame:
-    """The changes of a scope: refs, staged, unstaged (with untracked files as added) or all; of a path that occurs in several parts the latest stands."""
-    parts = {"refs": [committed], "staged": [staged], "unstaged": [unstaged, untracked], "all": [committed, staged, unstaged, untracked]}.get(mode)
-    if parts is None:
+def scope_mode(mode: str, committed: DataFrame, staged: DataFrame, against_head: DataFrame, unstaged: DataFrame, at_head: DataFrame, in_worktree: DataFrame) -> DataFrame:
+    """Path, status, old_path, additions, deletions of a scope.
+
+    refs: two revisions (committed); staged: the index against HEAD; all: the one difference of HEAD
+    and the working tree (against_head); unstaged: a list of names (unstaged: path, tracked or not),
+    with status by presence at HEAD and in the working tree and counts against HEAD, as in C17.
+    """
+    parts = {"refs": committed, "staged": staged, "all": against_head}
+    if mode in parts:
+        return parts[mode].select("path", "status", "old_path", "additions", "deletions")
+    if mode != "unstaged":
         raise ValueError(f"unknown scope mode: {mode}")
-    out = None
-    for i, p in enumerate(parts):
-        rows = p.select("path", "status", "additions", "deletions", F.lit(i).alias("__part"))
-        out = rows if out is None else out.unionByName(rows)
-    best = out.groupBy("path").agg(F.max_by(F.struct("status", "additions", "deletions"), "__part").alias("b"))
-    return best.select("path", "b.*")
+    rows = scope_files(unstaged, at_head, in_worktree, against_head.select("path", "additions", "deletions"))
+    return rows.select("path", "status", F.lit(None).cast("string").alias("old_path"), "additions", "deletions")

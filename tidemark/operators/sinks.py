@@ -60,15 +60,6 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
     blocks.repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select(lines).write.mode("errorifexists").text(path)
 
 
-def document(df: DataFrame, **lists: DataFrame) -> DataFrame:
-    """One row with one JSON document: the only row of df, and each list as an array, empty ones too. A scope holds 10,000 files at most (paths.checked_count)."""
-    out = df
-    for name, rows in lists.items():
-        items = rows.agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias(name))
-        out = out.withColumn("__k", F.lit(1)).join(items.withColumn("__k", F.lit(1)), "__k").drop("__k")
-    return out.select(F.to_json(F.struct(*out.columns)).alias("document"))
-
-
 def write_text(documents: DataFrame, path: str, name: str) -> None:
     """A text for each row, in a folder by name."""
     documents.write.mode("errorifexists").partitionBy(name).text(path)

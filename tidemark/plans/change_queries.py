@@ -337,10 +337,11 @@ def _(e):
     return e.select("event_id", pa.path_error(path).alias("error"), pa.ref_error(ref).alias("ref_error"))
 
 
-_SCOPE = f"""count(*) FILTER (left(status, 1) NOT IN ('A', 'D')) AS modified, count(*) FILTER (status = 'A') AS added, count(*) FILTER (status = 'D') AS deleted, count(*) FILTER (left(status, 1) = 'R') AS renamed,
-  sum(additions)::BIGINT AS total_additions, sum(deletions)::BIGINT AS total_deletions, count(DISTINCT {_DIR.format('path')}) AS packages,
+_RENAMED = "left(status, 1) IN ('R', 'C') AND coalesce(old_path, '') <> '' AND old_path <> path"
+_SCOPE = f"""count(*) AS total_files, count(*) FILTER (left(status, 1) NOT IN ('A', 'D')) AS modified, count(*) FILTER (status = 'A') AS added, count(*) FILTER (status = 'D') AS deleted, count(*) FILTER ({_RENAMED}) AS renamed,
+  sum(additions)::BIGINT AS total_additions, sum(deletions)::BIGINT AS total_deletions, CASE count(DISTINCT l) WHEN 1 THEN count(DISTINCT {_DIR.format('path')}) FILTER (l IS NOT NULL) ELSE count(DISTINCT {_DIR.format('path')}) END AS packages,
   coalesce(array_to_string(list_sort(list(DISTINCT l) FILTER (l IS NOT NULL)), ','), '') AS languages, CASE count(DISTINCT l) WHEN 0 THEN 'unknown' WHEN 1 THEN min(l) ELSE 'mixed' END AS language"""
-_TYPED = f"(SELECT *, {dims.mapped_sql(_EXT.format('path'), dims.SCOPE_EXTENSIONS)} AS l FROM {{rows}})"
+_TYPED = f"(SELECT *, {dims.mapped_sql('lower(' + _EXT.format('path') + ')', dims.SCOPE_EXTENSIONS)} AS l FROM {{rows}})"
 
 
 @query("c16_scope", f"SELECT {_SCOPE} FROM {_TYPED.replace('{rows}', '{changed}')}", "changed")
@@ -353,6 +354,49 @@ def _(c):
     return pa.scope(c.withColumn("package", pa.dir_name(F.col("path"))), ["package"])
 
 
+#: Groups of one language beside files of none, with folders of their own, extensions in any case.
+_MIXED = """SELECT ord, ord % 499 AS g, concat('d', ord % 11, '/', ord % 7, CASE WHEN ord % 3 = 0 THEN concat('/notes', ord % 5, '/x.md') WHEN ord % 499 % 4 = 0 THEN '/x.GO' WHEN ord % 499 % 4 = 1 THEN '/x.py' WHEN ord % 499 % 4 = 2 THEN '/x.txt' WHEN ord % 2 = 0 THEN '/x.ts' ELSE '/x.go' END) AS path,
+  status, CASE WHEN ord % 4 = 0 THEN '' WHEN ord % 4 = 1 THEN path ELSE old_path END AS old_path, additions, deletions FROM {changed}"""
+
+
+@query("c16_scope_of_groups", f"SELECT g, {_SCOPE} FROM {_TYPED.replace('{rows}', '(' + _MIXED + ')')} GROUP BY g", "changed")
+def _(c):
+    end = F.expr("CASE WHEN ord % 3 = 0 THEN concat('/notes', ord % 5, '/x.md') WHEN ord % 499 % 4 = 0 THEN '/x.GO' WHEN ord % 499 % 4 = 1 THEN '/x.py' WHEN ord % 499 % 4 = 2 THEN '/x.txt' WHEN ord % 2 = 0 THEN '/x.ts' ELSE '/x.go' END")
+    old = F.expr("CASE WHEN ord % 4 = 0 THEN '' WHEN ord % 4 = 1 THEN path ELSE old_path END")
+    return pa.scope(c.select("ord", (F.col("ord") % 499).alias("g"), F.concat(F.lit("d"), F.col("ord") % 11, F.lit("/"), F.col("ord") % 7, end).alias("path"), "status", old.alias("old_path"), "additions", "deletions"), ["g"])
+
+
+_ENTRIES = f"""SELECT CASE WHEN status = 'A' THEN 'added' WHEN status = 'D' THEN 'deleted' ELSE 'modified' END AS section, ord, path AS value, NULL AS old_path FROM {{changed}}
+UNION ALL SELECT 'renamed', ord, path, old_path FROM {{changed}} WHERE {_RENAMED}
+UNION ALL SELECT DISTINCT 'languages', 0, l, NULL FROM {_TYPED.replace('{rows}', '{changed}')} WHERE l IS NOT NULL
+UNION ALL SELECT DISTINCT 'packages', 0, {_DIR.format('path')}, NULL FROM {_TYPED.replace('{rows}', '{changed}')} WHERE l IS NOT NULL OR (SELECT count(DISTINCT l) FROM {_TYPED.replace('{rows}', '{changed}')}) <> 1"""
+_J = "json_quote({})::VARCHAR"
+
+
+def _list_sql(name: str, section: str, pad: str, after: str, last: bool = False) -> str:
+    """One list of a scope as lines: number, text."""
+    comma = "" if last else ","
+    shown = f"concat('{{{{', chr(10), '        \"old_path\": ', {_J.format('old_path')}, ',', chr(10), '        \"new_path\": ', {_J.format('value')}, chr(10), '      }}}}')".replace("{{", "{").replace("}}", "}") if section == "renamed" else _J.format("value")
+    return f"""SELECT {after} AS part, 0 AS ord, CASE WHEN count(*) = 0 THEN '{pad}"{name}": []{comma}' ELSE '{pad}"{name}": [' END AS line FROM e WHERE section = '{section}'
+UNION ALL SELECT {after} + 1, row_number() OVER (ORDER BY ord, value), concat('{pad}  ', {shown}, CASE WHEN row_number() OVER (ORDER BY ord, value) = count(*) OVER () THEN '' ELSE ',' END) FROM e WHERE section = '{section}'
+UNION ALL SELECT {after} + 2, 0, '{pad}]{comma}' FROM e WHERE section = '{section}' HAVING count(*) > 0"""
+
+
+_SCOPE_LINES = f"""WITH e AS MATERIALIZED ({_ENTRIES}), s AS (SELECT {_SCOPE} FROM {_TYPED.replace('{rows}', '{changed}')}), x AS (
+SELECT 0 AS part, 0 AS ord, concat('{{', chr(10), '  "base_ref": "main",', chr(10), '  "head_ref": "a\\u0026b",', chr(10), '  "language": "', language, '",') AS line FROM s
+UNION ALL {_list_sql('languages', 'languages', '  ', 10)} UNION ALL SELECT 20, 0, '  "files": {{'
+UNION ALL {_list_sql('modified', 'modified', '    ', 30)} UNION ALL {_list_sql('added', 'added', '    ', 40)} UNION ALL {_list_sql('deleted', 'deleted', '    ', 50)} UNION ALL {_list_sql('renamed', 'renamed', '    ', 60, True)}
+UNION ALL SELECT 70, 0, concat('  }},', chr(10), '  "stats": {{', chr(10), '    "total_files": ', total_files, ',', chr(10), '    "total_additions": ', total_additions, ',', chr(10), '    "total_deletions": ', total_deletions, chr(10), '  }},') FROM s
+UNION ALL {_list_sql('packages_affected', 'packages', '  ', 80, True)} UNION ALL SELECT 90, 0, '}}')"""
+
+
+@query("k02_scope_document", f"{_SCOPE_LINES} SELECT line, count(*) AS n FROM (SELECT unnest(string_split(line, chr(10))) AS line FROM x) GROUP BY line", "changed")
+def _(c):
+    """The lines of the document, counted; their order is tested with small ones."""
+    lines = pa.scope_document(c, "main", "a&b").select(F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "c17_scope_files",
     """WITH f AS (SELECT DISTINCT concat(path, ord % 40) AS path FROM {changed} WHERE ord % 6 < 5), b AS (SELECT DISTINCT concat(path, ord % 40) AS path FROM {changed} WHERE left(status, 1) <> 'A'), w AS (SELECT DISTINCT concat(path, ord % 40) AS path FROM {changed} WHERE left(status, 1) <> 'D'),
@@ -368,13 +412,23 @@ def _(c):
     return pa.scope_files(listed, named.where("left(status, 1) <> 'A'"), named.where("left(status, 1) <> 'D'"), counts)
 
 
+@query("c18_scope_all", "SELECT path, status, old_path, additions, deletions FROM {changed} WHERE ord % 4 = 2", "changed")
+def _(c):
+    part = lambda k: c.where(F.col("ord") % 4 == k)
+    names = c.select("path")
+    return pa.scope_mode("all", part(0), part(1), part(2), part(3), names, names)
+
+
 @query(
-    "c18_scope_all",
-    """SELECT path, max_by(status, k) AS status, max_by(additions, k) AS additions, max_by(deletions, k) AS deletions
-FROM (SELECT concat(path, ord % 9) AS path, status, additions, deletions, CASE WHEN ord % 4 = 3 THEN ord * 0 + 3 ELSE ord % 4 END AS k, row_number() OVER (PARTITION BY concat(path, ord % 9), ord % 4 ORDER BY ord) AS rn FROM {changed}) WHERE rn = 1 GROUP BY path""",
+    "c18_scope_unstaged",
+    """WITH u AS (SELECT DISTINCT concat(path, ord % 9) AS path FROM {changed} WHERE ord % 3 < 2), h AS (SELECT DISTINCT concat(path, ord % 9) AS path FROM {changed} WHERE ord % 9 < 6), w AS (SELECT DISTINCT concat(path, ord % 9) AS path FROM {changed} WHERE ord % 9 BETWEEN 2 AND 7),
+n AS (SELECT concat(path, ord % 9) AS path, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions FROM {changed} WHERE status <> 'X' GROUP BY ALL)
+SELECT u.path, CASE WHEN h.path IS NOT NULL AND w.path IS NOT NULL THEN 'M' WHEN w.path IS NOT NULL THEN 'A' ELSE 'D' END AS status, NULL::VARCHAR AS old_path, coalesce(additions, 0) AS additions, coalesce(deletions, 0) AS deletions
+FROM u LEFT JOIN h USING (path) LEFT JOIN w USING (path) LEFT JOIN n USING (path) WHERE h.path IS NOT NULL OR w.path IS NOT NULL""",
     "changed",
 )
 def _(c):
-    part = c.withColumn("k", F.col("ord") % 4).withColumn("path", F.concat("path", F.col("ord") % 9))
-    first = part.groupBy("path", "k").agg(F.min_by(F.struct("status", "additions", "deletions"), "ord").alias("f")).select("path", "k", "f.*")
-    return pa.scope_mode("all", *(first.where(F.col("k") == i).drop("k") for i in range(4)))
+    named = c.withColumn("path", F.concat("path", F.col("ord") % 9))
+    against = named.where("status <> 'X'").groupBy("path").agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")).withColumns({"status": F.lit("M"), "old_path": F.lit(None).cast("string")})
+    none = named.limit(0)
+    return pa.scope_mode("unstaged", none, none, against, named.where("ord % 3 < 2"), named.where("ord % 9 < 6"), named.where("ord % 9 between 2 and 7"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import sinks
 from tidemark.plans.registry import query
 from tidemark.sources import git, parsers, payloads
 
@@ -29,9 +28,20 @@ def _(o):
     return o.select("o_orderkey", F.explode(git.nul_list(F.expr("concat('a', chr(0), chr(0), 'b', o_custkey, chr(0))"))).alias("path"))
 
 
-@query("s15_code_lines", "SELECT concat('p', p_partkey) AS file, unnest([1, 2]) AS line, unnest([p_brand, p_type]) AS text FROM part", "t:part")
+_LINES = "CASE p_partkey % 5 WHEN 0 THEN [p_brand, p_type] WHEN 1 THEN [p_brand, ''] WHEN 2 THEN [''] WHEN 3 THEN ['', '', p_type] ELSE [] END"
+_TEXT = "CASE p_partkey % 5 WHEN 0 THEN concat(p_brand, '\\r\\n', p_type, '\\n') WHEN 1 THEN concat(p_brand, '\\n\\n') WHEN 2 THEN '\\n' WHEN 3 THEN concat('\\r\\n\\n', p_type) WHEN 4 THEN CASE WHEN p_partkey % 2 = 0 THEN '' END END"
+
+
+@query("s15_code_lines", f"SELECT concat('p', p_partkey) AS file, unnest(generate_series(1, len(l))) AS line, unnest(l) AS text FROM (SELECT p_partkey, {_LINES} AS l FROM part)", "t:part")
+def _(p):
+    return parsers.code_lines(p.select(F.expr("concat('p', p_partkey)").alias("file"), F.expr(_TEXT).alias("content")))
+
+
+@query("s15_long_lines", "SELECT concat('p', p_partkey) AS file, unnest([1, 2]) AS line, unnest([p_brand, p_type]) AS text FROM part WHERE greatest(length(p_brand), length(p_type) + 1) < 22", "t:part")
 def _(p):
-    return parsers.code_lines(p.select(F.expr("concat('p', p_partkey)").alias("file"), F.expr("concat(p_brand, '\\r\\n', p_type, '\\n')").alias("content")))
+    """A line as long as the cap, its carriage return included, and its file goes."""
+    files = p.select(F.expr("concat('p', p_partkey)").alias("file"), F.expr("concat(p_brand, '\\n', p_type, '\\r\\n')").alias("content"))
+    return parsers.code_lines(files, longest=22)
 
 
 @query("s17_jsonl_payload", f"SELECT 'mypy' AS tool, event_type AS rule, {_MAPPED} AS severity, concat('f', user_id, '.py') AS file, (event_id % 90)::INT AS line, 1 AS \"column\", concat('m', event_id) AS message, 'type' AS category FROM events", "t:events")
@@ -168,19 +178,44 @@ def _(p):
     return d.select("type", F.array_join(F.transform("fields", lambda x: F.concat_ws(":", x["name"], x["change"], x["old"], x["new"])), "|").alias("fields"))
 
 
-_PHASE_TEXT = "CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '{\"flows\": [], \"nil_sources\": []}' WHEN 2 THEN '{broken' WHEN 3 THEN '{\"flows\": [{\"id\": 1}]}' ELSE '[]' END"
+#: By kind of file: none, unreadable, broken, no document, nothing found, null lists, filled, filled beside a list that is none.
+_PHASE_TEXT = "CASE k WHEN 1 THEN NULL WHEN 2 THEN '{broken' WHEN 3 THEN '[]' WHEN 4 THEN '{\"flows\": [], \"nil_sources\": []}' WHEN 5 THEN 'null' WHEN 6 THEN '{\"flows\": [{\"id\": \"f\", \"note\": \"\\\\\"flows\\\\\": []\"}]}' WHEN 7 THEN '{\"flows\": [1], \"nil_sources\": 2}' WHEN 8 THEN '{\"flows\": null, \"nil_sources\": [{}]}' END"
+_KINDS = "SELECT p_partkey AS folder, unnest(['go', 'typescript', 'python', 'ruby']) AS language, unnest([1, 2, 3, 0]) AS place, unnest([p_partkey % 9, p_partkey // 9 % 9, p_size % 9, 6]) AS k FROM part"
+
+
+def _phase_files(p):
+    kinds = F.array(*(F.struct(F.lit(n).alias("language"), k.alias("k")) for n, k in (("go", F.col("p_partkey") % 9), ("typescript", F.floor(F.col("p_partkey") / 9) % 9), ("python", F.col("p_size") % 9), ("ruby", F.lit(6)))))
+    return p.select(F.col("p_partkey").alias("folder"), F.inline(kinds)).where("k > 0").select("folder", "language", F.expr(_PHASE_TEXT).alias("content"))
 
 
 @query(
     "s24_phase_status",
-    "WITH f AS (SELECT p_partkey % 3 AS g, p_partkey % 5 AS k FROM part WHERE p_partkey <= 12) SELECT CASE WHEN bool_or(k = 3) THEN 'completed' WHEN bool_or(k IN (1, 4)) THEN 'empty' ELSE 'failed' END AS status, string_agg(e, ', ' ORDER BY e) AS errors FROM (SELECT k, CASE WHEN k = 0 THEN 'l' || g || ' read error' WHEN k = 2 THEN 'l' || g || ' parse error' END AS e FROM f WHERE g < 2)",
+    f"""SELECT folder, CASE WHEN min(place) FILTER (k >= 4 AND k <> 7) IS NULL THEN 'failed' WHEN arg_min(k, place) FILTER (k >= 4 AND k <> 7) IN (6, 8) THEN 'completed' ELSE 'empty' END AS status,
+  coalesce(string_agg(language || CASE k WHEN 1 THEN '-flow.json read error' ELSE '-flow.json parse error' END, ', ' ORDER BY place) FILTER (k IN (1, 2, 3, 7)), '') AS errors FROM ({_KINDS}) WHERE k > 0 AND place > 0 GROUP BY folder""",
     "t:part",
 )
 def _(p):
-    from tidemark.sources.phases import PHASES, phase_status
+    from tidemark.sources.phases import LANGUAGES, phase_status
+
+    return phase_status(_phase_files(p), LANGUAGES, "dataflow", ["folder"])
 
-    files = p.where("p_partkey <= 12").select(F.concat(F.lit("l"), F.col("p_partkey") % 3).alias("language"), F.expr(_PHASE_TEXT).alias("content"))
-    return phase_status(files, ("l0", "l1"), PHASES["dataflow"][1])
+
+@query("t08_first_language", f"SELECT folder, arg_min(language, place) AS language, arg_min(k, place) AS k FROM ({_KINDS}) WHERE k IN (4, 5, 6, 8) AND place > 0 GROUP BY folder", "t:part")
+def _(p):
+    from tidemark.sources.phases import LANGUAGES, primary_documents
+
+    first = primary_documents(_phase_files(p), LANGUAGES, "dataflow", ["folder"])
+    return first.select("folder", "language", F.when(F.col("content") == "null", 5).when(F.col("content").contains("note"), 6).when(F.col("content").contains("{}"), 8).otherwise(4).cast("long").alias("k"))
+
+
+_SYMBOL_TEXT = "CASE p_partkey % 8 WHEN 0 THEN '{\"functions\": {\"modified\": []}, \"types\": null}' WHEN 1 THEN '{\"imports\": {\"removed\": [{}]}}' WHEN 2 THEN '{\"functions\": []}' WHEN 3 THEN '[]' WHEN 4 THEN '[{\"functions\": [{\"change_type\": \"modified\"}]}]' WHEN 5 THEN '[{\"functions\": [{\"change_type\": \"added\", \"after\": {}}], \"types\": []}]' WHEN 6 THEN '[{\"imports\": [{\"change_type\": \"modified\"}]}, {\"types\": [{\"change_type\": \"removed\"}]}]' ELSE '[3]' END"
+
+
+@query("s24_symbol_documents", "SELECT p_partkey, CASE p_partkey % 8 WHEN 1 THEN 'completed' WHEN 5 THEN 'completed' WHEN 6 THEN 'completed' WHEN 2 THEN 'failed' WHEN 7 THEN 'failed' ELSE 'empty' END AS status FROM part", "t:part")
+def _(p):
+    from tidemark.sources.phases import phase_status
+
+    return phase_status(p.select("p_partkey", F.lit("go").alias("language"), F.expr(_SYMBOL_TEXT).alias("content")), ["go"], "ast", ["p_partkey"]).select("p_partkey", "status")
 
 
 _TOKENS = "CASE event_id % 7 WHEN 0 THEN ' Golang' WHEN 1 THEN 'mixed' WHEN 2 THEN NULL WHEN 3 THEN 'Rust' WHEN 4 THEN 'c++' WHEN 5 THEN 'JS' ELSE 'python' END"
@@ -193,11 +228,6 @@ def _(e):
     return e.select("event_id", language_token(F.expr(_TOKENS), F.when(F.col("event_id") % 2 == 0, "ts").otherwise("unknown")).alias("token"))
 
 
-@query("k02_scope_document", "SELECT concat('{\"files\":', count(*), ',\"regions\":[', (SELECT string_agg(concat('{\"r_name\":\"', r_name, '\"}'), ',' ORDER BY r_name) FROM region), ']}') AS document FROM nation", "t:nation", "t:region")
-def _(n, r):
-    return sinks.document(n.agg(F.count(F.lit(1)).alias("files")), regions=r.select("r_name"))
-
-
 @query("m28_json_lists", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN concat('{\"xs\":[\"', p_brand, '\"]}') ELSE '{\"xs\":[]}' END AS doc FROM part", "t:part")
 def _(p):
     xs = F.coalesce(F.when(F.col("p_size") % 2 == 0, F.array("p_brand")), F.expr("cast(array() as array<string>)"))

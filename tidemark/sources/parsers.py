@@ -298,8 +298,18 @@ def register(language: str, symbols_of: Callable[[str], Iterator[tuple]] | None
         _CALLS[language] = calls_of
 
 
-def code_lines(files: DataFrame, content: str = "content") -> DataFrame:
-    """File, line, text; the last empty line and a trailing carriage return go, files over the cap are skipped."""
-    small = files.where(F.octet_length(content) <= MAX_BYTES)
-    rows = small.select("file", F.posexplode(F.split(F.regexp_replace(content, "\n$", ""), "\n")).alias("p", "t")).where(F.col("p").isNotNull())
-    return rows.select("file", (F.col("p") + 1).alias("line"), F.regexp_replace("t", "\r$", "").alias("text"))
+#: Bytes of a line from which on its file is not read.
+MAX_LINE_BYTES = 1 << 20
+
+
+def code_lines(files: DataFrame, content: str = "content", longest: int | None = MAX_LINE_BYTES) -> DataFrame:
+    """File, line, text; one line end at the end of the content and a carriage return at the end of a line go. An empty or null content has no lines.
+
+    Files over the cap are skipped whole, as are files with a line of longest bytes or more, its
+    carriage return included (None: lines of any length).
+    """
+    small = files.where(F.octet_length(content).between(1, MAX_BYTES)).select("file", F.split(F.regexp_replace(content, r"\n\z", ""), "\n").alias("__lines"))
+    if longest is not None:
+        small = small.where(~F.exists("__lines", lambda x: F.octet_length(x) >= longest))
+    rows = small.select("file", F.posexplode("__lines").alias("p", "t"))
+    return rows.select("file", (F.col("p") + 1).alias("line"), F.regexp_replace("t", r"\r\z", "").alias("text"))

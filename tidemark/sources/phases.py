@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +13,14 @@ from tidemark.functions import dims
 
 MAX_BYTES = 50 << 20
 LANGUAGES = ("go", "typescript", "python")
-#: phase -> (suffix of its files, lists of which at least one is filled unless the phase found nothing)
+#: phase -> (suffix of its files, lists that its documents hold; none of them filled, the phase found nothing)
 PHASES: Mapping[str, tuple[str, tuple[str, ...]]] = {
-    "ast": ("-ast.json", ("functions", "types", "imports")), "callgraph": ("-calls.json", ("modified_functions",)), "dataflow": ("-flow.json", ("flows", "nil_sources")),
+    "ast": ("-ast.json", ("functions.modified", "functions.added", "functions.deleted", "types.modified", "types.added", "types.deleted", "imports.added", "imports.removed")),
+    "callgraph": ("-calls.json", ("modified_functions",)), "dataflow": ("-flow.json", ("flows", "nil_sources")),
 }
+#: The elements of a symbol document that is a list of files' changes, as far as they decide what it holds.
+_CHANGE = "array<struct<change_type:string{}>>"
+_CHANGES = f"array<struct<functions:{_CHANGE.format(',before:variant,after:variant')},types:{_CHANGE.format('')},imports:{_CHANGE.format('')}>>"
 
 
 def read_json(path: str, most: int = MAX_BYTES):
@@ -41,49 +45,98 @@ def json_files(spark: SparkSession, folder: str, suffix: str, most: int = MAX_BY
     return files.select(F.substring(name, F.lit(1), F.length(name) - len(suffix)).alias("language"), F.when(F.col("length") <= most, F.decode("content", "UTF-8")).alias("content"))
 
 
-def is_json(text: Column) -> Column:
-    """Whether a text is a JSON object or array."""
-    return F.coalesce(F.try_parse_json(text).isNotNull() & F.trim(text).rlike(r"^[\[{]"), F.lit(False))
+def _there(v: Column) -> Column:
+    """Whether a value is there and is not JSON's null."""
+    return v.isNotNull() & ~F.is_variant_null(v)
 
 
-def filled(text: Column, lists: tuple[str, ...]) -> Column:
-    """Whether any of the lists, or lists within an object of that name, holds something; text: a JSON document or an array of some."""
-    found = F.lit(False)
-    for name in lists:
-        found = found | text.rlike(rf'"{name}"\s*:\s*(?:\[\s*[^\]\s]|\{{[^}}]*\[\s*[^\]\s])')
-    return found
+def parsed(content: Column, lists: Sequence[str], listed: bool = False) -> Column:
+    """struct<good, filled> of a JSON document, whatever its shape: whether it is an object whose lists are lists (or absent, or null: an empty one), and whether one holds anything.
 
-
-def phase_status(files: DataFrame, languages: tuple[str, ...], lists: tuple[str, ...]) -> DataFrame:
-    """One row with the status over the languages of a scope, and the errors in order. files: language, content (null if it could not be read).
-
-    Completed if any file is a document, failed if files are there and none is, not run without any;
-    empty if the documents hold nothing.
+    A document that is null is good and empty. listed: a list of files' changes is good too; it is
+    filled by a function's change with a side of its own, a type's change or an import's.
+    """
+    v = F.try_parse_json(content)
+    at = lambda path, kind: F.try_variant_get(v, f"$.{path}", kind)
+    whole = F.is_variant_null(v) | F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    fine, some = whole, F.lit(False)
+    for parent in sorted({path.split(".")[0] for path in lists if "." in path}):
+        fine = fine & (~_there(at(parent, "variant")) | at(parent, "map<string,variant>").isNotNull())
+    for path in lists:
+        items = at(path, "array<variant>")
+        fine = fine & (~_there(at(path, "variant")) | items.isNotNull())
+        some = some | F.coalesce(F.size(items) > 0, F.lit(False))
+    good = v.isNotNull() & F.coalesce(fine, F.lit(False))
+    if not listed:
+        return F.struct(good.alias("good"), (good & some).alias("filled"))
+    items = F.try_variant_get(v, "$", "array<variant>")
+    files = F.when(F.forall(items, lambda e: F.is_variant_null(e) | F.try_variant_get(e, "$", "map<string,variant>").isNotNull()), F.try_variant_get(v, "$", _CHANGES))
+    side = lambda c: F.when(c["change_type"] == "modified", _there(c["before"]) | _there(c["after"])).when(c["change_type"] == "added", _there(c["after"])).when(c["change_type"] == "removed", _there(c["before"]))
+    holds = F.exists(files, lambda f: F.coalesce(
+        F.coalesce(F.exists(f["functions"], lambda c: F.coalesce(side(c), F.lit(False))), F.lit(False))
+        | F.coalesce(F.exists(f["types"], lambda c: c["change_type"].isin("modified", "added", "removed")), F.lit(False))
+        | F.coalesce(F.exists(f["imports"], lambda c: c["change_type"].isin("added", "removed")), F.lit(False)), F.lit(False)))
+    return F.struct((good | files.isNotNull()).alias("good"), F.when(good, some).otherwise(F.coalesce(holds, F.lit(False))).alias("filled"))
+
+
+def _judged(files: DataFrame, languages: Sequence[str], phase: str, by: Sequence[str]) -> DataFrame:
+    suffix, lists = PHASES.get(phase, (phase, ()))
+    own = files.withColumn("__place", F.array_position(F.lit([*languages]), F.col("language"))).where("__place > 0")
+    told = own.withColumn("__doc", parsed(F.col("content"), lists, phase == "ast"))
+    error = F.when(F.col("content").isNull(), F.concat("language", F.lit(f"{suffix} read error"))).when(~F.col("__doc.good"), F.concat("language", F.lit(f"{suffix} parse error")))
+    return told.select(*by, "language", "content", "__place", F.col("__doc.good").alias("__good"), F.col("__doc.filled").alias("__filled"), error.alias("__error"))
+
+
+def phase_status(files: DataFrame, languages: Sequence[str], phase: str, by: Sequence[str] = ()) -> DataFrame:
+    """Status and errors (in the order of languages) of a phase over the languages of a scope, by the given columns. files: language, content (null if it could not be read).
+
+    The first language whose file is a document decides: completed, or empty if the document holds
+    nothing. Failed if files are there and none is a document, not run without any.
     """
-    own = files.where(F.col("language").isin(*languages))
-    good = is_json(F.coalesce(F.col("content"), F.lit("")))
-    error = F.when(F.col("content").isNull(), F.concat("language", F.lit(" read error"))).when(~good, F.concat("language", F.lit(" parse error")))
-    rows = own.select(good.alias("good"), error.alias("error"), (good & filled(F.coalesce(F.col("content"), F.lit("")), lists)).alias("filled"))
-    status = F.when(F.count(F.lit(1)) == 0, "not_run").when(F.bool_or("filled"), "completed").when(F.bool_or("good"), "empty").otherwise("failed")
-    return rows.agg(status.alias("status"), F.array_join(F.array_sort(F.collect_list("error")), ", ").alias("errors"))
-
-
-def all_phases(spark: SparkSession, folder: str, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """Phase, status, errors of scope, static analysis and the phases by language; every language counts."""
-    out = None
-
-    def put(name: str, rows: DataFrame) -> None:
-        nonlocal out
-        rows = rows.select(F.lit(name).alias("phase"), "status", "errors")
-        out = rows if out is None else out.unionByName(rows)
-
-    for name, file, lists in (("scope", "scope.json", ("files",)), ("static-analysis", "static-analysis.json", ("findings",))):
-        one = json_files(spark, folder, file).where("language = ''").withColumn("language", F.lit(name))
-        found = phase_status(one, (name,), lists)
-        # a scope without files is a scope
-        put(name, found.withColumn("status", F.when(F.col("status") == "empty", "completed").otherwise(F.col("status"))) if name == "scope" else found)
-    for name, (suffix, lists) in PHASES.items():
-        put(name, phase_status(json_files(spark, folder, suffix), languages, lists))
+    rows = _judged(files, languages, phase, by)
+    first = F.min_by(F.when(F.col("__good"), F.col("__filled")), F.when(F.col("__good"), F.col("__place")))
+    status = F.when(F.count(F.lit(1)) == 0, "not_run").when(first, "completed").when(F.bool_or("__good"), "empty").otherwise("failed")
+    # one error for each language at most
+    errors = F.array_sort(F.collect_list(F.when(F.col("__error").isNotNull(), F.struct("__place", "__error"))))
+    return rows.groupBy(*by).agg(status.alias("status"), F.array_join(F.transform(errors, lambda e: e["__error"]), ", ").alias("errors"))
+
+
+def primary_documents(files: DataFrame, languages: Sequence[str], phase: str, by: Sequence[str] = ()) -> DataFrame:
+    """Of the languages' files the first that is a document: language, content, by the given columns; null where none is."""
+    rows = _judged(files, languages, phase, by).where("__good")
+    return rows.groupBy(*by).agg(F.min_by(F.struct("language", "content"), "__place").alias("__first")).select(*by, "__first.*")
+
+
+def scope_languages(scope: Mapping | None) -> tuple[str, ...]:
+    """The languages of a scope, its main one behind them if it is not among them; all of them without a scope or languages."""
+    if scope is None:
+        return LANGUAGES
+    found = list(scope.get("languages") or [])
+    main = str(scope.get("language") or "").strip()
+    if main and main not in found:
+        found.append(main)
+    return tuple(found) or LANGUAGES
+
+
+def all_phases(spark: SparkSession, folder: str) -> DataFrame:
+    """Phase, status, errors of scope, static analysis and the phases by language, for the languages that the scope names."""
+    files = json_files(spark, folder, ".json")
+    name = F.col("language")
+    one = {n: files.where(name == n) for n in ("scope", "static-analysis")}
+    found = one["scope"].select("content", parsed(F.col("content"), ("files.modified", "files.added", "files.deleted", "files.renamed", "languages")).alias("d")).where("d.good").select(F.to_json(F.struct(
+        F.from_json("content", "language string, languages array<string>").alias("s")))).first()
+    languages = scope_languages(json.loads(found[0]).get("s") or {} if found else None)
+
+    def single(n: str, lists: Sequence[str], nothing: str, broken: str) -> DataFrame:
+        d = parsed(F.col("content"), lists)
+        status = F.when(F.count(F.lit(1)) == 0, "not_run").when(F.bool_or(d["filled"]), "completed").when(F.bool_or(d["good"]), nothing).otherwise("failed")
+        error = F.when(F.col("content").isNull(), f"{n}.json read error").when(~d["good"], f"{n}.json {broken} error")
+        return one[n].agg(F.lit(n).alias("phase"), status.alias("status"), F.coalesce(F.max(error), F.lit("")).alias("errors"))
+
+    # a scope without files is a scope
+    out = single("scope", ("files.modified", "files.added", "files.deleted", "files.renamed", "languages"), "completed", "read").unionByName(single("static-analysis", ("findings",), "empty", "parse"))
+    for phase, (suffix, _) in PHASES.items():
+        out = out.unionByName(phase_status(json_files(spark, folder, suffix), languages, phase).select(F.lit(phase).alias("phase"), "status", "errors"))
     return out
 
 
