@@ -15,6 +15,7 @@ from tidemark.operators import flows, paths, reports, symbols
 from tidemark.plans.registry import importable
 from tidemark.sources import parsers
 from tidemark.sources.repository import Repository
+from tidemark.sources.store import scratch
 
 SANITIZERS = {"python": PYTHON_SANITIZERS, "typescript": TYPESCRIPT_SANITIZERS}
 
@@ -108,12 +109,13 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if a.command == "query" and a.name not in catalog.queries():
         print(f"no query {a.name}", file=sys.stderr)
         return 2
-    rows = result(spark, a)
-    if a.out:
-        rows.write.mode("errorifexists").format(a.format).save(a.out)
-    else:
-        for r in rows.toLocalIterator():
-            print(r[0] if len(rows.columns) == 1 else r.asDict(recursive=True))
+    with scratch(spark):
+        rows = result(spark, a)
+        if a.out:
+            rows.write.mode("errorifexists").format(a.format).save(a.out)
+        else:
+            for r in rows.toLocalIterator():
+                print(r[0] if len(rows.columns) == 1 else r.asDict(recursive=True))
     return 0
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_WRITTEN: list[str] = []
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once under spark.checkpoint.dir and reads it back: cuts the lineage, survives lost executors."""
+    """Writes df once under spark.checkpoint.dir and reads it back: cuts the lineage, survives lost executors. Within scratch() it is deleted at the end."""
     spark = df.sparkSession
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -21,4 +25,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         folder = sc.getCheckpointDir()
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that were stored within it; results that read them are written before it ends."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while len(_WRITTEN) > before:
+            path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+            path.getFileSystem(conf).delete(path, True)
