@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import call_queries, change_queries, flow_queries, hierarchy_queries, registry, report_queries, review_queries, source_queries, symbol_queries  # noqa: F401
+from tidemark.plans import call_queries, change_queries, context_queries, flow_queries, hierarchy_queries, registry, report_queries, review_queries, source_queries, symbol_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

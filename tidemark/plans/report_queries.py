@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dims
 from tidemark.operators import calls as ca
+from tidemark.operators import contexts as cx
 from tidemark.operators import flows as fl
 from tidemark.operators import reports as rp
 from tidemark.operators import symbols as sy
@@ -15,6 +16,11 @@ from tidemark.plans import review_queries as rq
 from tidemark.plans import symbol_queries as sq
 from tidemark.plans.registry import query
 
+def _by_line(sql: str) -> str:
+    """The lines of a document, numbered."""
+    return f"SELECT unnest(generate_series(1, len(l))) AS line, unnest(l) AS text FROM (SELECT string_split(regexp_replace(document, '\\n\\z', ''), chr(10)) AS l FROM ({sql}))"
+
+
 _KIND = "CASE pos % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'type' WHEN 2 THEN 'import' ELSE 'variable' END"
 
 
@@ -50,9 +56,9 @@ def _(b, a):
     return rp.semantic_documents(_changes(b, a))
 
 
-@query("k08_semantic_report", f"SELECT (SELECT '# Semantic Diff Report' || {_NN} || '## Overall Summary' || {_NN} || '**Files analyzed:** ' || count(DISTINCT file) || {_NN} || {_TABLE} || '---' || {_NN} FROM ({_BLOCKS})) || (SELECT string_agg(document || {_N} || '---' || {_NN}, '' ORDER BY file) FROM ({_DOCUMENTS})) AS document", "before_symbols", "after_symbols")
+@query("k08_semantic_report", _by_line(f"SELECT (SELECT '# Semantic Diff Report' || {_NN} || '## Overall Summary' || {_NN} || '**Files analyzed:** ' || count(DISTINCT file) || {_NN} || {_TABLE} || '---' || {_NN} FROM ({_BLOCKS})) || (SELECT string_agg(document || {_N} || '---' || {_NN}, '' ORDER BY file) FROM ({_DOCUMENTS})) AS document"), "before_symbols", "after_symbols")
 def _(b, a):
-    return rp.document(rp.semantic_report(_changes(b, a)))
+    return cx.lines(rp.semantic_report(_changes(b, a)))
 
 
 def impact_inputs(m, e):
@@ -95,9 +101,9 @@ SELECT '# Impact Summary' || {_NN} || '**Language:** go' || {_NN} || '## Summary
   || {" || ".join(f"coalesce((SELECT {fq._q(t).replace(chr(10), "' || chr(10) || '")} || string_agg(block, '' ORDER BY file, function) FROM b WHERE n {c} HAVING count(*) > 0), '')" for (_, t), c in zip(rp.IMPACT, (">= 3", "BETWEEN 1 AND 2", "= 0"), strict=True))} AS document"""
 
 
-@query("k09_impact_report", _IMPACT, "modified", "edges")
+@query("k09_impact_report", _by_line(_IMPACT), "modified", "edges")
 def _(m, e):
-    return rp.document(rp.impact_report(*impact_inputs(m, e), "go"))
+    return cx.lines(rp.impact_report(*impact_inputs(m, e), "go"))
 
 
 def security_inputs(c):
@@ -137,7 +143,7 @@ _REPORT = _lines(
 )
 
 
-@query("k10_security_report", _SECURITY.replace("{nulls}", fq._NULLS.replace("h.type AS origin, h.at", "h.type AS origin, h.at") + "SELECT n.*, h.pattern FROM nulls n JOIN h USING (file, line, ord, nth)").replace("{text}", _REPORT), "typescript_lines")
+@query("k10_security_report", _by_line(_SECURITY.replace("{nulls}", fq._NULLS.replace("h.type AS origin, h.at", "h.type AS origin, h.at") + "SELECT n.*, h.pattern FROM nulls n JOIN h USING (file, line, ord, nth)").replace("{text}", _REPORT)), "typescript_lines")
 def _(c):
     statistics, flows, nils = security_inputs(c)
-    return rp.document(rp.security_report(statistics, flows, nils, "now"))
+    return cx.lines(rp.security_report(statistics, flows, nils, "now"))
