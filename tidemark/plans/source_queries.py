@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
@@ -23,6 +25,53 @@ def _(o):
     return o.select("o_orderkey", text.alias("content")).lateralJoin(git.Numstat(F.col("content").outer())).drop("content")
 
 
+def _stored_stream(rows, kind):
+    """The rows' records, written as NUL-separated files and read back in splits."""
+    from tidemark.sources import streams
+    from tidemark.sources.store import folder
+
+    path = f"{folder(rows.sparkSession)}/stream-{uuid.uuid4().hex}"
+    streams.write_stream(rows, path)
+    return streams.read_stream(rows.sparkSession, path, kind)
+
+
+@query(
+    "s08_stream",
+    "SELECT concat('n', o_custkey, '/', o_orderkey % 7, '.go') AS path, CASE o_orderkey % 4 WHEN 0 THEN 'R090' WHEN 1 THEN 'C' WHEN 2 THEN 'M' ELSE 'D' END AS status, CASE WHEN o_orderkey % 4 < 2 THEN concat('M', o_custkey) END AS old_path, NULL::VARCHAR AS error, count(*) AS n FROM orders GROUP BY ALL",
+    "t:orders",
+)
+def _(o):
+    status = "CASE o_orderkey % 4 WHEN 0 THEN 'R090' WHEN 1 THEN 'C' WHEN 2 THEN 'M' ELSE 'D' END"
+    tokens = F.expr(f"CASE WHEN o_orderkey % 4 < 2 THEN array({status}, concat('M', o_custkey), concat('n', o_custkey, '/', o_orderkey % 7, '.go')) ELSE array({status}, concat('n', o_custkey, '/', o_orderkey % 7, '.go')) END")
+    return _stored_stream(o.select(tokens.alias("tokens")), "name-status").groupBy("path", "status", "old_path", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "s09_stream",
+    """SELECT path, additions, deletions, error, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 5 < 4 THEN concat('n', o_custkey) END AS path, CASE WHEN o_orderkey % 5 < 4 THEN o_orderkey % 50 END AS additions, CASE WHEN o_orderkey % 5 < 4 THEN o_orderkey % 20 END AS deletions,
+  CASE WHEN o_orderkey % 5 = 4 THEN concat('invalid numstat record: x', o_custkey) END AS error FROM orders WHERE o_orderkey % 5 <> 3) GROUP BY ALL""",
+    "t:orders",
+)
+def _(o):
+    counts = "concat(o_orderkey % 50, '\\t', o_orderkey % 20, '\\t')"
+    tokens = F.expr(f"CASE o_orderkey % 5 WHEN 0 THEN array({counts}, concat('old', o_custkey), concat('n', o_custkey)) WHEN 3 THEN array('-\\t-\\tbin') WHEN 4 THEN array(concat('x', o_custkey)) ELSE array(concat({counts}, 'n', o_custkey)) END")
+    return _stored_stream(o.select(tokens.alias("tokens")), "numstat").groupBy("path", "additions", "deletions", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "s07_byte_batches",
+    """WITH RECURSIVE p AS MATERIALIZED (SELECT path, row_number() OVER (ORDER BY path) AS i, sum(length(path) + 1) OVER (ORDER BY path) AS upto, length(path) + 1 AS size FROM (SELECT DISTINCT concat(repeat('d/', (o_orderkey % 9)::INT), o_custkey, '.go') AS path FROM orders)),
+s AS (SELECT 1 AS batch, 1::BIGINT AS i, 0::HUGEINT AS before UNION ALL SELECT s.batch + 1, n.i, n.upto - n.size FROM s, LATERAL (SELECT min(i) AS j FROM p WHERE p.upto > s.before + 4096 AND p.i > s.i) x JOIN p n ON n.i = x.j)
+SELECT path, s.batch::BIGINT AS batch FROM p ASOF JOIN s ON p.i >= s.i""",
+    "t:orders",
+)
+def _(o):
+    from tidemark.operators.batching import byte_batches
+
+    paths = o.select(F.expr("concat(repeat('d/', cast(o_orderkey % 9 as int)), o_custkey, '.go')").alias("path")).distinct()
+    return byte_batches(paths, F.octet_length("path") + 1, ["path"], 4096)
+
+
 @query("s11_nul_list", "SELECT o_orderkey, unnest(['a', concat('b', o_custkey)]) AS path FROM orders", "t:orders")
 def _(o):
     return o.select("o_orderkey", F.explode(git.nul_list(F.expr("concat('a', chr(0), chr(0), 'b', o_custkey, chr(0))"))).alias("path"))

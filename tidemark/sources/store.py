@@ -12,18 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 _WRITTEN: list[str] = []
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once under spark.checkpoint.dir and reads it back: cuts the lineage, survives lost executors. Within scratch() it is deleted at the end."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The shared folder: spark.checkpoint.dir where the cluster names one, else a folder of a session on one machine."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
         if sc.getCheckpointDir() is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))  # only where no folder is named, as in tests
-        folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        named = sc.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors. Within scratch() it is deleted at the end."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
