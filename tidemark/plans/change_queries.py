@@ -432,3 +432,15 @@ def _(c):
     against = named.where("status <> 'X'").groupBy("path").agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")).withColumns({"status": F.lit("M"), "old_path": F.lit(None).cast("string")})
     none = named.limit(0)
     return pa.scope_mode("unstaged", none, none, against, named.where("ord % 3 < 2"), named.where("ord % 9 < 6"), named.where("ord % 9 between 2 and 7"))
+
+
+_PATTERNS = """SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN concat('./src/p', p_partkey % 300, '/m', p_size % 7, '.*') WHEN 1 THEN concat('src/p', p_partkey % 30, '?/*', p_size % 7, '.go') ELSE concat('**/p', p_partkey % 290, '/[m-z]', p_size % 7, '.py') END AS pattern FROM part"""
+_EXPRESSIONS = """SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN concat('^src/p', p_partkey % 300, '/m', p_size % 7, '\\.[^/]*$') WHEN 1 THEN concat('^src/p', p_partkey % 30, '[^/]/[^/]*', p_size % 7, '\\.go$') ELSE concat('^([^/]*/)*p', p_partkey % 290, '/[m-z]', p_size % 7, '\\.py$') END AS expression FROM part WHERE p_size % 5 < 2"""
+
+
+@query("s22_pattern_table", f"SELECT DISTINCT path FROM (SELECT DISTINCT path FROM {{changed}}) f JOIN ({_EXPRESSIONS}) e ON regexp_matches(f.path, e.expression)", "changed", "t:part")
+def _(c, p):
+    from tidemark.operators.globs import matching
+
+    patterns = p.sparkSession.sql(_PATTERNS.replace("FROM part", "FROM {part}") + " WHERE p_size % 5 < 2", part=p)
+    return matching(c.select("path").distinct(), patterns)
