@@ -36,6 +36,12 @@ def hit_list(text: Column, patterns: Sequence[tuple[str, str, str]]) -> Column:
     return F.array_compact(F.array(*(F.when(_holds(text, p), F.lit(i)) for i, (_, p, _) in enumerate(patterns))))
 
 
+def likely(text: Column, patterns: Sequence[tuple[str, str, str]]) -> Column:
+    """Whether a text may match any of the patterns: one expression over the literals that their matches hold, as one test for each would outgrow compiled code."""
+    kept = dict.fromkeys(re.escape(x) if (x := required_literal(p)) else f"(?:{p})" for _, p, _ in patterns)
+    return text.rlike("|".join(kept)) if kept else F.lit(False)
+
+
 def match_column(text: Column, pattern: str) -> Column:
     """The 1-based byte where the first match begins, 0 if there is none."""
     before = F.regexp_instr(text, F.lit(pattern))
@@ -48,7 +54,7 @@ def hits(lines: DataFrame, patterns: Sequence[tuple[str, str, str]]) -> DataFram
     column = F
     for i, (_, p, _) in enumerate(patterns):
         column = column.when(F.col("ord") == i, match_column(F.col("text"), p))
-    found = lines.select("*", F.explode(hit_list(F.col("text"), patterns)).alias("ord"))
+    found = lines.where(likely(F.col("text"), patterns)).select("*", F.explode(hit_list(F.col("text"), patterns)).alias("ord"))
     return found.select(*lines.columns, "ord", told(0).alias("type"), told(2).alias("pattern"), column.alias("column"))
 
 
@@ -73,11 +79,6 @@ def every_hit(lines: DataFrame, patterns: Sequence[tuple[str, str, str]]) -> Dat
     patterns' literals go through Python, in Arrow batches, without a shuffle.
     """
     literals = [required_literal(p) for _, p, _ in patterns]
-    likely = F.lit(True)
-    if all(literals):
-        likely = F.lit(False)
-        for x in dict.fromkeys(literals):
-            likely = likely | F.col("text").contains(x)
     added = [StructField(n, StringType() if n in ("type", "pattern", "variable") else IntegerType()) for n in ("ord", "nth", "type", "pattern", "column", "variable")]
     kind = StructType([*lines.schema.fields, *added])
     where, sources = lines.columns.index("text"), [p for _, p, _ in patterns]
@@ -97,7 +98,7 @@ def every_hit(lines: DataFrame, patterns: Sequence[tuple[str, str, str]]) -> Dat
                 new = [pa.array(c, target.field(j + b.num_columns).type) for j, c in enumerate(zip(*found, strict=True))]
                 yield pa.RecordBatch.from_arrays([*(c.cast(target.field(j).type) for j, c in enumerate(kept.columns)), *new], schema=target)
 
-    return lines.where(likely).mapInArrow(run, kind)
+    return lines.where(likely(F.col("text"), patterns)).mapInArrow(run, kind)
 
 
 def assigned_variable(text: Column) -> Column:
