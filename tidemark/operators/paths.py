@@ -186,10 +186,10 @@ def common_ancestor(files: DataFrame, path: str = "path", by: Sequence[str] = ()
 
 
 def checked_count(files: DataFrame, most: int = 10_000) -> DataFrame:
-    """The files, or an error where there are more than most; no more than most + 1 rows are looked at."""
-    if files.limit(most + 1).count() > most:
-        raise ValueError(f"too many files: more than {most}")
-    return files
+    """The files; whoever reads them gets an error where there are more than most. The count is part of the plan and looks at most + 1 rows."""
+    n = files.limit(most + 1).agg(F.count(F.lit(1)).alias("__n"))  # one row
+    fine = F.when(F.col("__n") > most, F.raise_error(F.lit(f"too many files: more than {most}"))).otherwise(F.lit(True))
+    return files.crossJoin(F.broadcast(n.select(fine.alias("__fine")))).where("__fine").drop("__fine")
 
 
 def path_error(path: Column) -> Column:

@@ -444,3 +444,8 @@ def _(c, p):
 
     patterns = p.sparkSession.sql(_PATTERNS.replace("FROM part", "FROM {part}") + " WHERE p_size % 5 < 2", part=p)
     return matching(c.select("path").distinct(), patterns)
+
+
+@query("t06_within_limit", "SELECT ord, path FROM {changed}", "changed")
+def _(c):
+    return pa.checked_count(c.select("ord", "path"), 100_000_000)
