@@ -396,3 +396,11 @@ def _(p):
     k = F.floor(F.col("p_partkey") / 50) % 4
     tail = F.when(k == 0, " // b").when(k == 1, " /* c").when(k == 2, " d").otherwise(" e */ f")
     return fl.code_only(p.select(F.concat(F.lit("f"), F.col("p_partkey") % 50).alias("file"), F.col("p_partkey").cast("int").alias("line"), F.concat(F.lit("a"), "p_partkey", tail).alias("text")))
+
+
+@query("x04_nil_sources_in_sql", _CLEAN + f"SELECT file, variable, line, usage_line FROM ({_NIL_RISK})", "code_lines")
+def _(c):
+    from tidemark.sources import extensions
+
+    extensions.install(c.sparkSession)
+    return c.sparkSession.sql("SELECT * FROM analyze_lines(TABLE(SELECT file, line, text FROM {lines}) PARTITION BY file ORDER BY (line), 'go-nil-sources')", lines=fl.code_only(c.select("file", "line", "text")))
