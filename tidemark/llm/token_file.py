@@ -157,7 +157,8 @@ class Encoder:
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.words = PieceTable(self._encode_words)
-        self.pieces = PieceTable(self._encode_pieces if self.by_word else self._encode_texts, TABLE_BYTES if self.by_word else 0)
+        # pieces are words with the marks behind them, of which there are more
+        self.pieces = PieceTable(self._encode_pieces if self.by_word else self._encode_texts, 2 * TABLE_BYTES if self.by_word else 0)
 
     def cut(self, text: str) -> list[str]:
         """Pieces that nothing is matched across; an added token is one of its own."""
