@@ -25,8 +25,8 @@ def test_tool_payloads(spark):
     assert row(payloads.json_document(one(spark, '{"Issues":[{"FromLinter":"gosec","Text":"t","Severity":"error","Pos":{"Filename":"a.go","Line":3,"Column":1}}]}'), "golangci-lint")) == [("golangci-lint", "gosec", "high", "a.go", 3, "t", "security")]
     assert row(payloads.json_document(one(spark, '{"Issues":[{"severity":"HIGH","confidence":"HIGH","rule_id":"G1","details":"d","file":"a.go","line":"7-9","column":"x"}]}'), "gosec")) == [("gosec", "G1", "critical", "a.go", 7, "d", "security")]
     assert row(payloads.json_document(one(spark, '[{"code":"S101","message":"m","location":{"row":2,"column":1},"filename":"a.py"}]'), "ruff")) == [("ruff", "S101", "high", "a.py", 2, "m", "security")]
-    assert row(payloads.json_document(one(spark, '[{"type":"warning","line":4,"column":0,"path":"a.py","symbol":"s","message":"m","message-id":"W0611"}]'), "pylint")) == [("pylint", "W0611", "warning", "a.py", 4, "m", "unused")]
-    assert row(payloads.json_document(one(spark, '{"results":[{"filename":"a.py","issue_text":"m","issue_severity":"MEDIUM","issue_confidence":"LOW","line_number":5,"test_id":"B1"}]}'), "bandit")) == [("bandit", "B1", "warning", "a.py", 5, "m", "security")]
+    assert row(payloads.json_document(one(spark, '[{"type":"warning","line":4,"column":0,"path":"a.py","symbol":"s","message":"m","message-id":"W0611"}]'), "pylint")) == [("pylint", "W0611", "warning", "a.py", 4, "s: m", "unused")]
+    assert row(payloads.json_document(one(spark, '{"results":[{"filename":"a.py","issue_text":"m","issue_severity":"MEDIUM","issue_confidence":"LOW","line_number":5,"test_id":"B1","test_name":"t"}]}'), "bandit")) == [("bandit", "B1", "warning", "a.py", 5, "t: m", "security")]
     assert row(payloads.eslint(one(spark, '[{"filePath":"a.ts","messages":[{"ruleId":null,"severity":2,"message":"m","line":1,"column":2},{"ruleId":"no-unused-vars","severity":1,"message":"n","line":3,"column":2}]}]'))) == [("eslint", "parse-error", "high", "a.ts", 1, "m", "bug"), ("eslint", "no-unused-vars", "warning", "a.ts", 3, "n", "unused")]
     assert row(payloads.json_lines(one(spark, 'x\n{"file":"a.py","line":1,"column":2,"severity":"note","code":"c","message":"m"}\n{'), "mypy")) == [("mypy", "c", "info", "a.py", 1, "m", "type")]
     assert row(payloads.json_lines(one(spark, '{"code":"SA9003","severity":"error","location":{"file":"a.go","line":1,"column":2},"message":"m"}'), "staticcheck")) == [("staticcheck", "SA9003", "warning", "a.go", 1, "m", "security")]

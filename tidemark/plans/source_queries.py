@@ -112,6 +112,51 @@ def _(e):
     return payloads.eslint(e.select(F.to_json(F.array(file)).alias("payload")))
 
 
+_GOSEC = """CASE event_id % 6 WHEN 1 THEN '{broken' WHEN 3 THEN 'null' WHEN 5 THEN NULL ELSE concat('{"Issues":[{"severity":"HIGH","confidence":"', CASE WHEN event_id % 4 = 0 THEN 'HIGH' ELSE 'LOW' END, '","rule_id":"G', event_id % 7, '","details":"m', event_id, '","file":"f', event_id, '.go","line":"', CASE event_id % 6 WHEN 2 THEN '' ELSE concat(event_id % 90, '-', event_id % 90 + 2) END, '","column":"', CASE event_id % 6 WHEN 4 THEN 'x' ELSE '4' END, '"}]}') END"""
+
+
+@query(
+    "s18_gosec_results",
+    """SELECT event_id, 'gosec' AS tool, concat('G', event_id % 7) AS rule, CASE WHEN event_id % 4 = 0 THEN 'critical' ELSE 'high' END AS severity, concat('f', event_id, '.go') AS file, CASE event_id % 6 WHEN 2 THEN 0 ELSE event_id % 90 END::INT AS line, CASE event_id % 6 WHEN 4 THEN 0 ELSE 4 END::INT AS "column",
+  concat('m', event_id) AS message, 'security' AS category, NULL::VARCHAR AS error FROM events WHERE event_id % 6 IN (0, 2, 4)
+UNION ALL SELECT event_id, 'gosec', NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE event_id % 6 WHEN 1 THEN 'gosec output parse warning: malformed document' WHEN 2 THEN concat('gosec output parse warning: file=f', event_id, '.go line="" column="4" err=empty position')
+  ELSE concat('gosec output parse warning: file=f', event_id, '.go line="', event_id % 90, '-', event_id % 90 + 2, '" column="x" err=strconv.Atoi: parsing "x": invalid syntax') END FROM events WHERE event_id % 6 IN (1, 2, 4)""",
+    "t:events",
+)
+def _(e):
+    return payloads.results(e.select("event_id", F.expr(_GOSEC).alias("payload")), "gosec", keep=["event_id"])
+
+
+#: By tool one document with a finding; each part has one of every tool, sound, broken, blank or of another shape.
+_OUTPUTS = {
+    "golangci-lint": '{"Issues":[{"FromLinter":"govet","Text":"m","Severity":"error","Pos":{"Filename":"f","Line":3,"Column":4}}]}',
+    "gosec": '{"Issues":[{"severity":"LOW","confidence":"LOW","rule_id":"G1","details":"m","file":"f","line":"3","column":"4"}]}',
+    "ruff": '[{"code":"F1","message":"m","location":{"row":3,"column":4},"filename":"f"}]',
+    "pylint": '[{"type":"error","line":3,"column":4,"path":"f","symbol":"s","message":"m","message-id":"E1"}]',
+    "bandit": '{"results":[{"filename":"f","test_name":"n","issue_text":"m","line_number":3,"test_id":"B1"}]}',
+    "eslint": '[{"filePath":"f","messages":[{"ruleId":"semi","severity":1,"message":"m","line":3,"column":4},{"severity":2,"message":"m"}]}]',
+}
+
+
+@query(
+    "a02_tool_errors",
+    f"""SELECT tool, coalesce(count(*) FILTER (k = 0), 0) * CASE WHEN tool = 'eslint' THEN 2 ELSE 1 END AS findings, count(*) FILTER (k = 1 OR k = 3 OR k = 2 AND tool NOT IN ('golangci-lint', 'ruff')) AS errors
+FROM (SELECT unnest({list(_OUTPUTS)}) AS tool, unnest([(p_partkey + i) % 4 FOR i IN range({len(_OUTPUTS)})]) AS k FROM part) GROUP BY tool HAVING findings + errors > 0""",
+    "t:part",
+)
+def _(p):
+    from functools import reduce
+
+    def of(i, tool, text):
+        k = (F.col("p_partkey") + i) % 4
+        other = "[{}, 1]" if text.startswith("{") else "{}"
+        payload = F.when(k == 0, text).when(k == 1, text[:-1]).when(k == 2, " ").otherwise(other)
+        return payloads.results(p.select(payload.alias("payload")), tool).select("tool", "error")
+
+    rows = reduce(lambda a, b: a.unionByName(b), (of(i, t, x) for i, (t, x) in enumerate(_OUTPUTS.items())))
+    return rows.groupBy("tool").agg(F.count_if(F.col("error").isNull()).alias("findings"), F.count("error").alias("errors"))
+
+
 @query("s19_tsc_text", "SELECT 'tsc' AS tool, concat('TS', event_id) AS rule, CASE event_id % 2 WHEN 0 THEN 'high' ELSE 'warning' END AS severity, concat('src/f', user_id, '.ts') AS file, (event_id % 90)::INT AS line, 4 AS \"column\", concat('text: ', event_id) AS message, 'type' AS category FROM events", "t:events")
 def _(e):
     return payloads.tsc(e.select(F.expr("concat('Found\\nsrc/f', user_id, '.ts(', event_id % 90, ',4): ', CASE event_id % 2 WHEN 0 THEN 'error' ELSE 'warning' END, ' TS', event_id, ': text: ', event_id, '\\n')").alias("payload")))
