@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
@@ -326,3 +327,51 @@ def _(e):
 def _(p):
     xs = F.coalesce(F.when(F.col("p_size") % 2 == 0, F.array("p_brand")), F.expr("cast(array() as array<string>)"))
     return p.select("p_partkey", F.to_json(F.struct(xs.alias("xs"))).alias("doc"))
+
+
+_PART_LANGUAGE = "CASE p_partkey % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' ELSE 'go' END"
+
+
+def _read_back(spark, path, schema):
+    """Documents as name and what they hold, each read whole."""
+    read = spark.read.schema(schema).option("multiLine", True).json(path)
+    return read.withColumn("name", F.substring_index(F.input_file_name(), "/", -1))
+
+
+@query(
+    "k04_symbol_documents",
+    f"SELECT name, p_partkey AS id, p_name AS label, row_number() OVER (PARTITION BY name ORDER BY p_partkey) - 1 AS place FROM (SELECT p_partkey, p_name, unnest(['mixed-ast.json', concat({_PART_LANGUAGE}, '-ast.json')]) AS name FROM part)",
+    "t:part",
+)
+def _(p):
+    from tidemark.sources import documents
+    from tidemark.sources.store import folder
+
+    path = f"{folder(p.sparkSession)}/documents-{uuid.uuid4().hex}"
+    made = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")))
+    documents.write_symbol_documents(p.select(F.expr(_PART_LANGUAGE).alias("language"), made.alias("document"), F.col("p_partkey").alias("ord")), path)
+    # an element is a row of the reader; its place is the one in the file
+    rows = _read_back(p.sparkSession, path, "id LONG, label STRING").withColumn("at", F.monotonically_increasing_id())
+    return rows.withColumn("place", (F.row_number().over(Window.partitionBy("name").orderBy("at")) - 1).cast("long")).select("name", "id", "label", "place")
+
+
+@query(
+    "k03_finding_documents",
+    f"""WITH f AS (SELECT unnest(['static-analysis.json', concat(l, '-lint.json')]) AS name, severity, error FROM (SELECT {_PART_LANGUAGE} AS l, CASE WHEN p_size % 9 > 0 THEN CASE p_size % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'info' WHEN 2 THEN 'warning' ELSE 'odd' END END AS severity, CASE WHEN p_size % 9 = 0 THEN 1 END AS error FROM part))
+SELECT name, count(severity) AS findings, count(error) AS errors, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'odd') AS unknown, CASE WHEN name IN ('static-analysis.json', 'go-lint.json') THEN '2.1' END AS gosec FROM f GROUP BY name""",
+    "t:part",
+)
+def _(p):
+    from tidemark.sources import documents
+    from tidemark.sources.store import folder
+
+    path = f"{folder(p.sparkSession)}/documents-{uuid.uuid4().hex}"
+    language, ord_ = F.expr(_PART_LANGUAGE).alias("language"), F.col("p_partkey").alias("ord")
+    severity = F.expr("CASE p_size % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'info' WHEN 2 THEN 'warning' ELSE 'odd' END")
+    findings = p.where("p_size % 9 > 0").select(language, ord_, severity.alias("severity"), F.col("p_name").alias("message"))
+    errors = p.where("p_size % 9 = 0").select(language, ord_, F.col("p_name").alias("error"))
+    versions = p.sparkSession.createDataFrame([("go", "gosec", "2.1")], "language string, tool string, version string")
+    documents.write_finding_documents(findings, errors, versions, path)
+    read = _read_back(p.sparkSession, path, "tool_versions STRUCT<gosec STRING>, findings ARRAY<STRUCT<severity STRING>>, summary STRUCT<high LONG, unknown LONG>, errors ARRAY<STRING>")
+    sizes = [F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c) for c in ("findings", "errors")]
+    return read.select("name", *sizes, "summary.high", "summary.unknown", F.col("tool_versions.gosec").alias("gosec"))
