@@ -15,6 +15,7 @@ SEVERITIES = ("critical", "high", "warning", "info")
 SCOPE_EXTENSIONS = {".go": "go", ".ts": "typescript", ".tsx": "typescript", ".py": "python"}
 LINT_EXTENSIONS = SCOPE_EXTENSIONS | {".pyi": "python", ".js": "typescript", ".jsx": "typescript", ".mjs": "typescript", ".cjs": "typescript"}
 FLOW_EXTENSIONS = SCOPE_EXTENSIONS | {".js": "typescript", ".jsx": "typescript"}
+SYMBOL_EXTENSIONS = FLOW_EXTENSIONS | {".pyi": "python"}
 LANGUAGE_ALIASES = {"go": "go", "golang": "go", "typescript": "typescript", "ts": "typescript", "javascript": "typescript", "js": "typescript", "python": "python", "py": "python"}
 LANGUAGE_PRIORITY = {"go": 0, "typescript": 1, "python": 2}
 # Linters by language and what they take.

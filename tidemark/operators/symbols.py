@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import dims
+
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
     """Keys, change_type (added, removed, modified), changed (names of the differing columns), before and after structs.
@@ -36,9 +38,12 @@ def occurrence_names(symbols: DataFrame, order: str = "pos") -> DataFrame:
 
 def change_summary(diffs: DataFrame, by: list[str]) -> DataFrame:
     """Counters of added, removed and modified symbols by kind; diffs: by, symbol_kind, change_type."""
+    return diffs.groupBy(*by).agg(*_change_counts().values())
+
+
+def _change_counts() -> dict[str, Column]:
     kinds = (("function", "functions"), ("type", "types"), ("variable", "variables"), ("import", "imports"))
-    counts = [F.count_if((F.col("symbol_kind") == k) & (F.col("change_type") == c)).alias(f"{n}_{c}") for k, n in kinds for c in ("added", "removed", "modified") if (k, c) != ("import", "modified")]
-    return diffs.groupBy(*by).agg(*counts)
+    return {f"{n}_{c}": F.count_if((F.col("symbol_kind") == k) & (F.col("change_type") == c)).alias(f"{n}_{c}") for k, n in kinds for c in ("added", "removed", "modified") if (k, c) != ("import", "modified")}
 
 
 def signature(name: Column, params: Column, returns: Column, receiver: Column | None = None) -> Column:
@@ -70,6 +75,41 @@ def batch(pairs: DataFrame, results: DataFrame) -> DataFrame:
     return joined.withColumn("error", F.when(F.col("n_changes").isNull(), F.concat(F.lit("no result for "), F.col("file"))))
 
 
+def batch_diff(pairs: DataFrame) -> DataFrame:
+    """File, language, error and the counters of change_summary for each pair of file versions. pairs: before_path, before, after_path, after.
+
+    A side whose path is null or empty is not there and has no symbols; one with a path and null
+    content could not be read. The file's path (the one after, else the one before) decides the
+    language. An error row has null counters: no parser for the extension, or the first side that
+    could not be read. Both sides of all files are parsed in one pass, symbols and errors together,
+    and shuffled once, by file and symbol. A symbol that a side repeats counts as its last one.
+    Rows of one file are one pair; whichever of their sides comes last in order of content decides.
+    """
+    from tidemark.operators.paths import extension
+    from tidemark.sources import parsers
+
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    file = F.coalesce(given("after_path"), given("before_path"), F.lit(""))
+    ext = F.lower(extension(file))
+    typed = pairs.select(file.alias("file"), ext.alias("ext"), dims.mapped(ext, dims.SYMBOL_EXTENSIONS).alias("language"), given("before_path").alias("b"), "before", given("after_path").alias("a"), "after")
+    side = lambda n, path, c: F.when(F.col(path).isNotNull(), F.struct(F.lit(n).alias("side"), F.col(c).alias("content")))
+    sides = typed.where("language is not null").select("file", "language", F.explode(F.array_compact(F.array(side(0, "b", "before"), side(1, "a", "after")))).alias("s"))
+    rows = parsers.symbols_or_errors(sides.select("file", "language", "s.side", "s.content"))
+    version = F.struct("kind", "sig", "body_hash")
+    last = lambda n: F.max_by(F.when((F.col("side") == n) & F.col("error").isNull(), version), F.when((F.col("side") == n) & F.col("error").isNull(), F.struct("start_line", "end_line", "sig")))
+    wrong = F.min(F.when(F.col("error").isNotNull(), F.struct("side", "error")))
+    each = rows.groupBy("file", "language", "symbol_kind", "name").agg(last(0).alias("before"), last(1).alias("after"), wrong.alias("wrong"))
+    kind = F.when(F.col("symbol_kind").isNull(), None).when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(~F.col("before").eqNullSafe(F.col("after")), "modified")
+    counted = each.withColumn("change_type", kind)
+    changes = _change_counts()
+    by_file = counted.groupBy("file").agg(F.min("wrong").alias("wrong"), *changes.values())
+    first = F.concat(F.when(F.col("wrong.side") == 0, "parsing before file: ").otherwise("parsing after file: "), F.col("wrong.error"))
+    files = typed.groupBy("file", "ext", "language").agg(F.lit(1).alias("__one"))
+    out = files.join(by_file, "file", "left")
+    error = F.when(F.col("language").isNull(), F.concat(F.lit("no extractor registered for extension: "), "ext")).when(F.col("wrong").isNotNull(), first)
+    return out.select("file", "language", error.alias("error"), *(F.when(error.isNull(), F.coalesce(c, F.lit(0))).alias(c) for c in changes))
+
+
 def semantic_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """File, symbol_kind, name, change_type, changed of each symbol that differs between two sets of files (file, language, content); a file that one side lacks has no symbols there."""
     from tidemark.sources import parsers

@@ -255,6 +255,27 @@ def _(p):
     return d.select("file", "symbol_kind", "name", "change_type", F.array_join("changed", ",").alias("changed"))
 
 
+@query(
+    "c20_batch_errors",
+    """WITH v AS (SELECT p_partkey AS b, p_partkey + p_size AS a, p_partkey % 6 AS k, concat('m', p_partkey, CASE p_partkey % 6 WHEN 5 THEN '.rb' ELSE '.py' END) AS file FROM part)
+SELECT file, CASE WHEN k < 5 THEN 'python' END AS language, CASE k WHEN 1 THEN 'parsing before file: failed to parse python file: line 2: unexpected indent' WHEN 2 THEN 'parsing after file: failed to parse python file: line 2: unexpected indent' WHEN 4 THEN 'parsing after file: failed to read file' WHEN 5 THEN 'no extractor registered for extension: .rb' END AS error,
+  CASE k WHEN 3 THEN 1 WHEN 0 THEN 0 END::BIGINT AS functions_added, CASE WHEN k IN (0, 3) THEN 0 END::BIGINT AS functions_removed, CASE WHEN k = 0 THEN (a % 2 <> b % 2 OR a % 5 <> b % 5)::INT WHEN k = 3 THEN 0 END::BIGINT AS functions_modified,
+  CASE k WHEN 3 THEN 1 WHEN 0 THEN 0 END::BIGINT AS types_added, CASE WHEN k IN (0, 3) THEN 0 END::BIGINT AS types_removed, CASE WHEN k = 0 THEN ((a % 7 = 0) <> (b % 7 = 0))::INT WHEN k = 3 THEN 0 END::BIGINT AS types_modified,
+  CASE WHEN k = 3 THEN (a % 4 = 0)::INT WHEN k = 0 THEN (a % 4 = 0 AND b % 4 <> 0)::INT END::BIGINT AS variables_added, CASE WHEN k = 3 THEN 0 WHEN k = 0 THEN (a % 4 <> 0 AND b % 4 = 0)::INT END::BIGINT AS variables_removed, CASE WHEN k IN (0, 3) THEN 0 END::BIGINT AS variables_modified,
+  CASE k WHEN 3 THEN 1 WHEN 0 THEN 0 END::BIGINT AS imports_added, CASE WHEN k IN (0, 3) THEN 0 END::BIGINT AS imports_removed FROM v""",
+    "t:part",
+)
+def _(p):
+    from tidemark.operators.symbols import batch_diff
+
+    k, broken = F.col("p_partkey") % 6, F.lit("x = 1\n  y\n")
+    path = F.concat(F.lit("m"), "p_partkey", F.when(k == 5, ".rb").otherwise(".py"))
+    before, after = (F.expr(_VERSION.replace("{1}", n)) for n in ("p_partkey", "(p_partkey + p_size)"))
+    return batch_diff(p.select(
+        F.when(k != 3, path).alias("before_path"), F.when(k == 1, broken).otherwise(before).alias("before"), path.alias("after_path"), F.when(k == 2, broken).when(k != 4, after).alias("after"),
+    ))
+
+
 @query(
     "j02_type_fields",
     """WITH b AS (SELECT concat('T', p_partkey) AS type, unnest(['size', 'brand']) AS field, unnest([p_size::VARCHAR, p_brand]) AS declared FROM part WHERE p_partkey % 5 <> 0), a AS (

@@ -2,7 +2,7 @@
 
 Python is parsed by the standard library; Go and TypeScript by scanners for top-level
 declarations, which is what symbol diffs need. Files over MAX_BYTES and files that do not parse
-give no rows.
+give no rows; symbols_or_errors() gives a row with the reason for each of them.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 MAX_BYTES = 10 << 20
+#: What a parser raises for a file that it cannot parse.
+UNPARSABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
 SYMBOL = "symbol_kind string, name string, kind string, sig string, body_hash string, start_line int, end_line int"
 # Built-in functions whose calls are no call sites.
 IGNORED = (
@@ -31,11 +33,8 @@ def _hash(text: str) -> str:
 
 
 def python_symbols(content: str) -> Iterator[tuple]:
-    """Functions and methods (Class.method), classes, module variables, imports."""
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return
+    """Functions and methods (Class.method), classes, module variables, imports; raises what ast.parse does."""
+    tree = ast.parse(content)
 
     def function(n, prefix=""):
         args = [a.arg + (f": {ast.unparse(a.annotation)}" if a.annotation else "") for a in (*n.args.posonlyargs, *n.args.args)]
@@ -91,7 +90,7 @@ def python_calls(content: str) -> Iterator[tuple]:
     """
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    except UNPARSABLE:
         return
     functions = ast.FunctionDef | ast.AsyncFunctionDef
     found: list[tuple[str, functions]] = []
@@ -263,7 +262,35 @@ class Symbols:
 
     def eval(self, language: str, content: str):
         if content and language in _PARSERS and len(content.encode()) <= MAX_BYTES:
-            yield from sorted(_PARSERS[language](content), key=lambda s: (s[5], s[0], s[1]))
+            try:
+                yield from sorted(_PARSERS[language](content), key=lambda s: (s[5], s[0], s[1]))
+            except UNPARSABLE:
+                return
+
+
+@udtf(returnType=SYMBOL + ", error string")
+class SymbolsOrErrors:
+    """(language, content) -> symbols, or one row with nothing but the error: a file that is not there (null), one over the cap, or one that does not parse."""
+
+    def eval(self, language: str, content: str):
+        nothing = (None,) * 7
+        if content is None:
+            yield *nothing, "failed to read file"
+        elif len(content.encode()) > MAX_BYTES:
+            yield *nothing, f"file exceeds maximum allowed size ({MAX_BYTES} bytes)"
+        elif language in _PARSERS:
+            try:
+                found = sorted(_PARSERS[language](content), key=lambda s: (s[5], s[0], s[1]))
+            except UNPARSABLE as e:
+                why = f"line {e.lineno}: {e.msg}" if isinstance(e, SyntaxError) else str(e) or type(e).__name__
+                yield *nothing, f"failed to parse {language} file: {why}"
+            else:
+                yield from ((*s, None) for s in found)
+
+
+def symbols_or_errors(files: DataFrame, language: str = "language", content: str = "content") -> DataFrame:
+    """files: language, content, and any others -> a row for each symbol, or one with its error (and no symbol) for a file that could not be read."""
+    return files.lateralJoin(SymbolsOrErrors(F.col(language).outer(), F.col(content).outer())).drop(content)
 
 
 _CALLS = {"python": python_calls, "typescript": typescript_calls}
