@@ -1,5 +1,7 @@
 """Batches of file pairs: changes and errors by file."""
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import symbols as sy
 from tidemark.sources import parsers
 
@@ -40,3 +42,27 @@ def test_too_large(spark, monkeypatch):
     big = "x = 1\n" + "#" * parsers.MAX_BYTES
     assert got(spark, [("a.py", big, "a.py", "x = 1\n")])["a.py"][1] == "parsing before file: file exceeds maximum allowed size (10485760 bytes)"
     assert parsers.symbols(spark.createDataFrame([("python", big), ("python", "def (")], "language string, content string")).collect() == []
+
+
+def test_packages_and_receivers(spark):
+    names = {"a/b/x.go": "a/b", "x.go": "main", "./x.go": "main", "": "main", "/x.go": "/", "/a/x.go": "a", "/a/b/../c/x.go": "c", "a//./b/x.go": "a/b", "../x.go": "..", "../a/x.go": "../a"}
+    rows = spark.createDataFrame([(n,) for n in names], "file string").select("file", sy.package_of(F.col("file")).alias("p")).collect()
+    assert {r.file: r.p for r in rows} == names
+    side = "struct<sig string, receiver string>"
+    diffs = spark.createDataFrame([
+        ("f", "both", "modified", "", ("a", "T"), ("b", " U ")), ("f", "was", "modified", "body", ("a", "T"), ("a", "")), ("f", "half", "modified", None, None, ("a", None)), ("f", "none", "modified", "body", None, None),
+        ("f", "new", "added", "", None, ("a", "T")), ("f", "odd", "added", "", ("a", "T"), None), ("f", "gone", "removed", "", ("a", None), None), ("f", "same", None, "", ("a", ""), ("a", "")),
+    ], f"file string, name string, change_type string, body_diff string, before {side}, after {side}")
+    got = {r.name: (r.bucket, r.receiver, r.before, r.after, r.changes) for r in sy.function_buckets(diffs).collect()}
+    assert got == {
+        "both": ("functions.modified", "U", "a", "b", ["signature_changed"]), "was": ("functions.modified", "T", "a", "a", ["body"]), "half": ("functions.modified", "", None, "a", []),
+        "new": ("functions.added", None, None, "a", []), "gone": ("functions.deleted", None, "a", None, []),
+    }
+    receivers = {r.name: r.receiver for r in sy.modified_functions(diffs.where("name in ('both', 'was', 'half', 'gone')")).collect()}
+    assert receivers == {"both": " U ", "was": "T", "half": ""}
+
+
+def test_field_sides(spark):
+    fields = spark.sql("SELECT array(named_struct('name', 'a', 'change', 'added', 'old', '-', 'new', 'int'), named_struct('name', 'b', 'change', 'removed', 'old', 'T', 'new', '-'), named_struct('name', 'c', 'change', 'modified', 'old', 'x', 'new', 'y')) AS f")
+    before, after, labels = fields.select(*sy.field_sides(F.col("f"))).first()
+    assert [tuple(x) for x in before] == [("b", "T"), ("c", "x")] and [tuple(x) for x in after] == [("a", "int"), ("c", "y")] and labels == ["a:added", "b:removed", "c:modified"]

@@ -62,11 +62,47 @@ def field_table(before: DataFrame, after: DataFrame, keys: list[str], value: str
     return rows.select(*keys, F.coalesce("old", F.lit("-")).alias("old"), F.coalesce("new", F.lit("-")).alias("new"), state.alias("state"))
 
 
+def package_of(file: Column) -> Column:
+    """the package of a file: its folder; main at the top; of an absolute path the folder's last name."""
+    from tidemark.operators.paths import base_name, clean, dir_name
+
+    path = clean(file)
+    folder = dir_name(path)
+    return F.when(folder == ".", "main").when(~F.startswith(path, F.lit("/")), folder).when(folder.isin("", "/"), "/").otherwise(base_name(folder))
+
+
 def modified_functions(diffs: DataFrame) -> DataFrame:
-    """added and modified functions with the package of their file."""
-    from tidemark.operators.paths import base_name, dir_name
+    """added and modified functions with the package of their file and the receiver after, else before, "" if neither side has one. diffs: see diff(); without receivers in before and after, none are told."""
+    out = diffs.where("change_type <> 'removed'").withColumn("package", package_of(F.col("file")))
+    if "receiver" not in diffs.schema["after"].dataType.fieldNames():
+        return out
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    return out.withColumn("receiver", F.coalesce(given("after.receiver"), given("before.receiver"), F.lit("")))
 
-    return diffs.where("change_type <> 'removed'").withColumn("package", base_name(dir_name(F.col("file"))))
+
+def function_buckets(diffs: DataFrame) -> DataFrame:
+    """Bucket, file, name, receiver, before, after (signatures), changes (array) of each function that differs. diffs: file, name, change_type, body_diff, before and after (null, or structs with sig and receiver).
+
+    Receiver and changes are told of modified ones: the receiver after, else before, without blanks
+    around it; the difference of the bodies if it is named, then signature_changed. A change that
+    lacks the side that it is about has no row.
+    """
+    kind = F.col("change_type")
+    there = F.when(kind == "added", F.col("after").isNotNull()).when(kind == "removed", F.col("before").isNotNull()).when(kind == "modified", F.col("before").isNotNull() | F.col("after").isNotNull())
+    bucket = F.when(kind == "removed", "functions.deleted").otherwise(F.concat(F.lit("functions."), kind))
+    given = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    modified = kind == "modified"
+    noted = F.array_compact(F.array(F.when(F.col("body_diff") != "", F.col("body_diff")), F.when(F.col("before.sig") != F.col("after.sig"), "signature_changed")))
+    return diffs.where(F.coalesce(there, F.lit(False))).select(
+        bucket.alias("bucket"), "file", "name", F.when(modified, F.coalesce(given("after.receiver"), given("before.receiver"), F.lit(""))).alias("receiver"),
+        F.when(kind != "added", F.col("before.sig")).alias("before"), F.when(kind != "removed", F.col("after.sig")).alias("after"), F.when(modified, noted).otherwise(F.expr("cast(array() as array<string>)")).alias("changes"),
+    )
+
+
+def field_sides(fields: Column) -> tuple[Column, Column, Column]:
+    """Fields before and after, as arrays of (name, type), and the labels name:change, of an array of (name, change, old, new)."""
+    of = lambda kinds, side: F.transform(F.filter(fields, lambda x: x["change"].isin(*kinds)), lambda x: F.struct(x["name"].alias("name"), x[side].alias("type")))
+    return of(("removed", "modified"), "old"), of(("added", "modified"), "new"), F.transform(fields, lambda x: F.concat(x["name"], F.lit(":"), x["change"]))
 
 
 def batch(pairs: DataFrame, results: DataFrame) -> DataFrame:

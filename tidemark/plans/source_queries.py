@@ -276,24 +276,46 @@ def _(p):
     ))
 
 
+_FIELDS = """WITH b AS (SELECT concat('T', p_partkey) AS type, unnest(['size', 'brand']) AS field, unnest([p_size::VARCHAR, p_brand]) AS declared FROM part WHERE p_partkey % 5 <> 0), a AS (
+  SELECT concat('T', p_partkey) AS type, unnest(['size', CASE WHEN p_partkey % 3 = 0 THEN 'label' ELSE 'brand' END]) AS field, unnest([CASE WHEN p_partkey % 4 = 0 THEN 'long' ELSE p_size::VARCHAR END, p_brand]) AS declared FROM part WHERE p_partkey % 7 <> 0)"""
+
+
+def _field_versions(p):
+    name = F.concat(F.lit("T"), "p_partkey").alias("name")
+    before = p.where("p_partkey % 5 <> 0").select(F.lit("x.go").alias("file"), name, F.array(F.concat(F.lit("size: "), "p_size"), F.concat(F.lit("brand: "), "p_brand")).alias("fields"))
+    size, label = F.when(F.col("p_partkey") % 4 == 0, "long").otherwise(F.col("p_size").cast("string")), F.when(F.col("p_partkey") % 3 == 0, "label").otherwise("brand")
+    after = p.where("p_partkey % 7 <> 0").select(F.lit("x.go").alias("file"), name, F.array(F.concat(F.lit("size: "), size), F.concat(label, F.lit(": "), "p_brand")).alias("fields"))
+    return before, after
+
+
 @query(
     "j02_type_fields",
-    """WITH b AS (SELECT concat('T', p_partkey) AS type, unnest(['size', 'brand']) AS field, unnest([p_size::VARCHAR, p_brand]) AS declared FROM part WHERE p_partkey % 5 <> 0), a AS (
-  SELECT concat('T', p_partkey) AS type, unnest(['size', CASE WHEN p_partkey % 3 = 0 THEN 'label' ELSE 'brand' END]) AS field, unnest([CASE WHEN p_partkey % 4 = 0 THEN 'long' ELSE p_size::VARCHAR END, p_brand]) AS declared FROM part WHERE p_partkey % 7 <> 0)
+    f"""{_FIELDS}
 SELECT type, string_agg(concat(field, ':', CASE WHEN b.declared IS NULL THEN 'added' WHEN a.declared IS NULL THEN 'removed' ELSE 'modified' END, ':', coalesce(b.declared, '-'), ':', coalesce(a.declared, '-')), '|' ORDER BY field) AS fields FROM b FULL JOIN a USING (type, field) WHERE a.declared IS DISTINCT FROM b.declared GROUP BY type""",
     "t:part",
 )
 def _(p):
     from tidemark.operators.symbols import type_fields_diff
 
-    name = F.concat(F.lit("T"), "p_partkey").alias("name")
-    before = p.where("p_partkey % 5 <> 0").select(F.lit("x.go").alias("file"), name, F.array(F.concat(F.lit("size: "), "p_size"), F.concat(F.lit("brand: "), "p_brand")).alias("fields"))
-    size, label = F.when(F.col("p_partkey") % 4 == 0, "long").otherwise(F.col("p_size").cast("string")), F.when(F.col("p_partkey") % 3 == 0, "label").otherwise("brand")
-    after = p.where("p_partkey % 7 <> 0").select(F.lit("x.go").alias("file"), name, F.array(F.concat(F.lit("size: "), size), F.concat(label, F.lit(": "), "p_brand")).alias("fields"))
-    d = type_fields_diff(before, after)
+    d = type_fields_diff(*_field_versions(p))
     return d.select("type", F.array_join(F.transform("fields", lambda x: F.concat_ws(":", x["name"], x["change"], x["old"], x["new"])), "|").alias("fields"))
 
 
+@query(
+    "m32_type_buckets",
+    f"""{_FIELDS}
+SELECT type, coalesce(string_agg(concat(field, ' ', b.declared), ', ' ORDER BY field) FILTER (b.declared IS NOT NULL), '') AS before, coalesce(string_agg(concat(field, ' ', a.declared), ', ' ORDER BY field) FILTER (a.declared IS NOT NULL), '') AS after,
+  string_agg(concat(field, ':', CASE WHEN b.declared IS NULL THEN 'added' WHEN a.declared IS NULL THEN 'removed' ELSE 'modified' END), ',' ORDER BY field) AS changes FROM b FULL JOIN a USING (type, field) WHERE a.declared IS DISTINCT FROM b.declared GROUP BY type""",
+    "t:part",
+)
+def _(p):
+    from tidemark.operators.symbols import field_sides, type_fields_diff
+
+    before, after, labels = field_sides(F.col("fields"))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", x["name"], x["type"])), ", ")
+    return type_fields_diff(*_field_versions(p)).select("type", shown(before).alias("before"), shown(after).alias("after"), F.array_join(labels, ",").alias("changes"))
+
+
 #: By kind of file: none, unreadable, broken, no document, nothing found, null lists, filled, filled beside a list that is none.
 _PHASE_TEXT = "CASE k WHEN 1 THEN NULL WHEN 2 THEN '{broken' WHEN 3 THEN '[]' WHEN 4 THEN '{\"flows\": [], \"nil_sources\": []}' WHEN 5 THEN 'null' WHEN 6 THEN '{\"flows\": [{\"id\": \"f\", \"note\": \"\\\\\"flows\\\\\": []\"}]}' WHEN 7 THEN '{\"flows\": [1], \"nil_sources\": 2}' WHEN 8 THEN '{\"flows\": null, \"nil_sources\": [{}]}' END"
 _KINDS = "SELECT p_partkey AS folder, unnest(['go', 'typescript', 'python', 'ruby']) AS language, unnest([1, 2, 3, 0]) AS place, unnest([p_partkey % 9, p_partkey // 9 % 9, p_size % 9, 6]) AS k FROM part"

@@ -97,10 +97,37 @@ def _(b, a):
     return d.select("file", "name", F.col("before.sig").alias("old"), F.col("after.sig").alias("new"))
 
 
-@query("f20_modified_functions", f"SELECT 'src/' || name || '/x.go' AS file, name AS package FROM ({_DIFF}) WHERE change_type <> 'removed'", "before_symbols", "after_symbols")
+_RECEIVER = "CASE WHEN {0} % 3 = 0 THEN concat('r', {0} % 5) ELSE '' END"
+_FOLDER = "CASE pos % 4 WHEN 0 THEN concat('src/./', name, '//x.go') WHEN 1 THEN concat(name, '.go') WHEN 2 THEN concat('/a/', name, '/x.go') ELSE concat('../', name, '/x.go') END"
+
+
+def _with_receivers(b, a):
+    sides = [d.withColumn("receiver", F.expr(_RECEIVER.format("body"))) for d in (b, a)]
+    return sy.diff(*sides, ["file", "name"], [*_COLS, "receiver", "pos"])
+
+
+@query(
+    "f20_modified_functions",
+    f"SELECT {_FOLDER} AS file, CASE pos % 4 WHEN 0 THEN 'src/' || name WHEN 1 THEN 'main' WHEN 2 THEN name ELSE '../' || name END AS package, coalesce(nullif({_RECEIVER.format('abody')}, ''), nullif({_RECEIVER.format('bbody')}, ''), '') AS receiver FROM ({_DIFF}) WHERE change_type <> 'removed'",
+    "before_symbols",
+    "after_symbols",
+)
+def _(b, a):
+    d = _with_receivers(b, a).where("change_type <> 'modified' or size(array_except(changed, array('pos'))) > 0")
+    return sy.modified_functions(d.withColumn("pos", F.coalesce("before.pos", "after.pos")).withColumn("file", F.expr(_FOLDER))).select("file", "package", "receiver")
+
+
+@query(
+    "m32_function_buckets",
+    f"""SELECT CASE change_type WHEN 'removed' THEN 'functions.deleted' ELSE concat('functions.', change_type) END AS bucket, file, name, CASE WHEN change_type = 'modified' THEN coalesce(nullif({_RECEIVER.format('abody')}, ''), nullif({_RECEIVER.format('bbody')}, ''), '') END AS receiver,
+  bsig AS before, asig AS after, CASE WHEN change_type = 'modified' THEN concat_ws(',', CASE WHEN bbody <> abody THEN 'body' END, CASE WHEN bsig <> asig THEN 'signature_changed' END) ELSE '' END AS changes FROM ({_DIFF})""",
+    "before_symbols",
+    "after_symbols",
+)
 def _(b, a):
-    d = sy.diff(b, a, ["file", "name"], _COLS).withColumn("file", F.concat(F.lit("src/"), "name", F.lit("/x.go")))
-    return sy.modified_functions(d).select("file", "package")
+    d = _with_receivers(b, a).where("change_type <> 'modified' or size(array_except(changed, array('pos'))) > 0")
+    body = F.when(F.array_contains("changed", "body"), "body").otherwise("")
+    return sy.function_buckets(d.withColumn("body_diff", body)).withColumn("changes", F.array_join("changes", ","))
 
 
 @query("c20_batch_diff", f"SELECT p.file, n_changes, CASE WHEN n_changes IS NULL THEN concat('no result for ', p.file) END AS error FROM (SELECT DISTINCT file FROM {{before_symbols}} UNION SELECT 'missing.go') p LEFT JOIN (SELECT file, count(*) AS n_changes FROM ({_DIFF}) GROUP BY file) USING (file)", "before_symbols", "after_symbols")
