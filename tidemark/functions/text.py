@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,13 +35,6 @@ INJECTIONS = (
     r"(?i)<\s*/?\s*(?:system|assistant|user)\s*>",
 )
 INJECTION_MARKER = "[REDACTED:prompt-injection]"
-#: By pattern above, in order: texts of which a match holds one. The last are looked for in lower case.
-_ONE_OF = (
-    ("AKIA",), ("ASIA",), tuple(f"gh{x}_" for x in "pusor"), tuple(f"xox{x}-" for x in "abpsr"), ("sk_live_", "sk_test_"), ("pk_live_", "pk_test_"), ("AIza",),
-    ("PRIVATE KEY-----",), ("eyJ",), ("://",), ("password", "passwd", "secret", "key", "token"),
-)
-#: By pattern above, in order: texts in lower case of which a match holds all.
-_ALL_OF = (("instruction", "ignore"), ("instruction", "disregard"), ("instruction", "forget"), ("now", "you", "are"), ("instruction", "new"), ("system", "prompt"), ("<", ">"))
 
 
 def escape_markdown(c: Column) -> Column:
@@ -59,34 +49,18 @@ def escape_fence(c: Column) -> Column:
     return F.replace(c, F.lit("```"), F.lit("` ` `"))
 
 
-def _replaced(c: Column, steps: Sequence[tuple[str, str, Callable[[Column], Column]]]) -> Column:
-    """Patterns replaced by markers one after the other, each tried only where its condition holds.
-
-    A text searched for plainly costs a small part of an expression tried at every character. Markers
-    hold no text that another pattern's match could begin or end with. Each step binds the text to a
-    name, so the expression grows by a step and does not double.
-    """
-
-    def step(pattern: str, marker: str, may: Callable[[Column], Column]) -> Callable[[Column], Column]:
-        return lambda x: F.when(may(x), F.regexp_replace(x, pattern, marker)).otherwise(x)
-
-    held = F.array(c)
-    for s in steps:
-        held = F.transform(held, step(*s))
-    return F.get(held, F.lit(0))
-
-
 def redact_secrets(c: Column) -> Column:
     """M19."""
-    last = len(SECRETS) - 1
-    one_of = lambda i: lambda x: reduce(Column.__or__, ((F.lower(x) if i == last else x).contains(t) for t in _ONE_OF[i]))
-    return _replaced(c, [(p, marker, one_of(i)) for i, (p, marker) in enumerate(SECRETS)])
+    for p, marker in SECRETS:
+        c = F.regexp_replace(c, p, marker)
+    return c
 
 
 def redact_injections(c: Column) -> Column:
     """M20."""
-    all_of = lambda i: lambda x: reduce(Column.__and__, (F.lower(x).contains(t) for t in _ALL_OF[i]))
-    return _replaced(c, [(p, INJECTION_MARKER, all_of(i)) for i, p in enumerate(INJECTIONS)])
+    for p in INJECTIONS:
+        c = F.regexp_replace(c, p, INJECTION_MARKER)
+    return c
 
 
 def sanitized(c: Column) -> Column:
