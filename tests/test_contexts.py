@@ -123,3 +123,18 @@ def test_language(spark, template, want):
 def test_broken_templates(spark, template):
     with pytest.raises(tp.TemplateError):
         tp.pieces(template, StructType.fromDDL(ONE), {"T": StructType().add("C", IntegerType())})
+
+
+def test_items_are_sanitised_once(spark):
+    """The document's plan holds neither redaction nor the counts of its tables: both are settled before."""
+    tables = {"ModifiedFunctions": frame(spark, "ModifiedFunctions", FUNCTION), "HighImpactFunctions": frame(spark, "HighImpactFunctions", GRAPH[0])}
+    plan = cx.reviewer_document(spark, "business-logic-reviewer", tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "Cross" not in plan
+
+
+def test_tables_are_made_once(spark):
+    from tidemark.plans.review_queries import _Tables
+
+    made = []
+    t = _Tables(None, impact=lambda: made.append(1) or spark.range(3), flows=lambda: made.append(2))
+    assert t["impact"].count() == t["impact"].count() == 3 and made == [1] and t["findings"] is None

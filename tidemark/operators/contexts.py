@@ -69,11 +69,11 @@ def _rebuilt(c: Column, kind: DataType, texts: Iterator[Column]) -> Column:
 
 
 def _sanitized(rows: DataFrame, kind: StructType) -> DataFrame:
-    """M21 on every text of a table: nth, __row. The texts of a row are one list with one expression over it, as many expressions would outgrow compiled code."""
-    whole = rows.select("nth", F.struct(*(F.col(f.name) for f in kind.fields)).alias("__raw"))
+    """M21 on every text of a table: __row. The texts of a row are one list with one expression over it, as many expressions would outgrow compiled code."""
+    whole = rows.select(F.struct(*(F.col(f.name) for f in kind.fields)).alias("__raw"))
     texts = _texts(F.col("__raw"), kind)
     listed = whole.withColumn("__texts", F.transform(F.array(*texts), sanitized))
-    return listed.select("nth", _rebuilt(F.col("__raw"), kind, iter([F.get("__texts", F.lit(i)) for i in range(len(texts))])).alias("__row"))
+    return listed.select(_rebuilt(F.col("__raw"), kind, iter([F.get("__texts", F.lit(i)) for i in range(len(texts))])).alias("__row"))
 
 
 def _field_changes(t: Value) -> Value:
@@ -97,7 +97,9 @@ _FUNCTIONS = {
 def reviewer_document(spark: SparkSession, reviewer: str, tables: Mapping[str, DataFrame], partial: bool = False, time_exceeded: bool = False, warnings: tuple[str, ...] = (), **given: bool) -> DataFrame:
     """Blocks of a reviewer's document: part, ord, text. tables: by the names of TABLES, absent ones are empty; given: scalars, such as HasCallGraph=True for a call graph that holds nothing.
 
-    Numbers of rows are the only thing that is looked at as a whole; items are written where they are.
+    Numbers of rows are the only thing that is looked at as a whole: they are read once, so what is
+    shown and the text between the items are settled before the items are written, where they are.
+    Items are sanitised as they are numbered, once, so no plan holds that work for each place.
     """
     template = TEMPLATES.get(reviewer)
     if template is None:
@@ -111,31 +113,24 @@ def reviewer_document(spark: SparkSession, reviewer: str, tables: Mapping[str, D
     for n, rows in used.items():
         order = ["ord"] if "ord" in rows.columns else []
         typed = rows.select(*order, *(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds[n].fields))
-        numbered[n] = numbered_rows(typed, order or [f.name for f in kinds[n].fields])
-    one = spark.range(1).select()
-    for n in TABLES:
-        count = numbered[n].agg(F.count(F.lit(1)).alias(f"rows_{n}")) if n in numbered else None
-        one = one.crossJoin(F.broadcast(count)) if count is not None else one.withColumn(f"rows_{n}", F.lit(0).cast("long"))  # one row
-    for n, of in _ANY.items():
-        filled = F.lit(False)
-        for t in of:
-            filled = filled | (F.col(f"rows_{t}") > 0)
-        one = one.withColumn(n, F.lit(given[n]) if n in given else filled)
+        numbered[n] = numbered_rows(typed, order or [f.name for f in kinds[n].fields], lambda d, kind=kinds[n]: _sanitized(d, kind))
+    counts = None
+    for n, rows in numbered.items():
+        count = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table"), "n")
+        counts = count if counts is None else counts.unionByName(count)
+    held = {r["table"]: r["n"] for r in counts.collect()} if counts is not None else {}  # a row for each table
+    one = spark.range(1).select(*(F.lit(held.get(n, 0)).cast("long").alias(f"rows_{n}") for n in TABLES))
     told = F.array(*(sanitized(F.lit(w)) for w in warnings)).cast("array<string>")
-    one = one.withColumns({"FindingCount": F.col("rows_Findings"), "CallGraphPartialResults": F.lit(partial), "CallGraphTimeBudgetExceeded": F.lit(time_exceeded), "CallGraphWarnings": told})
-    out = None
-    for k, piece in enumerate(pieces(template, _schema(_ONE), kinds, _FUNCTIONS)):
-        if piece.table is None:
-            rows = one.where(piece.guard).select(F.lit(k).alias("part"), F.lit(0).cast("long").alias("ord"), piece.text.alias("text"))
-        elif piece.table in numbered:
-            kind = kinds[piece.table]
-            clean = _sanitized(numbered[piece.table], kind)
-            shown = one.where(piece.guard).select(F.lit(True).alias("__shown"))  # one row or none
-            text = piece.text(Value(F.col("__row"), kind), Value(F.col("nth") - 1, _schema("x long")["x"].dataType))
-            rows = clean.crossJoin(F.broadcast(shown)).select(F.lit(k).alias("part"), F.col("nth").cast("long").alias("ord"), text.alias("text"))
-        else:
-            continue
-        out = rows if out is None else out.unionByName(rows)
+    scalars = {n: F.lit(given[n] if n in given else any(held.get(t, 0) for t in of)) for n, of in _ANY.items()}
+    one = one.withColumns({**scalars, "FindingCount": F.col("rows_Findings"), "CallGraphPartialResults": F.lit(partial), "CallGraphTimeBudgetExceeded": F.lit(time_exceeded), "CallGraphWarnings": told})
+    parts = pieces(template, _schema(_ONE), kinds, _FUNCTIONS)
+    shown = one.select(*(p.guard.alias(f"shown_{k}") for k, p in enumerate(parts)), *(p.text.alias(f"text_{k}") for k, p in enumerate(parts) if p.table is None)).collect()[0]
+    fixed = [(k, 0, shown[f"text_{k}"]) for k, p in enumerate(parts) if p.table is None and shown[f"shown_{k}"]]
+    out = spark.createDataFrame(fixed, "part int, ord long, text string")
+    for k, piece in enumerate(parts):
+        if piece.table in numbered and shown[f"shown_{k}"]:
+            text = piece.text(Value(F.col("__row"), kinds[piece.table]), Value(F.col("nth") - 1, _schema("x long")["x"].dataType))
+            out = out.unionByName(numbered[piece.table].select(F.lit(k).alias("part"), F.col("nth").cast("long").alias("ord"), text.alias("text")))
     return out
 
 

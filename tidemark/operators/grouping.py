@@ -50,17 +50,18 @@ def fold_groups(rows: DataFrame, key: str, order: list[str], fold: Callable[[str
     return rows.mapInArrow(run, kind)
 
 
-def numbered_rows(rows: DataFrame, order: list[str]) -> DataFrame:
+def numbered_rows(rows: DataFrame, order: list[str], made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows with nth, 1..n in the given order, without bringing them to one task.
 
     They are sorted by ranges and written; each partition's number of rows, one small row each,
-    gives the places of its first one.
+    gives the places of its first one. made: what is written of the sorted rows, row by row.
     """
     from tidemark.sources.store import stored
 
     low = (1 << 33) - 1
     place = F.monotonically_increasing_id()
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = made(dealt) if made else dealt
     kept = stored(dealt.withColumns({"__part": F.shiftright(place, 33), "__at": place.bitwiseAND(F.lit(low))}), "numbered")
     sizes = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))

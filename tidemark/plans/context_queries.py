@@ -12,6 +12,7 @@ from tidemark.plans import call_queries as cq
 from tidemark.plans import flow_queries as fq
 from tidemark.plans import review_queries as rq
 from tidemark.plans.registry import query
+from tidemark.sources.store import stored
 
 
 def graphs(m, e):
@@ -43,12 +44,12 @@ def _context(name, f, b, a, m, e, c):
     end = lambda kind, line, text: F.struct(F.col(kind).alias("Type"), F.col("source_file").alias("File"), F.col(line).cast("int").alias("Line"), F.lit(text).alias("Expression"))
     flows = lambda rows: rows.select(F.concat("source_file", F.lit(":"), F.lpad(F.col("source_line").cast("string"), 6, "0"), F.lit(":"), F.lpad(F.col("sink_line").cast("string"), 6, "0")).alias("ID"), F.col("risk").alias("Risk"), F.concat(F.lit("from "), "source_type").alias("Notes"), F.col("sanitized").alias("Sanitized"), end("source_type", "source_line", "x := <in>").alias("Source"), end("sink_type", "sink_line", "out(x)").alias("Sink"))
     nils = lambda rows: rows.select(F.col("variable").alias("Variable"), F.col("file").alias("File"), F.col("line").cast("int").alias("Line"), F.col("is_checked").alias("Checked"), F.lit(0).alias("CheckLine"), F.col("origin").alias("Expression"), F.col("risk").alias("Risk"), F.coalesce(F.concat(F.lit("used in line "), "usage_line"), F.lit("")).alias("Notes"))
-    g = graphs(m, e)
+    needs_graph = name in ("business-logic-reviewer", "test-reviewer", "consequences-reviewer", "dead-code-reviewer")
+    g = stored(graphs(m, e), "graph") if needs_graph else None  # read for each table that it is part of
     callers = lambda: F.size(F.array_distinct(F.transform("Callers", lambda x: F.concat(x["File"], F.lit(":"), x["Function"]))))
-    high = t["flows"].where(F.col("risk").isin("critical", "high"))
     tables = {
         "code-reviewer": lambda: {"Findings": found(fi.for_quality(t["findings"])), "ModifiedFunctions": functions(of("function", "modified")), "AddedFunctions": symbols(of("function", "added")), "ModifiedTypes": types(of("type", "modified"))},
-        "security-reviewer": lambda: {"Findings": found(fi.for_security(t["findings"])), "HighRiskFlows": flows(high), "MediumRiskFlows": flows(t["flows"].where("risk = 'medium'"))},
+        "security-reviewer": lambda: {"Findings": found(fi.for_security(t["findings"])), "HighRiskFlows": flows(rv.high_risk(t)), "MediumRiskFlows": flows(t["flows"].where("risk = 'medium'"))},
         "business-logic-reviewer": lambda: {"HighImpactFunctions": g.where(callers() >= rv.HIGH_IMPACT), "ModifiedFunctions": functions(of("function", "modified"))},
         "test-reviewer": lambda: {"AllModifiedFunctionsGraph": g, "UncoveredFunctions": g.where(F.size("TestCoverage") == 0)},
         "nil-safety-reviewer": lambda: {"NilSources": nils(t["nil_sources"]), "HighRiskNilSources": nils(t["nil_sources"].where("risk = 'high'"))},

@@ -15,6 +15,7 @@ from tidemark.plans import call_queries as cq
 from tidemark.plans import flow_queries as fq
 from tidemark.plans import symbol_queries as sq
 from tidemark.plans.registry import query
+from tidemark.sources.store import stored
 
 _q = fq._q
 
@@ -90,10 +91,25 @@ _INPUTS = ("findings", "before_symbols", "after_symbols", "modified", "edges", "
 _KIND = "CASE WHEN pos % 23 = 0 THEN 'error_return' WHEN pos % 23 = 1 THEN 'error_check' WHEN pos % 4 = 1 THEN 'type' WHEN pos % 4 = 2 THEN 'import' ELSE 'function' END"
 
 
+class _Tables(dict):
+    """Tables made when they are first asked for, and written once: parts of a document that read the same one don't make it again, and plans stay small."""
+
+    def __init__(self, findings, **made):
+        super().__init__(findings=findings)
+        self.made = made
+
+    def __missing__(self, name):
+        self[name] = stored(self.made[name](), name)
+        return self[name]
+
+
 def _tables(f, b, a, m, e, c):
-    changes = sy.diff(b, a, ["file", "name"], ["kind", "sig", "body", "pos"]).select("file", "name", "change_type", F.col("before.sig").alias("old_sig"), F.col("after.sig").alias("new_sig"), F.coalesce("before.pos", "after.pos").alias("pos"))
-    flows = fq.tracked(c).withColumn("risk", fl.risk(F.col("source_type"), F.col("sink_type"), F.col("sanitized")))
-    return {"findings": f, "changes": changes.withColumn("symbol_kind", F.expr(_KIND)), "impact": ca.caller_counts(m, e), "flows": flows, "nil_sources": fl.nil_risks(c)}
+    def changes():
+        rows = sy.diff(b, a, ["file", "name"], ["kind", "sig", "body", "pos"]).select("file", "name", "change_type", F.col("before.sig").alias("old_sig"), F.col("after.sig").alias("new_sig"), F.coalesce("before.pos", "after.pos").alias("pos"))
+        return rows.withColumn("symbol_kind", F.expr(_KIND))
+
+    flows = lambda: fq.tracked(c).select("source_file", "source_line", "source_type", "sink_line", "sink_type", "sanitized").withColumn("risk", fl.risk(F.col("source_type"), F.col("sink_type"), F.col("sanitized")))
+    return _Tables(f, changes=changes, impact=lambda: ca.caller_counts(m, e), flows=flows, nil_sources=lambda: fl.nil_risks(c))
 
 
 _RANKED = f"(SELECT *, {fq._risk_sql('stype', 'ktype', 'sanitized')} AS risk FROM g)"
