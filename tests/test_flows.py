@@ -294,3 +294,12 @@ def test_go_patterns_hit_once_a_line(spark):
     got = [(x.line, x.column) for x in flows.hits(t, GO_SOURCES).where(F.col("type") == "env_var").orderBy("line").collect()]
     assert got == [(1, 6), (2, 7)]
     assert flows.hits(t, GO_SINKS).count() == 0
+
+
+def test_equal_lines_are_searched_once():
+    """Lines that come again are not put through the expressions again."""
+    found = flows._searched.cache_info().hits
+    texts = ["a := r.FormValue(x)", *["log(b)"] * 500, "db.Query(a)"]
+    met = list(flows.file_flows(texts, {0: [(0, "s", "")]}, {501: [(0, "database", "")]}, re.compile("Escape"), re.compile(r"(\w+)\(")))
+    assert [(f[0], f[2], f[3]) for f in met] == [(0, "a", 501)] and flows._searched.cache_info().hits - found >= 499
+    assert list(flows.file_nils(["x = 1"] * 3)) == []

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -228,7 +229,7 @@ def code_only(lines: DataFrame) -> DataFrame:
     it is, some decide it, and a few turn it round. So it is what the last deciding line says,
     turned round as often as such lines came since: two running values over one sort.
     """
-    opens = lambda t: F.contains(F.regexp_replace(t, _WHOLE, " "), F.lit("/*"))
+    opens = lambda t: F.when(t.contains("/*"), F.contains(F.regexp_replace(t, _WHOLE, " "), F.lit("/*"))).otherwise(False)
     text = F.coalesce(F.col("text"), F.lit(""))
     closes = F.instr(text, "*/")
     tail = F.substring(text, closes + 2, F.length(text))
@@ -242,7 +243,9 @@ def code_only(lines: DataFrame) -> DataFrame:
     odd = (F.col("__so_far") - F.coalesce(F.col("__last.turns"), F.lit(0))) % 2 == 1
     inside = F.coalesce(F.col("__last.inside"), F.lit(False)) != odd
     rest = F.when(inside, F.when(closes == 0, "").otherwise(tail)).otherwise(F.col("text"))
-    return started.withColumn("text", F.regexp_replace(rest, _CUT, "")).select(*lines.columns)
+    kept = started.withColumn("text", rest)
+    marked = F.col("text").contains("//") | F.col("text").contains("/*")  # the expression is for the few lines that hold a comment
+    return kept.withColumn("text", F.when(marked, F.regexp_replace("text", _CUT, "")).otherwise(F.col("text"))).select(*lines.columns)
 
 
 _ASSIGN = re.compile(r"\s*([A-Za-z_][A-Za-z0-9_]*)\s*:?=\s*(.+)$")
@@ -251,6 +254,39 @@ _FUNC = re.compile(r"\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)\s*\(([^
 _TOKEN = re.compile(r"[A-Za-z0-9_]+")
 
 
+@lru_cache(1 << 14)
+def _mentions(text: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]:
+    """A text's identifiers, and those parts of them whose ends, and whose beginnings, may be names. Code repeats itself, so a task keeps what it found for the last texts, as below."""
+    whole: dict[str, None] = {}
+    ending: dict[str, None] = {}
+    beginning: dict[str, None] = {}
+    for m in _TOKEN.finditer(text):
+        token, lo, hi = m[0], m.start(), m.end()
+        whole[token] = None
+        if hi < len(text) and text[hi] in ".[":
+            ending[token] = None
+        if lo and text[lo - 1] in "*&":
+            beginning[token] = None
+        for tail in ("Str", "Bytes"):
+            at = token.find(tail)
+            while at >= 0:
+                ending[token[:at]] = None
+                at = token.find(tail, at + 1)
+    return tuple(whole), tuple(ending), tuple(beginning)
+
+
+@lru_cache(1 << 14)
+def _searched(pattern: re.Pattern, text: str) -> re.Match | None:
+    return pattern.search(text)
+
+
+@lru_cache(1 << 14)
+def _line_parts(text: str) -> tuple[re.Match | None, re.Match | None, tuple[tuple[str, list[str]], ...]]:
+    """What a line may do to tracked names: it declares a function, assigns, or calls functions with arguments."""
+    m = _ASSIGN.match(text)
+    return _FUNC.match(text), m, () if m else tuple((c[1], split_arguments(c[2])) for c in _CALL.finditer(text))
+
+
 class Names:
     """The names of a file by number, and which of them a text mentions, itself or as a derivative, as bits of one integer.
 
@@ -265,29 +301,19 @@ class Names:
 
     def __call__(self, text: str) -> int:
         out, bit = 0, self.bit.get
-        for m in _TOKEN.finditer(text):
-            token, lo, hi = m[0], m.start(), m.end()
+        whole, ending, beginning = _mentions(text)
+        for token in whole:
             out |= bit(token, 0)
-            if hi < len(text) and text[hi] in ".[":
-                out |= self._ending(token, len(token))
-            if lo and text[lo - 1] in "*&":
-                for n in self.lengths:
-                    if n >= len(token):
-                        break
-                    out |= bit(token[:n], 0)
-            for tail in ("Str", "Bytes"):
-                at = token.find(tail)
-                while at >= 0:
-                    out |= self._ending(token, at)
-                    at = token.find(tail, at + 1)
-        return out
-
-    def _ending(self, token: str, end: int) -> int:
-        out = 0
-        for n in self.lengths:
-            if n > end:
-                break
-            out |= self.bit.get(token[end - n : end], 0)
+        for token in ending:
+            for n in self.lengths:
+                if n > len(token):
+                    break
+                out |= bit(token[len(token) - n :], 0)
+        for token in beginning:
+            for n in self.lengths:
+                if n >= len(token):
+                    break
+                out |= bit(token[:n], 0)
         return out
 
     def of(self, bits: int) -> list[str]:
@@ -319,16 +345,15 @@ class Steps:
     """What each line does to the set of tracked names."""
 
     def __init__(self, texts: Sequence[str], born: set[str]) -> None:
-        lines = [t.strip() for t in texts]
-        params = {m[1]: parameter_names(m[2]) for t in lines if (m := _FUNC.match(t))}
-        assigned = [_ASSIGN.match(t) for t in lines]
-        self.names = names = Names(born | {m[1] for m in assigned if m} | {p for ps in params.values() for p in ps})
+        parts = [_line_parts(t.strip()) for t in texts]
+        params = {m[1]: parameter_names(m[2]) for m, _, _ in parts if m}
+        self.names = names = Names(born | {m[1] for _, m, _ in parts if m} | {p for ps in params.values() for p in ps})
         self.steps: list[tuple[int, int] | list[tuple[int, int]] | None] = []
-        for t, m in zip(lines, assigned, strict=True):
+        for _, m, calls in parts:
             if m:
                 self.steps.append(None if m[1] == "_" else (names.bit[m[1]], names(m[2])))
                 continue
-            given = [(names.bit[p], names(a)) for c in _CALL.finditer(t) if c[1] in params for p, a in zip(params[c[1]], split_arguments(c[2]), strict=False)]
+            given = [(names.bit[p], names(a)) for called, arguments in calls if called in params for p, a in zip(params[called], arguments, strict=False)]
             self.steps.append(given or None)
 
     def after(self, i: int, own: int, tracked: int) -> int:
@@ -348,6 +373,7 @@ class Steps:
 _NAME_OF = [re.compile(p, re.A) for p in _VARIABLE]
 
 
+@lru_cache(1 << 14)
 def variable_of(text: str) -> str:
     for p in _NAME_OF:
         if (m := p.search(text)) and m[1] not in _NOT_NAMES:
@@ -367,15 +393,15 @@ def file_flows(texts: Sequence[str], sources: Mapping[int, list], sinks: Mapping
     born = {i: variable_of(texts[i]) for i in sources if i < last}
     if not any(born.values()):
         return
-    steps = Steps(texts, {n for n in born.values() if n} | {v for t in texts[: last + 1] if clean.search(t) and (v := variable_of(t))})
+    steps = Steps(texts, {n for n in born.values() if n} | {v for t in texts[: last + 1] if _searched(clean, t) and (v := variable_of(t))})
     names = steps.names
     alive: dict[tuple[int, int], list[tuple[int, str, list]]] = {}
     cleaned: dict[int, tuple[int, int, dict[int, int]]] = {}  # by name: last line, last one with a variable, last one by variable
     for i in range(last + 1):
         if i in sinks and alive:
             text = texts[i]
-            read, itself = names(text), bool(clean.search(text))
-            decoder = (m := called.search(text)) and m[1] in ("json.Unmarshal", "json.NewDecoder")
+            read, itself = names(text), bool(_searched(clean, text))
+            decoder = (m := _searched(called, text)) and m[1] in ("json.Unmarshal", "json.NewDecoder")
             for (_, tracked), members in alive.items():
                 if not read & tracked:
                     continue
@@ -393,7 +419,7 @@ def file_flows(texts: Sequence[str], sources: Mapping[int, list], sinks: Mapping
         if i in sources and born.get(i):
             own = names.bit[born[i]]
             alive.setdefault((own, own), []).append((i, born[i], sources[i]))
-        if clean.search(texts[i]):
+        if _searched(clean, texts[i]):
             v = names.bit.get(variable_of(texts[i]), 0)
             for n in names.of(names(texts[i])):
                 b = names.bit[n]
@@ -481,20 +507,29 @@ def nil_origin(text: Column) -> Column:
     )
 
 
-_NIL_EXPRESSIONS = [re.compile(p, re.A) for p in GO_NIL]
+_NIL_EXPRESSIONS = [(re.compile(p, re.A), required_literal(p)) for p in GO_NIL]
+
+
+@lru_cache(1 << 14)
+def _nil_names(text: str) -> tuple[str, ...]:
+    """The names that a line may make nil. Code repeats itself, so a task keeps what it found for the last texts."""
+    return tuple(m[1] for p, literal in _NIL_EXPRESSIONS if (not literal or literal in text) and (m := p.search(text)) and m[1] not in ("", "_"))
 
 
 def file_nils(texts: Sequence[str]) -> Iterator[tuple[str, int, str, int | None, int | None]]:
     """(variable, line from 0, text, checking line, last line of use before it) of one file's nil candidates, in one pass."""
     born: dict[str, int] = {}
     for i, t in enumerate(texts):
-        for p in _NIL_EXPRESSIONS:
-            if (m := p.search(t)) and m[1] not in ("", "_"):
-                born[m[1]] = i
+        for n in _nil_names(t):
+            born[n] = i
+    if not born:
+        return
     names = Names(set(born))
     check: dict[str, int] = {}
     use: dict[str, int] = {}
     for i, t in enumerate(texts):
+        if "nil" not in t and "." not in t and "[" not in t and "*" not in t:
+            continue
         c = t.replace(" ", "").replace("\t", "")
         tested = {n for n in _tested(c, names) if born[n] < i}
         for n in tested:
