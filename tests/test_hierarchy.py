@@ -106,3 +106,13 @@ def test_stored_tables_are_deleted_with_their_scratch(spark):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_equal_interfaces_are_one(spark):
+    """Interfaces of equal methods are held against types once; each is named, in blocks, where the result is made."""
+    required = spark.range(2500).selectExpr("concat('I', id) AS interface", "explode(array('A', 'B')) AS method", "'f' AS signature")
+    sets = spark.createDataFrame([("T", "A", "f", True), ("T", "B", "f", False), ("U", "A", "f", True), ("U", "B", "g", True)], "type string, method string, signature string, of_value boolean")
+    got = hi.implements(sets, required)
+    assert got.groupBy("type", "of_value").agg(F.count_distinct("interface").alias("n"), F.count("*").alias("m")).collect() == [("T", False, 2500, 2500)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(interfaces" in plan and plan.index("Generate") < plan.index("Join")

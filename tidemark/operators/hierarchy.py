@@ -9,7 +9,7 @@ type and an interface is listed that does not share that method.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.store import stored
@@ -64,22 +64,37 @@ def method_sets(types: DataFrame, fields: DataFrame, methods: DataFrame, require
     return least.select("type", F.col("name").alias("method"), "x.m.signature", "x.m.holder", "x.m.file", (~F.col("x.m.pointer") | F.col("x.m.indirect")).alias("of_value"))
 
 
+#: Interfaces of equal methods that one row holds at most.
+_BLOCK = 1000
+
+
 def implements(sets: DataFrame, required: DataFrame) -> DataFrame:
     """type, interface, of_value: the type (of_value), or only a pointer to it, has every method of the interface with its signature. Interfaces without methods are left out: everything implements them and nothing is called through them.
 
-    sets: method_sets(); required: interface_methods().
+    sets: method_sets(); required: interface_methods(). Interfaces of equal methods are held against
+    the types as one, which the least of them stands for; only the result names each, and those rows
+    go through no shuffle.
     """
+    wanted = required.groupBy("interface").agg(F.array_sort(F.collect_set(F.struct("method", "signature"))).alias("methods"))
+    alike = wanted.select("interface", "methods", (F.row_number().over(Window.partitionBy("methods").orderBy("interface")) - 1).alias("at"), F.min("interface").over(Window.partitionBy("methods")).alias("like"))
+    alike = stored(alike, "interfaces")
+    blocks = alike.groupBy("like", F.floor(F.col("at") / _BLOCK)).agg(F.collect_list("interface").alias("interfaces")).select("like", "interfaces")
+    one = alike.where("at = 0").select(F.col("interface").alias("like"), F.inline("methods"))
     frequency = sets.groupBy("method", "signature").agg(F.count(F.lit(1)).alias("types"))
-    ranked = required.join(frequency, ["method", "signature"], "left").fillna(0, ["types"])
-    rarest = ranked.groupBy("interface").agg(F.min(F.struct("types", "method", "signature")).alias("r"), F.count(F.lit(1)).alias("n")).where("r.types > 0").select("interface", "n", "r.method", "r.signature")
-    candidates = rarest.join(sets.select("type", "method", "signature"), ["method", "signature"]).select("interface", "type", "n")
-    wanted = candidates.join(required, "interface")
-    had = wanted.join(sets.select("type", "method", "signature", "of_value"), ["type", "method", "signature"]).groupBy("type", "interface").agg(F.count(F.lit(1)).alias("had"), F.max("n").alias("n"), F.bool_and("of_value").alias("of_value"))
-    return had.where("had = n").select("type", "interface", "of_value")
+    ranked = one.join(frequency, ["method", "signature"], "left").fillna(0, ["types"])
+    rarest = ranked.groupBy("like").agg(F.min(F.struct("types", "method", "signature")).alias("r"), F.count(F.lit(1)).alias("n")).where("r.types > 0").select("like", "n", "r.method", "r.signature")
+    had_one = rarest.join(sets.select("type", "method", "signature", "of_value"), ["method", "signature"]).select("like", "type", "n", "of_value", F.col("method").alias("first"), F.col("signature").alias("first_signature"))
+    single = had_one.where("n = 1").select("type", "like", "of_value")
+    rest = had_one.where("n > 1").join(one, "like").where(~((F.col("method") == F.col("first")) & (F.col("signature") == F.col("first_signature"))))
+    others = sets.select("type", "method", "signature", F.col("of_value").alias("too"))
+    several = rest.join(others, ["type", "method", "signature"]).groupBy("type", "like").agg((F.count(F.lit(1)) + 1).alias("had"), F.max("n").alias("n"), (F.bool_and("too") & F.bool_and("of_value")).alias("of_value")).where("had = n").select("type", "like", "of_value")
+    found = stored(single.unionByName(several), "implemented")
+    return found.join(blocks, "like").select("type", F.explode("interfaces").alias("interface"), "of_value")
 
 
 def dispatch(sites: DataFrame, sets: DataFrame, implemented: DataFrame) -> DataFrame:
     """Caller, callee, is_virtual: each call of an interface's method with the method of every type that implements it. sites: caller, interface, method."""
     from tidemark.operators.calls import interface_edges
 
-    return interface_edges(sites, implemented.select("type", "interface"), sets.select("type", "method", F.coalesce("file", F.lit("")).alias("file")))
+    methods = sets.select("type", "method", F.coalesce("file", F.lit("")).alias("file")).join(sites.select("method").distinct(), "method", "left_semi")
+    return interface_edges(sites, implemented.select("type", "interface"), methods)

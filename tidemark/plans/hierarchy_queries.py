@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import hierarchy as hi
 from tidemark.plans.registry import query
+from tidemark.sources.store import stored
 
 #: A type embeds others of smaller keys, so the SQL ends; cycles are tested with small tables.
 _FIELDS = """SELECT concat('T', p_partkey) AS type, concat('T', p_partkey // 3) AS name, concat('T', p_partkey // 3) AS target, p_partkey % 2 = 0 AS pointer FROM part WHERE p_partkey % 3 = 0 AND p_partkey > 0
@@ -52,7 +53,7 @@ def _(p, s):
 def _(p, s):
     types, fields, methods, extends, abstract = _relations(p, s)
     required = hi.interface_methods(extends, abstract)
-    return hi.implements(hi.method_sets(types, fields, methods, required), required)
+    return hi.implements(stored(hi.method_sets(types, fields, methods, required), "methods"), required)
 
 
 _SITES = "SELECT DISTINCT concat('c', p_partkey % 300) AS caller, concat('I', p_partkey % 10 + 1) AS interface, concat('A', p_size % 7) AS method FROM part"
@@ -67,6 +68,6 @@ _SITES = "SELECT DISTINCT concat('c', p_partkey % 300) AS caller, concat('I', p_
 def _(p, s):
     types, fields, methods, extends, abstract = _relations(p, s)
     required = hi.interface_methods(extends, abstract)
-    sets = hi.method_sets(types, fields, methods, required)
+    sets = stored(hi.method_sets(types, fields, methods, required), "methods")
     sites = p.select(F.expr("concat('c', p_partkey % 300)").alias("caller"), F.expr("concat('I', p_partkey % 10 + 1)").alias("interface"), F.expr("concat('A', p_size % 7)").alias("method")).distinct()
-    return hi.dispatch(sites, sets, hi.implements(sets, required))
+    return hi.dispatch(sites, sets, hi.implements(sets, required.join(sites.select("interface").distinct(), "interface", "left_semi")))
