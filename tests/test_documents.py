@@ -100,3 +100,17 @@ def test_symbol_and_finding_documents(spark, tmp_path):
     assert got["static-analysis.json"] == {"tool_versions": {"clippy": "1", "gosec": "2.1", "ruff": "3"}, "findings": every, "summary": none | {"high": 1, "unknown": 1, "info": 1}, "errors": ['a "b"']}
     dc.write_finding_documents(findings.limit(0), errors.limit(0), versions.limit(0), f"{tmp_path}/nothing")
     assert json.load(open(f"{tmp_path}/nothing/static-analysis.json")) == {"tool_versions": {}, "findings": [], "summary": none}
+
+
+def test_a_large_document_is_parts(spark, tmp_path):
+    """One over the limit is written as documents of the same shape that hold all its elements in order."""
+    from tidemark.sources import documents as dc
+
+    rows = spark.range(400).selectExpr("'a.json' AS name", "'xs' AS member", "cast(id AS string) AS value", "id AS ord").unionByName(spark.createDataFrame([("a.json", "one", "{}", 0)], "name string, member string, value string, ord long"))
+    dc.write_documents(rows, str(tmp_path), most="1000", parts="true", single="one", members="one,xs")
+    names = sorted(f.name for f in tmp_path.iterdir())
+    held = [json.loads((tmp_path / n).read_text()) for n in names]
+    assert len(names) > 2 and names[0] == "a.part-00000.json" and [i for i, h in enumerate(held) if "one" in h] == [0]
+    assert [x for h in held for x in h.get("xs", [])] == list(range(400))
+    dc.write_documents(rows, str(tmp_path), overwrite=True, single="one", members="one,xs")
+    assert [f.name for f in tmp_path.iterdir()] == ["a.json"]

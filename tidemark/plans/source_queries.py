@@ -376,9 +376,10 @@ _PART_LANGUAGE = "CASE p_partkey % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescrip
 
 
 def _read_back(spark, path, schema):
-    """Documents as name and what they hold, each read whole."""
+    """Documents as name, file and what they hold, each file read whole; parts of a document have its name."""
     read = spark.read.schema(schema).option("multiLine", True).json(path)
-    return read.withColumn("name", F.substring_index(F.input_file_name(), "/", -1))
+    named = read.withColumn("file", F.substring_index(F.input_file_name(), "/", -1))
+    return named.withColumn("name", F.regexp_replace("file", r"\.part-\d{5}", ""))
 
 
 @query(
@@ -388,14 +389,17 @@ def _read_back(spark, path, schema):
 )
 def _(p):
     from tidemark.sources import documents
-    from tidemark.sources.store import folder
+    from tidemark.sources.store import folder, stored
 
     path = f"{folder(p.sparkSession)}/documents-{uuid.uuid4().hex}"
     made = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")))
-    documents.write_symbol_documents(p.select(F.expr(_PART_LANGUAGE).alias("language"), made.alias("document"), F.col("p_partkey").alias("ord")), path)
-    # an element is a row of the reader; its place is the one in the file
-    rows = _read_back(p.sparkSession, path, "id LONG, label STRING").withColumn("at", F.monotonically_increasing_id())
-    return rows.withColumn("place", (F.row_number().over(Window.partitionBy("name").orderBy("at")) - 1).cast("long")).select("name", "id", "label", "place")
+    documents.write_symbol_documents(p.select(F.expr(_PART_LANGUAGE).alias("language"), made.alias("document"), F.col("p_partkey").alias("ord")), path, parts="true")
+    # an element is a row of the reader; its place is the one in the file, behind those of the files before
+    rows = stored(_read_back(p.sparkSession, path, "id LONG, label STRING").withColumn("at", F.monotonically_increasing_id()), "read")
+    sizes = rows.groupBy("name", "file").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("file", (F.sum("n").over(Window.partitionBy("name").orderBy("file")) - F.col("n")).alias("before"))
+    placed = rows.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1)
+    return placed.join(F.broadcast(before), "file").select("name", "id", "label", (F.col("before") + F.col("nth")).cast("long").alias("place"))
 
 
 @query(
@@ -414,7 +418,8 @@ def _(p):
     findings = p.where("p_size % 9 > 0").select(language, ord_, severity.alias("severity"), F.col("p_name").alias("message"))
     errors = p.where("p_size % 9 = 0").select(language, ord_, F.col("p_name").alias("error"))
     versions = p.sparkSession.createDataFrame([("go", "gosec", "2.1")], "language string, tool string, version string")
-    documents.write_finding_documents(findings, errors, versions, path)
+    documents.write_finding_documents(findings, errors, versions, path, parts="true")
     read = _read_back(p.sparkSession, path, "tool_versions STRUCT<gosec STRING>, findings ARRAY<STRUCT<severity STRING>>, summary STRUCT<high LONG, unknown LONG>, errors ARRAY<STRING>")
     sizes = [F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c) for c in ("findings", "errors")]
-    return read.select("name", *sizes, "summary.high", "summary.unknown", F.col("tool_versions.gosec").alias("gosec"))
+    held = read.select("name", *sizes, "summary.high", "summary.unknown", F.col("tool_versions.gosec").alias("gosec"))
+    return held.groupBy("name").agg(*(F.sum(c).alias(c) for c in ("findings", "errors")), *(F.max(c).alias(c) for c in ("high", "unknown", "gosec")))

@@ -16,7 +16,9 @@ count. Files are for their owner alone, links are never followed.
 
 Documents are meant for readers that take them whole, so one over "most" bytes (50 MB, what such a
 reader accepts) is refused, as is one that exists in mode append; larger results are written as lines
-(sinks.write_json). The folder is a path that the driver and all executors share.
+(sinks.write_json), or, with the option "parts", such a document is written as several,
+name.part-00000.json and on: documents of the same shape with a share of the elements each, in order,
+single values in the first. The folder is a path that the driver and all executors share.
 """
 
 from __future__ import annotations
@@ -62,6 +64,7 @@ class DocumentWriter(DataSourceWriter):
         self.path = options["path"].removeprefix("file://").rstrip("/")
         self.members, self.single, self.most = listed("members"), frozenset(listed("single")), int(options.get("most", MAX_BYTES))
         self.always = listed("always")
+        self.parts = options.get("parts", "false").lower() == "true"
         self.with_members, self.overwrite = "member" in names, overwrite
         self.staging = f"{self.path}/.documents-{uuid.uuid4().hex}"
 
@@ -69,19 +72,22 @@ class DocumentWriter(DataSourceWriter):
         context = TaskContext.get()
         os.makedirs(self.staging, mode=0o700, exist_ok=True)
         stem = f"{self.staging}/{context.partitionId()}-{context.taskAttemptId()}"
-        found: dict[tuple[str, str | None], list] = {}
+        found: dict[tuple[tuple[str, str | None], int], list] = {}
+        turns: dict[tuple[str, str | None], int] = {}
         key, out = None, None
         try:
             for row in rows:
                 at = (row["name"], row["member"] if self.with_members else None)
-                if at != key:
+                full = self.parts and at == key and piece[2] >= self.most // 8
+                if at != key or full:
                     if not isinstance(at[0], str) or not _NAME.fullmatch(at[0]):
                         raise ValueError(f"invalid document name {at[0]!r}")
                     if self.with_members and at[1] is None:
                         raise ValueError(f"{at[0]}: an element without a member")
                     if out:
                         out.close()
-                    piece = found.setdefault(at, [f"{stem}-{len(found)}", 0, 0])
+                    turns[at] = turns.get(at, 0) + full
+                    piece = found.setdefault((at, turns[at]), [f"{stem}-{len(found)}", 0, 0])
                     key, out = at, open(piece[0], "a", encoding="utf-8")
                 depth = "" if at[1] in self.single else "    " if self.with_members else "  "
                 if row["value"] is None:
@@ -93,7 +99,7 @@ class DocumentWriter(DataSourceWriter):
         finally:
             if out:
                 out.close()
-        return Pieces(context.partitionId(), tuple((*at, *piece) for at, piece in found.items()))
+        return Pieces(context.partitionId(), tuple((*at, *piece) for (at, _), piece in found.items()))
 
     def _put_together(self, name: str, pieces: Sequence[tuple], to: str) -> None:
         by_member: dict[str | None, list[tuple]] = {}
@@ -135,12 +141,36 @@ class DocumentWriter(DataSourceWriter):
             for n, line in enumerate(lines):
                 out.write(("  " if n else "") + line)
 
+    def _shares(self, name: str, pieces: Sequence[tuple]) -> dict[str, list[tuple]]:
+        """A document's pieces by the names of its parts; one that is small enough is whole."""
+        if not self.parts or sum(p[4] for p in pieces) <= self.most:
+            return {name: list(pieces)}
+        stem, ending = os.path.splitext(name)
+        out: dict[str, list[tuple]] = {}
+        held: list[tuple] = []
+        for p in sorted(pieces, key=lambda p: p[1] not in self.single):
+            if held and sum(h[4] for h in held) + p[4] > self.most:
+                held = []
+            if not held:
+                out[f"{stem}.part-{len(out):05d}{ending}"] = held
+            held.append(p)
+        return out
+
+    def _replaced(self, whole: set[str], written: set[str]) -> list[str]:
+        """Earlier forms of documents that are written again: parts of one that is whole now, or the other way round."""
+        return [f for f in os.listdir(self.path) if f not in written and re.sub(r"\.part-\d{5}", "", f) in whole]
+
     def commit(self, messages: list[Pieces | None]) -> None:
         try:
             documents: dict[str, list[tuple]] = {}
             for m in sorted((m for m in messages if m is not None), key=lambda m: m.partition):
                 for p in m.pieces:
                     documents.setdefault(p[0], []).append(p)
+            whole = set(documents)
+            documents = {part: share for name, pieces in documents.items() for part, share in self._shares(name, pieces).items()}
+            stale = self._replaced(whole, set(documents)) if documents else []
+            if stale and not self.overwrite:
+                raise FileExistsError(f"{self.path}/{stale[0]}")
             for name, pieces in documents.items():
                 size, to = sum(p[4] for p in pieces), f"{self.path}/{name}"
                 if size > self.most:
@@ -153,6 +183,8 @@ class DocumentWriter(DataSourceWriter):
                 self._put_together(name, pieces, f"{self.staging}/{name}")
             for name in documents:
                 os.replace(f"{self.staging}/{name}", f"{self.path}/{name}")
+            for name in stale:
+                os.unlink(f"{self.path}/{name}")
         finally:
             self.abort(messages)
 
@@ -174,20 +206,20 @@ def register(spark: SparkSession) -> None:
 
 
 def write_documents(rows: DataFrame, path: str, order: Sequence[str] = ("ord",), overwrite: bool = False, **options: str) -> None:
-    """Documents of rows (name, value, and member if there are any), their elements by order: split by ranges, so one large document is the work of many tasks. options: members, single, most."""
+    """Documents of rows (name, value, and member if there are any), their elements by order: split by ranges, so one large document is the work of many tasks. options: members, single, most, parts."""
     register(rows.sparkSession)
     keys = ["name", *(["member"] if "member" in rows.columns else []), *order]
     dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*keys[: len(keys) - len(order)], "value")
     dealt.write.format("json_documents").options(**options).mode("overwrite" if overwrite else "append").save(path)
 
 
-def write_symbol_documents(documents: DataFrame, path: str, overwrite: bool = False) -> None:
+def write_symbol_documents(documents: DataFrame, path: str, overwrite: bool = False, **options: str) -> None:
     """Mixed-ast.json with every document and <language>-ast.json with a language's. documents: language (a token), document (JSON text), ord."""
     names = F.array(F.lit("mixed-ast.json"), F.concat("language", F.lit("-ast.json")))
-    write_documents(documents.select(F.explode(names).alias("name"), F.col("document").alias("value"), "ord"), path, overwrite=overwrite)
+    write_documents(documents.select(F.explode(names).alias("name"), F.col("document").alias("value"), "ord"), path, overwrite=overwrite, **options)
 
 
-def write_finding_documents(findings: DataFrame, errors: DataFrame, versions: DataFrame, path: str, overwrite: bool = False) -> None:
+def write_finding_documents(findings: DataFrame, errors: DataFrame, versions: DataFrame, path: str, overwrite: bool = False, **options: str) -> None:
     """Static-analysis.json over all languages and <language>-lint.json for each: tool_versions, findings, summary (a count for each severity, unknown ones among them) and, if there are any, errors.
 
     findings: language, ord, severity and others; errors: language, ord, error; versions: language,
@@ -212,4 +244,4 @@ def write_finding_documents(findings: DataFrame, errors: DataFrame, versions: Da
     summary = counted.unionByName(always).groupBy("name").agg(*counts)
     told = summary.select("name", F.lit("summary").alias("member"), F.to_json(F.struct(*dims.SEVERITIES, "unknown")).alias("value"), F.lit(0).cast("long").alias("ord"))
     whole = found.unionByName(told).unionByName(wrong).unionByName(noted)
-    write_documents(whole, path, overwrite=overwrite, members="tool_versions,findings,summary,errors", single="tool_versions,summary", always="findings")
+    write_documents(whole, path, overwrite=overwrite, members="tool_versions,findings,summary,errors", single="tool_versions,summary", always="findings", **options)
