@@ -93,3 +93,10 @@ def test_functions_of_every_part_are_taken_as_modified(spark, tables):
     path, _, parts = tables
     expected = {f"m{k % 40}.go:fn{k % 700}" for k, _ in parts}
     assert {r.node for r in run(spark, "a05_direct_callers", path)} == expected
+
+
+def test_scope_of_all_takes_every_change(spark):
+    from tidemark import catalog
+
+    folder = "/root/testdata/sf0.001"
+    assert catalog.queries()["c18_scope_all"](spark, folder).count() == spark.read.parquet(f"{folder}/orders.parquet").count()

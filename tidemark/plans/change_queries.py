@@ -412,11 +412,11 @@ def _(c):
     return pa.scope_files(listed, named.where("left(status, 1) <> 'A'"), named.where("left(status, 1) <> 'D'"), counts)
 
 
-@query("c18_scope_all", "SELECT path, status, old_path, additions, deletions FROM {changed} WHERE ord % 4 = 2", "changed")
+@query("c18_scope_all", "SELECT path, status, old_path, additions, deletions FROM {changed}", "changed")
 def _(c):
     part = lambda k: c.where(F.col("ord") % 4 == k)
     names = c.select("path")
-    return pa.scope_mode("all", part(0), part(1), part(2), part(3), names, names)
+    return pa.scope_mode("all", part(0), part(1), c, part(3), names, names)
 
 
 @query(
