@@ -99,3 +99,14 @@ def test_tracked_flows_and_comments(spark):
     assert [r.text for r in flows.code_only(text).orderBy("line").collect()] == ["a ", " d ", "g  i"]
     assert flows.split_arguments('a, f(b, c), "x,y", [d, e]') == ["a", "f(b, c)", '"x', 'y"', "[d, e]"]
     assert flows.parameter_names("ctx context.Context, a, b int") == ["ctx", "b"]
+
+
+def test_files_are_dealt_out_before_parsing(spark):
+    # a table of files that one split holds was parsed by one task
+    content = F.concat(F.lit("def f"), "id", F.lit("():\n  g()\n"))
+    files = spark.range(200).coalesce(1).select("id", F.lit("python").alias("language"), content.alias("content"))
+    tasks = lambda d: d.select("id", F.spark_partition_id().alias("p"))
+    for rows in (parsers.calls(files), parsers.symbols(files), parsers.symbols_or_errors(files)):
+        got = tasks(rows).collect()
+        assert sorted(r.id for r in got) == list(range(200))
+        assert len({r.p for r in got}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
