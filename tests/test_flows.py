@@ -303,3 +303,31 @@ def test_equal_lines_are_searched_once():
     met = list(flows.file_flows(texts, {0: [(0, "s", "")]}, {501: [(0, "database", "")]}, re.compile("Escape"), re.compile(r"(\w+)\(")))
     assert [(f[0], f[2], f[3]) for f in met] == [(0, "a", 501)] and flows._searched.cache_info().hits - found >= 499
     assert list(flows.file_nils(["x = 1"] * 3)) == []
+
+
+def test_positional_analysis_finds_all_matches_in_one_pass(spark, monkeypatch):
+    passes = []
+    one = flows.every_hit
+    monkeypatch.setattr(flows, "every_hit", lambda *a: passes.append(a) or one(*a))
+    for language, sanitizers in (("python", PYTHON_SANITIZERS), ("typescript", TYPESCRIPT_SANITIZERS)):
+        passes.clear()
+        flows.analysis(lines(spark, a=("py", PYTHON)), language, sanitizers)
+        # lines.limit(0) is the empty table of Python's nil sources
+        assert len([d for d, *_ in passes if "seen" in d.columns]) == 1
+
+
+def test_flows_sort_each_side_once_in_tasks_that_are_not_merged(spark):
+    sources, sinks = LIBRARY["python"]
+    found = flows.stored_hits(flows.sanitizing_counts(lines(spark, a=("py", PYTHON), b=("py", PYTHON[2:])), PYTHON_SANITIZERS), {"sources": sources, "sinks": sinks})
+    got = flows.first_flows(found["sources"], found["sinks"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bSort \[", plan)) == 2
+    assert got.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_any_of_finds_what_a_plain_alternation_finds(spark):
+    literals = [x for _, p, _ in (*GO_SOURCES, *GO_SINKS) if (x := required_literal(p))] + ["-a", "^b", "]c", "\\d", "&&"]
+    texts = [*literals, *(f"x {x} y" for x in literals), *(x[1:] for x in literals), *(x[:-1] for x in literals), "", "nothing"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = "|".join(map(re.escape, literals))
+    assert d.where(F.col("text").rlike(flows.any_of(literals)) != F.col("text").rlike(plain)).count() == 0

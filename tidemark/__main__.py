@@ -94,7 +94,7 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     files = sources(spark, a.files, a.language)
     if a.command == "calls":
         return parsers.calls(files.select("file", "content"), language=a.language)
-    found = flows.analysis(parsers.code_lines(files.select("file", "content"), longest=parsers.MAX_LINE_BYTES if a.language == "go" else None), a.language, SANITIZERS.get(a.language))
+    found = flows.analysis(parsers.code_lines(files.select("file", "content"), longest=parsers.MAX_LINE_BYTES if a.language == "go" else None), a.language, SANITIZERS.get(a.language), reused=a.command != "flows")
     if a.command == "flows":
         return found["flows"]
     shown = found["flows"].withColumns({"description": flows.described() if a.language == "go" else F.concat(F.lit("Data from "), "source_type", F.lit(" flows to "), "sink_type"), "function": F.col("sink_pattern"), "sanitizers": F.lit(""), "source_context": F.lit(""), "sink_context": F.lit("")})

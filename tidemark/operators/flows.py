@@ -39,10 +39,21 @@ def hit_list(text: Column, patterns: Sequence[tuple[str, str, str]]) -> Column:
 
 def likely(text: Column, patterns: Sequence[tuple[str, str, str]]) -> Column:
     """Whether a text may match any of the patterns: one expression over the literals that their matches hold, as one test for each would outgrow compiled code."""
-    kept = dict.fromkeys(re.escape(x) if (x := required_literal(p)) else f"(?:{p})" for _, p, _ in patterns)
+    literals = dict.fromkeys(required_literal(p) for _, p, _ in patterns)
+    kept = [any_of([x for x in literals if x])] if any(literals) else []
+    kept += dict.fromkeys(f"(?:{p})" for _, p, _ in patterns if not required_literal(p))
     return text.rlike("|".join(kept)) if kept else F.lit(False)
 
 
+def any_of(literals: Sequence[str]) -> str:
+    """An expression for any of the texts, which are not empty: a place is left at once if none begins with its character, else only those that do are tried."""
+    by_first: dict[str, list[str]] = {}
+    for x in literals:
+        by_first.setdefault(x[0], []).append(x[1:])
+    each = (f"{re.escape(c)}(?:{'|'.join(map(re.escape, rest))})" for c, rest in by_first.items())
+    return f"(?=[{''.join(map(re.escape, by_first))}])(?:{'|'.join(each)})"
+
+
 def match_column(text: Column, pattern: str) -> Column:
     """The 1-based byte where the first match begins, 0 if there is none."""
     before = F.regexp_instr(text, F.lit(pattern))
@@ -86,14 +97,20 @@ def every_hit(lines: DataFrame, patterns: Sequence[tuple[str, str, str]]) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled, target = [re.compile(p) for p in sources], to_arrow_schema(kind)
+
+        @lru_cache(1 << 14)  # code repeats itself, so a task keeps what it found for the last texts
+        def matched(text: str) -> list[tuple]:
+            return [
+                (k, n, patterns[k][0], patterns[k][2], m.start() + 1, named_in(text, m.start()))
+                for k, p in enumerate(compiled) if not literals[k] or literals[k] in text for n, m in enumerate(p.finditer(text))
+            ]
+
         for b in batches:
             rows, found = [], []
             for i, text in enumerate(b.column(where).to_pylist()):
-                for k, p in enumerate(compiled):
-                    if text and (not literals[k] or literals[k] in text):
-                        for n, m in enumerate(p.finditer(text)):
-                            rows.append(i)
-                            found.append((k, n, patterns[k][0], patterns[k][2], m.start() + 1, named_in(text, m.start())))
+                if text and (of := matched(text)):
+                    rows += [i] * len(of)
+                    found += of
             if rows:
                 kept = b.take(pa.array(rows, pa.int64()))
                 new = [pa.array(c, target.field(j + b.num_columns).type) for j, c in enumerate(zip(*found, strict=True))]
@@ -102,6 +119,18 @@ def every_hit(lines: DataFrame, patterns: Sequence[tuple[str, str, str]]) -> Dat
     return lines.where(likely(F.col("text"), patterns)).mapInArrow(run, kind)
 
 
+def stored_hits(lines: DataFrame, libraries: Mapping[str, Sequence[tuple[str, str, str]]]) -> dict[str, DataFrame]:
+    """every_hit of several libraries, by their names: found in one pass over the lines and written once, as each is read more than once."""
+    from tidemark.sources.store import stored
+
+    kept = stored(every_hit(lines, [p for ps in libraries.values() for p in ps]), "hits")
+    out, low = {}, 0
+    for name, ps in libraries.items():
+        out[name] = kept.where(F.col("ord").between(low, low + len(ps) - 1)).withColumn("ord", F.col("ord") - low)
+        low += len(ps)
+    return out
+
+
 def assigned_variable(text: Column) -> Column:
     """The name before the first assignment, "" if there is none."""
     names = [F.regexp_extract(text, p, 1) for p in _VARIABLE]
@@ -169,16 +198,30 @@ def first_of_line(found: DataFrame) -> DataFrame:
     return best.select("file", "line", "type", "b.*")
 
 
+#: Matches that a task sorts, about.
+_TASK_ROWS = 1 << 19
+
+
 def first_flows(sources: DataFrame, sinks: DataFrame) -> DataFrame:
-    """The first flow of each id, with the id. An id is made of places and types, so the first matches are picked before they are paired."""
-    return _paired(first_of_line(sources), first_of_line(sinks)).withColumn("id", flow_id("positional"))
+    """The first flow of each id, with the id. An id is made of places and types, so the first matches are picked before they are paired.
+
+    Each side is dealt out by file and sorted once; that order serves both the first matches and
+    the pairs. There are more tasks for more matches, so what one sorts does not grow with the
+    input. Both sides are counted before: they should be read from stored tables, as stored_hits
+    gives them.
+    """
+    tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(sources.count(), sinks.count()) // _TASK_ROWS))
+    side = lambda d: first_of_line(d.select("file", *(c for c in _PAIRED if c in d.columns)).repartition(tasks, "file").sortWithinPartitions("file", "line", "type"))
+    return _paired(side(sources), side(sinks)).withColumn("id", flow_id("positional"))
 
 
 def sanitizing_counts(lines: DataFrame, sanitizers: Mapping[str, Sequence[str]]) -> DataFrame:
     """The lines with seen: by sink type of sanitizers, how many lines of the file up to this one sanitize for it, and whether it does itself."""
     upto = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    flags = [F.col("text").rlike("(?i)(?:" + "|".join(ps) + ")").cast("int") for ps in sanitizers.values()]
-    marked = lines.withColumns({f"__f{i}": f for i, f in enumerate(flags)})
+    text, every = F.col("text"), [p for ps in sanitizers.values() for p in ps]
+    # most lines match none, which one test tells
+    flags = [F.when(F.col("__any"), text.rlike("(?i)(?:" + "|".join(ps) + ")").cast("int")).otherwise(F.when(text.isNotNull(), 0)) for ps in sanitizers.values()]
+    marked = lines.withColumn("__any", text.rlike("(?i)(?:" + "|".join(every) + ")")).withColumns({f"__f{i}": f for i, f in enumerate(flags)})
     seen = F.array(*(F.struct(F.sum(f"__f{i}").over(upto).alias("upto"), F.col(f"__f{i}").alias("here")) for i in range(len(flags))))
     return marked.withColumn("seen", seen).select(*lines.columns, "seen")
 
@@ -590,14 +633,20 @@ _VALUE = r"\s*(?:!==?|===?)\s*(?:null|undefined)"
 _EVENTS = {"check": (rf"\b(\w+)\b(?={_VALUE})", r"(?:null|undefined)\s*(?:!==?|===?)\s*\b(\w+)\b"), "use": (r"\b(\w+)\b(?=\s*[.\[])",)}
 
 
-def null_risks(lines: DataFrame) -> DataFrame:
+def _null_patterns() -> list[tuple[str, str, str]]:
+    return [(origin, p, d) for p, d, origin in TYPESCRIPT_NULL]
+
+
+def null_risks(lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """J12/W04, TypeScript: every match of an expression that may be null, with the first later line that checks its name or uses it.
 
     What lines check and use are rows by file and name; the first one after a match is a running
-    minimum from the end, so no pair of lines is formed.
+    minimum from the end, so no pair of lines is formed. found: the matches, if they are known.
     """
-    found = every_hit(lines, [(origin, p, d) for p, d, origin in TYPESCRIPT_NULL]).select("file", "line", "variable", "ord", "nth", F.col("type").alias("origin"), "pattern", "column")
-    all_of = lambda kind: F.array_distinct(F.concat(*(F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in _EVENTS[kind])))
+    found = (every_hit(lines, _null_patterns()) if found is None else found).select("file", "line", "variable", "ord", "nth", F.col("type").alias("origin"), "pattern", "column")
+    has = F.col("text").contains
+    may = {"check": (has("null") | has("undefined")) & (has("==") | has("!=")), "use": has(".") | has("[")}  # what every match holds
+    all_of = lambda kind: F.when(may[kind], F.array_distinct(F.concat(*(F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in _EVENTS[kind])))).otherwise(F.array().cast("array<string>"))
     labelled = lambda kind: F.transform(all_of(kind), lambda x: F.struct(x.alias("variable"), F.lit(kind).alias("kind")))
     both = F.flatten(F.array(*map(labelled, _EVENTS)))
     events = lines.select("file", "line", F.explode(both).alias("e")).select("file", "line", "e.*")
@@ -614,23 +663,27 @@ def null_risks(lines: DataFrame) -> DataFrame:
     )
 
 
-def analysis(lines: DataFrame, language: str, sanitizers: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
-    """Sources, sinks, flows (with risk), nil_sources and statistics of one language's files."""
+def analysis(lines: DataFrame, language: str, sanitizers: Mapping[str, Sequence[str]] | None = None, reused: bool = False) -> dict[str, DataFrame]:
+    """Sources, sinks, flows (with risk), nil_sources and statistics of one language's files. reused: the parts are read more than once, so what others rest on is written."""
+    from tidemark.sources.store import stored
+
+    keep = stored if reused else lambda d, _: d
     sources, sinks = LIBRARY[language]
     if language == "go":
         files = lines.where(F.col("file").endswith(".go") & ~F.col("file").endswith("_test.go"))
         code = code_only(files)
         found = {"sources": hits(code, sources), "sinks": hits(code, sinks)}
         flows = tracked_flows(files, sources, sinks)
-        flows = flows.withColumns({"id": flow_id(), "risk": risk(F.col("source_type"), F.col("sink_type"), F.col("sanitized"))})
-        nils = nil_risks(files)
+        flows = keep(flows.withColumns({"id": flow_id(), "risk": risk(F.col("source_type"), F.col("sink_type"), F.col("sanitized"))}), "flows")
+        nils = keep(nil_risks(files), "nils")
     else:
-        counted = sanitizing_counts(lines, sanitizers)
-        found = {"sources": every_hit(counted, sources), "sinks": every_hit(counted, sinks)}
+        libraries = {"sources": sources, "sinks": sinks} | ({"nulls": _null_patterns()} if language == "typescript" else {})
+        found = stored_hits(sanitizing_counts(lines, sanitizers), libraries)
+        nulls = found.pop("nulls", None)
         flows = window_sanitized(first_flows(found["sources"], found["sinks"]), sanitizers)
-        flows = flows.withColumn("risk", risk(F.col("source_type"), F.col("sink_type"), F.col("sanitized"), True))
-        nils = null_risks(lines) if language == "typescript" else null_risks(lines.limit(0))
-    return found | {"flows": flows, "nil_sources": nils, "statistics": statistics(found["sources"], found["sinks"], flows, nils)}
+        flows = keep(flows.withColumn("risk", risk(F.col("source_type"), F.col("sink_type"), F.col("sanitized"), True)), "flows")
+        nils = keep(null_risks(lines, nulls), "nils") if language == "typescript" else null_risks(lines.limit(0))
+    return found | {"flows": flows, "nil_sources": nils, "statistics": keep(statistics(found["sources"], found["sinks"], flows, nils), "statistics")}
 
 
 def described() -> Column:

@@ -152,8 +152,8 @@ def positional(c):
 
 def firsts(c, language="python"):
     _, sources, sinks, sanitizers = _LANGUAGE[language]
-    counted = fl.sanitizing_counts(c, sanitizers)
-    return fl.first_flows(fl.every_hit(counted, sources), fl.every_hit(counted, sinks))
+    found = fl.stored_hits(fl.sanitizing_counts(c, sanitizers), {"sources": sources, "sinks": sinks})
+    return fl.first_flows(found["sources"], found["sinks"])
 
 
 def judged(c, language="python"):

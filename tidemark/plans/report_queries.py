@@ -108,7 +108,7 @@ def _(m, e):
 
 def security_inputs(c):
     """What security_report takes, from TypeScript lines."""
-    a = fl.analysis(c, "typescript", fq.TYPESCRIPT_SANITIZERS)
+    a = fl.analysis(c, "typescript", fq.TYPESCRIPT_SANITIZERS, reused=True)
     flows = a["flows"].select(
         "id", "risk", F.concat(F.lit("Data from "), "source_type", F.lit(" flows to "), "sink_type").alias("description"), "source_file", "source_line", "source_type", "sink_file", "sink_line", "sink_type",
         F.col("sink_pattern").alias("function"), "sanitized", F.lit("").alias("sanitizers"), F.lit("").alias("source_context"), F.lit("").alias("sink_context"),
