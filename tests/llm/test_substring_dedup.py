@@ -45,3 +45,22 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((x.doc_id or 0, x.n_words, x.n_removed, x.kept_text) for x in sd.remove_repeats(docs).collect())
     assert got == [(0, 41, 40, "x"), (1, 40, 40, ""), (1, 40, 40, "")]
     assert sd.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_texts_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 3}-{k}" for k in range(50))) for i in range(9)], "doc_id long, text string")
+    got = sd.remove_repeats(docs)
+    assert [x.n_removed for x in got.collect()] == [50] * 9
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert any("ReusedExchange" in line and "text" in line for line in plan.splitlines())
+
+
+def test_words_of_any_length(spark):
+    long = [c * n for c in "ab" for n in (15, 16, 17, 18, 40)]
+    r = random.Random(5)
+    passage = [r.choice(long) for _ in range(12)]
+    texts = [" ".join(r.choice(long) for _ in range(30)) for _ in range(20)] + [" ".join(["x"] + passage + ["y"]), " ".join(["z"] + passage), " ".join(passage[:5] + ["a" * 19] + passage[6:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for group in (1, 1000):
+        got = {x.doc_id: (x.n_words, x.n_removed, x.kept_text) for x in sd.remove_repeats(docs, 6, 3, group).collect()}
+        assert [got[i] for i in range(len(texts))] == brute(texts, 6)

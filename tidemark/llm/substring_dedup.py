@@ -11,12 +11,14 @@ these suffixes alone, about one word in fourteen.
    GROUP suffixes share it, as long as the whole window; so every group fits in memory. A task
    sends equal contexts once: if it has two of them itself, their windows are marked at once and
    the context travels without a place, so a passage in any number of documents is one small row
-   per task.
+   per task. A context travels as text, words over LONG bytes as their hash: words' hashes would
+   not be compressed.
 3. Each group is built into a suffix tree over the words from the prefix on and one over the words
    before it, as sorted suffixes with common-prefix lengths. A window is repeated if the node at
    its right depth and the node at its left depth have another occurrence in common: a node deep
    enough to be a repeat of WINDOW words, extended to the left as far as it goes.
-4. Words under a repeated window are removed.
+4. Words under a repeated window are removed. Texts are shuffled once, for steps 2 and 4, and
+   their suffixes chosen anew in step 2, so that only a suffix's number goes through the count.
 
 Words are compared by 64-bit hashes, whole windows of a long prefix by a 64-bit hash with that of
 their prefix. Null and empty texts have no words, very long texts are read whole, texts of fewer than WINDOW words no windows.
@@ -38,7 +40,7 @@ from tidemark.llm._words import Words, chunks, words
 
 NAME = "op2_substring_dedup"
 WINDOW, GRAM, GROUP = 35, 8, 1000
-_FLUSH_BYTES, _TREE_ROWS = 48 << 20, 16384
+_FLUSH_BYTES, _TREE_ROWS, LONG = 48 << 20, 16384, 16
 _U = np.uint64
 
 
@@ -87,14 +89,31 @@ def _suffixes(keyed: DataFrame, window: int, gram: int) -> DataFrame:
         for b in batches:
             k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             for lo, _, data, offsets in chunks(b.column(2)):
-                w = words(data, offsets)
-                doc, x, g, least, most = chosen(w, window, gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[lo + doc]), pa.array(k2[lo + doc]), pa.array(g.view(np.int64)), pa.array((x - w.first[doc]).astype(np.int32)), pa.array(least.astype(np.int16)), pa.array(most.astype(np.int16))],
-                    names=["key1", "key2", "gram", "pos", "least", "most"],
-                )
+                doc, _, g, _, _ = chosen(words(data, offsets), window, gram)
+                number = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                yield pa.RecordBatch.from_arrays([pa.array(k1[lo + doc]), pa.array(k2[lo + doc]), pa.array(g.view(np.int64)), pa.array(number.astype(np.int32))], names=["key1", "key2", "gram", "number"])
+
+    return keyed.select("key1", "key2", "text").mapInArrow(run, "key1 long, key2 long, gram long, number int")
+
+
+_HEX = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
 
-    return keyed.select("key1", "key2", "text").mapInArrow(run, "key1 long, key2 long, gram long, pos int, least short, most short")
+
+def squeezed(w: Words) -> tuple[bytes, np.ndarray]:
+    """The words, a space behind each, and where each begins, with one more at the end; a word over LONG bytes as 0x01 and its hash, which no other word is."""
+    long = np.flatnonzero(w.ends - w.starts > LONG)
+    size = np.minimum(w.ends - w.starts, LONG + 1)
+    edge = np.concatenate([[0], np.cumsum(size + 1)])
+    if not len(size):
+        return b"", edge
+    out = w.data[np.minimum(np.repeat(w.starts - edge[:-1], size + 1) + np.arange(edge[-1]), len(w.data) - 1)]
+    out[edge[1:] - 1] = 0x20
+    if len(long):
+        at, raw = edge[long], w.hashes[long].view(np.uint8).reshape(-1, 8)
+        out[at] = 1
+        for k in range(8):
+            out[at + 1 + 2 * k], out[at + 2 + 2 * k] = _HEX[raw[:, k] >> 4], _HEX[raw[:, k] & 15]
+    return out.tobytes(), edge
 
 
 _ROUTED = pa.schema([("gram", pa.int64()), ("longer", pa.int64()), ("n", pa.int8()), ("key1", pa.int64()), ("key2", pa.int64()), ("pos", pa.int32()), ("least", pa.int16()), ("most", pa.int16()), ("context", pa.binary())])
@@ -102,67 +121,81 @@ _ROUTED_SQL = "gram long, longer long, n byte, key1 long, key2 long, pos int, le
 
 
 class _Sender:
-    """Rows of one task: equal contexts once, with n 1 (and its place) or 2 (its places marked already); marks have n 0."""
+    """Rows of one task: equal contexts once, with n 1 (and its place) or 2 (its places marked already); marks, joined by document, have n 0."""
 
     def __init__(self, window: int) -> None:
-        self.window, self.held, self.used = window, {}, 0
+        self.window, self.held, self.marks, self.used = window, {}, {}, 0
 
-    def add(self, route: tuple, place: tuple) -> list[tuple]:
+    def add(self, route: tuple, place: tuple) -> None:
         """route: gram, longer, least, most, context; place: key1, key2, pos."""
-        first = self.held.get(route)
-        if first is None:
-            if route not in self.held:
-                self.held[route] = place
-                self.used += 200 + len(route[4] or b"")
-                return []
-            return [self._mark(route, place)]
-        self.held[route] = None
-        return [self._mark(route, first), self._mark(route, place)]
-
-    def _mark(self, route: tuple, place: tuple) -> tuple:
+        if route not in self.held:
+            self.held[route] = place
+            self.used += 200 + len(route[4] or b"")
+            return
+        first = self.held[route]
+        if first is not None:
+            self.held[route] = None
+            self._mark(route, first)
+        self._mark(route, place)
+
+    def _mark(self, route: tuple, place: tuple) -> None:
         key1, key2, pos = place
-        return key1, key2, 0, key1, key2, pos - route[3], 0, 0, (pos - route[2] + self.window).to_bytes(4, "little")
+        low, high = pos - route[3], pos - route[2] + self.window
+        spans = self.marks.setdefault((key1, key2), [])
+        if spans and spans[-1][0] <= low <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(high, spans[-1][1]))
+        else:
+            spans.append((low, high))
+            self.used += 250
 
     def flush(self) -> list[tuple]:
         out = [(g, longer, 1 if p else 2, *(p or (0, 0, 0)), least, most, c) for (g, longer, least, most, c), p in self.held.items()]
-        self.held, self.used = {}, 0
+        out += [(key1, key2, 0, key1, key2, low, 0, 0, high.to_bytes(4, "little")) for (key1, key2), spans in self.marks.items() for low, high in spans]
+        self.held, self.marks, self.used = {}, {}, 0
         return out
 
 
-def _routed(joined: DataFrame, window: int) -> DataFrame:
-    """joined: key1, key2, text, places array<struct<pos, least, most, gram, hot>>."""
+def _routed(joined: DataFrame, window: int, gram: int) -> DataFrame:
+    """joined: key1, key2, text, places array<int>: twice a suffix's number in its document, one more if its prefix is a long one."""
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROUTED, strict=True)], schema=_ROUTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(window)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rest = sender.flush()
+            for at in range(0, len(rest), 5000):
+                yield batch(rest[at : at + 5000])
+
         for b in batches:
             k1, k2, places = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)
+            flat, many = places.flatten().to_numpy(), places.value_lengths().to_numpy()
+            of = np.concatenate([[0], np.cumsum(many)])
             for lo, hi, data, offsets in chunks(b.column(2)):
-                w, out = words(data, offsets), []
-                for i in range(lo, hi):
-                    base = int(w.first[i - lo])
-                    for p in {tuple(x.values()) for x in places[i].as_py()}:
-                        pos, least, most, gram, hot = p
-                        x = base + pos
-                        if hot:
-                            starts = np.arange(x - most, x - least + 1)
-                            for s, f in zip((starts - base).tolist(), w.spans(starts, starts + window).view(np.int64).tolist(), strict=True):
-                                before = pos - s
-                                out += sender.add((gram, f or 1, before, before, None), (k1[i], k2[i], pos))
-                        else:
-                            context = w.hashes[x - most : x - least + window].tobytes()
-                            out += sender.add((gram, 0, least, most, context), (k1[i], k2[i], pos))
-                    if sender.used > _FLUSH_BYTES:
-                        out += sender.flush()
-                if out:
-                    yield batch(out)
-        rest = sender.flush()
-        for at in range(0, len(rest), 5000):
-            yield batch(rest[at : at + 5000])
-
-    return joined.select("key1", "key2", "text", "places").mapInArrow(run, _ROUTED_SQL)
+                w = words(data, offsets)
+                doc, x, g, least, most = chosen(w, window, gram)
+                mine = flat[of[lo] : of[hi]].astype(np.int64)
+                first = np.searchsorted(doc, np.repeat(np.arange(hi - lo), many[lo:hi]))
+                both = np.unique(2 * first + mine)  # rows that repeat a document have its places twice
+                at, hot = both >> 1, (both & 1).astype(bool)
+                doc, x, g, least, most = doc[at], x[at], g[at].view(np.int64), least[at], most[at]
+                pos = x - w.first[doc]
+                text, edge = squeezed(w)
+                c = ~hot
+                for d, p, h, few, lots, i, j in zip((lo + doc[c]).tolist(), pos[c].tolist(), g[c].tolist(), least[c].tolist(), most[c].tolist(), edge[x[c] - most[c]].tolist(), edge[x[c] - least[c] + window].tolist(), strict=True):
+                    sender.add((h, 0, few, lots, text[i:j]), (k1[d], k2[d], p))
+                size = (most - least + 1)[hot]
+                start = np.repeat((x - most)[hot] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                full = w.spans(start, start + window).view(np.int64).tolist()
+                for d, p, h, before, f in zip(*(np.repeat(v[hot], size).tolist() for v in (lo + doc, pos, g)), (np.repeat(x[hot], size) - start).tolist(), full, strict=True):
+                    sender.add((h, f or 1, before, before, None), (k1[d], k2[d], p))
+                if sender.used > _FLUSH_BYTES:
+                    yield from flush()
+        yield from flush()
+
+    return joined.select("key1", "key2", "text", "places", "doc_id").mapInArrow(run, _ROUTED_SQL)
 
 
 def _depth_classes(columns: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,12 +218,13 @@ def _node_at(order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
 def repeated(group: np.ndarray, n: np.ndarray, least: np.ndarray, most: np.ndarray, contexts: list[bytes], window: int) -> np.ndarray:
     """By row and number of words before the suffix: whether the window occurs twice or more."""
     rows = len(group)
+    w = words(np.frombuffer(b"".join(contexts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in contexts])]))
     left, right = np.zeros((rows, max(1, int(most.max()))), dtype=_U), np.zeros((rows, window), dtype=_U)
-    for i, c in enumerate(contexts):
-        x = np.frombuffer(c, dtype=_U)
-        m = most[i]
-        left[i, :m] = x[:m][::-1]
-        right[i, : len(x) - m] = x[m:]
+    of = np.repeat(np.arange(rows), w.counts)
+    at = np.arange(len(of)) - w.first[of] - most[of]
+    lower = at < 0
+    left[of[lower], -1 - at[lower]] = w.hashes[lower]
+    right[of[~lower], at[~lower]] = w.hashes[~lower]
     after, before = _depth_classes(right, group), _depth_classes(left, group)
     out = np.zeros((rows, window), dtype=bool)
     for o in range(int(least.min()), int(most.max()) + 1):
@@ -258,11 +292,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     keyed = _keyed(docs, id_col, text_col)
     suffixes = stored(_suffixes(keyed, window, gram), "suffixes")
     counts = stored(suffixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "prefixes")
-    places = suffixes.join(counts, "gram").select("key1", "key2", F.struct("pos", "least", "most", "gram", (F.col("n") > group).alias("hot")).alias("place"))
+    places = suffixes.join(counts, "gram").select("key1", "key2", (F.col("number") * 2 + (F.col("n") > group).cast("int")).alias("place"))
     by_doc = places.groupBy("key1", "key2").agg(F.collect_list("place").alias("places"))
-    joined = keyed.select("key1", "key2", "text").join(by_doc.hint("shuffle_hash"), ["key1", "key2"])
-    spans = _spans(_routed(joined, window), window)
-    marks = stored(spans.groupBy("key1", "key2").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "repeats")
+    # both joins take all columns of the same rows, and the rest is one plan, so that texts are shuffled once
+    joined = keyed.join(by_doc.hint("shuffle_hash"), ["key1", "key2"])
+    spans = _spans(_routed(joined, window, gram), window)
+    marks = spans.groupBy("key1", "key2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     marked = keyed.join(marks.hint("shuffle_hash"), ["key1", "key2"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
