@@ -53,3 +53,10 @@ def test_unclosed_markup_takes_linear_time(spark):
     got = {x.page_id: x["__lines"] for x in ld.line_dedup(pages(spark, rows)).collect()}
     assert time.perf_counter() - began < 60
     assert got[1] == got[2] == [] and got[20] == ["a"] and got[21] == ["a"] and got[22] == ["a<p"] and got[23] == ["1 < 2", "b"]
+
+
+def test_lines_are_cut_once_before_the_count(spark):
+    rows = pages(spark, [(1, "http://h/", "<p>x</p>", None)])
+    cut = rows.withColumn("__host", ld.host(rows.url)).withColumn("__lines", ld.visible_lines(rows.html))
+    plan = ld.boilerplate(cut, "__host", "__lines")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<script") == 1

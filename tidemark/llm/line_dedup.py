@@ -46,7 +46,9 @@ def visible_lines(html: Column) -> Column:
 def boilerplate(pages: DataFrame, host_col: str, lines_col: str, ratio_percent: int = RATIO_PERCENT, min_pages: int = 1) -> DataFrame:
     """Per host with any: __host, __drop, the 128-bit hashes of its boilerplate lines."""
     per_page = pages.select(F.col(host_col).alias("__host"), F.array_distinct(F.transform(lines_col, lambda x: F.unhex(F.md5(x)))).alias("__keys"))
-    held = per_page.select("__host", F.explode("__keys").alias("__key")).groupBy("__host", "__key").agg(F.count(F.lit(1)).alias("__with")).where(F.col("__with") >= min_pages)
+    # explode would be filtered by a size that Spark takes from the lines cut a second time
+    keys = per_page.select("__host", F.explode_outer("__keys").alias("__key")).where(F.col("__key").isNotNull())
+    held = keys.groupBy("__host", "__key").agg(F.count(F.lit(1)).alias("__with")).where(F.col("__with") >= min_pages)
     totals = per_page.groupBy("__host").agg(F.count(F.lit(1)).alias("__pages"))
     common = held.join(totals, "__host").where(F.col("__with") * 100 > F.col("__pages") * ratio_percent)
     return common.groupBy("__host").agg(F.collect_set("__key").alias("__drop"))
