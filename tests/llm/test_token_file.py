@@ -67,3 +67,30 @@ def test_other_tokenizers_and_null_ids(spark, tmp_path):
     got = sorted(tf.read_documents(spark, f"{tmp_path}/h").collect(), key=lambda v: v.start)
     assert [v.doc_id for v in got] == [None, None, 1, 2]
     assert [list(v.token_ids) for v in got] == [t.encode(x, add_special_tokens=False).ids + [9] for x in ("", "No  Id", "x <|endoftext|> " * 500, "Upper CASE\n\nhere  it's")]
+
+
+def test_words_go_to_the_model_once():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    coder, t = tf.Encoder(tf.TOKENIZER), Tokenizer.from_file(tf.TOKENIZER)
+    whole = []
+
+    class Watched:
+        model = t.model
+
+        @staticmethod
+        def encode_batch_fast(texts, **more):
+            whole.extend(texts)
+            return t.encode_batch_fast(texts, **more)
+
+    coder.tokenizer = Watched
+    texts = ["Word word, WORD. ÉTÉ; été\n\n$$$ |", None, "", "x²y Ünder!? ", "word " * 1000, "Straße ÿ.. a.b"]
+    got = [list(x) for ids, sizes in coder.encode(pa.array(texts)) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert sorted(whole) == ["a.b", "x²y"]
+    assert coder.words.index.keys() >= {"word", "$$$", ",", "|", "été"} and "Word" not in coder.words.index
+    every = [c + m for c in map(chr, range(0x21, 0x250)) for m in ("", ".", "$|", "a")]
+    got = [list(x) for ids, sizes in coder.encode(pa.array(every)) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in every]
+    assert len(coder.pieces.index) >= len(every)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of distinct pieces and their ids kept in a worker; beyond that the table starts anew, which costs time, not results.
 TABLE_BYTES = 80 << 20
@@ -54,6 +56,32 @@ class PieceTable:
         return picked(self.ids, lo, sizes), sizes
 
 
+    def gather_array(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As gather, for an Arrow array of strings: only its distinct pieces become Python strings."""
+        if self.used > self.most:
+            self._clear()
+        coded = pieces.dictionary_encode()
+        distinct = strings(coded.dictionary)
+        at = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(at < 0)
+        at[missing] = len(self.index) + np.arange(len(missing))
+        for k in range(0, len(missing), _AT_ONCE):
+            self._add([distinct[i] for i in missing[k : k + _AT_ONCE].tolist()])
+        at = at[coded.indices.to_numpy()]
+        lo = self.starts[at]
+        sizes = self.starts[at + 1] - lo
+        return picked(self.ids, lo, sizes), sizes
+
+
+def strings(x: pa.Array) -> list[str]:
+    """to_pylist of an array without nulls, by one string cut at line ends where no element holds one."""
+    if not len(x) or x.nbytes > 1 << 30:
+        return x.to_pylist()
+    lists = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(pa.string()))
+    out = pc.binary_join(lists, "\n")[0].as_py().split("\n")
+    return out if len(out) == len(x) else x.to_pylist()
+
+
 def picked(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ids from starts on, in a row."""
     ends = np.cumsum(sizes)
@@ -68,14 +96,18 @@ def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 def row_slices(texts: list[str], size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of rows with about size characters."""
+    return length_slices(list(map(len, texts)), size)
+
+
+def length_slices(lengths: list[int], size: int) -> Iterator[tuple[int, int]]:
     lo = used = 0
-    for i, t in enumerate(texts):
-        if used and used + len(t) > size:
+    for i, n in enumerate(lengths):
+        if used and used + n > size:
             yield lo, i
             lo, used = i, 0
-        used += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+        used += n
+    if lo < len(lengths):
+        yield lo, len(lengths)
 
 
 def id_lists(texts: list[str], cut: Callable[[str], list[str]], known: PieceTable) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -28,11 +28,12 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._pieces import TABLE_BYTES, PieceTable, flattened, id_lists, picked
+from tidemark.llm._pieces import TABLE_BYTES, PieceTable, flattened, length_slices, picked
 from tidemark.llm._runtime import partitions, ready, shared_dir, table
 
 NAME = "op9_token_file"
@@ -119,12 +120,18 @@ class TokenReader:
 
 
 #: A piece of Latin letters and marks behind them: two words of their own for the tokenizer, whatever stands around.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?%$#&*|]*)")
+_MARKS = ".,;:!?%$#&*|"
+_SIMPLE = rf"\A[A-Za-zÀ-ÖØ-öø-ÿ]*[{_MARKS}]*\z"
+#: Bytes of texts taken at once.
+_SLICE = 1 << 22
 
 
 #: How a tokenizer must treat a text for its words to be encoded one by one, as this module cuts them.
 _PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PLAIN_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_PLAIN_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+#: What that step writes for bytes that it does not leave as they are.
+_BYTES = {b: 256 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
 #: Added tokens are found in a text as it is, whatever stands around them.
@@ -139,23 +146,21 @@ def cuts_words(path: str) -> bool:
     model = told.get("model") or {}
     plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("continuing_subword_prefix")
     plain = plain and all(a["content"].startswith("<") and _PLAIN_ADDED.items() <= a.items() for a in told.get("added_tokens") or [])
+    plain = plain and len(splits) == 2 and _PLAIN_BYTES.items() <= splits[1].items()
     return plain and told.get("normalizer") == _PLAIN_NORMALIZER and splits[0] == _PLAIN_SPLIT
 
 
 class Encoder:
-    """The tokenizer over distinct words, many at a call; the mark of a word's last id tells them apart again. Tokenizers of other kinds get whole texts."""
+    """The tokenizer's model over distinct words of Latin letters or marks, which are lower-cased and cut as the tokenizer does; the tokenizer itself over other pieces. Tokenizers of other kinds get whole texts."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.by_word = cuts_words(path)
-        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        self.contents = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, self.contents)) + ")") if self.contents else None
         self.words = PieceTable(self._encode_words)
         # pieces are words with the marks behind them, of which there are more
         self.pieces = PieceTable(self._encode_pieces if self.by_word else self._encode_texts, 2 * TABLE_BYTES if self.by_word else 0)
@@ -175,27 +180,43 @@ class Encoder:
         return flattened([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lines = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
-        ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], dtype=np.int32)
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(words):  # a vocabulary without such marks
-            return flattened([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
-        return ids, np.diff(ends, prepend=0)
+        tokenize = self.tokenizer.model.tokenize
+        return flattened([[t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))] for w in words])
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cuts = list(map(_SIMPLE.fullmatch, pieces))
-        odd = np.array([m is None for m in cuts], dtype=bool)
-        both = [("", "") if m is None else m.groups() for m in cuts]
-        parts = [x.lower() for pair in both for x in pair]
-        known, each = self.words.gather([x for x in parts if x])
-        size = np.zeros(len(parts), dtype=np.int64)
-        size[np.fromiter(map(bool, parts), bool, len(parts))] = each
-        sizes = size.reshape(-1, 2).sum(axis=1)
-        starts = np.cumsum(sizes) - sizes
-        rest, more = flattened([e.ids for e in self.tokenizer.encode_batch_fast([p for p, m in zip(pieces, cuts, strict=True) if m is None], add_special_tokens=False)])
+        given = pa.array(pieces, pa.string())
+        odd = ~pc.match_substring_regex(given, _SIMPLE).to_numpy(zero_copy_only=False)
+        simple = given.filter(pa.array(~odd))
+        letters = pc.utf8_rtrim(simple, characters=_MARKS)
+        marks = pc.replace_substring_regex(simple, f"^[^{_MARKS}]+", "")
+        # a word and its marks stand one after the other; empty ones have no ids
+        known, each = self.words.gather_array(pa.concat_arrays([pc.utf8_lower(letters), marks]))
+        n = len(simple)
+        begin = np.cumsum(each) - each
+        both = np.stack([begin[:n], begin[n:]], axis=1).ravel(), np.stack([each[:n], each[n:]], axis=1).ravel()
+        known = picked(known, *both)
+        starts, sizes = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        sizes[~odd] = each[:n] + each[n:]
+        starts[~odd] = np.cumsum(sizes[~odd]) - sizes[~odd]
+        rest, more = flattened([e.ids for e in self.tokenizer.encode_batch_fast(given.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)])
         starts[odd], sizes[odd] = len(known) + np.cumsum(more) - more, more
         return picked(np.concatenate([known, rest]), starts, sizes), sizes
 
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For runs of rows: (ids of all their texts, number of ids of each text). Null counts as empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        for lo, hi in length_slices(pc.binary_length(texts).to_pylist(), _SLICE):
+            part = texts.slice(lo, hi - lo)
+            if self.by_word and not any(pc.any(pc.match_substring(part, x)).as_py() for x in self.contents):
+                cuts = pc.split_pattern(pc.replace_substring(part, "\n", " "), " ")
+                many, pieces = pc.list_value_length(cuts).to_numpy(), cuts.flatten()
+            else:
+                lists = [self.cut(t) for t in part.to_pylist()]
+                many, pieces = np.fromiter(map(len, lists), np.int64, len(lists)), pa.array([p for x in lists for p in x], pa.large_string())
+            ids, sizes = self.pieces.gather_array(pieces)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            yield ids, np.diff(ends[np.concatenate([[0], np.cumsum(many)])])
+
 
 @cache
 def encoder(path: str) -> Encoder:
@@ -223,7 +244,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 
         for b in batches:
             doc_ids, at = b.column(0).to_pylist(), 0
-            for ids, sizes in id_lists([x or "" for x in b.column(1).to_pylist()], coder.cut, coder.pieces):
+            for ids, sizes in coder.encode(b.column(1)):
                 ends = np.cumsum(sizes)
                 ids = np.insert(ids, ends, end_id)
                 lo = 0
