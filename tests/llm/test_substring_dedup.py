@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import substring_dedup as sd
@@ -64,3 +66,20 @@ def test_words_of_any_length(spark):
     for group in (1, 1000):
         got = {x.doc_id: (x.n_words, x.n_removed, x.kept_text) for x in sd.remove_repeats(docs, 6, 3, group).collect()}
         assert [got[i] for i in range(len(texts))] == brute(texts, 6)
+
+
+def test_trees_are_built_for_a_bounded_number_of_bytes():
+    r = random.Random(8)
+    rows, n = [], 12000  # 6 MB of contexts, two equal ones in every group of three
+    for g in range(n // 3):
+        a, b = (" ".join(str(r.randrange(10**12, 10**13)) for _ in range(35)).encode() + b" " for _ in range(2))
+        rows += [(g, 0, 1, 3 * g + k, 7, 0, 0, 0, c) for k, c in enumerate((a, b, a))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), sd._ROUTED)], schema=sd._ROUTED)
+    parts = [batch.slice(at, 1000) for at in range(0, n, 1000)]
+    tracemalloc.start()
+    got = [x for b in sd.stretches(iter(parts), 35) for x in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert sorted(x["key1"] for x in got) == [i for i in range(n) if i % 3 != 1]
+    assert {(x["low"], x["high"]) for x in got} == {(0, 35)}
+    assert most < 150, most

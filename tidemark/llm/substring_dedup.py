@@ -40,7 +40,7 @@ from tidemark.llm._words import Words, chunks, words
 
 NAME = "op2_substring_dedup"
 WINDOW, GRAM, GROUP = 35, 8, 1000
-_FLUSH_BYTES, _TREE_ROWS, LONG = 48 << 20, 16384, 16
+_FLUSH_BYTES, _TREE_BYTES, LONG = 48 << 20, 1 << 20, 16
 _U = np.uint64
 
 
@@ -236,51 +236,60 @@ def repeated(group: np.ndarray, n: np.ndarray, least: np.ndarray, most: np.ndarr
     return out
 
 
-def _spans(routed: DataFrame, window: int) -> DataFrame:
-    """Repeated stretches: key1, key2, low, high in words."""
-    names = ["key1", "key2", "low", "high"]
+def _light(rows: list[tuple], window: int) -> list[tuple]:
+    """Repeated stretches in whole groups of rows with contexts."""
+    _, group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
+    n, least, most = (np.array([r[k] for r in rows], dtype=np.int64) for k in (2, 6, 7))
+    hit = repeated(group, n, least, most, [r[8] for r in rows], window)
+    hit[n != 1] = False  # those have no place
+    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    at, low = np.nonzero(edge == 1)
+    high = np.nonzero(edge == -1)[1] - 1
+    return [(rows[i][3], rows[i][4], rows[i][5] - h, rows[i][5] - o + window) for i, o, h in zip(at.tolist(), low.tolist(), high.tolist(), strict=True)]
 
-    def done(keys: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keys, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
-
-    def light(rows: list[tuple]) -> list[tuple]:
-        _, group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
-        n, least, most = (np.array([r[k] for r in rows], dtype=np.int64) for k in (2, 6, 7))
-        hit = repeated(group, n, least, most, [r[8] for r in rows], window)
-        hit[n != 1] = False  # those have no place
-        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        at, low = np.nonzero(edge == 1)
-        high = np.nonzero(edge == -1)[1] - 1
-        return [(rows[i][3], rows[i][4], rows[i][5] - h, rows[i][5] - o + window) for i, o, h in zip(at.tolist(), low.tolist(), high.tolist(), strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # whole groups, then the one that goes on
-        first: tuple | None = None  # the lone first row of a long prefix
-        key = None
-        for b in batches:
-            out = []
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r[2] == 0:
-                    out.append((r[3], r[4], r[5], int.from_bytes(r[8], "little")))
-                elif r[1] == 0:
-                    if len(held) >= _TREE_ROWS and held[-1][0] != r[0]:
-                        out += light(held)
-                        held = []
-                    held.append(r)
+def stretches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by gram, longer, most: key1, key2, low, high of repeated stretches. Trees are built for about _TREE_BYTES of contexts at once: hashing takes forty times the bytes."""
+
+    def done(keys: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keys, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key1", "key2", "low", "high"])
+
+    held: list[tuple] = []  # whole groups, then the one that goes on
+    used = 0
+    first: tuple | None = None  # the lone first row of a long prefix
+    key = None
+    for b in batches:
+        out = []
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r[2] == 0:
+                out.append((r[3], r[4], r[5], int.from_bytes(r[8], "little")))
+            elif r[1] == 0:
+                if used >= _TREE_BYTES and held[-1][0] != r[0]:
+                    out += _light(held, window)
+                    held, used = [], 0
+                held.append(r)
+                used += len(r[8])
+            else:
+                span = (r[3], r[4], r[5] - r[7], r[5] - r[7] + window)
+                if (r[0], r[1], r[7]) != key:
+                    key, first = (r[0], r[1], r[7]), span if r[2] == 1 else None
                 else:
-                    span = (r[3], r[4], r[5] - r[7], r[5] - r[7] + window)
-                    if (r[0], r[1], r[7]) != key:
-                        key, first = (r[0], r[1], r[7]), span if r[2] == 1 else None
-                    else:
-                        if first:
-                            out.append(first)
-                        if r[2] == 1:
-                            out.append(span)
-                        first = None
-            if out:
-                yield done(out)
-        if held and (out := light(held)):
+                    if first:
+                        out.append(first)
+                    if r[2] == 1:
+                        out.append(span)
+                    first = None
+        if out:
             yield done(out)
+    if held and (out := _light(held, window)):
+        yield done(out)
+
+
+def _spans(routed: DataFrame, window: int) -> DataFrame:
+    """Repeated stretches: key1, key2, low, high in words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return stretches(batches, window)
 
     dealt = routed.repartition(partitions(routed.sparkSession), "gram", "longer").sortWithinPartitions("gram", "longer", "most")
     return dealt.mapInArrow(run, "key1 long, key2 long, low int, high int")
