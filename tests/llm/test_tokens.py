@@ -2,7 +2,9 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import byte_bpe, token_counts
@@ -55,6 +57,35 @@ def test_bpe_cut_keeps_gaps_whole():
     assert len(cut("word " * 1000 + "   " + "word " * 1000)) > 1900
 
 
+@pytest.mark.parametrize("size", [1, 200, 1 << 20])
+def test_bpe_pieces_told_apart_by_arrow(monkeypatch, size):
+    monkeypatch.setattr(byte_bpe, "_SLICE", size)
+    monkeypatch.setattr(byte_bpe, "_DECODED", 7)
+    c = byte_bpe.Codec(byte_bpe.VOCABULARY, public_tokenizers.PATTERN)
+    rows = [t or "" for t in texts()]
+    want = [x.tolist() for t in rows for ids, sizes in c.encode([t]) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    c = byte_bpe.Codec(byte_bpe.VOCABULARY, public_tokenizers.PATTERN)
+    got, back = [], []
+    for ids, sizes in c.encode_array(pa.array(["before", *rows]).slice(1)):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        back += byte_bpe.decoded(ids, sizes, byte_bpe.VOCABULARY).to_pylist()
+    assert got == want and back == [t.encode() for t in rows]
+    # a text without gaps is not cut in Python, and a piece is looked up once however often it occurs
+    monkeypatch.setattr(c, "cut", None)
+    monkeypatch.setattr(c.known, "gather", None)
+    ids, sizes = zip(*c.encode_array(pa.array(["so so so\nso so"] * 50)), strict=True)
+    assert np.concatenate(sizes).tolist() == [len(np.concatenate(ids)) // 50] * 50
+
+
+def test_bpe_flat_ids_of_words():
+    ranks = {b"a": 0, b"b": 1, b"ab": 2, b"aba": 3, b"abab": 4}
+    words = [b"aba", b"", b"abab", b"bbab", b"a", b"ababab", b"xab"]
+    ids, sizes = byte_bpe.MergeReplay(ranks).encode_flat(words)
+    assert sizes.tolist() == [1, 0, 1, 3, 1, 2, 2] and ids.tolist() == [3, 4, 1, 1, 2, 0, 4, 2, -1, 2]
+    assert [x.tolist() for x in byte_bpe.MergeReplay(ranks).encode_flat([b"", b"aba"])] == [[3], [0, 1]]
+    assert byte_bpe.MergeReplay(ranks).encode([]) == []
+
+
 def test_bpe_lower_rank_after_merge():
     # joining b and c makes a pair of a lower rank than their own
     ranks = {b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"bc": 4}

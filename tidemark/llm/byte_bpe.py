@@ -18,24 +18,30 @@ import base64
 import heapq
 import re
 from array import array
-from collections.abc import Iterator, MutableSequence
+from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._pieces import PieceTable, flattened, id_lists, list_array
+from tidemark.llm._pieces import PieceTable, id_lists, length_slices, list_array, picked
 from tidemark.llm._runtime import ready, table
 
 NAME = "op6_byte_bpe"
+_GONE = -2
+#: Where Arrow cuts texts, bytes of texts that it cuts at once, and ids that are decoded at once.
+_MARK, _SLICE, _DECODED = "\0", 1 << 20, 1 << 18
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: White space as the pattern's library has it; Python's own classes also hold 0x1C-0x1F.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _GAP = re.compile(rf"[{_SPACE}]{{2}}")
+_ARROW_GAP = "[" + re.sub(r"\\u(....)", r"\\x{\1}", _SPACE) + "]{2}"
 _AFTER_SPACE = re.compile(rf"[{_SPACE}]\Z")
 
 
@@ -62,27 +68,31 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.of_byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int64)
-        #: Rank of the joined token by both parts, for every way to cut a token in two tokens.
-        self.pairs: dict[int, int] = {}
+        #: Rank of the joined token by one part, then by the other, for every way to cut a token in two tokens.
+        self.by_left: dict[int, dict[int, int]] = {}
+        self.by_right: dict[int, dict[int, int]] = {}
         for t, r in ranks.items():
             for k in range(1, len(t)):
                 if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None:
-                    self.pairs[x << 32 | y] = r
+                    self.by_left.setdefault(x, {})[y] = r
+                    self.by_right.setdefault(y, {})[x] = r
         self.byte_pairs = np.array([[ranks.get(bytes([x, y]), -1) for y in range(256)] for x in range(256)], dtype=np.int64)
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(words)
-        rest = []
-        for i, w in enumerate(words):
-            if (whole := self.ranks.get(w)) is not None:
-                out[i] = [whole]
-            elif w:
-                rest.append(i)
-        if not rest:
-            return out
-        data = np.frombuffer(b"".join([words[i] for i in rest]), dtype=np.uint8)
-        ends = np.cumsum([len(words[i]) for i in rest])
-        starts = np.concatenate([[0], ends[:-1]])
+        ids, sizes = self.encode_flat(words)
+        return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if words else []
+
+    def encode_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each word)."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        whole = np.fromiter(map(self.ranks.get, words, repeat(-1)), np.int64, len(words))
+        rest = np.flatnonzero((whole < 0) & (lengths > 0))
+        sizes = (whole >= 0).astype(np.int64)
+        if not len(rest):
+            return whole[whole >= 0].astype(np.int32), sizes
+        data = np.frombuffer(b"".join([words[i] for i in rest.tolist()]), dtype=np.uint8)
+        ends = np.cumsum(lengths[rest])
+        starts = ends - lengths[rest]
         after = np.arange(1, len(data) + 1)
         after[ends - 1] = -1
         before = np.arange(-1, len(data) - 1)
@@ -90,15 +100,18 @@ class MergeReplay:
         found = np.full(len(data), -1, dtype=np.int64)
         found[:-1] = self.byte_pairs[data[:-1], data[1:]]
         found[ends - 1] = -1
-        token, before, after = _array(self.of_byte[data]), _array(before), _array(after)
-        self._merge(token, before, after, self._index(found))
-        for i, a in zip(rest, starts.tolist(), strict=True):
-            ids = []
-            while a >= 0:
-                ids.append(token[a])
-                a = after[a]
-            out[i] = ids
-        return out
+        token = _array(self.of_byte[data])
+        self._merge(token, _array(before), _array(after), _array(found), self._index(found))
+        left = np.frombuffer(token, dtype=np.int32)
+        stays = left != _GONE
+        sizes[rest] = np.add.reduceat(stays.astype(np.int64), starts)
+        first = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), dtype=np.int32)
+        merged = np.ones(len(out), dtype=bool)
+        merged[first[whole >= 0]] = False
+        out[first[whole >= 0]] = whole[whole >= 0]
+        out[merged] = left[stays]
+        return out, sizes
 
     @staticmethod
     def _index(found: np.ndarray) -> dict[int, array]:
@@ -108,8 +121,9 @@ class MergeReplay:
         ranks, first = np.unique(found[at], return_index=True)
         return {r: _array(x) for r, x in zip(ranks.tolist(), np.split(at, first[1:]), strict=True)} if len(at) else {}
 
-    def _merge(self, token: MutableSequence[int], before: MutableSequence[int], after: MutableSequence[int], index: dict[int, array]) -> None:
-        pair = self.pairs.get
+    def _merge(self, token: array, before: array, after: array, found: array, index: dict[int, array]) -> None:
+        """found: rank of the pair that starts at each position, -1 if it can't merge; kept up to date. Merged-away positions get the token _GONE."""
+        none: dict[int, int] = {}
         heap = list(index)
         heapq.heapify(heap)
         while heap:
@@ -118,17 +132,19 @@ class MergeReplay:
             if not places:
                 continue
             places = sorted(places)
+            next_to, behind = self.by_left.get(r, none).get, self.by_right.get(r, none).get
             for k, a in enumerate(places):
-                x, b = token[a], after[a]
-                if x < 0 or b < 0 or pair(x << 32 | token[b]) != r:
+                if found[a] != r:
                     continue
+                b = after[a]
                 c, p = after[b], before[a]
-                token[a], token[b], after[a] = r, -1, c
+                token[a], token[b], after[a], found[a], found[b] = r, _GONE, c, -1, -1
                 lower = False
                 if c >= 0:
                     before[c] = a
-                    s = pair(r << 32 | token[c])
+                    s = next_to(token[c])
                     if s is not None:
+                        found[a] = s
                         if s in index:
                             index[s].append(a)
                         else:
@@ -136,8 +152,11 @@ class MergeReplay:
                             heapq.heappush(heap, s)
                         lower = s < r
                 if p >= 0:
-                    s = pair(token[p] << 32 | r)
-                    if s is not None:
+                    s = behind(token[p])
+                    if s is None:
+                        found[p] = -1
+                    else:
+                        found[p] = s
                         if s in index:
                             index[s].append(p)
                         else:
@@ -160,8 +179,21 @@ def spelling(path: str) -> list[bytes]:
     return out
 
 
-def decoded(ids: np.ndarray, tokens: list[bytes]) -> bytes:
-    return b"".join(map(tokens.__getitem__, ids.tolist()))
+@cache
+def _letters(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all ids in a row, where each id's begin, and how many they are."""
+    tokens = spelling(path)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.frombuffer(b"".join(tokens), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def decoded(ids: np.ndarray, sizes: np.ndarray, path: str) -> pa.Array:
+    """Bytes of each run of ids; sizes: ids of each run."""
+    letters, starts, lengths = _letters(path)
+    parts = [ids[at : at + _DECODED] for at in range(0, len(ids), _DECODED)]
+    data = b"".join([picked(letters, starts[x], lengths[x]).tobytes() for x in parts])
+    ends = np.concatenate([[0], np.cumsum(lengths[ids])])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
 
 class Codec:
@@ -174,7 +206,7 @@ class Codec:
         self.words = PieceTable(self._encode_words)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return flattened(self.replay.encode([w.encode() for w in words]))
+        return self.replay.encode_flat([w.encode() for w in words])
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cuts = [self.pattern.findall(p) for p in pieces]
@@ -201,6 +233,22 @@ class Codec:
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         return id_lists(texts, self.cut, self.known)
 
+    def encode_array(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As encode, for an Arrow array of strings without nulls: cut and told apart by Arrow where no text holds the mark that it is cut at."""
+        for lo, hi in length_slices(pc.binary_length(texts).to_pylist(), _SLICE):
+            some = texts.slice(lo, hi - lo)
+            if pc.any(pc.match_substring(some, _MARK)).as_py():
+                yield from self.encode(some.to_pylist())
+                continue
+            marked = pc.replace_substring(some, " ", _MARK + " ")
+            gaps = pc.match_substring_regex(some, _ARROW_GAP)
+            if pc.any(gaps).as_py():
+                marked = pc.replace_with_mask(marked, gaps, pa.array([_MARK.join(self.cut(t)) for t in some.filter(gaps).to_pylist()], marked.type))
+            pieces = pc.split_pattern(marked, _MARK)
+            ids, sizes = self.known.gather_array(pieces.flatten())
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            yield ids, np.diff(ends[np.concatenate([[0], np.cumsum(pieces.value_lengths().to_numpy())]).astype(np.int64)])
+
 
 @cache
 def codec(path: str, pattern: str) -> Codec:
@@ -211,14 +259,13 @@ def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, tokens = codec(path, pattern), spelling(path)
+        c = codec(path, pattern)
         for b in batches:
             at = 0
-            for ids, sizes in c.encode([x or "" for x in b.column(1).to_pylist()]):
+            for ids, sizes in c.encode_array(b.column(1).fill_null("")):
                 columns = {"doc_id": b.column(0).slice(at, len(sizes)), "token_ids": list_array([ids], [sizes])}
                 if decode_too:
-                    ends = np.cumsum(sizes)
-                    columns["decoded"] = pa.array([decoded(ids[hi - n : hi], tokens) for hi, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())
+                    columns["decoded"] = decoded(ids, sizes, path)
                 yield pa.RecordBatch.from_pydict(columns)
                 at += len(sizes)
 
@@ -241,12 +288,9 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     ready(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = spelling(path)
         for b in batches:
             lists = b.column(1)
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            ends = lists.offsets.to_numpy()
-            out = pa.array([decoded(flat[lo:hi], tokens) for lo, hi in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            out = decoded(lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy(), path)
             yield pa.RecordBatch.from_arrays([b.column(0), lists, out], names=["doc_id", "token_ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
