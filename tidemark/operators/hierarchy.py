@@ -64,32 +64,49 @@ def method_sets(types: DataFrame, fields: DataFrame, methods: DataFrame, require
     return least.select("type", F.col("name").alias("method"), "x.m.signature", "x.m.holder", "x.m.file", (~F.col("x.m.pointer") | F.col("x.m.indirect")).alias("of_value"))
 
 
-#: Interfaces of equal methods that one row holds at most.
+#: Types, or interfaces, of equal methods that one row holds: at most, or on the average.
 _BLOCK = 1000
+#: Rows of a result that a task makes, about.
+_MADE = 1 << 24
+#: Parts that the types of one method, or of one interface, are dealt out to.
+_SPREAD = 64
 
 
 def implements(sets: DataFrame, required: DataFrame) -> DataFrame:
     """type, interface, of_value: the type (of_value), or only a pointer to it, has every method of the interface with its signature. Interfaces without methods are left out: everything implements them and nothing is called through them.
 
-    sets: method_sets(); required: interface_methods(). Interfaces of equal methods are held against
-    the types as one, which the least of them stands for; only the result names each, and those rows
-    go through no shuffle.
+    sets: method_sets(); required: interface_methods(). Interfaces of equal methods, and types of equal
+    methods among those that any interface asks for, are held against each other as one, which the
+    least of them stands for. Whether a kind of types has an interface's methods is asked where the
+    two meet, on their lists, so what meets in vain is never written; only the result names each type
+    and interface, and those rows go through no shuffle.
     """
-    wanted = required.groupBy("interface").agg(F.array_sort(F.collect_set(F.struct("method", "signature"))).alias("methods"))
+    spark = sets.sparkSession
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = stored(required.select("method", "signature").distinct().withColumn("id", F.monotonically_increasing_id()), "asked")
+    wanted = required.join(ids, ["method", "signature"]).groupBy("interface").agg(F.array_sort(F.collect_set("id")).alias("methods"))
     alike = wanted.select("interface", "methods", (F.row_number().over(Window.partitionBy("methods").orderBy("interface")) - 1).alias("at"), F.min("interface").over(Window.partitionBy("methods")).alias("like"))
     alike = stored(alike, "interfaces")
     blocks = alike.groupBy("like", F.floor(F.col("at") / _BLOCK)).agg(F.collect_list("interface").alias("interfaces")).select("like", "interfaces")
-    one = alike.where("at = 0").select(F.col("interface").alias("like"), F.inline("methods"))
-    frequency = sets.groupBy("method", "signature").agg(F.count(F.lit(1)).alias("types"))
-    ranked = one.join(frequency, ["method", "signature"], "left").fillna(0, ["types"])
-    rarest = ranked.groupBy("like").agg(F.min(F.struct("types", "method", "signature")).alias("r"), F.count(F.lit(1)).alias("n")).where("r.types > 0").select("like", "n", "r.method", "r.signature")
-    had_one = rarest.join(sets.select("type", "method", "signature", "of_value"), ["method", "signature"]).select("like", "type", "n", "of_value", F.col("method").alias("first"), F.col("signature").alias("first_signature"))
-    single = had_one.where("n = 1").select("type", "like", "of_value")
-    rest = had_one.where("n > 1").join(one, "like").where(~((F.col("method") == F.col("first")) & (F.col("signature") == F.col("first_signature"))))
-    others = sets.select("type", "method", "signature", F.col("of_value").alias("too"))
-    several = rest.join(others, ["type", "method", "signature"]).groupBy("type", "like").agg((F.count(F.lit(1)) + 1).alias("had"), F.max("n").alias("n"), (F.bool_and("too") & F.bool_and("of_value")).alias("of_value")).where("had = n").select("type", "like", "of_value")
-    found = stored(single.unionByName(several), "implemented")
-    return found.join(blocks, "like").select("type", F.explode("interfaces").alias("interface"), "of_value")
+    had = sets.join(ids, ["method", "signature"]).groupBy("type").agg(F.array_sort(F.collect_set("id")).alias("methods"), F.array_sort(F.collect_set(F.when(F.col("of_value"), F.col("id")))).alias("values"))
+    had = stored(had, "had")
+    kinds = stored(had.groupBy("methods", "values").agg(F.min("type").alias("kind"), F.count(F.lit(1)).alias("types")), "kinds")
+    one = alike.where("at = 0").select("like", F.col("methods").alias("wanted"))
+    frequency = kinds.select(F.explode("methods").alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("kinds"))
+    ranked = one.select("like", "wanted", F.explode("wanted").alias("first")).join(frequency, "first", "left").fillna(0, ["kinds"])
+    rarest = ranked.groupBy("like", "wanted").agg(F.min(F.struct("kinds", "first")).alias("r")).where("r.kinds > 0").select("like", "wanted", "r.first")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SPREAD - 1).cast("long")))
+    asked = rarest.select("*", part.alias("part")).repartition(shuffled, "first", "part")
+    meets = kinds.select("kind", "methods", "values", F.explode("methods").alias("first"), F.pmod(F.xxhash64("kind"), F.lit(_SPREAD)).alias("part")).join(rarest.select("first").distinct(), "first", "left_semi").repartition(shuffled, "first", "part")
+    lacks = lambda of: F.size(F.array_except("wanted", of)) > 0
+    found = stored(meets.join(asked, ["first", "part"]).where(~lacks("methods")).select("kind", "like", (~lacks("values")).alias("of_value")), "implemented")
+    numbers = alike.groupBy("like").agg(F.count(F.lit(1)).alias("interfaces"))
+    made = found.join(kinds.select("kind", "types"), "kind").groupBy("like").agg(F.sum("types").alias("types")).join(numbers, "like").agg(F.sum(F.col("types") * F.col("interfaces"))).first()[0] or 0
+    tasks = max(shuffled, -(-made // _MADE))
+    members = had.join(kinds, ["methods", "values"]).groupBy("kind", F.pmod(F.xxhash64("type"), F.ceil(F.col("types") / _BLOCK)).alias("block")).agg(F.collect_list("type").alias("types")).select("kind", "types")
+    left = found.join(members, "kind").select("like", "types", "of_value", F.pmod(F.xxhash64("types"), F.lit(_SPREAD)).alias("part")).repartition(tasks, "like", "part")
+    right = blocks.select("like", "interfaces", part.alias("part")).repartition(tasks, "like", "part")
+    return left.join(right, ["like", "part"]).select(F.explode("types").alias("type"), "interfaces", "of_value").select("type", F.explode("interfaces").alias("interface"), "of_value")
 
 
 def dispatch(sites: DataFrame, sets: DataFrame, implemented: DataFrame) -> DataFrame:
