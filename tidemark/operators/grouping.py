@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain, groupby
+from itertools import chain, groupby, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, _parse_datatype_string
 
 
 def fold_groups(rows: DataFrame, key: str, order: list[str], fold: Callable[[str, list[tuple]], Iterator[tuple]], schema: str, dealt: bool = False) -> DataFrame:
@@ -50,17 +50,25 @@ def fold_groups(rows: DataFrame, key: str, order: list[str], fold: Callable[[str
     return rows.mapInArrow(run, kind)
 
 
+def _listed(kind: DataType) -> bool:
+    """Values of this type hold lists, so one may be of any size."""
+    return isinstance(kind, (ArrayType, MapType)) or isinstance(kind, StructType) and any(_listed(f.dataType) for f in kind.fields)
+
+
 def numbered_rows(rows: DataFrame, order: list[str], made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows with nth, 1..n in the given order, without bringing them to one task.
 
     They are sorted by ranges and written; each partition's number of rows, one small row each,
     gives the places of its first one. made: what is written of the sorted rows, row by row.
+    Ranges are of the columns before the first that holds lists: the driver gets a sample of them,
+    and rows that are equal in them lie in one partition, where they are sorted by all.
     """
     from tidemark.sources.store import stored
 
     low = (1 << 33) - 1
     place = F.monotonically_increasing_id()
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = list(takewhile(lambda c: not _listed(rows.schema[c].dataType), order)) or order
+    dealt = rows.repartitionByRange(*ranged).sortWithinPartitions(*order)
     dealt = made(dealt) if made else dealt
     kept = stored(dealt.withColumns({"__part": F.shiftright(place, 33), "__at": place.bitwiseAND(F.lit(low))}), "numbered")
     sizes = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
